@@ -2,18 +2,70 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, simhash
+from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, secrets, sharding, simhash
+
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(parts: int) -> Column:
+    """Remainder of crc32 of the id as text; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.QualityModel:
+    """Trusted positives: ids labelled 1 outside the held-out fifth; unlabelled: texts outside it."""
+    positives = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return quality.train(docs, positives, fold(5) != 0)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, sf_dir, docs), threshold=0.3)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.train(docs, fold(4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the tokenizing queries; its folder is a parameter of the installation."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, VOCABULARY)
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_documents(spark, sf_dir), vocabulary(), capacity=2048)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, capacity=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pivot_topk.pivot_topk(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op6_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -56,6 +108,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return permutation_ann.permutation_neighbours(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(_documents(spark, sf_dir)).select("doc_id", "spans")
     kinds = [r.kind for r in secrets.BASE_RULES]
@@ -66,8 +123,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
+    "op3_language": op3_language,
+    "op4_token_counts": op4_token_counts,
+    "op5_pivot_topk": op5_pivot_topk,
     "op6_interleave_shards": op6_interleave_shards,
     "op7_mixture": op7_mixture,
     "op8_simhash": op8_simhash,
+    "op9_permutation_ann": op9_permutation_ann,
     "op10_secrets": op10_secrets,
 }
