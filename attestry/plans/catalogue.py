@@ -1,14 +1,665 @@
-"""Registered queries of the entity-resolution and evidence engine, with their DuckDB twins."""
+"""Registered queries of the entity-resolution and evidence engine, with their DuckDB twins.
+
+The driver's tables hold no institutions, so each operator runs on a stand-in: parts, suppliers and customers are
+names, events are evidence or calls, orders are runs, pages are web pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import dictionaries as D
+from ..functions import contacts as C
+from ..functions import html as H
+from ..functions import names as N
+from ..functions import scalars as X
+from ..functions import similarity as S
+from ..functions import urls as U
+from ..operators import analytics as A
+from ..operators import batch as B
+from ..operators import enrichment as R
+from ..operators import evidence as E
+from ..operators import identity as I
+from ..operators import listing as L
+from ..operators import matching as M
+from ..operators import registry as G
+from ..operators import scoring as P
+from ..streaming import events as V
+from ..streaming import machines as K
+from . import validate as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2024-02-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL twin if it has one."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _as_of(text: str = AS_OF):
+    return F.to_timestamp(F.lit(text))
+
+
+_TRI = "list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+def _sim(a: str, b: str) -> str:
+    x, y = _TRI.format(c=a), _TRI.format(c=b)
+    return f"coalesce(len(list_intersect({x}, {y}))::DOUBLE / nullif(len(list_distinct(list_concat({x}, {y}))), 0), 0)"
+
+
+# Similarity --------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT a.p_name AS left_text, b.p_name AS right_text, round(s, 9) AS similarity FROM (SELECT *, {_sim('a.p_name', 'b.p_name')} AS s FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b) t(p_name, p_name_1, s), LATERAL (SELECT t.p_name) a(p_name), LATERAL (SELECT t.p_name_1) b(p_name) WHERE s > 0.35")
+def trigram_similarity_pairs(spark, sf_dir):
+    names = _t(spark, sf_dir, "part").select("p_name").distinct()
+    return M.similarity_join(names, names, "p_name", "p_name").select("left_text", "right_text", F.round("similarity", 9).alias("similarity"))
+
+
+_BENCH_TEXTS = "b AS (SELECT item_id AS query_id, substring(text, 1, 80) AS q FROM benchmark), d AS (SELECT doc_id, substring(text, 1, 80) AS t FROM documents)"
+
+
+@query(f"""WITH {_BENCH_TEXTS}, bg AS (SELECT query_id, {_TRI.format(c='q')} AS g FROM b), dg AS (SELECT doc_id, {_TRI.format(c='t')} AS g FROM d),
+bp AS (SELECT query_id, len(g) AS n, unnest(g) AS x FROM bg), dp AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM dg),
+c AS (SELECT query_id, doc_id, count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)) AS s FROM bp JOIN dp USING (x) GROUP BY ALL HAVING s > 0.35)
+SELECT query_id, doc_id, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM c QUALIFY rank <= 5""")
+def trigram_topk_per_query(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    d = _t(spark, sf_dir, "documents").select(F.lit("registry").alias("type"), F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("match_text"))
+    return M.find_candidates(b, d, limit=5).select("query_id", F.col("id").alias("doc_id"), F.round("similarity", 9).alias("similarity"), "rank")
+
+
+@query(f"""WITH u AS (SELECT 'institution' AS type, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'identity', s_suppkey, s_name FROM supplier UNION ALL SELECT 'registry', c_custkey, c_name FROM customer),
+qq AS (SELECT * FROM (VALUES (1, 'red bolt'), (2, 'supplier 000000042'), (3, 'customer#000000007')) v(query_id, query)),
+s AS (SELECT query_id, type, id, name, {_sim('query', 'name')} AS s FROM qq, u)
+SELECT query_id, type, id, name, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, type, id)::INT AS rank FROM s WHERE s > 0.35 QUALIFY rank <= 50""")
+def trigram_union_candidates(spark, sf_dir):
+    none = F.lit(None).cast("timestamp")
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"), F.col("p_name").alias("normalized_name"), none.alias("deleted_at"))
+    sup = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name_as_source"), F.col("s_name").alias("normalized_name"), F.lit("UGC").alias("source"), F.col("s_suppkey").cast("string").alias("external_id"))
+    cust = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("AISHE").alias("authority_code"), F.col("c_name").alias("canonical_name"), F.col("c_name").alias("normalized_name"), F.col("c_custkey").cast("string").alias("external_id"))
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "supplier 000000042"), (3, "customer#000000007")], "query_id int, query string")
+    return M.find_candidates(asked, M.candidate_union(part, sup, cust)).select("query_id", "type", "id", "name", F.round("similarity", 9).alias("similarity"), "rank")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < 20 AND a.vec_id <> b.vec_id)
+SELECT query_id, candidate_id, round(c, 9) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id)::INT AS rank FROM p QUALIFY rank <= 5""")
+def cosine_topk(spark, sf_dir):
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id < 20")
+    pairs = asked.select(F.col("vec_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("candidate_id")), F.col("query_id") != F.col("candidate_id"))
+    return M.cosine_topk(vectors, vectors, "vec_id", "embedding", pairs, 5).withColumn("cosine", F.round("cosine", 9))
+
+
+_HASHED = "list_transform(range(32), lambda i: cos((('0x' || substr(sha256({c}), 2 * i + 1, 2))::INT - 128) / 128.0 * pi()) / 2 + 0.5)"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_name FROM part), v AS (SELECT p_name, {_HASHED.format(c='p_name')} AS e FROM p)
+SELECT a.p_name AS a, b.p_name AS b, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.p_name < b.p_name""")
+def hash_embedding_cosine(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("e", S.hash_embedding(F.col("p_name"), 32))
+    a, b = p.select(F.col("p_name").alias("a"), F.col("e").alias("ea")), p.select(F.col("p_name").alias("b"), F.col("e").alias("eb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(S.cosine(F.col("ea"), F.col("eb")), 9).alias("cosine"))
+
+
+def _part_candidates(spark, sf_dir):
+    return _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select(F.lit("institution").alias("type"), "id", "name", F.col("name").alias("match_text"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("external_id"))
+
+
+@query(f"""WITH c AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), i AS (SELECT DISTINCT replace(p_name, 'e', '') AS input FROM part),
+s AS (SELECT input, id, name, {_sim('lower(trim(input))', 'lower(name)')} AS s, list_cosine_similarity({_HASHED.format(c='input')}, {_HASHED.format(c='name')}) AS v FROM i, c),
+f AS (SELECT *, 0.45 * s + 0.35 * CASE WHEN v = 0 THEN 0.5 ELSE v END AS conf FROM s WHERE s > 0.35)
+SELECT input, id, name, round(conf, 9) AS confidence, conf < 0.9 AS needs_review, row_number() OVER (PARTITION BY input ORDER BY conf DESC, id)::INT AS rank FROM f WHERE conf >= 0.5 QUALIFY rank <= 5""")
+def fusion_resolve(spark, sf_dir):
+    asked = _t(spark, sf_dir, "part").select(F.replace("p_name", F.lit("e"), F.lit("")).alias("input")).distinct()
+    return M.resolve(asked, _part_candidates(spark, sf_dir), embed=lambda c: S.hash_embedding(c, 32)).select("input", "id", "name", F.round("confidence", 9).alias("confidence"), "needs_review", "rank")
+
+
+@query("""SELECT a.p_name AS a, b.p_name AS b, round(CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN contains(b.p_name, a.p_name) OR contains(a.p_name, b.p_name) THEN 0.8
+ELSE 0.5 + 0.5 * list_sum(list_transform(range(1, least(length(a.p_name), length(b.p_name)) + 1), lambda i: CASE WHEN a.p_name[i] = b.p_name[i] THEN 1 ELSE 0 END)) / greatest(length(a.p_name), length(b.p_name)) END, 9) AS confidence
+FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b""")
+def positional_confidence(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_name").distinct()
+    return p.select(F.col("p_name").alias("a")).join(p.select(F.col("p_name").alias("b")), F.lit(True)).select("a", "b", F.round(S.positional_confidence(F.col("a"), F.col("b")), 9).alias("confidence"))
+
+
+# Names -------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in D.STOP_WORDS)
+
+
+def _sql_words(col: str, pairs) -> str:
+    for word, by in pairs:
+        col = f"regexp_replace({col}, '(?i)\\b{word}\\b', '{by}', 'g')"
+    return col
+
+
+_NORMAL = "trim(regexp_replace(regexp_replace(replace({x}, '&', 'and'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_ASCII_NAMES = "SELECT doc_id, regexp_replace(substring(text, 1, 60), '[^\\x20-\\x7e]', ' ', 'g') AS raw FROM documents"
+_NORMAL_SQL = _NORMAL.format(x=_sql_words(f"lower({_sql_words('trim(' + _sql_words('raw', [(h, '') for h in ('sri', 'shri', 'smt', 'shrimati', 'dr', 'prof')]) + ')', D.ORDINALS.items())})", D.PLACE_ALIASES.items()))
+
+
+@query(f"""WITH d AS ({_ASCII_NAMES} WHERE NOT regexp_matches(text, '(?i)\\b(dr|prof)\\W|\\b(dr|prof)\\w\\b')), n AS (SELECT doc_id, {_NORMAL_SQL} AS normalized FROM d)
+SELECT doc_id, normalized, len(list_filter(string_split(normalized, ' '), lambda t: t <> ''))::INT AS n_tokens,
+array_to_string(list_filter(string_split(normalized, ' '), lambda t: t <> '' AND t NOT IN ({_STOP})), ' ') AS core FROM n""")
+def normalize_names(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"(?i)(?<![A-Za-z0-9_])(dr|prof)[^A-Za-z0-9_]|(?<![A-Za-z0-9_])(dr|prof)[A-Za-z0-9_](?![A-Za-z0-9_])")))
+    n = docs.select("doc_id", N.normalize_name(F.regexp_replace(F.substring("text", 1, 60), r"[^\x20-\x7e]", " ")).alias("n"))
+    return n.select("doc_id", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p_name, list_filter(string_split(p_name, ' '), lambda t: t NOT IN ({_STOP})) AS c FROM part)
+SELECT a.p_name AS a, b.p_name AS b FROM p a, p b WHERE a.p_name < b.p_name AND len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c)) >= 0.5""")
+def core_token_overlap(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("c", N.core_tokens(N.tokens(F.col("p_name"))))
+    posted = p.select("p_name", "c", F.explode("c").alias("t"))
+    a, b = posted.select(F.col("p_name").alias("a"), F.col("c").alias("ca"), "t"), posted.select(F.col("p_name").alias("b"), F.col("c").alias("cb"), "t")
+    met = a.join(b, "t").filter("a < b").select("a", "b", "ca", "cb").distinct()
+    return met.filter(F.size(F.array_intersect("ca", "cb")) / F.least(F.size("ca"), F.size("cb")) >= 0.5).select("a", "b")
+
+
+@query()
+def expand_variants(spark, sf_dir):
+    codes = list(D.SHORT_FORMS)[:24]
+    words = F.array(*[F.lit(c.lower()) for c in codes])
+    parts = _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.get(words, F.col("p_partkey") % len(codes)), "p_name").alias("name"))
+    return parts.select("p_partkey", "name", F.posexplode(N.expand_variants(F.col("name"))).alias("pos", "variant"))
+
+
+def _type_case(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({col}, {w!r})' for w in ws)} THEN '{k}'" for k, ws in D.TYPE_WORDS) + " ELSE 'other' END"
+
+
+_TYPED = "SELECT n_nationkey AS id, lower(['engineering college', 'city community hall', 'medical school', 'law academy', 'dental university', 'nursing home', 'plain name'][n_nationkey % 7 + 1] || ' ' || n_name) AS name FROM nation"
+
+
+@query(f"""WITH t AS ({_TYPED}), k AS (SELECT id, name, {_type_case('name')} AS institution_type FROM t),
+a AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{a}', '{D.AUTHORITY_TIERS[a]}')" for k, own in D.TYPE_AUTHORITIES.items() for a in dict.fromkeys(D.ALWAYS_ASKED + own))}) x(institution_type, authority, tier))
+SELECT id, institution_type, authority, tier FROM k JOIN a USING (institution_type)""")
+def applicable_authorities(spark, sf_dir):
+    kinds = F.array(*[F.lit(x) for x in ("engineering college", "city community hall", "medical school", "law academy", "dental university", "nursing home", "plain name")])
+    t = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat_ws(" ", F.get(kinds, F.col("n_nationkey") % 7), "n_name").alias("canonical_name"))
+    return E.relevant_sources(t).select("id", "institution_type", "authority", "tier")
+
+
+@query("""SELECT event_id, CASE WHEN k % 3 = 0 THEN 'https://x' || k || '.ac.in' WHEN k % 3 = 1 THEN 'http://y' || k || '.in' END AS url, CASE WHEN k % 5 = 0 THEN 'Central University' ELSE 'kind ' || k END AS type,
+'a' || k || '@b.in' AS email FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+def attribute_synonyms(spark, sf_dir):
+    k = F.from_json("props", "k int")["k"]
+    attrs = F.map_from_arrays(
+        F.array(F.lit("website"), F.lit("url"), F.lit("institutionType"), F.lit("type"), F.lit("contact_email")),
+        F.array(F.when(k % 3 == 0, F.concat(F.lit("https://x"), k, F.lit(".ac.in"))).otherwise("n/a"), F.when(k % 3 == 1, F.concat(F.lit("http://y"), k, F.lit(".in"))), F.when(k % 5 == 0, " central ").otherwise(""), F.concat(F.lit("kind "), k), F.concat(F.lit("a"), k, F.lit("@b.in"))),
+    )
+    e = _t(spark, sf_dir, "events").select("event_id", attrs.alias("a"))
+    return e.select("event_id", N.registry_url(F.col("a")).alias("url"), N.registry_type(F.col("a")).alias("type"), N.registry_contacts(F.col("a"))["email"].alias("email"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name || '  ' || p_brand), '\\s+', '-', 'g') AS slug, trim(regexp_replace(lower(p_name || '-' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS external_id FROM part")
+def slug_external_id(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", N.slug(F.concat("p_name", F.lit("  "), "p_brand")).alias("slug"), N.external_slug(F.col("p_name"), F.col("p_brand")).alias("external_id"))
+
+
+@query()
+def depository_match(spark, sf_dir):
+    target = _t(spark, sf_dir, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" University, Bombay")).alias("target"), F.col("p_partkey").alias("place"))
+    names = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" mumbai")).alias("name"))
+    return M.variant_index_join(names, target, "name", "target", "place")
+
+
+# Pages -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", H.title_tag(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '\\s+', ' ', 'g')) AS text FROM pages""")
+def page_plain_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+
+
+@query("""SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS emails, CASE WHEN pin <> '' AND pin[1] <> '0' THEN pin END AS pin FROM (
+SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered, regexp_extract(text, '\\b([0-9]{6})\\b', 1) AS pin FROM (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS m FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f][0-9]{6}|[0-9]{6}[^\\x00-\\x7f]')))""")
+def document_contacts(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"[^\x00-\x7f][0-9]{6}|[0-9]{6}[^\x00-\x7f]")))
+    return docs.select("doc_id", F.array_join(C.emails(F.col("text")), "|").alias("emails"), C.pin_code(F.col("text")).alias("pin"))
+
+
+_PHONE = """CASE WHEN length(d) = 12 AND regexp_matches(d, '^91[1-4][0-9]{8,9}$|^91[6-9]') THEN '+' || d WHEN length(d) = 10 AND regexp_matches(d, '^[6-9]') THEN '+91' || d
+WHEN length(d) = 11 AND regexp_matches(d, '^0([6-9]|[1-4][0-9]{8,9}$)') THEN '+91' || d[2:] WHEN length(d) = 10 AND regexp_matches(d, '^0[1-4]') THEN '+91' || d[2:]
+WHEN length(d) BETWEEN 9 AND 11 AND regexp_matches(d, '^[1-4][0-9]*$') THEN '+91' || d ELSE '' END"""
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, ['+91 ', '0', '', '(022) ', '91'][o_orderkey % 5 + 1] || (o_orderkey * 7919 % 9000000000 + 1000000000)::BIGINT::VARCHAR AS raw FROM orders), d AS (SELECT id, raw, regexp_replace(regexp_replace(raw, '[-.\\s()]', '', 'g'), '^\\+', '') AS d FROM r)
+SELECT id, raw, {_PHONE} AS phone FROM d""")
+def phone_numbers(spark, sf_dir):
+    marks = F.array(*[F.lit(x) for x in ("+91 ", "0", "", "(022) ", "91")])
+    raw = F.concat(F.get(marks, F.col("o_orderkey") % 5), (F.col("o_orderkey") * 7919 % 9000000000 + 1000000000).cast("string"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"), C.normalize_phone(raw).alias("phone"))
+
+
+@query()
+def page_records(spark, sf_dir):
+    p = H.extract_pages(_t(spark, sf_dir, "pages"))
+    return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.length("main_text").alias("main_chars"), F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"), F.size("social_links").alias("n_social"), F.size("outbound_links").alias("n_links"), "detected_state", "detected_pin_code", "needs_javascript")
+
+
+@query()
+def page_evidence(spark, sf_dir):
+    return E.website_evidence(H.extract_pages(_t(spark, sf_dir, "pages")), _as_of()).select("page_id", "url", "category", "matched_text", "confidence", "tier")
+
+
+_SIDE = "|".join(D.SIDE_PAGES)
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+
+
+@query(f"""WITH u AS (SELECT page_id, url, {_HOST} AS h, {_PATH} AS p FROM pages), v AS (SELECT *, len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS depth FROM u)
+SELECT page_id, h AS host, CASE WHEN h LIKE '%.gov.in' THEN 1000 WHEN h LIKE '%.ac.in' THEN 800 WHEN h LIKE '%.edu.in' OR h LIKE '%.edu' THEN 600 WHEN h LIKE '%.nic.in' THEN 400 ELSE 100 END AS priority,
+NOT regexp_matches(lower(p), '/({_SIDE})') AND NOT regexp_matches(h, '^({_SIDE})\\.') AND depth <= 2 AS main_site, (-10 * len(string_split(h, '.')) - depth)::INT AS site_priority FROM v""")
+def url_scores(spark, sf_dir):
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", U.host(u).alias("host"), U.domain_priority(U.host(u)).alias("priority"), U.is_main_site(u).alias("main_site"), U.site_priority(u).alias("site_priority"))
+
+
+# Registry ----------------------------------------------------------------------------------------------------
+
+_SNAP = "a AS (SELECT c_custkey::VARCHAR AS external_id, c_name AS canonical_name, c_mktsegment AS status FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey::VARCHAR AS external_id, c_name AS canonical_name, CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE c_mktsegment END AS status FROM customer WHERE c_custkey % 7 <> 0)"
+
+
+def _snapshots(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("external_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("status"), "c_custkey")
+    return c.filter("c_custkey % 10 <> 0").drop("c_custkey"), c.withColumn("status", F.when(F.col("c_custkey") % 11 == 0, "X").otherwise(F.col("status"))).filter("c_custkey % 7 <> 0").drop("c_custkey")
+
+
+@query(f"WITH {_SNAP} SELECT coalesce(a.external_id, b.external_id) AS external_id, CASE WHEN a.external_id IS NULL THEN 'added' WHEN b.external_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.external_id = b.external_id WHERE a.external_id IS NULL OR b.external_id IS NULL OR a.status <> b.status")
+def snapshot_diff(spark, sf_dir):
+    return G.diff_snapshots(*_snapshots(spark, sf_dir))
+
+
+@query(f"WITH {_SNAP} SELECT (SELECT count(*) FROM a) AS previous, (SELECT count(*) FROM b) AS current, (SELECT count(*) FROM b) BETWEEN 0.8 * (SELECT count(*) FROM a) AND 1.2 * (SELECT count(*) FROM a) AS passed")
+def snapshot_gate(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    counts = old.agg(F.count(F.lit(1)).alias("previous")).join(new.agg(F.count(F.lit(1)).alias("current")), F.lit(True))
+    return counts.withColumn("passed", G.gate(F.col("current"), F.col("previous")))
+
+
+@query("SELECT l_suppkey::VARCHAR AS external_id, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS order_key FROM lineitem GROUP BY 1")
+def first_wins_dedupe(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("external_id"), F.col("l_orderkey").alias("order_key"), F.struct("l_orderkey", "l_linenumber").alias("_pos"))
+    return G.first_wins(rows).select("external_id", "order_key")
+
+
+@query("""WITH l AS (SELECT o_custkey % 50 AS id, o_orderdate, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'published' ELSE 'rejected' END AS state FROM orders), s AS (SELECT id, arg_max(state, o_orderkey) AS state FROM l GROUP BY 1)
+SELECT (id % 5)::VARCHAR AS authority_code, max(id) AS id FROM s WHERE state = 'published' GROUP BY 1""")
+def publish_latest(spark, sf_dir):
+    log = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("id"), (F.col("o_custkey") % 50 % 5).cast("string").alias("authority_code"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("rejected").alias("state"))
+    return G.published_snapshots(log).select("authority_code", "id")
+
+
+@query("SELECT n_name AS authority_code, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+def registry_stats(spark, sf_dir):
+    nations = _t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("authority_code"))
+    return G.rows_per_authority(_t(spark, sf_dir, "supplier").join(nations, "s_nationkey"))
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name ILIKE '%00004%' AND n_regionkey IN (1, 2) ORDER BY n_name, s_suppkey::VARCHAR LIMIT 100")
+def registry_lookup(spark, sf_dir):
+    nations = _t(spark, sf_dir, "nation").filter("n_regionkey IN (1, 2)").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    e = _t(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("s_suppkey", "s_name", "n_name", N.lookup_form(F.col("s_name")).alias("normalized_name"), F.col("n_name").alias("authority_code"), F.col("s_suppkey").cast("string").alias("external_id"))
+    return G.lookup(e, "00004").select("s_suppkey", "s_name", "n_name")
+
+
+@query("SELECT DISTINCT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey WHERE lower(c_mktsegment) = 'building'")
+def authority_left_join_chain(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
+    c = _t(spark, sf_dir, "customer").filter(F.lower("c_mktsegment") == "building")
+    return c.join(nation, c["c_nationkey"] == nation["n_nationkey"], "left").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name").distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus AS verdict, o_totalprice AS confidence FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey ORDER BY l_orderkey, l_linenumber LIMIT 50 OFFSET 50")
+def items_page(spark, sf_dir):
+    runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("verdict"), F.col("o_totalprice").alias("confidence"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(runs, "l_orderkey", "left")
+    return L.page(rows, [F.col("l_orderkey"), F.col("l_linenumber")], 2, 50)
+
+
+@query("SELECT o_orderkey, l_partkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS l_partkey, arg_min(l_quantity, l_linenumber) AS l_quantity FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON o_orderkey = l_orderkey")
+def first_match_join(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return R.first_match(_t(spark, sf_dir, "orders").select("o_orderkey"), items, "o_orderkey", "l_linenumber", ["l_partkey", "l_quantity"], F.col("l_quantity") > 25)
+
+
+@query("SELECT o_orderkey, o_custkey, coalesce(n, 0)::INT AS n_lines, coalesce(q, 0.0) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def nested_document(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    doc = R.document(orders, {"lines": (_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_quantity"])}, "o_orderkey")
+    return doc.select("o_orderkey", "o_custkey", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["l_quantity"]).alias("quantity"))
+
+
+# Identity ----------------------------------------------------------------------------------------------------
+
+
+def _links(spark, sf_dir):
+    names = F.array(*[F.lit(s) for s in ("WIKIDATA", "UGC", "AICTE", "WEBSITE")])
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("institution_id"), F.get(names, F.col("s_suppkey") % 4).alias("source"), (F.col("s_suppkey") % 30).cast("string").alias("external_id"), F.col("s_name").alias("name_as_source"), F.round(F.col("s_acctbal"), 2).alias("match_score"))
+
+
+_LINKS = "l AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS institution_id, ['WIKIDATA', 'UGC', 'AICTE', 'WEBSITE'][s_suppkey % 4 + 1] AS source, (s_suppkey % 30)::VARCHAR AS external_id, s_name AS name_as_source, round(s_acctbal, 2) AS match_score FROM supplier)"
+
+
+@query(f"WITH {_LINKS}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, source, external_id ORDER BY id) AS n FROM l WHERE id % 2 = 0) WHERE n = 1), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, source, external_id ORDER BY id::VARCHAR DESC) AS n FROM l WHERE id % 3 = 0) WHERE n = 1) SELECT coalesce(w.institution_id, o.institution_id) AS institution_id, coalesce(w.source, o.source) AS source, coalesce(w.external_id, o.external_id) AS external_id, coalesce(o.id, w.id) AS id, coalesce(w.name_as_source, o.name_as_source) AS name_as_source, coalesce(w.match_score, o.match_score) AS match_score FROM o FULL JOIN w ON o.institution_id = w.institution_id AND o.source = w.source AND o.external_id = w.external_id")
+def identity_upsert(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    old = M.priority_first(links.filter("id % 2 = 0"), I.KEY, [F.col("id")])
+    return I.upsert(old, links.filter("id % 3 = 0"), keep=["id"], order="id")
+
+
+@query(f"WITH {_LINKS}, m AS (SELECT n_nationkey::BIGINT AS from_id, (n_nationkey // 5 * 5)::BIGINT AS to_id FROM nation WHERE n_nationkey % 5 <> 0), r AS (SELECT l.* REPLACE (coalesce(to_id, institution_id) AS institution_id) FROM l LEFT JOIN m ON institution_id = from_id) SELECT institution_id, source, external_id, min(id) AS id FROM r GROUP BY 1, 2, 3")
+def institution_merge(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    inst = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    merges = inst.select(F.col("id").alias("from_id"), F.expr("id div 5 * 5").alias("to_id")).filter("from_id % 5 <> 0")
+    merged = I.merge_institutions(inst, links, links.select("institution_id", F.col("id").alias("run_id")), merges, _as_of())
+    return merged["identities"].select("institution_id", "source", "external_id", "id")
+
+
+@query(f"WITH {_LINKS}, p AS (SELECT *, list_position(['INI', 'AICTE', 'UGC', 'AISHE', 'WIKIDATA', 'NAD'], source) AS r FROM l) SELECT institution_id, arg_min(name_as_source, (r, name_as_source)) AS canonical_name FROM p WHERE r > 0 GROUP BY 1")
+def canonical_priority(spark, sf_dir):
+    return I.canonical_names(_links(spark, sf_dir))
+
+
+@query("SELECT DISTINCT c_nationkey::BIGINT AS institution_id, c_mktsegment AS alias FROM customer")
+def alias_distinct(spark, sf_dir):
+    return I.aliases(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("institution_id"), F.col("c_mktsegment").alias("name_as_source")))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 1)")
+def has_source_identity(spark, sf_dir):
+    inst = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return I.has_source(inst, _links(spark, sf_dir), "UGC").select(F.col("id").alias("n_nationkey"))
+
+
+# Lists -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%1%' ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 20")
+def dynamic_filter_page(spark, sf_dir):
+    rows = L.filtered(_t(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING", "c_nationkey": None}, {"c_name": "1"})
+    return L.page(rows.select("c_custkey", "c_name", "c_acctbal"), [F.asc_nulls_last("c_acctbal"), F.col("c_custkey")], 2, 20)
+
+
+@query("SELECT c_custkey, to_base64(encode(c_custkey::VARCHAR)) AS next_cursor FROM customer WHERE c_custkey >= 100 ORDER BY c_custkey LIMIT 25")
+def keyset_page(spark, sf_dir):
+    return L.keyset(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "MTAw", 25)
+
+
+@query("SELECT count(*) AS total, ceil(count(*) / 50)::BIGINT AS total_pages FROM orders WHERE o_orderstatus = 'F'")
+def page_totals(spark, sf_dir):
+    return L.page_totals(_t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), 50)
+
+
+# Analytics ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS total, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1")
+def hourly_rollup(spark, sf_dir):
+    out = A.hourly_rollup(_t(spark, sf_dir, "events"), "ts", "value", {"errors": F.col("event_type") == "error", "purchases": F.col("event_type") == "purchase"})
+    return out.select("hour", "total", *[F.round(c, 6).alias(c) for c in ("avg_ms", "p50_ms", "p95_ms")], "errors", "purchases")
+
+
+@query("SELECT user_id, count(*) AS requests FROM events WHERE ts > TIMESTAMP '2024-02-01' - INTERVAL 15 DAY AND ts <= TIMESTAMP '2024-02-01' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40")
+def top_names(spark, sf_dir):
+    return A.top_names(V.as_event_time(_t(spark, sf_dir, "events"), "ts"), "user_id", "ts", _as_of(), 15, 40)
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS risk_rank FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' ORDER BY 3, o_orderdate NULLS LAST, 1 LIMIT 500")
+def stale_queue(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    out = A.stale_queue(orders, "o_orderstatus", "o_orderdate", "o_orderdate", F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")), 500, ["P", "O"], "o_orderkey")
+    return out.select("o_orderkey", "o_orderstatus", F.col("risk_rank").cast("int").alias("risk_rank"))
+
+
+@query("SELECT o_orderpriority AS verdict, count(*) AS stale FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1")
+def stale_counts(spark, sf_dir):
+    return A.stale_counts(_t(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "verdict"), "verdict", "o_orderdate", F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00")))
+
+
+@query("SELECT count(*) AS calls, round(avg((role = 'user')::INT), 9) AS cache_hit_rate, sum(length(text) + turn)::BIGINT AS tokens, round(sum(length(text) / 1e6 * 0.075 + turn / 1e6 * 0.30), 9) AS cost_usd, round(avg(length(text) * 2), 6) AS avg_latency_ms, round(avg((turn % 3 = 0)::INT), 9) AS repair_rate, round(avg((turn > 4)::INT), 9) AS error_rate FROM conversations")
+def llm_stats(spark, sf_dir):
+    calls = _t(spark, sf_dir, "conversations").select((F.col("role") == "user").alias("cache_hit"), F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"), (F.length("text") * 2).alias("latency_ms"), (F.col("turn") % 3 == 0).alias("repaired"), F.when(F.col("turn") > 4, "x").alias("error"))
+    s = A.llm_stats(calls)
+    return s.select("calls", "tokens", *[F.round(c, 9 if c != "avg_latency_ms" else 6).alias(c) for c in ("cache_hit_rate", "cost_usd", "avg_latency_ms", "repair_rate", "error_rate")])
+
+
+@query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM conversations QUALIFY FALSE".replace("QUALIFY FALSE", "").join(["SELECT conv_id, turn, coalesce(s, 0)::BIGINT AS spent_before, coalesce(s, 0) < 500 AS allowed FROM (", ")"]))
+def cost_budget(spark, sf_dir):
+    calls = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("c"))
+    return A.within_budget(calls, "conv_id", ["turn"], F.col("c"), 500).select("conv_id", "turn", F.col("spent_before").cast("long").alias("spent_before"), "allowed")
+
+
+@query("SELECT event_type, user_id, round(v / sum(v) OVER (PARTITION BY event_type), 9) AS share FROM (SELECT event_type, user_id, sum(value) AS v FROM events GROUP BY 1, 2)")
+def share_of_total(spark, sf_dir):
+    sums = _t(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("v"))
+    return A.share_of_total(sums, "event_type", "v").select("event_type", "user_id", F.round("share", 9).alias("share"))
+
+
+@query("SELECT event_type, n, mn AS min, l[(floor(n * 0.5))::INT + 1] AS p50, l[floor(n * 0.95)::INT + 1] AS p95, l[floor(n * 0.99)::INT + 1] AS p99, round(a, 6) AS mean, mx AS max FROM (SELECT event_type, count(*) AS n, min(value) AS mn, max(value) AS mx, avg(value) AS a, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1)")
+def latency_nearest_rank(spark, sf_dir):
+    return A.nearest_rank(_t(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_id, event_type, last_value(CASE WHEN event_id % 4 = 0 THEN user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_id FROM events")
+def forward_fill_groups(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 == 0, F.col("user_id")).alias("user_id"))
+    return A.forward_fill(e, ["event_type"], "event_id", ["user_id"])
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'ok' WHEN count(*) FILTER (event_type = 'error') < 3 THEN 'degraded' ELSE 'unhealthy' END AS status FROM events GROUP BY 1")
+def health_status(spark, sf_dir):
+    return A.health(_t(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error")
+
+
+@query("SELECT event_type AS layer, count(*) AS lookups, count(*) FILTER (value > 10) AS hits, round(count(*) FILTER (value > 10) / count(*), 9) AS hit_ratio FROM events GROUP BY 1")
+def cache_ratio(spark, sf_dir):
+    return A.cache_ratio(_t(spark, sf_dir, "events").withColumnRenamed("event_type", "layer"), "layer", F.col("value") > 10).withColumn("hit_ratio", F.round("hit_ratio", 9))
+
+
+@query("SELECT o_orderstatus AS verdict, count(*) AS institutions, round(avg(o_totalprice), 4) AS avg_confidence FROM orders GROUP BY 1")
+def system_stats(spark, sf_dir):
+    return A.system_stats(_t(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "verdict"), "verdict", "o_totalprice").withColumn("avg_confidence", F.round("avg_confidence", 4))
+
+
+@query("SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normalized_name, count(*) AS items, min(doc_id) AS first_id FROM (SELECT doc_id, substring(text, 1, 40) AS text FROM documents) GROUP BY 1")
+def batch_dedupe(spark, sf_dir):
+    return B.deduplicated(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("input_name")))
+
+
+@query("SELECT count(*) AS total, count(DISTINCT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) AS unique, count(*) - count(DISTINCT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) AS saved FROM part")
+def batch_saving(spark, sf_dir):
+    return B.dedupe_saving(_t(spark, sf_dir, "part").select(F.col("p_name").alias("input_name")))
+
+
+@query("SELECT o_custkey % 40 AS batch, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'P') AS failed, floor(count(*) FILTER (o_orderstatus IN ('F', 'P')) / count(*) * 100 + 0.5)::BIGINT AS progress FROM orders GROUP BY 1")
+def batch_progress(spark, sf_dir):
+    items = _t(spark, sf_dir, "orders").withColumn("batch", F.col("o_custkey") % 40)
+    return B.progress(items, "batch", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P")
+
+
+# Evidence and scoring ----------------------------------------------------------------------------------------
+
+_KIND = "['legitimacy', 'identity', 'contact', 'approval', 'unavailable'][event_id % 5 + 1]"
+_SOURCE = "['AISHE', 'WEBSITE', 'AICTE', 'WIKIDATA', 'NAD', 'UGC'][event_id % 6 + 1]"
+_TIER = "['mirror', 'api', 'live'][event_id % 3 + 1]"
+_URL = "['https://a.gov.in/x', 'https://b.ac.in', 'https://c.edu.in/p', 'https://d.com', NULL][event_id % 5 + 1]"
+_AGE = "(epoch_ms(TIMESTAMP '2024-02-01') - epoch_ms(ts)) / 86400000.0"
+_EV = f"e AS (SELECT event_id, user_id AS run_id, {_KIND} AS kind, {_SOURCE} AS source, {_TIER} AS tier, {_URL} AS url, ts, {_AGE} AS age FROM events)"
+_QUALITY = """(CASE tier WHEN 'mirror' THEN 1.0 WHEN 'live' THEN 0.9 ELSE 0.6 END::DOUBLE * 0.4::DOUBLE + CASE WHEN source IN ('AISHE', 'NAD') THEN 1.0 WHEN source = 'WEBSITE' THEN CASE WHEN kind IN ('contact', 'approval') THEN 0.95 ELSE 0.75 END WHEN source = 'WIKIDATA' THEN CASE WHEN kind = 'identity' THEN 0.4 ELSE 0.3 END ELSE 0.9 END::DOUBLE * 0.3::DOUBLE
++ CASE WHEN url IS NULL THEN 0.5 WHEN contains(url, '.gov.in') THEN 1.0 WHEN contains(url, '.ac.in') THEN 0.9 WHEN contains(url, '.edu.in') THEN 0.85 ELSE 0.5 END::DOUBLE * 0.2::DOUBLE + CASE WHEN age = 0 THEN 1.0 WHEN age <= 7 THEN 0.95 WHEN age <= 30 THEN 0.9 WHEN age <= 90 THEN 0.85 ELSE 0.75 END::DOUBLE * 0.1::DOUBLE)"""
+
+
+def _evidence(spark, sf_dir):
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values)).cast("int"))
+    e = V.as_event_time(_t(spark, sf_dir, "events"), "ts").select(
+        F.col("event_id").cast("string").alias("id"),
+        "event_id",
+        F.col("user_id").alias("run_id"),
+        pick(["legitimacy", "identity", "contact", "approval", "unavailable"]).alias("kind"),
+        pick(["AISHE", "WEBSITE", "AICTE", "WIKIDATA", "NAD", "UGC"]).alias("source"),
+        pick(["mirror", "api", "live"]).alias("tier"),
+        pick(["https://a.gov.in/x", "https://b.ac.in", "https://c.edu.in/p", "https://d.com", None]).alias("url"),
+        F.col("ts").alias("observed_at"),
+        F.lit("engineering").alias("institution_type"),
+        F.lit(0.8).alias("confidence"),
+    )
+    return e.withColumn("quality_score", E.quality(F.col("tier"), F.col("source"), F.col("kind"), F.col("url"), X.age_days(F.col("observed_at"), _as_of())))
+
+
+@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT event_id, round(q, 6) AS quality, round(q * 0.7 + 0.8 * 0.3, 6) AS blended, CASE WHEN q >= 0.8 THEN 'high' WHEN q >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM q")
+def evidence_quality(spark, sf_dir):
+    q = F.col("quality_score")
+    return _evidence(spark, sf_dir).select("event_id", F.round(q, 6).alias("quality"), F.round(E.quality_with_confidence(q, F.col("confidence")), 6).alias("blended"), E.quality_level(q).alias("level"))
+
+
+@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, count(*) AS total, count(*) FILTER (tier = 'mirror') AS n_mirror, count(*) FILTER (tier = 'api') AS n_api, count(*) FILTER (tier = 'live') AS n_live, count(*) FILTER (kind <> 'unavailable' AND q >= 0.8) AS high, count(*) FILTER (kind <> 'unavailable' AND q >= 0.5 AND q < 0.8) AS medium, count(*) FILTER (kind <> 'unavailable' AND q < 0.5) AS low, count(*) FILTER (kind = 'unavailable') AS unavailable, round(avg(q), 6) AS avg_quality FROM q GROUP BY 1")
+def evidence_groups(spark, sf_dir):
+    return E.group_counts(_evidence(spark, sf_dir)).withColumn("avg_quality", F.round("avg_quality", 6))
+
+
+@query("SELECT count(*) AS kept, sum(first_id)::BIGINT AS ids FROM (SELECT min(doc_id) AS first_id FROM documents GROUP BY source, lang, sha256(text))")
+def evidence_dedupe(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("run_id"), F.col("lang").alias("kind"), F.lit("u").alias("url"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("_pos"))
+    return E.dedupe(docs).agg(F.count(F.lit(1)).alias("kept"), F.sum("doc_id").alias("ids"))
+
+
+_WEIGHT = "CASE tier WHEN 'mirror' THEN 0.8 WHEN 'api' THEN 0.15 ELSE 0.05 END::DOUBLE * CASE kind WHEN 'legitimacy' THEN 0.5 WHEN 'identity' THEN 0.15 WHEN 'contact' THEN 0.1 WHEN 'approval' THEN 0.15 ELSE 0.1 END::DOUBLE * CASE WHEN url LIKE '%.gov.in%' THEN 1.0 WHEN url LIKE '%.ac.in' THEN 0.9 WHEN url LIKE '%.edu.in%' THEN 0.7 ELSE 0.3 END::DOUBLE"
+_SCORED = f"{_EV}, c AS (SELECT *, CASE WHEN kind = 'unavailable' THEN 0 ELSE {_WEIGHT} * {_QUALITY} * exp(-age / 365.0) END AS contribution FROM e), s AS (SELECT run_id, least(sum(contribution) / 2.5, 1.0) AS score, count(*) AS n, bool_or(kind <> 'unavailable' AND tier IN ('mirror', 'live')) AS solid FROM c GROUP BY 1)"
+
+
+@query(f"WITH {_SCORED} SELECT run_id, round(score, 6) AS score, n AS n_evidence FROM s")
+def evidence_score(spark, sf_dir):
+    c = P.contributions(_evidence(spark, sf_dir), P.active_policies(P.default_policies(spark)), _as_of())
+    return P.score_runs(c).select("run_id", F.round("score", 6).alias("score"), "n_evidence")
+
+
+@query(f"""WITH {_SCORED}, v AS (SELECT *, CASE WHEN score >= 0.85 THEN CASE WHEN solid THEN 'Genuine' ELSE 'Likely Genuine' END WHEN score >= 0.7 THEN 'Likely Genuine' WHEN score >= 0.3 THEN 'Likely Fake' WHEN score >= 0.1 THEN 'Fake' ELSE 'Likely Fake' END AS verdict, score >= 0.7 AND score < 0.85 AS needs_review FROM s)
+SELECT run_id, verdict, needs_review, round(least(abs(score - 0.5) * 2, 1) * least(n / 5, 1.0), 6) AS confidence, CASE WHEN verdict IN ('Fake', 'Likely Fake') OR needs_review THEN 30 ELSE 365 END AS recheck_days FROM v""")
+def score_decisions(spark, sf_dir):
+    c = P.contributions(_evidence(spark, sf_dir), P.active_policies(P.default_policies(spark)), _as_of())
+    return P.decide(P.score_runs(c), _as_of()).select("run_id", "verdict", "needs_review", F.round("confidence", 6).alias("confidence"), "recheck_days")
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT run_id, event_id, contribution, row_number() OVER (PARTITION BY run_id ORDER BY contribution DESC, event_id::VARCHAR) AS n FROM c WHERE kind <> 'unavailable')
+SELECT run_id, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS top FROM t WHERE n <= 5 GROUP BY 1""")
+def score_explanations(spark, sf_dir):
+    c = P.contributions(_evidence(spark, sf_dir), P.active_policies(P.default_policies(spark)), _as_of())
+    return P.explain(P.decide(P.score_runs(c), _as_of()), c).select("run_id", F.array_join("evidence_refs", ",").alias("top"))
+
+
+@query(f"""WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e), f AS (SELECT run_id, least(avg(q * 0.8) FILTER (tier <> 'live' AND kind IN ('legitimacy', 'identity')), 1) AS early FROM q GROUP BY 1)
+SELECT event_id, CASE WHEN coalesce(early, 0) >= 0.65 THEN 'api' ELSE 'live' END AS stopped_after FROM q JOIN f USING (run_id) WHERE tier <> 'live' OR coalesce(early, 0) < 0.65""")
+def tier_shortcircuit(spark, sf_dir):
+    return E.stop_tiers(_evidence(spark, sf_dir), stop_score=0.65).select("event_id", "stopped_after")
+
+
+@query("""WITH w AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents),
+x AS (SELECT *, max(s > 24576 AND n > 1) OVER (PARTITION BY source ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM w) SELECT source, doc_id, 'e' || n AS ref FROM x WHERE NOT stop""")
+def payload_prefix_cap(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return E.capped_prefix(docs, "source", [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), E.PAYLOAD_CHARS).select("source", "doc_id", "ref")
+
+
+@query()
+def llm_payloads(spark, sf_dir):
+    e = _evidence(spark, sf_dir).withColumn("matched_text", F.concat(F.lit("<b>"), "source", F.lit("</b> "), "id"))
+    return E.llm_payload(e).select("run_id", "total", "n_mirror", "n_api", "n_live", F.round("avg_quality", 9).alias("avg_quality"), "token_estimate", "truncated")
+
+
+@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, round(least(avg(q * 0.8), 1), 6) AS legitimacy_score FROM q WHERE kind IN ('legitimacy', 'identity') GROUP BY 1")
+def legitimacy_scores(spark, sf_dir):
+    return E.legitimacy_score(_evidence(spark, sf_dir)).withColumn("legitimacy_score", F.round("legitimacy_score", 6))
+
+
+@query("""SELECT o_orderkey, round(least(1, 0.5 + CASE o_orderstatus WHEN 'F' THEN 0.3 WHEN 'O' THEN 0.2 ELSE 0 END + (1 + (o_orderkey % 2 = 0)::INT) / 4 * 0.1 + (o_orderkey % 3 = 0)::INT / 3 * 0.1 + least(0.1, (o_custkey % 4) * 0.05)), 6) AS confidence FROM orders""")
+def response_confidence(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    verdict = F.when(F.col("o_orderstatus") == "F", "Genuine").when(F.col("o_orderstatus") == "O", "Likely Genuine").otherwise("x")
+    some = lambda cond: F.when(cond, "y")
+    key = F.col("o_orderkey")
+    c = R.response_confidence(verdict, [F.lit("m"), some(key % 2 == 0), F.lit(""), F.lit(None).cast("string")], [some(key % 3 == 0), F.lit(None).cast("string"), F.lit("")], F.col("o_custkey") % 4)
+    return o.select("o_orderkey", F.round(c, 6).alias("confidence"))
+
+
+@query("""WITH s AS (SELECT o_custkey % 100 AS k, o_orderkey AS p, nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'e' || o_orderkey END, '') AS email, CASE WHEN o_orderkey % 5 = 1 THEN 'p' || o_orderkey END AS phone FROM orders)
+SELECT k, arg_min(email, p) AS email, arg_min(phone, p) AS phone FROM s GROUP BY 1""")
+def enrichment_cascade(spark, sf_dir):
+    key = F.col("o_orderkey")
+    s = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("k"), key.alias("p"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("e"), key)).alias("email"), F.when(key % 5 == 1, F.concat(F.lit("p"), key)).alias("phone"))
+    return R.cascade(s, "k", "p", ["email", "phone"])
+
+
+# Streams -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS offered FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
+def sliding_rate_offered(spark, sf_dir):
+    return V.offered_load(_t(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "offered")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def tumbling_window(spark, sf_dir):
+    out = V.tumbling_rollup(_t(spark, sf_dir, "events"), "ts", ["event_type"], {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 6)})
+    return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def latest_progress(spark, sf_dir):
+    return V.latest_progress(_t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "event_type"))
+
+
+@query()
+def limiter_replay(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return K.replay(e, "user_id", "at", None, "event_id", K.rate_limiter(3, 86400), "allowed boolean, remaining int").select("event_id", "allowed", "remaining")
+
+
+@query()
+def breaker_replay(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("failed", F.col("event_type") == "error")
+    return K.replay(e, "user_id", "at", "failed", "event_id", K.circuit_breaker(2, 86400.0), "allowed boolean, state string, failures int").select("event_id", "allowed", "state", "failures")
+
+
+# Flagship ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def validate_names(spark, sf_dir):
+    return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    """Verdicts for misspelt names: parts are the institutions, and registries of three authorities list them."""
+    parts = _t(spark, sf_dir, "part").groupBy(F.concat("p_name", F.lit(" engineering college")).alias("name")).agg(F.min("p_partkey").alias("id"))
+    candidates = parts.select(F.lit("institution").alias("type"), "id", "name", F.col("name").alias("match_text"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("external_id"))
+    codes = F.array(F.lit("AISHE"), F.lit("UGC_FAKE"), F.lit("AICTE"), F.lit("UGC"))
+    entries = parts.select(F.get(codes, (F.col("id") % 4).cast("int")).alias("authority_code"), F.col("id").cast("string").alias("external_id"), F.col("name").alias("canonical_name"), N.lookup_form(F.col("name")).alias("normalized_name"), F.lit("active").alias("status"), F.create_map(F.lit("website"), F.concat(F.lit("https://p"), "id", F.lit(".ac.in"))).alias("attributes"))
+    inputs = parts.select(F.replace("name", F.lit("ee"), F.lit("e")).alias("input"))
+    return W.validate(inputs, candidates, entries, P.default_policies(spark), _as_of())

@@ -1,0 +1,106 @@
+"""Sequential machines per key, rate limiter and circuit breaker, over batches and streams.
+
+Each machine is a small step function with a bounded state. A batch is dealt out by key and sorted inside partitions,
+and states pass along the sorted rows, so no group is gathered in memory; a stream keeps the states between triggers.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ship
+
+Step = Callable[[dict, float, bool], tuple[dict, dict]]
+
+
+def rate_limiter(limit: int, window_seconds: float) -> Step:
+    """Allow an event if fewer than ``limit`` events were allowed in the window before it; denied ones do not count."""
+
+    def step(state: dict, at: float, flag: bool) -> tuple[dict, dict]:
+        held = [t for t in state.get("allowed", []) if t > at - window_seconds]
+        allowed = len(held) < limit
+        if allowed:
+            held.append(at)
+        return {"allowed": held}, {"allowed": allowed, "remaining": limit - len(held)}
+
+    return step
+
+
+def circuit_breaker(failures: int = 5, open_seconds: float = 120.0, half_open_most: int = 3, reopen_on_failure: bool = False) -> Step:
+    """closed, open after ``failures`` in a row, half-open after the pause; a success closes. A half-open breaker with
+    ``half_open_most`` failures rejects until it is reset; with ``reopen_on_failure`` any failure there opens it again."""
+
+    def step(state: dict, at: float, failed: bool) -> tuple[dict, dict]:
+        name, count, since = state.get("state", "closed"), state.get("failures", 0), state.get("since", 0.0)
+        if name == "open" and at - since > open_seconds:
+            name, count = "half_open", 0
+        if name == "open" or (name == "half_open" and count >= half_open_most):
+            return {"state": name, "failures": count, "since": since}, {"allowed": False, "state": name, "failures": count}
+        if not failed:
+            name, count = "closed", 0
+        else:
+            count += 1
+            if count >= failures or (reopen_on_failure and name == "half_open"):
+                name, since = "open", at
+        return {"state": name, "failures": count, "since": since}, {"allowed": True, "state": name, "failures": count}
+
+    return step
+
+
+def latency_blend() -> Step:
+    """Running blend of a latency: half the last value, half the new one (the event time carries the latency)."""
+
+    def step(state: dict, value: float, flag: bool) -> tuple[dict, dict]:
+        blend = value if "blend" not in state else (state["blend"] + value) / 2
+        return {"blend": blend}, {"blend": blend}
+
+    return step
+
+
+def replay(rows: DataFrame, key: str, at: str, flag: str | None, tie: str, machine: Step, fields: str) -> DataFrame:
+    """Rows (``key``, ``at``, ``tie``) with what the machine says, each key's events in order of time then ``tie``.
+
+    ``fields`` is the schema of the machine's answers. ``at`` is in seconds."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    slim = rows.select(key, F.col(at).cast("double").alias("_at"), (F.col(flag) if flag else F.lit(False)).alias("_flag"), tie)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, started = None, {}, False
+        for frame in frames:
+            answers = []
+            for k, t, f in zip(frame[key], frame["_at"], frame["_flag"]):
+                if not started or k != current:
+                    current, state, started = k, {}, True
+                state, answer = machine(state, t, bool(f))
+                answers.append(tuple(answer[n] for n in names))
+            yield pd.concat([frame[[key, "_at", tie]].reset_index(drop=True), pd.DataFrame(answers, columns=names)], axis=1)
+
+    dealt = slim.filter(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, "_at", tie)
+    return dealt.mapInPandas(run, f"`{key}` {kinds[key]}, _at double, `{tie}` {kinds[tie]}, {fields}").withColumnRenamed("_at", at)
+
+
+def stream(rows: DataFrame, key: str, at: str, flag: str | None, machine: Step, fields: str) -> DataFrame:
+    """The same over a stream: states live between triggers. A trigger's events are sorted before they count."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    slim = rows.select(key, F.col(at).cast("double").alias(at), (F.col(flag) if flag else F.lit(False)).alias("_flag"))
+
+    def run(group, frames, state):
+        held = json.loads(state.get[0]) if state.exists else {}
+        frame = pd.concat(list(frames)).sort_values(at, kind="stable")
+        answers = []
+        for t, f in zip(frame[at], frame["_flag"]):
+            held, answer = machine(held, t, bool(f))
+            answers.append((group[0], t, *[answer[n] for n in names]))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(answers, columns=[key, at, *names])
+
+    return slim.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{at}` double, {fields}", "held string", "append", "NoTimeout")
