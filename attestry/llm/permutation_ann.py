@@ -11,15 +11,16 @@ from ..session import saved, ship
 from . import vectors as V
 
 
-def permutation_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 256, prefix: int = 64, rerank: float = 0.15, query_rows: int = 2048, candidate_rows: int = 8192) -> DataFrame:
+def permutation_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 256, prefix: int = 64, rerank: float = 0.25, least: int = 1024, query_rows: int = 2048, candidate_rows: int = 8192) -> DataFrame:
     """Rows (``query_id``, ``rank`` from 1, ``vec_id``, ``score``): for each row where ``query`` holds, its ``k`` nearest found.
 
     Nearness is the inner product in double precision on the original vectors, ties to the smaller id. Every vector
     is represented by its ``prefix`` nearest of ``pivots`` pivots (by angle), in order; pivots are a bounded sample
     of the rows (``pivots`` of them), but every row is indexed. Each block of candidates keeps one inverted file per
     pivot, with the place that the pivot has in each vector's order (``prefix`` where it is not among them). The
-    files of a query's own pivots add up the footrule distance to every vector posted there; the share ``rerank`` of
-    each block with the smallest distances, never fewer than 4 ``k``, is compared exactly. The share is of all rows,
+    files of a query's own pivots add up the footrule distance to every vector (pivots that only the vector has follow
+    from the same places, as all places of an order have one sum); the share ``rerank`` of
+    each block with the smallest distances, never fewer than ``least`` rows or 4 ``k``, is compared exactly. The share is of all rows,
     so recall does not fall as the table grows.
 
     Vectors that are null, zero, or hold null or non-finite components take no part. Shorter vectors count as padded
@@ -52,11 +53,12 @@ def permutation_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_co
             files = np.full((len(points), n), length, np.int16)  # one row per pivot
             files[orders.T, np.arange(n)] = np.arange(length, dtype=np.int16)[:, None]
             wanted = np.frombuffer(b"".join(asked["order"].to_pylist()), np.int16).reshape(asked.num_rows, length)
-            q, keep = V.matrix(asked["v"], dims), min(n, max(4 * k, int(np.ceil(rerank * n))))
+            q, keep = V.matrix(asked["v"], dims), min(n, max(least, 4 * k, int(np.ceil(rerank * n))))
             for i, own in enumerate(asked["vec_id"].to_pylist()):
                 footrule = np.zeros(n, np.int32)
                 for place in range(length):
-                    footrule += np.abs(files[wanted[i, place]] - np.int16(place))
+                    own_file = files[wanted[i, place]]
+                    footrule += np.abs(own_file - np.int16(place)) + own_file  # the rest of the sum is alike for all
                 near = np.argpartition(footrule.astype(np.int64) * n + np.arange(n), keep - 1)[:keep] if keep < n else np.arange(n)
                 near = near[ids[near] != own]
                 rough = x[near] @ q[i]
