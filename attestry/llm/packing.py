@@ -112,10 +112,10 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, trie
             fill[source] -= gain
             fill[target] += gain
             moved = True
-        if not bins[source]:
-            live -= 1
+        live -= not bins[source]
+        if moved:
             stuck.clear()
-        elif not moved:
+        else:
             stuck.add(source)
     return [b for b in bins if b]
 
