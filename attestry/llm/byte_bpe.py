@@ -21,6 +21,9 @@ from ..session import ship
 
 #: Fixed value: the pre-token pattern of byte-level BPE, in the notation of Unicode properties.
 PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code point ranges (hexadecimal) that Unicode 16 made letters or numbers, which Python may not know yet.
+LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 CACHE_WORDS = 1 << 19
 CACHE_CHARS = 64
 
@@ -35,15 +38,19 @@ def _ranges(chars: list[int]) -> str:
     return "".join(out)
 
 
-@lru_cache(1)
-def pretoken_regex() -> re.Pattern:
+@lru_cache(2)
+def pretoken_regex(later: bool = True) -> re.Pattern:
     """The same pattern for Python's ``re``, whose classes differ: its digits are decimal ones only, and its spaces
-    include four separators (U+001C to U+001F) that are no white space here."""
+    include four separators (U+001C to U+001F) that are no white space here. Without ``later``, a faster pattern for
+    texts without the letters and numbers above."""
     numbers, letters_more, not_letters = [], [], []
+    spread = lambda text: {c for r in text.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
+    known = dict.fromkeys(spread(LATER_LETTERS), "Lo") | dict.fromkeys(spread(LATER_NUMBERS), "No") if later else {}
     for c in range(sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000:
             continue
-        kind, ch = unicodedata.category(chr(c)), chr(c)
+        ch = chr(c)
+        kind = known.get(c) or unicodedata.category(ch)
         if kind in ("Nl", "No"):
             numbers.append(c)
         elif kind[0] == "L" and not ch.isalnum():
@@ -53,11 +60,23 @@ def pretoken_regex() -> re.Pattern:
     nl, lm, no = _ranges(numbers), _ranges(letters_more), _ranges(not_letters)
     letter = rf"[^\W\d_{nl}{no}]" if not lm else rf"(?:[^\W\d_{nl}{no}]|[{lm}])"
     number = rf"[\d{nl}]"
-    other = rf"(?:[^\s\w{lm}]|[_\x1c-\x1f{no}])"
+    other = rf"(?:[^\s\w{lm}{nl}]|[_\x1c-\x1f{no}])"
     space = r"[^\S\x1c-\x1f]"
     return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{letter}+| ?{number}+| ?{other}+|{space}+(?!{other}|{letter}|{number})|{space}+")
 
 
+@lru_cache(1)
+def later_regex() -> re.Pattern:
+    """Any of the letters and numbers that Python may not know."""
+    parts = [r.split("-") for r in f"{LATER_LETTERS} {LATER_NUMBERS}".split()]
+    return re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in parts) + "]")
+
+
+def pretokens(text: str) -> list[str]:
+    """Pre-tokens of a text without added tokens."""
+    return pretoken_regex(not text.isascii() and later_regex().search(text) is not None).findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: printable Latin-1 bytes stand for themselves, the others
     take the code points from 256 on, in order."""
@@ -85,7 +104,6 @@ class MergeTable:
             self.merged.append(vocab[a + b])
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.findall = pretoken_regex().findall
         self.cache = _Counts(self)
 
     def symbols(self, raw: bytes) -> int:
@@ -125,7 +143,7 @@ class MergeTable:
             return 0
         if self.split_added is not None and (found := self.split_added.findall(text)):
             return len(found) + sum(self.count(part) for part in self.split_added.split(text))
-        return sum(map(self.cache.__getitem__, self.findall(text)))
+        return sum(map(self.cache.__getitem__, pretokens(text)))
 
 
 class _Counts(dict):
