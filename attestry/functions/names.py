@@ -5,6 +5,7 @@ Word borders are ASCII ones: a letter outside A-Z, a-z, 0-9 and _ ends a word.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -29,16 +30,22 @@ def word_replace(col: Column, word: str, by: str, ignore_case: bool = True) -> C
     return F.regexp_replace(col, ("(?i)" if ignore_case else "") + pattern, by)
 
 
+def _where_found(col: Column, words, chain) -> Column:
+    """Apply a chain of replacements only to texts that hold one of the words: one regex for most texts, not many."""
+    any_word = "(?i)" + "|".join(re.escape(w.rstrip(".")) for w in words)
+    return F.element_at(F.transform(F.array(col), lambda c: F.when(F.rlike(c, F.lit(any_word)), chain(c)).otherwise(c)), 1)
+
+
 def strip_honorifics(col: Column) -> Column:
-    return F.trim(reduce(lambda c, h: word_replace(c, h, ""), D.HONORIFICS, col))
+    return F.trim(_where_found(col, D.HONORIFICS, lambda x: reduce(lambda c, h: word_replace(c, h, ""), D.HONORIFICS, x)))
 
 
 def expand_ordinals(col: Column) -> Column:
-    return reduce(lambda c, o: word_replace(c, o[0], o[1]), D.ORDINALS.items(), col)
+    return _where_found(col, D.ORDINALS, lambda x: reduce(lambda c, o: word_replace(c, o[0], o[1]), D.ORDINALS.items(), x))
 
 
 def canonical_places(col: Column) -> Column:
-    return reduce(lambda c, p: word_replace(c, p[0], p[1]), D.PLACE_ALIASES.items(), col)
+    return _where_found(col, D.PLACE_ALIASES, lambda x: reduce(lambda c, p: word_replace(c, p[0], p[1]), D.PLACE_ALIASES.items(), x))
 
 
 @lru_cache(1)
@@ -109,10 +116,14 @@ def are_similar(name_a: Column, name_b: Column, core_a: Column, core_b: Column)
     return (name_a == name_b) | F.coalesce((shorter > 0) & (F.size(F.array_intersect(core_a, core_b)) / shorter >= 0.6), F.lit(False))
 
 
+def fixed_map(table: dict[str, str]) -> Column:
+    """A table of fixed strings as one constant."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def _short_forms(upper_only: bool) -> Column:
     """Short forms by key; words are looked up in upper case, so keys with small letters are out of reach unless fixed."""
-    pairs = [(k if upper_only else k.upper(), v) for k, v in D.SHORT_FORMS.items()]
-    return F.create_map(*[F.lit(x) for pair in dict(pairs).items() for x in pair])
+    return fixed_map({k if upper_only else k.upper(): v for k, v in D.SHORT_FORMS.items()})
 
 
 def expand_variants(col: Column, fix_patterns: bool = False, fix_keys: bool = False, most: int = 5) -> Column:
@@ -150,8 +161,7 @@ def full_form(col: Column) -> Column:
 
 
 def short_form(col: Column) -> Column:
-    reverse = {v.lower(): k for k, v in D.SHORT_FORMS.items()}
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in reverse.items() for x in pair]), F.lower(col))
+    return F.try_element_at(fixed_map({v.lower(): k for k, v in D.SHORT_FORMS.items()}), F.lower(col))
 
 
 def lookup_form(col: Column) -> Column:
@@ -218,8 +228,7 @@ def first_filled(attributes: Column, keys: list[str]) -> Column:
 
 def registry_type(attributes: Column) -> Column:
     raw = F.nullif(F.trim(first_filled(attributes, D.TYPE_KEYS)), F.lit(""))
-    named = F.create_map(*[F.lit(x) for pair in D.TYPE_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(named, F.lower(raw)), raw)
+    return F.coalesce(F.try_element_at(fixed_map(D.TYPE_NAMES), F.lower(raw)), raw)
 
 
 def registry_status(attributes: Column) -> Column:

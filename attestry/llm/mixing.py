@@ -50,7 +50,7 @@ def _placed(rows: DataFrame, leaves: DataFrame, keys: list[str], leaf_count: int
     return rows.join(F.broadcast(leaves) if leaf_count <= broadcast_leaves else leaves, keys)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], tokens: Column, total: float | None = None, max_epochs: int = 1, seed: int = 29, id_col: str = "doc_id", tie: Column | None = None, per_bucket: int = 4096, broadcast_leaves: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], tokens: Column, total: float | None = None, max_epochs: int = 1, seed: int = 29, id_col: str = "doc_id", tie: Column | None = None, per_bucket: int = 1024, broadcast_leaves: int = 100_000) -> DataFrame:
     """Rows of ``docs`` chosen to match target weights, with ``epoch`` (from 0): a row taken twice has two epochs.
 
     ``levels`` name the tree (say domain, language, source) and give each row's place in it; ``weights`` give, per

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, secrets, sharding, simhash
 
 
@@ -15,7 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def fold(parts: int) -> Column:

@@ -17,7 +17,7 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
     return F.shiftright(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * F.lit(buckets).cast("long"), 32)
 
 
-def bucket_count(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:
+def bucket_count(rows: int, per_bucket: int = 1024, most: int = 1 << 22) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ranking import bucket_count, group_key, hash_bucket, order_hash, running
 
 
-def interleave_shards(rows: DataFrame, strata: str = "source", id_col: str = "doc_id", shards: int = 16, seed: int = 17, tie_cols: tuple[str, ...] = (), per_bucket: int = 4096) -> DataFrame:
+def interleave_shards(rows: DataFrame, strata: str = "source", id_col: str = "doc_id", shards: int = 16, seed: int = 17, tie_cols: tuple[str, ...] = (), per_bucket: int = 1024) -> DataFrame:
     """All columns of ``rows`` plus ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
     Rows of each stratum are shuffled by a seeded hash of their id and ranked 1..n; they are then ordered by the

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import similarity as S
+from ..session import saved
 
 RECALL = 0.35
 RECALL_LIMIT = 50
@@ -18,22 +19,29 @@ REVIEW_BELOW = 0.9
 
 
 def distinct_grams(strings: DataFrame, text: str) -> DataFrame:
-    """Distinct texts with their trigram sets and set sizes: (``text``, ``grams``, ``n``)."""
-    sets = strings.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct().withColumn("grams", S.trigrams(F.col("text")))
-    return sets.withColumn("n", F.size("grams")).filter("n > 0")
+    """Distinct texts with their trigram sets and set sizes: (``text``, ``grams``, ``n``).
 
+    Dealt out by text over a fixed number of partitions, as little text makes much work further on."""
+    spark = strings.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = strings.select(F.col(text).alias("text")).filter("text IS NOT NULL").repartition(parts, "text").distinct()
+    grams = texts.withColumn("grams", F.transform(S.trigrams(F.col("text")), lambda g: F.xxhash64(g)))
+    return grams.withColumn("n", F.size("grams")).filter("n > 0")
 
-def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL) -> DataFrame:
+
+def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000) -> DataFrame:
     """Pairs (``left_text``, ``right_text``, ``similarity``) of distinct texts above the threshold, strictly.
 
-    Each text is posted under its trigrams as a hash; texts that share one and whose sizes allow the threshold meet,
-    shared trigrams are counted, and the quotient of shared over united decides. Texts are represented by a hash in
-    the shuffle and copies meet once. No pair above the threshold is lost.
+    Each text is posted under its trigrams, postings meet under a size filter, shared trigrams are counted, and the
+    quotient of shared over united decides. Texts and trigrams are represented by 64-bit hashes and copies meet once.
+    No pair above the threshold is lost. If the left side has at most ``broadcast_grams`` postings (20 bytes each) it
+    is broadcast, so the right side is counted where it lies; beyond that both sides are shuffled by trigram.
     """
-    a = distinct_grams(left, left_text).select(F.col("text").alias("a_text"), F.xxhash64("text").alias("a"), F.col("n").alias("a_n"), "grams")
+    a = saved(distinct_grams(left, left_text).select(F.col("text").alias("a_text"), F.xxhash64("text").alias("a"), F.col("n").alias("a_n"), "grams"), "left-grams")
     b = distinct_grams(right, right_text).select(F.col("text").alias("b_text"), F.xxhash64("text").alias("b"), F.col("n").alias("b_n"), "grams")
     post = lambda df, k: df.select(k, f"{k}_n", F.explode("grams").alias("gram"))
-    met = post(a, "a").join(post(b, "b"), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
+    few = (a.agg(F.sum("a_n")).first()[0] or 0) <= broadcast_grams
+    met = post(b, "b").join(F.broadcast(post(a, "a")) if few else post(a, "a"), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
     shared = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.withColumn("similarity", F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))).filter(F.col("similarity") > threshold)
     return scored.join(a.select("a", F.col("a_text").alias("left_text")), "a").join(b.select("b", F.col("b_text").alias("right_text")), "b").select("left_text", "right_text", "similarity")

@@ -38,9 +38,8 @@ class IngestReport:
 
 def authority_of(code: Column) -> Column:
     """Authority of a connector code; codes that are authorities themselves stay; null for unknown ones."""
-    table = F.create_map(*[F.lit(x) for pair in D.CONNECTOR_AUTHORITIES.items() for x in pair])
     known = sorted(set(D.CONNECTOR_AUTHORITIES.values()) | {"WIKIDATA", "WEBSITE", "MANUAL"})
-    return F.coalesce(F.try_element_at(table, code), F.when(F.upper(code).isin(known), F.upper(code)))
+    return F.coalesce(F.try_element_at(N.fixed_map(D.CONNECTOR_AUTHORITIES), code), F.when(F.upper(code).isin(known), F.upper(code)))
 
 
 def first_wins(drafts: DataFrame, key: str = "external_id", order: str = "_pos") -> DataFrame:

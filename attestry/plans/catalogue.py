@@ -27,6 +27,7 @@ from ..operators import listing as L
 from ..operators import matching as M
 from ..operators import registry as G
 from ..operators import scoring as P
+from ..session import spread
 from ..streaming import events as V
 from ..streaming import machines as K
 from . import validate as W
@@ -52,6 +53,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, whose rows cost much each, over all cores."""
+    return spread(_t(spark, sf_dir, name))
+
+
 def _as_of(text: str = AS_OF):
     return F.to_timestamp(F.lit(text))
 
@@ -160,7 +166,7 @@ _NORMAL_SQL = _NORMAL.format(x=_sql_words(f"lower({_sql_words('trim(' + _sql_wor
 SELECT doc_id, normalized, len(list_filter(string_split(normalized, ' '), lambda t: t <> ''))::INT AS n_tokens,
 array_to_string(list_filter(string_split(normalized, ' '), lambda t: t <> '' AND t NOT IN ({_STOP})), ' ') AS core FROM n""")
 def normalize_names(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"(?i)(?<![A-Za-z0-9_])(dr|prof)[^A-Za-z0-9_]|(?<![A-Za-z0-9_])(dr|prof)[A-Za-z0-9_](?![A-Za-z0-9_])")))
+    docs = _texts(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"(?i)(?<![A-Za-z0-9_])(dr|prof)[^A-Za-z0-9_]|(?<![A-Za-z0-9_])(dr|prof)[A-Za-z0-9_](?![A-Za-z0-9_])")))
     n = docs.select("doc_id", N.normalize_name(F.regexp_replace(F.substring("text", 1, 60), r"[^\x20-\x7e]", " ")).alias("n"))
     return n.select("doc_id", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
 
@@ -233,7 +239,7 @@ def page_titles(spark, sf_dir):
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '\\s+', ' ', 'g')) AS text FROM pages""")
 def page_plain_text(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+    return _texts(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
 @query("""SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS emails, CASE WHEN pin <> '' AND pin[1] <> '0' THEN pin END AS pin FROM (
@@ -258,13 +264,13 @@ def phone_numbers(spark, sf_dir):
 
 @query()
 def page_records(spark, sf_dir):
-    p = H.extract_pages(_t(spark, sf_dir, "pages"))
+    p = H.extract_pages(_texts(spark, sf_dir, "pages"))
     return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.length("main_text").alias("main_chars"), F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"), F.size("social_links").alias("n_social"), F.size("outbound_links").alias("n_links"), "detected_state", "detected_pin_code", "needs_javascript")
 
 
 @query()
 def page_evidence(spark, sf_dir):
-    return E.website_evidence(H.extract_pages(_t(spark, sf_dir, "pages")), _as_of()).select("page_id", "url", "category", "matched_text", "confidence", "tier")
+    return E.website_evidence(H.extract_pages(_texts(spark, sf_dir, "pages")), _as_of()).select("page_id", "url", "category", "matched_text", "confidence", "tier")
 
 
 _SIDE = "|".join(D.SIDE_PAGES)

@@ -10,6 +10,7 @@ from ..functions import scalars as X
 from ..operators import evidence as E
 from ..operators import matching as M
 from ..operators import scoring as S
+from ..session import saved
 
 
 def fast_path(inputs: DataFrame, cached: DataFrame | None, institutions: DataFrame, entries: DataFrame, as_of: Column, text: str = "input") -> DataFrame:
@@ -52,6 +53,7 @@ def validate(
     """
     asked = inputs.select(F.col(text).alias("input")).filter("input IS NOT NULL").distinct().withColumn("run_id", F.sha2("input", 256))
     best = M.resolve(asked, candidates, manual).filter("rank = 1").select("input", "id", F.col("name").alias("canonical_name"), F.col("confidence").alias("match_confidence"), "method", F.col("needs_review").alias("match_review"))
+    best = saved(best, "resolved")  # used three times below
     resolved = asked.join(best, "input")
     have = policies.filter("active").select("institution_type").distinct()
     relevant = E.relevant_sources(resolved)

@@ -70,6 +70,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a plain scan out over all cores if it has fewer splits than these; larger inputs are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def discard(spark: SparkSession) -> None:
     """Delete the tables that ``saved`` wrote for this application; call it when their readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
