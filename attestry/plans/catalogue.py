@@ -79,17 +79,17 @@ def trigram_similarity_pairs(spark, sf_dir):
     return M.similarity_join(names, names, "p_name", "p_name").select("left_text", "right_text", F.round("similarity", 9).alias("similarity"))
 
 
-_BENCH_TEXTS = "b AS (SELECT item_id AS query_id, substring(text, 1, 80) AS q FROM benchmark), d AS (SELECT doc_id, substring(text, 1, 80) AS t FROM documents)"
+_PASSAGES = "b AS (SELECT item_id AS query_id, text AS q FROM benchmark), d AS (SELECT conv_id * 100000 + turn AS entry_id, text AS t FROM conversations)"
 
 
-@query(f"""WITH {_BENCH_TEXTS}, bg AS (SELECT query_id, {_TRI.format(c='q')} AS g FROM b), dg AS (SELECT doc_id, {_TRI.format(c='t')} AS g FROM d),
-bp AS (SELECT query_id, len(g) AS n, unnest(g) AS x FROM bg), dp AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM dg),
-c AS (SELECT query_id, doc_id, count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)) AS s FROM bp JOIN dp USING (x) GROUP BY ALL HAVING s > 0.35)
-SELECT query_id, doc_id, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM c QUALIFY rank <= 5""")
+@query(f"""WITH {_PASSAGES}, bg AS (SELECT query_id, {_TRI.format(c='q')} AS g FROM b), dg AS (SELECT entry_id, {_TRI.format(c='t')} AS g FROM d),
+bp AS (SELECT query_id, len(g) AS n, unnest(g) AS x FROM bg), dp AS (SELECT entry_id, len(g) AS n, unnest(g) AS x FROM dg),
+c AS (SELECT query_id, entry_id, count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)) AS s FROM bp JOIN dp USING (x) GROUP BY ALL HAVING s > 0.35)
+SELECT query_id, entry_id, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry_id)::INT AS rank FROM c QUALIFY rank <= 5""")
 def trigram_topk_per_query(spark, sf_dir):
-    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
-    d = _t(spark, sf_dir, "documents").select(F.lit("registry").alias("type"), F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("match_text"))
-    return M.find_candidates(b, d, limit=5).select("query_id", F.col("id").alias("doc_id"), F.round("similarity", 9).alias("similarity"), "rank")
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    held = _t(spark, sf_dir, "conversations").select(F.lit("registry").alias("type"), (F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.col("text").alias("match_text"))
+    return M.find_candidates(asked, held, limit=5).select("query_id", F.col("id").alias("entry_id"), F.round("similarity", 9).alias("similarity"), "rank")
 
 
 @query(f"""WITH u AS (SELECT 'institution' AS type, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'identity', s_suppkey, s_name FROM supplier UNION ALL SELECT 'registry', c_custkey, c_name FROM customer),
@@ -105,24 +105,23 @@ def trigram_union_candidates(spark, sf_dir):
     return M.find_candidates(asked, M.candidate_union(part, sup, cust)).select("query_id", "type", "id", "name", F.round("similarity", 9).alias("similarity"), "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < 20 AND a.vec_id <> b.vec_id)
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, candidate_id, round(c, 9) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id)::INT AS rank FROM p QUALIFY rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.filter("vec_id < 20")
-    pairs = asked.select(F.col("vec_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("candidate_id")), F.col("query_id") != F.col("candidate_id"))
+    """Candidates of a query are the rows of its label, as those of a name are what recall found."""
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    pairs = asked.join(vectors.select(F.col("vec_id").alias("candidate_id"), "label"), "label").filter("query_id <> candidate_id").select("query_id", "candidate_id")
     return M.cosine_topk(vectors, vectors, "vec_id", "embedding", pairs, 5).withColumn("cosine", F.round("cosine", 9))
 
 
 _HASHED = "list_transform(range(32), lambda i: cos((('0x' || substr(sha256({c}), 2 * i + 1, 2))::INT - 128) / 128.0 * pi()) / 2 + 0.5)"
 
 
-@query(f"""WITH p AS (SELECT DISTINCT p_name FROM part), v AS (SELECT p_name, {_HASHED.format(c='p_name')} AS e FROM p)
-SELECT a.p_name AS a, b.p_name AS b, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM v a JOIN v b ON a.p_name < b.p_name""")
+@query(f"SELECT p_partkey, round(list_cosine_similarity({_HASHED.format(c='p_name')}, {_HASHED.format(c='p_type')}), 9) AS cosine FROM part")
 def hash_embedding_cosine(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("e", S.hash_embedding(F.col("p_name"), 32))
-    a, b = p.select(F.col("p_name").alias("a"), F.col("e").alias("ea")), p.select(F.col("p_name").alias("b"), F.col("e").alias("eb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(S.cosine(F.col("ea"), F.col("eb")), 9).alias("cosine"))
+    similar = S.cosine(S.hash_embedding(F.col("p_name"), 32), S.hash_embedding(F.col("p_type"), 32))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(similar, 9).alias("cosine"))
 
 
 def _part_candidates(spark, sf_dir):
@@ -138,12 +137,12 @@ def fusion_resolve(spark, sf_dir):
     return M.resolve(asked, _part_candidates(spark, sf_dir), embed=lambda c: S.hash_embedding(c, 32)).select("input", "id", "name", F.round("confidence", 9).alias("confidence"), "needs_review", "rank")
 
 
-@query("""SELECT a.p_name AS a, b.p_name AS b, round(CASE WHEN a.p_name = b.p_name THEN 1.0 WHEN contains(b.p_name, a.p_name) OR contains(a.p_name, b.p_name) THEN 0.8
-ELSE 0.5 + 0.5 * list_sum(list_transform(range(1, least(length(a.p_name), length(b.p_name)) + 1), lambda i: CASE WHEN a.p_name[i] = b.p_name[i] THEN 1 ELSE 0 END)) / greatest(length(a.p_name), length(b.p_name)) END, 9) AS confidence
-FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b""")
+@query("""SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN contains(b, a) OR contains(a, b) THEN 0.8
+ELSE 0.5 + 0.5 * list_sum(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] = b[i] THEN 1 ELSE 0 END)) / greatest(length(a), length(b)) END, 9) AS confidence
+FROM (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 10 = 0 THEN p_name WHEN p_size > 25 THEN lower(p_type) ELSE replace(p_name, 'e', 'a') END AS b FROM part)""")
 def positional_confidence(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_name").distinct()
-    return p.select(F.col("p_name").alias("a")).join(p.select(F.col("p_name").alias("b")), F.lit(True)).select("a", "b", F.round(S.positional_confidence(F.col("a"), F.col("b")), 9).alias("confidence"))
+    other = F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).when(F.col("p_size") > 25, F.lower("p_type")).otherwise(F.replace("p_name", F.lit("e"), F.lit("a")))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(S.positional_confidence(F.col("p_name"), other), 9).alias("confidence"))
 
 
 # Names -------------------------------------------------------------------------------------------------------
@@ -158,17 +157,18 @@ def _sql_words(col: str, pairs) -> str:
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(replace({x}, '&', 'and'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_ASCII_NAMES = "SELECT doc_id, regexp_replace(substring(text, 1, 60), '[^\\x20-\\x7e]', ' ', 'g') AS raw FROM documents"
+_FULL_NAMES = "SELECT p_partkey, ['Shri ', '', 'Smt ', 'The '][p_partkey % 4 + 1] || p_name || ' & Sons (' || p_brand || '), ' || ['Bombay', 'First Block', 'Calcutta', 'Pondicherry'][p_partkey % 4 + 1] || '.' AS raw FROM part"
 _NORMAL_SQL = _NORMAL.format(x=_sql_words(f"lower({_sql_words('trim(' + _sql_words('raw', [(h, '') for h in ('sri', 'shri', 'smt', 'shrimati', 'dr', 'prof')]) + ')', D.ORDINALS.items())})", D.PLACE_ALIASES.items()))
 
 
-@query(f"""WITH d AS ({_ASCII_NAMES} WHERE NOT regexp_matches(text, '(?i)\\b(dr|prof)\\W|\\b(dr|prof)\\w\\b')), n AS (SELECT doc_id, {_NORMAL_SQL} AS normalized FROM d)
-SELECT doc_id, normalized, len(list_filter(string_split(normalized, ' '), lambda t: t <> ''))::INT AS n_tokens,
+@query(f"""WITH d AS ({_FULL_NAMES}), n AS (SELECT p_partkey, {_NORMAL_SQL} AS normalized FROM d)
+SELECT p_partkey, normalized, len(list_filter(string_split(normalized, ' '), lambda t: t <> ''))::INT AS n_tokens,
 array_to_string(list_filter(string_split(normalized, ' '), lambda t: t <> '' AND t NOT IN ({_STOP})), ' ') AS core FROM n""")
 def normalize_names(spark, sf_dir):
-    docs = _texts(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"(?i)(?<![A-Za-z0-9_])(dr|prof)[^A-Za-z0-9_]|(?<![A-Za-z0-9_])(dr|prof)[A-Za-z0-9_](?![A-Za-z0-9_])")))
-    n = docs.select("doc_id", N.normalize_name(F.regexp_replace(F.substring("text", 1, 60), r"[^\x20-\x7e]", " ")).alias("n"))
-    return n.select("doc_id", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values)).cast("int"))
+    raw = F.concat(pick(["Shri ", "", "Smt ", "The "]), "p_name", F.lit(" & Sons ("), "p_brand", F.lit("), "), pick(["Bombay", "First Block", "Calcutta", "Pondicherry"]), F.lit("."))
+    n = _t(spark, sf_dir, "part").select("p_partkey", N.normalize_name(raw).alias("n"))
+    return n.select("p_partkey", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT p_name, list_filter(string_split(p_name, ' '), lambda t: t NOT IN ({_STOP})) AS c FROM part)
@@ -243,10 +243,9 @@ def page_plain_text(spark, sf_dir):
 
 
 @query("""SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS emails, CASE WHEN pin <> '' AND pin[1] <> '0' THEN pin END AS pin FROM (
-SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered, regexp_extract(text, '\\b([0-9]{6})\\b', 1) AS pin FROM (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS m FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f][0-9]{6}|[0-9]{6}[^\\x00-\\x7f]')))""")
+SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered, regexp_extract(text, '\\b([0-9]{6})\\b', 1) AS pin FROM (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS m FROM documents))""")
 def document_contacts(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(~F.rlike("text", F.lit(r"[^\x00-\x7f][0-9]{6}|[0-9]{6}[^\x00-\x7f]")))
-    return docs.select("doc_id", F.array_join(C.emails(F.col("text")), "|").alias("emails"), C.pin_code(F.col("text")).alias("pin"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", F.array_join(C.emails(F.col("text")), "|").alias("emails"), C.pin_code(F.col("text")).alias("pin"))
 
 
 _PHONE = """CASE WHEN length(d) = 12 AND regexp_matches(d, '^91[1-4][0-9]{8,9}$|^91[6-9]') THEN '+' || d WHEN length(d) = 10 AND regexp_matches(d, '^[6-9]') THEN '+91' || d
@@ -494,9 +493,9 @@ def system_stats(spark, sf_dir):
     return A.system_stats(_t(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "verdict"), "verdict", "o_totalprice").withColumn("avg_confidence", F.round("avg_confidence", 4))
 
 
-@query("SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normalized_name, count(*) AS items, min(doc_id) AS first_id FROM (SELECT doc_id, substring(text, 1, 40) AS text FROM documents) GROUP BY 1")
+@query("SELECT lower(trim(regexp_replace(p_name || '  ' || p_brand, '\\s+', ' ', 'g'))) AS normalized_name, count(*) AS items, min(p_partkey) AS first_id FROM part GROUP BY 1")
 def batch_dedupe(spark, sf_dir):
-    return B.deduplicated(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("input_name")))
+    return B.deduplicated(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("  "), "p_brand").alias("input_name")))
 
 
 @query("SELECT count(*) AS total, count(DISTINCT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) AS unique, count(*) - count(DISTINCT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) AS saved FROM part")

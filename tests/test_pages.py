@@ -64,3 +64,8 @@ def test_site_discovery(spark):
     hits = spark.createDataFrame([("Nowhere Hall", "https://b", 2), ("Nowhere Hall", "https://a", 1)], "name string, url string, pos int")
     got = {r["id"]: (r["url"], r["title_match"]) for r in R.discover_sites(inst, pages, hits).collect()}
     assert got == {1: ("https://au.ac.in/", 0.85), 2: ("https://a", None)}
+
+
+def test_pin_code_has_ascii_borders(spark):
+    rows = spark.createDataFrame([("PIN é560001",), ("id_560001 then 560002",), ("5600011",), ("060001",), (None,)], "t string")
+    assert [r[0] for r in rows.select(C.pin_code(F.col("t"))).collect()] == ["560001", "560002", None, None, None]
