@@ -31,9 +31,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
     Fewer words than ``width``: the whole sequence is the only shingle. No words (or null): zero.
     """
+    raw = _digests(text, width)
+    return 0 if raw is None else _majority(raw)
+
+
+def _digests(text: str | None, width: int) -> np.ndarray | None:
+    """One row of eight bytes per shingle, with repeats; None if there are no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return None
     if len(words) <= width:
         digests, n = xxhash.xxh64_digest(b" ".join(words), SEED), 1
     else:
@@ -44,8 +50,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         ends = (starts + lengths)[width - 1 :].tolist()
         hashed = xxhash.xxh64_digest
         digests = b"".join([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends)])
-    counts = np.zeros(64, np.int64)
-    raw = np.frombuffer(digests, np.uint8).reshape(n, BYTES)
+    return np.frombuffer(digests, np.uint8).reshape(n, BYTES)
+
+
+def _majority(raw: np.ndarray) -> int:
+    n, counts = len(raw), np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         counts += np.unpackbits(raw[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
@@ -152,3 +161,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+MARKS = 8
+
+
+def _shingle_set(text: str | None, width: int) -> np.ndarray:
+    raw = _digests(text, width)
+    return np.zeros(0, np.int64) if raw is None else np.unique(raw.view(">i8").ravel().astype(np.int64))
+
+
+def _common_shingles(docs: DataFrame, text_col: str, width: int, sample: int = 4096, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several distinct texts of a bounded sample, sorted, and in how many of them each occurs.
+
+    They only order the index, so the sample decides the work and never the result."""
+    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("key"))
+    rows = max(1, docs.count())
+    if rows > 4 * sample:
+        texts = texts.filter(F.pmod(F.xxhash64("key"), F.lit(rows // (2 * sample))) == 0)
+
+    @F.arrow_udf("array<long>")
+    def sets(column: pa.Array) -> pa.Array:
+        return pa.array([_shingle_set(t, width) for t in column.to_pylist()], pa.list_(pa.int64()))
+
+    held = texts.dropDuplicates(["key"]).select(F.explode(sets("text")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    top = sorted((r["shingle"], r["n"]) for r in held.orderBy(F.desc("n"), "shingle").limit(most).collect())
+    return np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups linked by a Jaccard similarity of ``width``-word shingle sets of at least ``similarity``: one row per row
+    of ``docs`` with ``doc_id``, ``text_key`` (a hash of the text) and ``root``, the group.
+
+    Fingerprints differ in more bits the longer the changed part is, so a radius alone neither finds nor proves such
+    pairs. Candidates are the fingerprint index's links and, for the rest, postings of each set's prefix: with rare
+    shingles first, two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of each.
+    First each posting's members meet its smallest; what this leaves in different groups then meets pair by pair, so
+    a large group of copies costs no square. Every candidate is verified: by a 512-bit parity sketch, whose
+    differing bits never exceed the differing shingles, then by the sets themselves. No similar pair is left out.
+    Texts without words form one group.
+    """
+    ship(docs.sparkSession)
+    common, weight = _common_shingles(docs, text_col, width)
+
+    @F.arrow_udf("struct<set_key:long,fp:long,n:int,marks:array<long>,prefix:array<long>>")
+    def facts(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            raw = _digests(t, width)
+            if raw is None:
+                out.append((0, 0, 0, [0] * MARKS, []))
+                continue
+            held = np.unique(raw.view(">i8").ravel().astype(np.int64))
+            rank = np.zeros(len(held), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+                rank = np.where(common[at] == held, weight[at], 0)
+            n = len(held)
+            first = held[np.lexsort((held, rank))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            bits = np.bincount((held & (64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+            marks = np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+            key = xxhash.xxh64_intdigest(held.astype("<i8").tobytes(), SEED)
+            out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks.tolist(), first.tolist()))
+        names, kinds = ("set_key", "fp", "n", "marks", "prefix"), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        columns = list(zip(*out)) if out else [()] * 5
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    text_key = F.xxhash64(text_col)
+    rows = saved(docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), facts(text_col).alias("f")).select("doc_id", "text_key", "f.*"), "shingle-facts")
+    classes = saved(rows.groupBy("set_key").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "marks", "prefix")]), "shingle-classes")
+    facts_of = classes.select("set_key", "n", "marks")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (``a``, ``b``) those that are similar enough."""
+        side = lambda x: facts_of.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
+        total = F.col("n_a") + F.col("n_b")
+        differing = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        may = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b")
+        may = saved(may.filter((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (differing <= total * (1 - similarity) / (1 + similarity) + 1e-9)).select("a", "b"), "similar-candidates")
+        asked = may.select(F.col("a").alias("set_key")).union(may.select("b")).distinct().join(classes.select("set_key", "text_key"), "set_key")
+        asked = saved(asked, "similar-asked")
+        few = asked.count() <= broadcast_rows
+        texts = docs.select(text_key.alias("text_key"), F.col(text_col).alias("text")).join(F.broadcast(asked) if few else asked, "text_key")
+
+        @F.arrow_udf("binary")
+        def whole(column: pa.Array) -> pa.Array:
+            return pa.array([_shingle_set(t, width).tobytes() for t in column.to_pylist()], pa.binary())
+
+        @F.arrow_udf("boolean")
+        def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+            out = []
+            for x, y in zip(left.to_pylist(), right.to_pylist()):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            return pa.array(out, pa.bool_())
+
+        sets = saved(texts.groupBy("set_key").agg(F.first("text").alias("text")).select("set_key", whole("text").alias("s")), "shingle-sets")
+        met = may.join(sets.select(F.col("set_key").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("s").alias("s_b")), "b")
+        return saved(met.filter(similar("s_a", "s_b")).select("a", "b"), "similar-pairs")
+
+    by_fp = classes.filter("n > 0").groupBy("fp").agg(F.min("set_key").alias("rep"))
+    close = candidate_links(by_fp.select("fp"), max_bits)
+    near = close.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = classes.join(by_fp, "fp").select(F.col("set_key").alias("a"), F.col("rep").alias("b"))
+    postings = classes.select(F.col("set_key").alias("id"), "n", F.posexplode("prefix").alias("place", "key"))
+    heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("head")).filter("held > 1").select("key", "head")
+    shared = saved(postings.join(heads, "key"), "prefix-postings")
+    links = verified(near.union(same).union(shared.select(F.col("head").alias("a"), F.col("id").alias("b"))))
+
+    roots = components(links)
+    open_rows = saved(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-postings")
+    several = open_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    open_rows = open_rows.filter("id <> head").join(several, "key")
+    side = lambda x: open_rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("root").alias(f"r_{x}"))
+    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    reach = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    rest = side("a").join(side("b"), "key").filter("a < b AND r_a <> r_b").filter(reach >= least).select("a", "b")
+    linked = components(links.union(verified(rest)))
+    return rows.select("doc_id", "text_key", "set_key").join(linked.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))

@@ -21,9 +21,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group one document stays: the one with the smallest id, once. Rows without an id stay.
 
+    Groups are linked by a similarity of 0.8 or more over sets of five words, whatever the fingerprints' distance.
     Ids that go, and ids of several rows, are broadcast up to ``BROADCAST_IDS`` of them, so texts are not shuffled;
     beyond that the joins shuffle."""
-    found = saved(simhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id <> component_id"), "near-copies")
+    groups = saved(simhash.near_copies(docs, width=5, similarity=0.8), "near-groups")
+    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = saved(groups.join(lowest, "root").filter("doc_id IS NOT NULL").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id <> component_id"), "near-copies")
     counts = found.agg(F.count_if(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("repeated")).first()
     few = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
     kept = docs.join(few(found.filter("doc_id <> component_id").select("doc_id").distinct(), counts["gone"]), "doc_id", "left_anti").select(*docs.columns)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
+from attestry.llm import simhash
 
 
 def test_stages_take_effect(spark, sf):
@@ -21,3 +24,38 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs, sf):
         for name, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, sf)
             rows.count()
+
+
+def test_near_copies_go_by_five_words(spark, sf):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def changed(words, places):
+        return [f"new{rng.random()}" if i in places else w for i, w in enumerate(words)]
+
+    texts = [base] + [changed(base, {40 * k + 20 for k in range(m)}) for m in (1, 3, 5)]  # similarities from 0.97 to 0.84
+    texts += [changed(base, {20 * k + 10 for k in range(14)}), [f"v{rng.randrange(5000)}" for _ in range(300)]]  # 0.6 and none
+    texts += [base[:260], base[:40]]  # 0.87 and 0.12
+    texts += [base[:4], base[:4]]  # too short for a shingle
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s1", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, sf).collect()}
+    assert kept == {0, 4, 5, 7, 8}
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 200))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = [f"w{rng.randrange(3000)}" if rng.random() < 0.02 else w for w in words]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
+    assert len({(got[i], r) for i, r in enumerate(root)}) == len(set(got.values())) == len(set(root)) < len(texts)
