@@ -38,9 +38,9 @@ def budgets(leaves: DataFrame, levels: list[str], total: float | Column, weight_
         weight_left = F.sum("_w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
         level_here = F.when(F.col("_left") > 0, (F.col("_parent") - F.col("_full")) / F.col("_left")).otherwise(0.0)
         nodes = nodes.withColumn("_full", full_before).withColumn("_left", weight_left).withColumn("_level", level_here)
-        # Children are full up to the first whose ratio exceeds the level at its place; the rest share that level.
-        open_level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct(F.col("_ratio"), F.col("_level")))).over(family)
-        budget = F.when(open_level.isNull(), F.col("_cap")).when(F.col("_ratio") < open_level["_ratio"], F.col("_cap")).otherwise(F.col("_w") * F.greatest(open_level["_level"], F.lit(0.0)))
+        # Children are full up to the first whose ratio exceeds the level at its place; the rest share that level. Of equal ratios the first has the highest level.
+        open_level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct(F.col("_ratio"), (-F.col("_level")).alias("_down")))).over(family)
+        budget = F.when(open_level.isNull(), F.col("_cap")).when(F.col("_ratio") < open_level["_ratio"], F.col("_cap")).otherwise(F.col("_w") * F.greatest(-open_level["_down"], F.lit(0.0)))
         parent_budget = nodes.withColumn("_budget", F.least("_cap", budget)).select(*path, F.col("_budget").alias("_parent"))
     return out.join(parent_budget.withColumnRenamed("_parent", "budget"), levels)
 
@@ -50,12 +50,12 @@ def _placed(rows: DataFrame, leaves: DataFrame, keys: list[str], leaf_count: int
     return rows.join(F.broadcast(leaves) if leaf_count <= broadcast_leaves else leaves, keys)
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], tokens: Column, total: float | None = None, max_epochs: int = 1, seed: int = 29, id_col: str = "doc_id", tie: Column | None = None, per_bucket: int = 1024, broadcast_leaves: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], tokens: Column, total: float | None = None, share: float = 1.0, max_epochs: int = 1, seed: int = 29, id_col: str = "doc_id", tie: Column | None = None, per_bucket: int = 1024, broadcast_leaves: int = 100_000) -> DataFrame:
     """Rows of ``docs`` chosen to match target weights, with ``epoch`` (from 0): a row taken twice has two epochs.
 
     ``levels`` name the tree (say domain, language, source) and give each row's place in it; ``weights`` give, per
     level, a node's weight as an expression over the columns ``_<level>`` (the place as text behind a "1"; "0" for a
-    null place). ``total`` defaults to all tokens. A leaf holds ``max_epochs`` times its tokens. Each leaf takes
+    null place). ``total`` defaults to ``share`` times all tokens. A leaf holds ``max_epochs`` times its tokens. Each leaf takes
     whole epochs as far as its budget reaches, and of the next epoch, in that epoch's own seeded order, the rows that
     start before the budget is used up. That prefix ends at one order value per leaf, so texts are never shuffled:
     each row compares its own order value with its leaf's. Rows of equal id and ``tie`` share an order value and are
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], token
         leaves = leaves.withColumn(f"_weight{i}", w)
     leaves = saved(leaves, "leaves")
     stats = leaves.agg(F.sum("_held").alias("t"), F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("leaves")).first()
-    whole = float(stats["t"] or 0) if total is None else float(total)
+    whole = share * float(stats["t"] or 0) if total is None else float(total)
     buckets = bucket_count(stats["n"] or 0, per_bucket)
     epochs = F.when(F.col("_held") > 0, F.floor(F.col("budget") / F.col("_held") + 1e-9)).otherwise(0)
     planned = budgets(leaves, paths, whole, [f"_weight{i}" for i in range(len(weights))])

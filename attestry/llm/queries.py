@@ -82,7 +82,7 @@ LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 OTHER_LANG_WEIGHT = 0.05
 
 
-def mixture(docs: DataFrame, max_epochs: int = 1, total: float | None = None) -> DataFrame:
+def mixture(docs: DataFrame, max_epochs: int = 1, total: float | None = None, share: float = 1.0) -> DataFrame:
     """The mixture above over ``docs``: the number behind a source's name tells its domain, words count as tokens."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1)
     domain = F.when(number.try_cast("int") >= WEB_SOURCES, "curated").otherwise("web")
@@ -96,6 +96,7 @@ def mixture(docs: DataFrame, max_epochs: int = 1, total: float | None = None) ->
         tokens=F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")),
         max_epochs=max_epochs,
         total=total,
+        share=share,
         tie=F.md5(F.coalesce("text", F.lit(""))),
     )
 

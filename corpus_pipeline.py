@@ -10,6 +10,9 @@ from attestry.session import saved, spread
 
 #: Most ids (8 bytes each) that the near-dedup stage broadcasts.
 BROADCAST_IDS = 1_000_000
+#: Token budget of the mixing stage as a share of its input. At 1 every leaf would be full and the weights decide nothing;
+#: at a half the weights hold wherever a domain or language has at least half of its target share in the input.
+MIXTURE_SHARE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture that the target weights allow in one epoch, so no document comes twice."""
-    return queries.mixture(docs, max_epochs=1).select(*docs.columns)
+    """A mixture by the target weights in one epoch, so no document comes twice: ``MIXTURE_SHARE`` of the words at hand."""
+    return queries.mixture(docs, max_epochs=1, share=MIXTURE_SHARE).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

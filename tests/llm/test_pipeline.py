@@ -59,3 +59,19 @@ def test_near_copies_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
     assert len({(got[i], r) for i, r in enumerate(root)}) == len(set(got.values())) == len(set(root)) < len(texts)
+
+
+def test_mixture_stage_meets_its_weights(spark, sf):
+    rows, text = [], "one two three four five six seven eight nine ten"
+    for lang, count in (("en", 700), ("de", 100), ("fr", 100), ("es", 100)):
+        for source, n in (("s1", count), ("s12", 2 * count)):
+            rows += [(len(rows) + i, text, lang, source, len(text)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_mixture(spark, docs, sf).collect()
+    share = lambda col, value: sum(r[col] == value for r in kept) / len(kept)
+    assert abs(len(kept) - len(rows) / 2) <= 8
+    assert abs(share("source", "s1") - 0.6) < 0.01 and abs(share("source", "s12") - 0.4) < 0.01
+    for lang, target in (("en", 0.55), ("de", 0.15)):
+        # web holds 100 of the 135 documents that a language of 0.15 is due; what is short goes to its siblings
+        curated = [r for r in kept if r["source"] == "s12"]
+        assert abs(sum(r["lang"] == lang for r in curated) / len(curated) - target) < 0.01
