@@ -33,8 +33,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: Behind the BEGIN line: all up to the END line; without one, the two header lines and the lines of base64. Line ends may be
+#: written out as backslash n. Possessive groups, as these loop without recursion in Java.
+_LINE_END = r"(?:[\x20\t\r\n]|\\[rn])*+"
+_KEY_BODY = (
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_LINE_END}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_LINE_END}[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"(?:{_LINE_END}[A-Za-z0-9+/]{{1,15}}+={{1,2}}|\r?\n(?:[A-Za-z0-9+/]{{4}}){{1,3}}+(?=[\r\n]|$))?)"
+)
 VENDOR_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_BODY, 0, 0),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
 )
 
