@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -79,61 +80,102 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 40_000) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by moves and by one-for-one and two-for-one exchanges between underfull bins.
 
     Works on the emptiest bin: each step must carry items to a bin that is no emptier, so the sum of squared fills
-    rises and the search ends. It stops when the free room over all bins is below one bin, as no packing has fewer,
-    or after ``tries`` bin pairs.
+    rises and the search ends: when the free room over all bins is below one bin, as no packing has fewer, or after a
+    pass over all underfull bins in which none could give anything. Targets are looked up by the length they give
+    back and their free room.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     live = sum(1 for b in bins if b)
-    total = sum(fill)
-    stuck: set[int] = set()
-    while live > -(-total // capacity) and tries > 0:
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=fill.__getitem__)
-        source = next((b for b in under if b not in stuck), None)
-        if source is None:
-            break
+    least = -(-sum(fill) // capacity)
+    moved = True
+    while moved and live > least:
         moved = False
-        for target in reversed(under):
-            tries -= 1
-            if tries <= 0 or target == source or not bins[source]:
-                break
-            if fill[target] < fill[source]:
-                break
-            best = _exchange(bins[source], bins[target], size, capacity - fill[target])
-            if best is None:
+        index = _Targets(capacity)
+        queue = [(fill[b], b) for b in range(len(bins)) if bins[b] and fill[b] < capacity]
+        for _, b in queue:
+            index.put(b, bins[b], size, capacity - fill[b])
+        heapq.heapify(queue)
+        while queue and live > least:
+            seen, source = heapq.heappop(queue)
+            if seen != fill[source]:  # it has grown since
+                if fill[source] < capacity:
+                    heapq.heappush(queue, (fill[source], source))
                 continue
-            gain, give, take = best
-            bins[source] = [i for i in bins[source] if i not in give] + list(take)
-            bins[target] = [i for i in bins[target] if i not in take] + list(give)
-            fill[source] -= gain
-            fill[target] += gain
-            moved = True
-        live -= not bins[source]
-        if moved:
-            stuck.clear()
-        else:
-            stuck.add(source)
+            index.drop(source)  # all others are no emptier
+            while bins[source]:
+                best = _exchange(bins[source], size, index)
+                if best is None:
+                    break
+                gain, give, target, take = best
+                bins[source] = [i for i in bins[source] if i not in give] + list(take)
+                bins[target] = [i for i in bins[target] if i not in take] + list(give)
+                fill[source] -= gain
+                fill[target] += gain
+                index.drop(target)
+                if fill[target] < capacity:
+                    index.put(target, bins[target], size, capacity - fill[target])
+                moved = True
+            live -= not bins[source]
     return [b for b in bins if b]
 
 
-def _exchange(source: list[int], target: list[int], size: list[int], room: int):
-    """The exchange that carries most to the target within its room: (gain, items given, items taken), or None."""
-    ones_s, ones_t = [(size[i], (i,)) for i in source], [(size[i], (i,)) for i in target]
-    twos_s = [(size[a] + size[b], (a, b)) for x, a in enumerate(source) for b in source[x + 1 :]]
-    twos_t = [(size[a] + size[b], (a, b)) for x, a in enumerate(target) for b in target[x + 1 :]]
+class _Targets:
+    """Underfull bins by the length of one item (or none) and of two items that they can give back, most room first."""
+
+    def __init__(self, capacity: int):
+        self.heaps: tuple[dict, dict] = ({}, {})
+        self.reach = np.full((2, capacity + 1), -1, np.int64)  # per length given back: that length and the most room with it
+        self.version: dict[int, int] = {}
+        self.held: dict[int, tuple[dict, dict]] = {}
+
+    def put(self, b: int, items: list[int], size: list[int], room: int) -> None:
+        one = {0: ()} | {size[i]: (i,) for i in items}
+        two = {size[x] + size[y]: (x, y) for n, x in enumerate(items) for y in items[n + 1 :]}
+        self.held[b] = (one, two)
+        version = self.version[b] = self.version.get(b, 0) + 1
+        for kind, takes in enumerate((one, two)):
+            for t in takes:
+                heapq.heappush(self.heaps[kind].setdefault(t, []), (-room, b, version))
+                self.reach[kind, t] = max(self.reach[kind, t], t + room)
+
+    def drop(self, b: int) -> None:
+        self.version[b] += 1
+        for kind, takes in enumerate(self.held.pop(b)):
+            for t in takes:
+                heap = self.heaps[kind][t]
+                while heap and self.version[heap[0][1]] != heap[0][2]:
+                    heapq.heappop(heap)
+                self.reach[kind, t] = t - heap[0][0] if heap else -1
+
+    def best(self, give: int, kinds: int):
+        """The bin and items taken back, of the least length, for ``give``: (length, bin, items), or None."""
+        found = None
+        for kind in range(kinds):
+            fits = self.reach[kind, :give] >= give
+            t = int(fits.argmax())
+            if fits[t] and (found is None or t < found[0]):
+                b = self.heaps[kind][t][0][1]
+                found = (t, b, self.held[b][kind][t])
+        return found
+
+
+def _exchange(source: list[int], size: list[int], index: _Targets):
+    """The exchange that carries most out of the source: (gain, items given, target, items taken), or None."""
+    ones = {size[i]: (i,) for i in source}
+    twos = {size[a] + size[b]: (a, b) for x, a in enumerate(source) for b in source[x + 1 :]}
     best = None
-    for gives, takes in ((ones_s, [(0, ())]), (twos_s, [(0, ())]), (ones_s, ones_t), (ones_s, twos_t), (twos_s, ones_t)):
-        for give, gi in gives:
-            for take, ti in takes:
-                gain = give - take
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, gi, ti)
-                    if gain == room:
-                        return best
+    for gives, kinds in ((twos, 1), (ones, 2)):
+        for give, items in gives.items():
+            if best is not None and give <= best[0]:
+                continue
+            found = index.best(give, kinds)
+            if found is not None and (best is None or give - found[0] > best[0]):
+                best = (give - found[0], items, found[1], found[2])
     return best
 
 

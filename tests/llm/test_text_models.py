@@ -154,3 +154,10 @@ def test_odd_language(spark, odd_docs, no_docs):
     by_id = {r["doc_id"]: r for r in langid.predict(odd_docs, model).collect()}
     assert by_id[3]["lang_pred"] == by_id[4]["lang_pred"] == by_id[6]["lang_pred"] == "und" and by_id[5]["lang_pred"] == "en"
     assert langid.predict(no_docs, langid.train(no_docs, F.lit(True))).count() == 0
+
+
+def test_local_search_runs_to_its_end():
+    lengths = np.random.default_rng(1).integers(600, 1101, 8192)
+    after = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in after for i in b) == list(range(8192)) and max(lengths[b].sum() for b in after) <= 2048
+    assert len(after) <= 3700  # best fit: 3751; 40,000 pairs of bins take off a few
