@@ -179,12 +179,13 @@ def _exchange(source: list[int], size: list[int], index: _Targets):
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, order_cols: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", group_rows: int = 8192, merge_groups: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, order_cols: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", group_rows: int = 8192, merge_groups: int = 64, rounds: int = 3) -> DataFrame:
     """All columns of ``pieces`` plus ``sequence_id`` (any number) and ``offset`` (place in the sequence, gapless from 0).
 
     Pieces are dealt by a hash of ``order_cols`` into groups of about ``group_rows``, each packed in one task. Then
-    the bins that are less than 19/20 full, a few per group, meet those of ``merge_groups`` groups and are packed
-    again, and so on until one group is left, so leftovers do not add up. Lengths are 1 to ``capacity``. Repeated
+    whole bins with free room are dealt anew, up to ``rounds`` times, into groups of about ``group_rows`` pieces again
+    (and no fewer groups than a ``merge_groups``-th), which are searched from these bins and packed afresh, and keep
+    the better. So no task grows with the table and no round makes more sequences. Lengths are 1 to ``capacity``. Repeated
     rows are packed each for itself; an empty table gives an empty result. Carry ids along only if they are wanted
     in the result: every column is shuffled. Columns that start with ``_pack_`` are reserved.
     """
@@ -198,25 +199,34 @@ def pack(pieces: DataFrame, capacity: int = 2048, order_cols: tuple[str, ...] =
         part = part.sort_values([length_col, *order_cols], ascending=[False] + [True] * slots, kind="stable", ignore_index=True)
         lengths = part[length_col].to_numpy(np.int64)
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        if "sequence_id" in part:
+            given = list(part.groupby("sequence_id", sort=False).indices.values())
+            given = local_search([b.tolist() for b in given], lengths, capacity)
+            bins = given if len(given) <= len(bins) else bins
         sequence, offset, fill = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         for number, items in enumerate(bins):
             at = np.cumsum(lengths[items])
             sequence[items], offset[items], fill[items] = number, at - lengths[items], at[-1]
         return part.assign(sequence_id=sequence * (1 << 24) + int(key[0]), offset=offset, _pack_fill=fill)
 
+    own = keyed.columns
+    fields = ", ".join(f"`{n}` {t}" for n, t in keyed.dtypes) + ", sequence_id long, offset long, _pack_fill long"
+
     def packed(part: DataFrame) -> DataFrame:
-        names = [c for c in part.columns if c not in ("sequence_id", "offset", "_pack_fill")]
-        fields = ", ".join(f"`{n}` {t}" for n, t in part.select(names).dtypes)
-        return part.select(names).groupBy("_pack_group").applyInPandas(solve, f"{fields}, sequence_id long, offset long, _pack_fill long")
+        return part.groupBy("_pack_group").applyInPandas(solve, fields).select(*own, "sequence_id", "offset", "_pack_fill")
 
     out, level = saved(packed(keyed), "packed"), 0
     done = []
-    while groups > 1:
+    spare = F.col("_pack_fill") < capacity
+    while groups > 1 and level < rounds:
+        left = out.filter(spare).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("offset") == 0, capacity - F.col("_pack_fill"))).alias("room")).first()
+        if (left["room"] or 0) < capacity:
+            break
+        groups = max(-(-left["n"] // group_rows), -(-groups // merge_groups))
+        done.append(out.filter(~spare).withColumn("sequence_id", F.col("sequence_id") * 16 + level))
         level += 1
-        groups = -(-groups // merge_groups)
-        spare = F.col("_pack_fill") * 20 < capacity * 19
-        done.append(out.filter(~spare).withColumn("sequence_id", F.col("sequence_id") * 16 + (level - 1)))
-        out = saved(packed(out.filter(spare).withColumn("_pack_group", F.expr(f"_pack_group div {merge_groups}"))), "packed")
+        dealt = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).cast("long")
+        out = saved(packed(out.filter(spare).drop("offset", "_pack_fill").withColumn("_pack_group", dealt)), "packed")
     result = out.withColumn("sequence_id", F.col("sequence_id") * 16 + level)
     for part in done:
         result = result.unionByName(part)

@@ -161,3 +161,12 @@ def test_local_search_runs_to_its_end():
     after = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
     assert sorted(i for b in after for i in b) == list(range(8192)) and max(lengths[b].sum() for b in after) <= 2048
     assert len(after) <= 3700  # best fit: 3751; 40,000 pairs of bins take off a few
+
+
+def test_leftovers_stay_in_bounded_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(rng.integers(1030, 1941, 1000))], "doc_id long, piece int, length int")
+    packed = packing.pack(rows, 2048, group_rows=100, merge_groups=64).collect()
+    assert len(packed) == 1000
+    groups = [r["sequence_id"] // 16 % (1 << 24) for r in packed]
+    assert max(groups.count(g) for g in set(groups)) < 200  # no two fit together, and all 1000 met in one group before
