@@ -10,14 +10,17 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .columns import set_aside
 
 #: Fixed value: the pre-token pattern of byte-level BPE, in the notation of Unicode properties.
 PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,43 +41,32 @@ def _ranges(chars: list[int]) -> str:
     return "".join(out)
 
 
-@lru_cache(2)
-def pretoken_regex(later: bool = True) -> re.Pattern:
-    """The same pattern for Python's ``re``, whose classes differ: its digits are decimal ones only, and its spaces
-    include four separators (U+001C to U+001F) that are no white space here. Without ``later``, a faster pattern for
-    texts without the letters and numbers above."""
-    numbers, letters_more, not_letters = [], [], []
-    spread = lambda text: {c for r in text.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
-    known = dict.fromkeys(spread(LATER_LETTERS), "Lo") | dict.fromkeys(spread(LATER_NUMBERS), "No") if later else {}
-    for c in range(sys.maxunicode + 1):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        kind = known.get(c) or unicodedata.category(ch)
-        if kind in ("Nl", "No"):
-            numbers.append(c)
-        elif kind[0] == "L" and not ch.isalnum():
-            letters_more.append(c)
-        elif ch.isalnum() and kind[0] not in "LN":
-            not_letters.append(c)
-    nl, lm, no = _ranges(numbers), _ranges(letters_more), _ranges(not_letters)
-    letter = rf"[^\W\d_{nl}{no}]" if not lm else rf"(?:[^\W\d_{nl}{no}]|[{lm}])"
-    number = rf"[\d{nl}]"
-    other = rf"(?:[^\s\w{lm}{nl}]|[_\x1c-\x1f{no}])"
-    space = r"[^\S\x1c-\x1f]"
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{letter}+| ?{number}+| ?{other}+|{space}+(?!{other}|{letter}|{number})|{space}+")
-
-
-@lru_cache(1)
-def later_regex() -> re.Pattern:
-    """Any of the letters and numbers that Python may not know."""
-    parts = [r.split("-") for r in f"{LATER_LETTERS} {LATER_NUMBERS}".split()]
-    return re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in parts) + "]")
+@lru_cache(3)
+def pretoken_regex(top: int = sys.maxunicode + 1) -> re.Pattern:
+    """The same pattern for Python's ``re`` over texts whose code points lie below ``top``.
+
+    Letters, numbers and white space are listed by code point: Python knows no class for letters, its digits are decimal
+    ones only, and its spaces include four separators (U+001C to U+001F) that are no white space here. Sets without code
+    points beyond 0xFFFF are looked up in a bit map."""
+    later = lambda told: {c for r in told.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
+    known = dict.fromkeys(later(LATER_LETTERS), "L") | dict.fromkeys(later(LATER_NUMBERS), "N")
+    held: dict[str, list[int]] = {"L": [], "N": [], "space": []}
+    for c in range(top):
+        if chr(c).isspace() and not 0x1C <= c <= 0x1F:
+            held["space"].append(c)
+        elif (kind := known.get(c) or unicodedata.category(chr(c))[0]) in held:
+            held[kind].append(c)
+    letter, number, space = (_ranges(held[k]) for k in ("L", "N", "space"))
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def pretokens(text: str) -> list[str]:
-    """Pre-tokens of a text without added tokens."""
-    return pretoken_regex(not text.isascii() and later_regex().search(text) is not None).findall(text)
+    """Pre-tokens of a text without added tokens, in one pass."""
+    top = 0x80 if text.isascii() else sys.maxunicode + 1 if _BEYOND.search(text) else 0x10000
+    return pretoken_regex(top).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -104,7 +96,7 @@ class MergeTable:
             self.merged.append(vocab[a + b])
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.cache = _Counts(self)
+        self.cache = WordCache(lambda word: self.symbols(word.encode("utf-8")))
 
     def symbols(self, raw: bytes) -> int:
         """Symbols left of one pre-token after all merges."""
@@ -146,19 +138,19 @@ class MergeTable:
         return sum(map(self.cache.__getitem__, pretokens(text)))
 
 
-class _Counts(dict):
-    """Counts by pre-token, filled as they are asked for; started afresh when full, so memory is bounded."""
+class WordCache(dict):
+    """What ``make`` gives for a pre-token, kept for short ones; started afresh when full, so memory is bounded."""
 
-    def __init__(self, table: MergeTable):
-        self.table = table
+    def __init__(self, make: Callable[[str], Any]):
+        self.make = make
 
-    def __missing__(self, word: str) -> int:
-        n = self.table.symbols(word.encode("utf-8"))
+    def __missing__(self, word: str) -> Any:
+        made = self.make(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = n
-        return n
+            self[word] = made
+        return made
 
 
 @lru_cache(2)
@@ -170,8 +162,9 @@ def count_tokens(docs: DataFrame, vocab_path: str, text_col: str = "text", limit
     """All columns of ``docs`` plus ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
     ``vocab_path`` is a byte-level BPE vocabulary file that every executor can open. Null texts count as empty: no
-    bytes, no tokens. Repeated rows count alike; an empty table gives an empty result. Like-named columns of ``docs``
-    are replaced. No shuffle.
+    bytes, no tokens. A text of any length is scanned once, a pre-token of n bytes takes O(n log n). Other columns may be
+    null; repeated rows count alike; an empty table gives an empty result. Columns of ``docs`` with the name of a result
+    are replaced, others keep their values whatever their names. No shuffle.
     """
     ship(docs.sparkSession)
 
@@ -181,4 +174,5 @@ def count_tokens(docs: DataFrame, vocab_path: str, text_col: str = "text", limit
         return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", tokens(text)).withColumn("over_limit", F.col("n_tokens") > limit)
+    rows, back = set_aside(docs, n_bytes=F.octet_length(text).cast("long"), n_tokens=tokens(text))
+    return rows.select(*back("n_bytes", "n_tokens", "over_limit"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

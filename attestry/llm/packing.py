@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -12,40 +13,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, ship
-from .byte_bpe import PRETOKEN_PATTERN, byte_alphabet
+from .byte_bpe import WordCache, byte_alphabet, pretokens
+from .columns import set_aside
 
 
-@lru_cache(2)
-def encoder(vocab_path: str):
-    """A fast encoder for the vocabulary file, whose ids follow the order of merges; added tokens are recognised in texts."""
-    import tiktoken
+class Encoder:
+    """Ids of whole texts from the ``tokenizers`` library, one pre-token at a time.
+
+    The library's own scan of a text costs most of its time; here texts are cut by the scanner that counts tokens too,
+    which takes one pass over any text, and the library's model gives the ids of each distinct pre-token.
+    """
+
+    def __init__(self, vocab_path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocab_path)
+        letters = {b: ch for ch, b in byte_alphabet().items()}
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in library.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        tokenize = library.model.tokenize
+        self.words = WordCache(lambda word: array("I", [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes())
 
-    with open(vocab_path, encoding="utf-8") as file:
-        spec = json.load(file)
-    alphabet = byte_alphabet()
-    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-    ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("vocabulary", pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    def ids(self, text: str) -> bytes:
+        """Unsigned 32-bit ids of a text; strings of added tokens inside it count as these tokens, as the library has it."""
+        word = self.words.__getitem__
+        if self.split is None or not any(s in text for s in self.special):
+            return b"".join(map(word, pretokens(text)))
+        return b"".join(self.special[part] if part in self.special else b"".join(map(word, pretokens(part))) for part in self.split.split(text))
+
+
+@lru_cache(2)
+def encoder(vocab_path: str) -> Encoder:
+    return Encoder(vocab_path)
 
 
 def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (``doc_id``, ``piece``, ``start``, ``length``, ``ids``): each text's ids (unsigned 32-bit, little-endian)
     followed by ``end_id``, cut into pieces of ``capacity`` ids if it is longer; then the first piece takes the odd rest.
 
-    Null texts count as empty and give one piece that is the end id alone. Repeated rows give repeated pieces.
+    Null texts count as empty and give one piece that is the end id alone. Ids may be null. Texts of any length, runs of
+    white space included, are cut in one pass. Repeated rows give repeated pieces; an empty table gives an empty
+    result. Other columns are not read.
     """
     ship(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        own = encoder(vocab_path)
-        plain, special = own.encode_ordinary, own.special_tokens_set
-        out = []
-        for t in texts.to_pylist():
-            ids = own.encode(t, allowed_special="all") if any(s in t for s in special) else plain(t)
-            ids.append(end_id)
-            out.append(np.array(ids, "<u4").tobytes())
-        return pa.array(out, pa.binary())
+        ids, end = encoder(vocab_path).ids, array("I", [end_id]).tobytes()
+        return pa.array([ids(t) + end for t in texts.to_pylist()], pa.binary())
 
     whole = docs.select(F.col(id_col).alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("_ids"))
     n = F.expr("octet_length(_ids) div 4")
@@ -182,22 +197,29 @@ def _exchange(source: list[int], size: list[int], index: _Targets):
 def pack(pieces: DataFrame, capacity: int = 2048, order_cols: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", group_rows: int = 8192, merge_groups: int = 64, rounds: int = 3) -> DataFrame:
     """All columns of ``pieces`` plus ``sequence_id`` (any number) and ``offset`` (place in the sequence, gapless from 0).
 
-    Pieces are dealt by a hash of ``order_cols`` into groups of about ``group_rows``, each packed in one task. Then
+    Each row gets a number and is dealt by its hash into groups of about ``group_rows``, each packed in one task. Then
     whole bins with free room are dealt anew, up to ``rounds`` times, into groups of about ``group_rows`` pieces again
     (and no fewer groups than a ``merge_groups``-th), which are searched from these bins and packed afresh, and keep
-    the better. So no task grows with the table and no round makes more sequences. Lengths are 1 to ``capacity``. Repeated
-    rows are packed each for itself; an empty table gives an empty result. Carry ids along only if they are wanted
-    in the result: every column is shuffled. Columns that start with ``_pack_`` are reserved.
+    the better. So no task grows with the table and no round makes more sequences.
+
+    Lengths are 1 to ``capacity``; other lengths end the job with a message. Rows of a group are ordered by length, then
+    ``order_cols``, nulls last; repeated rows are packed each for itself, wherever they are; an empty table gives an
+    empty result. Only numbers, ``order_cols`` and lengths travel to the groups; the other columns join the result.
+    Columns of ``pieces`` named as a result are replaced, others keep their values.
     """
     ship(pieces.sparkSession)
-    rows = saved(pieces, "pieces")
-    groups = max(1, -(-rows.count() // group_rows))
-    keyed = rows.withColumn("_pack_group", F.pmod(F.xxhash64(*order_cols), F.lit(groups)))
-    slots = len(order_cols)
+    numbered, back = set_aside(pieces, row=F.monotonically_increasing_id(), size=F.col(length_col).cast("long"), **{f"o{i}": F.col(c) for i, c in enumerate(order_cols)})
+    rows = saved(numbered, "pieces")
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("size").alias("known")).first()
+    if facts["n"] and (facts["known"] < facts["n"] or facts["least"] < 1 or facts["most"] > capacity):
+        raise ValueError(f"lengths must lie between 1 and {capacity}")
+    groups = max(1, -(-facts["n"] // group_rows))
+    keys = [f"o{i}" for i in range(len(order_cols))]
+    slim = rows.select("row", "size", *keys, F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
 
     def solve(key, part):
-        part = part.sort_values([length_col, *order_cols], ascending=[False] + [True] * slots, kind="stable", ignore_index=True)
-        lengths = part[length_col].to_numpy(np.int64)
+        part = part.sort_values(["size", *keys, "row"], ascending=[False] + [True] * (len(keys) + 1), kind="stable", ignore_index=True)
+        lengths = part["size"].to_numpy(np.int64)
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         if "sequence_id" in part:
             given = list(part.groupby("sequence_id", sort=False).indices.values())
@@ -207,27 +229,27 @@ def pack(pieces: DataFrame, capacity: int = 2048, order_cols: tuple[str, ...] =
         for number, items in enumerate(bins):
             at = np.cumsum(lengths[items])
             sequence[items], offset[items], fill[items] = number, at - lengths[items], at[-1]
-        return part.assign(sequence_id=sequence * (1 << 24) + int(key[0]), offset=offset, _pack_fill=fill)
+        return part.assign(sequence_id=sequence * (1 << 24) + int(key[0]), offset=offset, fill=fill)
 
-    own = keyed.columns
-    fields = ", ".join(f"`{n}` {t}" for n, t in keyed.dtypes) + ", sequence_id long, offset long, _pack_fill long"
+    own = slim.columns
+    fields = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes) + ", sequence_id long, offset long, fill long"
 
     def packed(part: DataFrame) -> DataFrame:
-        return part.groupBy("_pack_group").applyInPandas(solve, fields).select(*own, "sequence_id", "offset", "_pack_fill")
+        return part.groupBy("group").applyInPandas(solve, fields).select(*own, "sequence_id", "offset", "fill")
 
-    out, level = saved(packed(keyed), "packed"), 0
+    out, level = saved(packed(slim), "packed"), 0
     done = []
-    spare = F.col("_pack_fill") < capacity
+    spare = F.col("fill") < capacity
     while groups > 1 and level < rounds:
-        left = out.filter(spare).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("offset") == 0, capacity - F.col("_pack_fill"))).alias("room")).first()
+        left = out.filter(spare).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("offset") == 0, capacity - F.col("fill"))).alias("room")).first()
         if (left["room"] or 0) < capacity:
             break
         groups = max(-(-left["n"] // group_rows), -(-groups // merge_groups))
         done.append(out.filter(~spare).withColumn("sequence_id", F.col("sequence_id") * 16 + level))
         level += 1
         dealt = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).cast("long")
-        out = saved(packed(out.filter(spare).drop("offset", "_pack_fill").withColumn("_pack_group", dealt)), "packed")
+        out = saved(packed(out.filter(spare).drop("offset", "fill").withColumn("group", dealt)), "packed")
     result = out.withColumn("sequence_id", F.col("sequence_id") * 16 + level)
     for part in done:
         result = result.unionByName(part)
-    return result.drop("_pack_group", "_pack_fill")
+    return rows.join(result.select("row", "sequence_id", "offset"), "row").select(*back("sequence_id", "offset"), "sequence_id", "offset")
