@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .columns import set_aside
 from .ranking import bucket_count, group_key, hash_bucket, order_hash
 
 
@@ -13,26 +14,30 @@ def budgets(leaves: DataFrame, levels: list[str], total: float | Column, weight_
     """Give each leaf a token budget: ``leaves`` plus ``budget``.
 
     From the root down, a parent's budget goes to its children in proportion to their weights, no child getting more
-    than its subtree holds. What a full child cannot take goes to its siblings by weight; only if all of them are
-    full does the parent itself count as full, and its shortage passes to the parent's siblings. Solved in closed
-    form by sorting siblings by capacity over weight, so no loop and no driver copy of the tree. Null or negative
-    weights count as 0; children of weight 0 get nothing.
+    than its subtree can take: a leaf of positive weight takes its capacity, a node of positive weight what its children
+    take, and any of weight 0 takes nothing. What a full child cannot take goes to its siblings by weight; only if all of
+    them are full does the parent itself count as full, and its shortage passes to the parent's siblings. Solved in
+    closed form by sorting siblings by capacity over weight, so no loop and no driver copy of the tree.
+
+    Null or negative weights count as 0, null or negative capacities too; of several weights told for one node the largest
+    counts. Leaves of one path share one budget. An empty table gives an empty result.
     """
-    out = leaves
-    whole = total if isinstance(total, Column) else F.lit(float(total))
+    clean = lambda c: F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    tree, below = [], leaves.groupBy(*levels).agg(F.sum(clean(capacity)).alias("_cap"), *[F.max(clean(w)).alias(f"_w{i}") for i, w in enumerate(weight_cols)])
+    for depth in reversed(range(len(levels))):  # what each subtree can take, from the leaves up
+        nodes = below.groupBy(*levels[: depth + 1]).agg(F.sum("_cap").alias("_cap"), *[F.max(f"_w{i}").alias(f"_w{i}") for i in range(depth + 1)])
+        below = nodes.withColumn("_cap", F.when(F.col(f"_w{depth}") > 0, F.col("_cap")).otherwise(0.0))
+        tree.insert(0, below.withColumnRenamed(f"_w{depth}", "_w").select(*levels[: depth + 1], "_cap", "_w"))
     parent_budget = None
-    for depth, (level, weight) in enumerate(zip(levels, weight_cols)):
+    for depth, (level, nodes) in enumerate(zip(levels, tree)):
         path = levels[: depth + 1]
-        nodes = out.groupBy(*path).agg(F.sum(capacity).cast("double").alias("_cap"), F.greatest(F.max(F.coalesce(F.col(weight).cast("double"), F.lit(0.0))), F.lit(0.0)).alias("_w"))
-        nodes = nodes.withColumn("_cap", F.when(F.col("_w") > 0, F.col("_cap")).otherwise(0.0))
         if depth == 0:
-            nodes = nodes.withColumn("_parent", whole)
+            nodes = nodes.withColumn("_parent", total if isinstance(total, Column) else F.lit(float(total)))
             family = Window.partitionBy(F.lit(0))
         else:
             nodes = nodes.join(parent_budget, path[:-1])
             family = Window.partitionBy(*path[:-1])
-        ratio = F.when(F.col("_w") > 0, F.col("_cap") / F.col("_w")).otherwise(0.0)
-        nodes = nodes.withColumn("_ratio", ratio)
+        nodes = nodes.withColumn("_ratio", F.when(F.col("_w") > 0, F.col("_cap") / F.col("_w")).otherwise(0.0))
         by_ratio = family.orderBy("_ratio", level)
         full_before = F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         weight_left = F.sum("_w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
@@ -42,7 +47,7 @@ def budgets(leaves: DataFrame, levels: list[str], total: float | Column, weight_
         open_level = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct(F.col("_ratio"), (-F.col("_level")).alias("_down")))).over(family)
         budget = F.when(open_level.isNull(), F.col("_cap")).when(F.col("_ratio") < open_level["_ratio"], F.col("_cap")).otherwise(F.col("_w") * F.greatest(-open_level["_down"], F.lit(0.0)))
         parent_budget = nodes.withColumn("_budget", F.least("_cap", budget)).select(*path, F.col("_budget").alias("_parent"))
-    return out.join(parent_budget.withColumnRenamed("_parent", "budget"), levels)
+    return leaves.join(parent_budget.withColumnRenamed("_parent", "budget"), levels)
 
 
 def _placed(rows: DataFrame, leaves: DataFrame, keys: list[str], leaf_count: int, broadcast_leaves: int) -> DataFrame:
@@ -62,13 +67,15 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], token
     taken together.
 
     Null places form nodes of their own. Rows of no tokens (null or empty texts) are taken where their leaf's prefix
-    reaches them. Repeated rows count each time. An empty table gives an empty result. Columns that start with ``_``
-    are reserved.
+    reaches them; the row that crosses the budget is taken whole, however long. Repeated rows count each time. An empty
+    table gives an empty result. A column of ``docs`` named ``epoch`` is replaced, others keep their values whatever
+    their names.
     """
-    paths = [f"_{name}" for name in levels]
     ties = [] if tie is None else [tie]
-    keys = [group_key(col).alias(path) for path, col in zip(paths, levels.values())]
-    slim = saved(docs.select(*keys, order_hash("row", F.col(id_col), *ties).alias("_row"), F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("_tokens")), "mix-rows")
+    made = {"_row": order_hash("row", F.col(id_col), *ties), "_tokens": F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))}
+    paths = [f"_{name}" for name in levels]
+    docs, back = set_aside(docs, **{path: group_key(col) for path, col in zip(paths, levels.values())}, **made)
+    slim = saved(docs.select(*paths, "_row", "_tokens"), "mix-rows")
     leaves = slim.groupBy(*paths).agg(F.sum("_tokens").alias("_held"), F.count(F.lit(1)).alias("_rows")).withColumn("capacity", F.col("_held") * max_epochs)
     for i, w in enumerate(weights):
         leaves = leaves.withColumn(f"_weight{i}", w)
@@ -92,7 +99,6 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], token
     cuts = last.filter("_before < _part - 1e-6").groupBy(*paths).agg(F.max("_order").alias("_cut"))
     decided = saved(planned.join(cuts, paths, "left").select(*paths, "_epochs", "_cut"), "cuts")
 
-    rows = docs.select(*docs.columns, *keys, order_hash("row", F.col(id_col), *ties).alias("_row"))
-    chosen = _placed(rows, decided.filter("_epochs > 0 OR _cut IS NOT NULL"), paths, stats["leaves"], broadcast_leaves)
+    chosen = _placed(docs.drop("_tokens"), decided.filter("_epochs > 0 OR _cut IS NOT NULL"), paths, stats["leaves"], broadcast_leaves)
     times = F.col("_epochs") + F.when(order <= F.col("_cut"), 1).otherwise(0)
-    return chosen.withColumn("_times", times).filter("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))
+    return chosen.withColumn("_times", times).filter("_times > 0").select(*back("epoch"), F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))

@@ -21,18 +21,19 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, sh::INT AS shard, p - (sh * n +
 """
 
 
-def _budget(level: int, keys: list[str], weight: str, parent: str) -> str:
-    path = ", ".join(keys)
-    family = f"PARTITION BY {', '.join(keys[:-1])}" if keys[:-1] else ""
-    using = f"JOIN b{level - 1} USING ({', '.join(keys[:-1])})" if keys[:-1] else ""
+def _budget(level: int, keys: list[str], parent: str) -> str:
+    """Water levels by trial: the family's intake at each child's own full level tells which children are full."""
+    path, up = ", ".join(keys), keys[:-1]
+    same = " AND ".join(f"a.{k} = b.{k}" for k in up) or "true"
+    using = f"JOIN b{level - 1} USING ({', '.join(up)})" if up else ""
     return f"""
-n{level} AS (SELECT *, CASE WHEN w > 0 THEN c / w ELSE 0 END AS ratio FROM (SELECT {path}, sum(capacity)::DOUBLE AS c, {weight}::DOUBLE AS w FROM leaves GROUP BY ALL)),
-f{level} AS (SELECT n{level}.*, {parent}::DOUBLE AS parent,
-    coalesce(sum(c) OVER ({family} ORDER BY ratio, {keys[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
-    sum(w) OVER ({family} ORDER BY ratio, {keys[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM n{level} {using}),
-g{level} AS (SELECT *, CASE WHEN w_left > 0 THEN (parent - full_before) / w_left ELSE 0 END AS lv FROM f{level}),
-b{level} AS (SELECT {path}, least(c, CASE WHEN r0 IS NULL OR ratio < r0 THEN c ELSE w * greatest(l0, 0) END) AS budget FROM (
-    SELECT *, min(ratio) FILTER (ratio > lv) OVER ({family}) AS r0, arg_min(lv, ratio) FILTER (ratio > lv) OVER ({family}) AS l0 FROM g{level}))"""
+f{level} AS (SELECT n{level}.*, {parent}::DOUBLE AS parent FROM n{level} {using}),
+t{level} AS (SELECT {", ".join("a." + k for k in keys)}, any_value(a.c / a.w) AS mark, sum(least(b.c, b.w * (a.c / a.w))) AS intake, sum(CASE WHEN b.c / b.w <= a.c / a.w THEN b.c ELSE 0 END) AS full_c,
+    sum(CASE WHEN b.c / b.w <= a.c / a.w THEN 0 ELSE b.w END) AS open_w, any_value(a.parent) AS parent FROM f{level} a JOIN f{level} b ON {same} AND a.w > 0 AND b.w > 0 GROUP BY ALL),
+l{level} AS (SELECT {"".join(k + ", " for k in up)}max(CASE WHEN intake <= parent THEN CASE WHEN open_w > 0 THEN (parent - full_c) / open_w ELSE mark END END) AS water, max(CASE WHEN intake <= parent THEN 1 ELSE 0 END) AS any_full
+    FROM t{level} {"GROUP BY ALL" if up else ""}),
+b{level} AS (SELECT {path}, CASE WHEN w <= 0 THEN 0 WHEN any_full = 1 THEN least(c, w * water) ELSE least(c, parent * w / sum(w) OVER ({"PARTITION BY " + ", ".join(up) if up else ""})) END AS budget
+    FROM f{level} LEFT JOIN l{level} {"USING (" + ", ".join(up) + ")" if up else "ON true"})"""
 
 
 OP7 = f"""
@@ -42,9 +43,12 @@ WITH d AS (SELECT doc_id, lang, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS tokens,
     md5(concat_ws(':', 'row', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS o FROM documents),
 leaves AS (SELECT kd, kl, ks, sum(tokens) AS held, 2 * sum(tokens) AS capacity FROM d GROUP BY ALL),
-{_budget(0, ["kd"], "CASE WHEN kd = '1web' THEN 0.6 ELSE 0.4 END", "(SELECT sum(held) FROM leaves)")},
-{_budget(1, ["kd", "kl"], "CASE kl WHEN '1en' THEN 0.55 WHEN '1de' THEN 0.15 WHEN '1fr' THEN 0.15 WHEN '1es' THEN 0.15 ELSE 0.05 END", "budget")},
-{_budget(2, ["kd", "kl", "ks"], "1.0", "budget")},
+n2 AS (SELECT kd, kl, ks, capacity::DOUBLE AS c, 1.0::DOUBLE AS w FROM leaves),
+n1 AS (SELECT kd, kl, sum(c) AS c, CASE kl WHEN '1en' THEN 0.55 WHEN '1de' THEN 0.15 WHEN '1fr' THEN 0.15 WHEN '1es' THEN 0.15 ELSE 0.05 END::DOUBLE AS w FROM n2 GROUP BY ALL),
+n0 AS (SELECT kd, sum(c) AS c, CASE WHEN kd = '1web' THEN 0.6 ELSE 0.4 END::DOUBLE AS w FROM n1 GROUP BY ALL),
+{_budget(0, ["kd"], "(SELECT sum(held) FROM leaves)")},
+{_budget(1, ["kd", "kl"], "budget")},
+{_budget(2, ["kd", "kl", "ks"], "budget")},
 p AS (SELECT kd, kl, ks, e, budget - e * held AS part FROM (SELECT *, least(CASE WHEN held > 0 THEN floor(budget / held + 1e-9) ELSE 0 END, 2)::INT AS e FROM b2 JOIN leaves USING (kd, kl, ks))),
 q AS (SELECT d.*, e, part, coalesce(sum(tokens) OVER (PARTITION BY kd, kl, ks ORDER BY md5(concat_ws(':', '29/' || e, o)), tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN p USING (kd, kl, ks)),
 t AS (SELECT *, e + CASE WHEN part > 1e-6 AND before < part - 1e-6 THEN 1 ELSE 0 END AS times FROM q)

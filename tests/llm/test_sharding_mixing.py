@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ def test_shard_query(spark, sf):
 
 
 def test_odd_shards(odd_docs, no_docs):
-    rows = sharding.interleave_shards(odd_docs.drop("shard"), shards=4, tie_cols=("text",)).collect()
+    rows = sharding.interleave_shards(odd_docs, shards=4, tie_cols=("text",)).collect()
     sizes = Counter(r["shard"] for r in rows)
     assert len(rows) == odd_docs.count() and max(sizes.values()) - min(sizes.values()) <= 1
-    assert sharding.interleave_shards(no_docs.drop("shard")).count() == 0
+    assert sharding.interleave_shards(no_docs).count() == 0
 
 
 def leaves(spark, rows):
@@ -73,3 +74,50 @@ def test_odd_mixture(odd_docs, no_docs):
     rows = queries.mixture(odd_docs).collect()
     assert 0 < len(rows) <= odd_docs.count()
     assert queries.mixture(no_docs).count() == 0
+
+
+def slow_budgets(tree, total):
+    """Water-filling by halving: ``tree`` is {name: (weight, capacity or subtree)}; leaves' budgets by path."""
+
+    def take(weight, held):
+        return 0.0 if weight <= 0 else held if not isinstance(held, dict) else sum(take(w, h) for w, h in held.values())
+
+    def fill(children, total, path, out):
+        caps = {k: take(w, h) for k, (w, h) in children.items()}
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(caps[k], max(w, 0) * mid) for k, (w, _) in children.items()) < total else (low, mid)
+        for k, (w, held) in children.items():
+            own = min(caps[k], max(w, 0) * high)
+            if isinstance(held, dict):
+                fill(held, own, (*path, k), out)
+            else:
+                out[(*path, k)] = own
+        return out
+
+    return fill(tree, total, (), {})
+
+
+def test_budgets_against_water_filling(spark):
+    rng = random.Random(4)
+    for trial in range(6):
+        tree = {f"d{i}": (rng.choice([0.0, 1.0, 2.5]), {f"s{j}": (rng.choice([0.0, 0.0, 1.0, 3.0]), float(rng.randrange(1, 200))) for j in range(rng.randrange(1, 5))}) for i in range(4)}
+        rows = [(d, s, float(c), wd, ws) for d, (wd, held) in tree.items() for s, (ws, c) in held.items()]
+        total = float(rng.randrange(1, 900))
+        got, want = budget(spark, rows, total), slow_budgets(tree, total)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want), trial
+
+
+def test_budget_that_a_weightless_child_cannot_take(spark):
+    rows = [("x", "a", 100.0, 1.0, 0.0), ("x", "b", 10.0, 1.0, 1.0), ("y", "c", 1000.0, 1.0, 1.0)]
+    assert budget(spark, rows, 100.0) == {("x", "a"): 0, ("x", "b"): 10, ("y", "c"): 90}
+
+
+def test_clashing_names_are_kept(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, epoch string, shard string, slot string, _row int, _key int, c0 int, _sum int, C1 int"
+    docs = spark.createDataFrame([(i, "a b c", "en", "s1", 5, "e", "sh", "sl", i, i, i, i, i) for i in range(40)], names)
+    rows = queries.mixture(docs, share=0.5).collect()
+    assert len(rows) == 20 and all(r["shard"] == "sh" and r["_row"] == r["c0"] == r["C1"] == r["doc_id"] and r["epoch"] == 0 for r in rows)
+    rows = sharding.interleave_shards(docs, shards=4).collect()
+    assert len(rows) == 40 and all(r["epoch"] == "e" and r["_key"] == r["_sum"] == r["doc_id"] and r["shard"] in range(4) for r in rows)
