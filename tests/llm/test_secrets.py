@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from attestry.llm import queries, secrets
 
@@ -84,3 +88,28 @@ def test_odd_rows(odd_docs, no_docs):
     out = secrets.scan_secrets(odd_docs)
     assert out.count() == odd_docs.count() and out.columns == [*odd_docs.columns, "spans"]
     assert secrets.scan_secrets(no_docs).count() == 0
+
+
+def test_many_matches_and_long_texts_in_proportion(spark):
+    rng = random.Random(3)
+    hexes = " ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(20_000))
+    mixed = "".join(rng.choice(["token=" + "Z" * 14 + " ", "é漢🎉 ", "AKIA" + "Q" * 16 + "\n", "0" * 20 + " "]) for _ in range(3000))
+    texts = [hexes, mixed, " " * 5_000_000 + "deadbeefdeadbeef", "f" * 3_000_000, "́" * 1_000_000, "x" * 4095 + " AKIA" + "B" * 5000 + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    rows = {r["doc_id"]: r for r in secrets.redact(secrets.scan_secrets(docs).withColumn("old", F.col("text"))).collect()}
+    for i, t in enumerate(texts):
+        spans, text, at = [tuple(s) for s in rows[i]["spans"]], "", 0
+        assert spans == slow_spans(t)
+        for start, _, end, kind in spans:
+            if start >= at:
+                text += t[at:start] + f"[secret:{kind}]"
+            at = max(at, end)
+        assert rows[i]["text"] == text + t[at:]
+    assert time.monotonic() - began < 90
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "token=deadbeefdeadbeef", "own", 5, 6, 7)], "doc_id long, text string, SPANS string, row int, kinds int, c1 int")
+    row = secrets.scan_secrets(docs).first()
+    assert (row["row"], row["kinds"], row["c1"]) == (5, 6, 7) and [s["kind"] for s in row["spans"]] == ["assign", "hex"]
