@@ -71,14 +71,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal a plain scan out over all cores if it has fewer splits than these; larger inputs are left as they are."""
+    """Deal a plain scan out over all cores if it has fewer splits than these; larger inputs are left as they are.
+
+    So a small input is shuffled once, texts included; what is computed of it does not change."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the tables that ``saved`` wrote for this application; call it when their readers are done."""
+def written(spark: SparkSession) -> int:
+    """How many tables ``saved`` has written for this application and not yet deleted."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``saved`` wrote for this application after the first ``since``, but for the last ``keep``.
+
+    Call it when their readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths[since : len(paths) - keep]:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+    del paths[since : len(paths) - keep]
