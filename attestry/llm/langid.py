@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .columns import set_aside
 
 BITS = 17
 UNDECIDED = "und"
@@ -28,11 +29,10 @@ BORDER = np.uint64(7)
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """True for code points that make up words: letters and marks."""
-    table = np.zeros(0x110000, bool)
+    """2 for letters, 1 for marks, which belong to a word but make none alone, 0 for other code points."""
+    table = np.zeros(0x110000, np.uint8)
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] in "LM":
-            table[c] = True
+        table[c] = {"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0)
     return table
 
 
@@ -49,18 +49,24 @@ class Words:
     windows: np.ndarray
     first_window: np.ndarray
     affixes: np.ndarray  # two per word
-    whole: np.ndarray
+    whole: np.ndarray  # 64-bit hash of the word
     per_text: np.ndarray
 
 
 def read_words(texts: list[str | None]) -> Words:
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer(("\n\n" + "\n\n".join(lowered) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _letters()[codes]
-    c = np.where(inside, codes, 0).astype(np.uint64) * np.uint64(0x100000001B3) + BORDER
-    c[~inside] = BORDER
+    kinds = _letters()[codes]
+    inside = kinds > 0
     edge = np.diff(inside.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    letters = np.concatenate(([0], np.cumsum(kinds == 2)))
+    real = letters[ends] > letters[starts]
+    for a, b in zip(starts[~real].tolist(), ends[~real].tolist()):
+        inside[a:b] = False
+    starts, ends = starts[real], ends[real]
+    c = np.where(inside, codes, 0).astype(np.uint64) * np.uint64(0x100000001B3) + BORDER
+    c[~inside] = BORDER
     at = np.flatnonzero(inside)
     a, b, d = np.uint64(0x9E3779B1), np.uint64(0x85EBCA6B), np.uint64(0xC2B2AE35)
     windows = _mix(c[at - 1] * a + c[at] * b + c[at + 1] * d, 1)
@@ -75,7 +81,7 @@ def read_words(texts: list[str | None]) -> Words:
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 2
     borders = np.concatenate(([0], np.cumsum(lengths)))
     per_text = np.diff(np.searchsorted(starts, borders))
-    return Words(windows, first, np.stack([_mix(head, 2), _mix(tail, 3)], axis=1), _mix(whole, 4), per_text)
+    return Words(windows, first, np.stack([_mix(head, 2), _mix(tail, 3)], axis=1), whole, per_text)
 
 
 @dataclass
@@ -83,7 +89,8 @@ class LanguageModel:
     labels: list[str]
     window: np.ndarray  # weights: feature by label
     affix: np.ndarray
-    lexicon: np.ndarray
+    words: np.ndarray  # hashes of the lexicon's words, sorted
+    lexicon: np.ndarray  # weights: word by label, and zeros for all other words
     start: np.ndarray
     step: np.ndarray  # transitions, from row to column
 
@@ -91,7 +98,15 @@ class LanguageModel:
         if not len(words.whole):
             return np.zeros((0, len(self.labels)), np.float32)
         out = np.stack([np.add.reduceat(column[words.windows], words.first_window) for column in self.window.T.copy()], axis=1)
-        return out + self.affix[words.affixes[:, 0]] + self.affix[words.affixes[:, 1]] + self.lexicon[words.whole]
+        return out + self.affix[words.affixes[:, 0]] + self.affix[words.affixes[:, 1]] + self.lexicon[_places(self.words, words.whole)]
+
+
+def _places(lexicon: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of each word in the lexicon; behind its end for words that it does not hold."""
+    if not len(lexicon):
+        return np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
+    return np.where(lexicon[at] == words, at, len(lexicon))
 
 
 def forward_backward(emit: np.ndarray, start: np.ndarray, step: np.ndarray, lengths: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
@@ -163,7 +178,9 @@ def fit(texts: list[str], langs: list[str], chain: int = 64, rounds: int = 15, r
     truth = np.repeat(np.array([labels.index(x) for x in langs], np.int64), words.per_text) if texts else np.zeros(0, np.int64)
     n = len(truth)
     of_window = np.repeat(np.arange(n), np.diff(np.append(words.first_window, len(words.windows)))) if n else np.zeros(0, np.int64)
-    known = np.bincount(words.whole, minlength=size) >= least
+    distinct, seen_times = np.unique(words.whole, return_counts=True)
+    lexicon = distinct[seen_times >= least]
+    held = _places(lexicon, words.whole)
 
     def spread(per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         columns = [[], [], []]
@@ -171,17 +188,18 @@ def fit(texts: list[str], langs: list[str], chain: int = 64, rounds: int = 15, r
             w = per_word[:, j]
             columns[0].append(np.bincount(words.windows, w[of_window], size))
             columns[1].append(np.bincount(words.affixes[:, 0], w, size) + np.bincount(words.affixes[:, 1], w, size))
-            columns[2].append(np.bincount(words.whole, w, size) * known)
+            columns[2].append(np.append(np.bincount(held, w, len(lexicon) + 1)[: len(lexicon)], 0.0))
         return tuple(np.stack(x, axis=1) for x in columns)
 
     eye = np.eye(k)
     counts = spread(eye[truth])
     weights = []
     for c in counts:
-        seen = np.log((c + 0.1) / (c.sum(axis=0) + 0.1 * size))
+        seen = np.log((c + 0.1) / (c.sum(axis=0) + 0.1 * len(c)))
         weights.append(0.3 * (seen - seen.mean(axis=1, keepdims=True)) * (c.sum(axis=1, keepdims=True) > 0))
     start, step = np.zeros(k), 3.0 * eye
-    model = LanguageModel(labels, *[w.astype(np.float32) for w in weights], start, step)
+    window, affix, word = (w.astype(np.float32) for w in weights)
+    model = LanguageModel(labels, window, affix, lexicon, word, start, step)
     if n < chain or k < 2:
         return model
     grads2 = [np.full_like(w, 1e-2, np.float64) for w in weights]
@@ -216,21 +234,25 @@ def fit(texts: list[str], langs: list[str], chain: int = 64, rounds: int = 15, r
     return model
 
 
-def train(docs: DataFrame, may_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 600, seed: int = 3) -> LanguageModel:
-    """Fit on about ``most`` labelled rows where ``may_train`` holds, drawn by a seeded hash of the id; the bound limits
-    what reaches the driver, which is whole texts. Rows without label, id or text are not used."""
-    able = docs.select(id_col, text_col, lang_col).filter(may_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+def train(docs: DataFrame, may_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 600, longest: int = 200_000, seed: int = 3) -> LanguageModel:
+    """Fit on about ``most`` labelled texts of at most ``longest`` characters where ``may_train`` holds, drawn by a seeded
+    hash of the id; so ``most`` times ``longest`` characters bound what reaches the driver. Rows without label, id or text
+    are not used. Rows of one id are drawn together. Without rows the model knows no language but ``und``."""
+    able = docs.select(id_col, text_col, lang_col).filter(may_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= longest))
     share = int((1 << 30) * min(1.0, most / max(1, able.count())))
     drawn = able.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < share)
-    rows = drawn.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("o")).toArrow().sort_by([("o", "ascending"), ("t", "ascending")])
+    rows = drawn.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("o")).toArrow().sort_by([("o", "ascending"), ("t", "ascending"), ("l", "ascending")])
     return fit(rows["t"].to_pylist(), rows["l"].to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``score`` (mean posterior of that language).
 
-    Null texts and texts without a letter get ``und`` and score 0. Like-named columns of ``docs`` are replaced. The
-    model is broadcast: its size is fixed by the feature table and the number of languages. No shuffle.
+    Null texts and texts without a letter (marks alone are none) get ``und`` and score 0. Whole texts of any length are
+    read, in batches of about ``CHUNK`` characters or one text; of languages with equal posteriors the first by name
+    wins; repeated rows are predicted alike; an empty table gives an empty result. Columns of ``docs`` named as a result
+    are replaced, others keep their values whatever their names. The model is broadcast: its tables hold two times
+    2^``BITS`` features and the lexicon of the bounded sample, times the languages. No shuffle.
     """
     spark = ship(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
@@ -244,7 +266,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         scores = np.where(count > 0, np.clip(mean[np.arange(len(best)), best], 0.0, 1.0), 0.0) if len(best) else np.zeros(0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text_col))).withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    rows, back = set_aside(docs, guess=guess(F.col(text_col)))
+    return rows.select(*back("lang_pred", "score"), F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
 def word_languages(text: str | None, model: LanguageModel) -> list[str]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .columns import set_aside
 
 CLASSES = 12
 EXTRA = 6
@@ -150,7 +151,8 @@ def train(docs: DataFrame, positives: DataFrame, may_train: Column, id_col: str
 
     Both are drawn by a seeded hash of the id, among rows where ``may_train`` holds (an expression over the id, valid
     for both tables); only their feature rows reach the driver (600 bytes each). Labels of other classes are not
-    used. Repeated labels count once; null ids are not used.
+    used. Repeated labels count once; null ids are not used; without any label every text scores 1. Rows of one id are
+    drawn together, ties of the order among drawn rows broken by their features.
     """
     ship(docs.sparkSession)
     trusted = positives.select(F.col(id_col)).filter(may_train & F.col(id_col).isNotNull()).distinct()
@@ -163,7 +165,7 @@ def train(docs: DataFrame, positives: DataFrame, may_train: Column, id_col: str
     def measure(texts: pa.Array) -> pa.Array:
         return pa.array([features(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    drawn = docs.select(id_col, text_col).filter(may_train & F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col, "left").withColumn("_drawn", other)
+    drawn = docs.select(F.col(id_col), F.col(text_col)).filter(may_train & F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col, "left").withColumn("_drawn", other)
     got = drawn.filter("_trusted OR _drawn").select(F.coalesce("_trusted", F.lit(False)).alias("t"), "_drawn", measure(text_col).alias("x"), F.xxhash64(id_col).alias("o")).toArrow().sort_by([("o", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, WIDTH)
     is_pos, is_unl = np.array(got["t"].to_pylist(), bool), np.array(got["_drawn"].to_pylist(), bool)
@@ -173,7 +175,9 @@ def train(docs: DataFrame, positives: DataFrame, may_train: Column, id_col: str
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on); only the text is read.
 
-    Null texts score as empty ones do. Like-named columns of ``docs`` are replaced. No shuffle.
+    Whole texts of any length are read, in slices; null texts score as empty ones do; other columns may be null;
+    repeated rows score alike; an empty table gives an empty result. Columns of ``docs`` named as a result are replaced,
+    others keep their values whatever their names. No shuffle.
     """
     ship(docs.sparkSession)
 
@@ -182,4 +186,5 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshol
         rows = [features(t) for t in texts.to_pylist()]
         return pa.array(model.scores(np.vstack(rows)) if rows else np.zeros(0), pa.float64())
 
-    return docs.withColumn("score", rate(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows, back = set_aside(docs, rated=rate(F.col(text_col)))
+    return rows.select(*back("score", "predicted"), F.col("rated").alias("score"), (F.col("rated") >= threshold).cast("int").alias("predicted"))

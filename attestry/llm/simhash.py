@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, ship
@@ -77,7 +77,11 @@ def _shared_bytes(x):
 
 
 def candidate_links(classes: DataFrame, max_bits: int = 2, posting_cap: int = 16) -> DataFrame:
-    """Verified links (``a`` < ``b``) that connect exactly what all pairs within ``max_bits`` (at most 2) would connect."""
+    """Verified links (``a`` < ``b``) that connect exactly what all pairs within ``max_bits`` (at most 2) would connect.
+
+    ``classes`` has one row per distinct ``fp``, none of them null; repeated rows would meet themselves for nothing and
+    give no link. Other columns are not read; an empty table gives an empty result.
+    """
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees complete links up to two bits")
     pair = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
@@ -116,7 +120,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links (``a``, ``b``): rows (``node``, ``root``), root the smallest node reached.
 
     Alternates large-star and small-star steps; each round is written to the shared folder, and only a count
-    reaches the driver.
+    reaches the driver. Repeated links and links of a node to itself change nothing; rows with a null end are left out; a
+    node without links gives no row, nor does an empty table.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -130,7 +135,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     summary = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = edges.select(summary).first()[0]
     for _ in range(max_rounds):
@@ -151,8 +156,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links of at most ``max_bits`` differing bits, the row's own
     included. Copies are reduced to one class per fingerprint before any posting is built. Null or empty texts have
-    fingerprint 0 and form one class; rows without an id stay and take the smallest id of their component (null if
-    it has none); repeated rows stay repeated; an empty table gives an empty result. Other columns are not read.
+    fingerprint 0 and form one class; texts of any length are hashed whole; rows without an id stay and take the smallest
+    id of their component (null if it has none); repeated rows stay repeated; an empty table gives an empty result.
+    Other columns are not read.
     """
     rows = saved(fingerprints(docs, id_col, text_col, width), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -189,9 +195,13 @@ def _common_shingles(docs: DataFrame, text_col: str, width: int, sample: int = 4
     return np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups linked by a Jaccard similarity of ``width``-word shingle sets of at least ``similarity``: one row per row
-    of ``docs`` with ``doc_id``, ``text_key`` (a hash of the text) and ``root``, the group.
+    of ``docs`` with ``doc_id``, ``text_key`` (a hash of the text, one for null and empty ones) and ``root``, the group.
 
     Fingerprints differ in more bits the longer the changed part is, so a radius alone neither finds nor proves such
     pairs. Candidates are the fingerprint index's links and, for the rest, postings of each set's prefix: with rare
@@ -199,7 +209,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     First each posting's members meet its smallest; what this leaves in different groups then meets pair by pair, so
     a large group of copies costs no square. Every candidate is verified: by a 512-bit parity sketch, whose
     differing bits never exceed the differing shingles, then by the sets themselves. No similar pair is left out.
-    Texts without words form one group.
+    Texts without words, null ones too, form one group. Ids may be null or repeat; repeated rows are one class and stay
+    repeated; whole texts of any length are read; other columns are not read; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     common, weight = _common_shingles(docs, text_col, width)
@@ -227,7 +238,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
         columns = list(zip(*out)) if out else [()] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    text_key = F.xxhash64(text_col)
+    text_key = text_hash(F.col(text_col))
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), facts(text_col).alias("f")).select("doc_id", "text_key", "f.*"), "shingle-facts")
     classes = saved(rows.groupBy("set_key").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "marks", "prefix")]), "shingle-classes")
     facts_of = classes.select("set_key", "n", "marks")

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from attestry import session
 from attestry.llm import simhash
 
 
@@ -19,11 +22,42 @@ def test_stages_take_effect(spark, sf):
     assert len({r["doc_id"] for r in packed}) == before
 
 
-def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs, sf):
-    for rows in (odd_docs, no_docs):
-        for name, stage in corpus_pipeline.STAGES:
+def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs, clashes, sf):
+    labels = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert labels
+    for start in (odd_docs, no_docs):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             rows = stage(spark, rows, sf)
-            rows.count()
+            assert rows.columns == start.columns, name
+            assert all(r[c] in (None, f"own {c}") for r in rows.collect() for c in clashes), name
+        corpus_pipeline.pack_sequences(spark, start, sf).count()
+
+
+def test_long_texts_pass_every_stage(spark, long_docs, sf):
+    rows = long_docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        rows = stage(spark, rows, sf)
+    assert rows.count() > 0
+    lengths = {r["doc_id"]: r["n"] for r in corpus_pipeline.pack_sequences(spark, long_docs, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert lengths.keys() == set(range(5)) and lengths[0] > 1_000_000
+
+
+def test_one_row_stays_of_each_group_and_no_other_goes(spark, sf):
+    keep = lambda rows: [tuple(r)[:2] for r in corpus_pipeline.keep_one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, spare string"), sf).collect()]
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    assert sorted(keep([(1, a, "en", "x"), (1, b, "en", "x"), (2, c, "en", "x")])) == [(1, a), (1, b), (2, c)]
+    assert sorted(keep([(5, a, "en", "x"), (3, a, "en", "x"), (5, b, "en", "x")])) == [(3, a), (5, b)]
+    assert sorted(keep([(None, a, "en", "x"), (3, a, "en", "x"), (None, b, None, None), (None, b, None, None)]), key=str) == [(3, a), (None, b)]
+    assert keep([(4, a, "en", "z"), (4, a, "en", "y"), (4, a, "en", "y")]) == [(4, a)]
+    twice = [corpus_pipeline.keep_one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string, spare string"), sf).first()["spare"] for rows in ([(4, a, "z"), (4, a, "y")], [(4, a, "y"), (4, a, "z")])]
+    assert twice[0] == twice[1]
+
+
+def test_run_deletes_what_stages_wrote(spark, sf):
+    before = session.written(spark)
+    rows = corpus_pipeline.run(spark, sf)
+    assert session.written(spark) == before + 1 and rows.count() > 0
 
 
 def test_near_copies_go_by_five_words(spark, sf):

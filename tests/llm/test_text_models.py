@@ -170,3 +170,106 @@ def test_leftovers_stay_in_bounded_groups(spark):
     assert len(packed) == 1000
     groups = [r["sequence_id"] // 16 % (1 << 24) for r in packed]
     assert max(groups.count(g) for g in set(groups)) < 200  # no two fit together, and all 1000 met in one group before
+
+
+def test_long_texts_in_one_pass(spark, long_docs, library):
+    whole = {r["doc_id"]: r["text"] for r in long_docs.collect()}
+    n = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in whole.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in byte_bpe.count_tokens(long_docs, queries.vocabulary()).collect()} == n
+    pieces = packing.token_pieces(long_docs, queries.vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] - 1 for r in pieces} == n
+    model = langid.fit(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+    langs = {r["doc_id"]: r["lang_pred"] for r in langid.predict(long_docs, model).collect()}
+    assert langs[3] == "und" and langs.keys() == whole.keys()
+    labels = spark.createDataFrame([(0, 1), (4, 1)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in quality.score(long_docs, quality.train(long_docs, labels, F.lit(True))).collect())
+
+
+def test_ids_of_random_texts_are_the_library_s(library):
+    own, rng = packing.encoder(queries.vocabulary()), random.Random(8)
+    texts = ["", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", *("".join(rng.choices(ALPHABET, k=rng.randrange(40))) for _ in range(3000))]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids
+
+
+def fewest(lengths, capacity):
+    """Fewest bins by trying every bin for each item, longest first."""
+    best, items = len(lengths), sorted(lengths, reverse=True)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(items):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[at]}:
+            rest = list(rooms)
+            rest[rest.index(room)] -= items[at]
+            place(at + 1, rest)
+        place(at + 1, [*rooms, capacity - items[at]])
+
+    place(0, [])
+    return best
+
+
+def test_sequences_against_the_fewest_possible():
+    rng, over = np.random.default_rng(6), 0
+    for _ in range(60):
+        lengths = rng.integers(1, 60, rng.integers(1, 11))
+        got = len(packing.local_search(packing.best_fit(lengths, 100), lengths, 100))
+        want = fewest(lengths.tolist(), 100)
+        assert want <= got <= want + 1
+        over += got > want
+    assert over <= 3
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = spark.range(1000).select(F.lit(7).alias("doc_id"), F.lit(0).alias("piece"), F.lit(500).alias("length"), F.lit("own").alias("offset"), F.col("id").alias("row"))
+    packed = packing.pack(rows, 2048, group_rows=100).collect()
+    assert check_sequences(packed) <= 255 and sorted(r["row"] for r in packed) == list(range(1000))
+    groups = [r["sequence_id"] // 16 % (1 << 24) for r in packed]
+    assert max(groups.count(g) for g in set(groups)) < 300
+
+
+def test_marks_alone_are_no_letters():
+    model = langid.fit(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+    assert langid.label_texts(["\u0301\u0301 \u0301", "\u0301 the", "12 !"], model)[1].tolist() == [0, 1, 0]
+    assert langid.word_languages("the \u0301 der", model) == ["en", "de"]
+
+
+def slow_descend(p, u, prior, steps, rate=0.05, decay=1e-3, batch=2048):
+    """The non-negative risk step by step, one row at a time, with the same draws and the same optimizer."""
+    width, draw = p.shape[1] + 1, np.random.default_rng(11)
+    w, m, v = [0.0] * width, [0.0] * width, [0.0] * width
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    for step in range(1, steps + 1):
+        ip, iu = draw.integers(0, len(p), min(batch, len(p))), draw.integers(0, len(u), min(batch, len(u)))
+        positive, other = [[*p[i], 1.0] for i in ip], [[*u[i], 1.0] for i in iu]
+        dot = lambda row: sum(a * b for a, b in zip(row, w))
+        plus = [sum(-sigma(-dot(r)) * r[j] for r in positive) / len(positive) for j in range(width)]
+        minus_p = [sum(sigma(dot(r)) * r[j] for r in positive) / len(positive) for j in range(width)]
+        minus_u = [sum(sigma(dot(r)) * r[j] for r in other) / len(other) for j in range(width)]
+        second = sum(np.log(1 + np.exp(dot(r))) for r in other) / len(other) - prior * sum(np.log(1 + np.exp(dot(r))) for r in positive) / len(positive)
+        for j in range(width):
+            g = prior * plus[j] + minus_u[j] - prior * minus_p[j] if second >= 0 else prior * minus_p[j] - minus_u[j]
+            g += decay * w[j] * (j < width - 1)
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
+            w[j] -= rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def test_risk_and_prior_against_plain_loops():
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(1, 1, (12, 3)), rng.normal(-0.5, 1, (15, 3))
+    for prior in (0.2, 0.6, 0.95):
+        w, b = quality._descend(p, u, prior, 40)
+        assert np.allclose([*w, b], slow_descend(p, u, prior, 40), atol=1e-9)
+    a, c = rng.normal(1, 1, 400), np.concatenate([rng.normal(1, 1, 300), rng.normal(-3, 1, 200)])
+    best = None
+    for cut in sorted(set(np.quantile(a, np.linspace(0, 0.98, 99)).tolist())):
+        qp, qu = sum(x >= cut for x in a) / len(a), sum(x >= cut for x in c) / len(c)
+        width = (np.sqrt(np.log(40) / (2 * len(c))) + np.sqrt(np.log(40) / (2 * len(a)))) / max(qp, 1e-9)
+        if best is None or qu / max(qp, 1e-9) + width < best[0]:
+            best = (qu / max(qp, 1e-9) + width, qu / max(qp, 1e-9))
+    assert abs(quality.best_bin_prior(a, c) - best[1]) < 1e-12
