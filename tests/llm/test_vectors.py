@@ -42,6 +42,21 @@ def test_topk_beyond_doubles(spark):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == {t for t in slow_topk(list(enumerate(vectors)), 3, 1) if t[0] == 0}
 
 
+def test_scores_beyond_a_long_count_as_its_ends(spark):
+    vectors = [[1e10, 1.0], [2e10, 1.0], [-3e10, 1.0], [3e38, 0.0], [1.0, 1.0]]
+    got = pivot_topk.pivot_topk(table(spark, vectors), F.col("vec_id") == 0, 5)
+    exact = {i: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(*[np.floor(256 * np.array(v, np.float32).astype(float)).tolist() for v in (vectors[0], vectors[i])])))) for i in range(1, 5)}
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_pivots_rule_out_candidates_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 16))
+    vectors = [(c + rng.normal(scale=0.02, size=16)).astype(np.float32).tolist() for c in centers for _ in range(60)]
+    got = pivot_topk.pivot_topk(table(spark, vectors), F.col("vec_id") % 40 == 0, 5, query_rows=10, candidate_rows=200)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == slow_topk(list(enumerate(vectors)), 5, 40)
+
+
 def odd(spark):
     nan, inf = float("nan"), float("inf")
     return table(spark, [[1.0, 0.0], None, [nan, 1.0], [1.0, None], [inf, 0.0], [0.0, 0.0], [0.5, 0.5], [1.0, 0.0], [0.3]])
