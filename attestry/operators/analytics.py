@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import small
+from .running import carried, quantiles, running
 
 RISK = ["Fake", "Likely Fake", "Needs Review", "Likely Genuine", "Genuine"]
 FRESH_DAYS = {"Genuine": 180, "Likely Genuine": 90, "Needs Review": 14, "Likely Fake": 30, "Fake": 7}
 
 
 def hourly_rollup(rows: DataFrame, at: str, value: str, flags: dict[str, Column], extra_keys: list[str] | None = None) -> DataFrame:
-    """Per hour: count, mean, exact median and 95th percentile, and a count for each flag."""
-    return rows.groupBy(F.date_trunc("hour", at).alias("hour"), *(extra_keys or [])).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.avg(value).alias("avg_ms"),
-        F.percentile(value, 0.5).alias("p50_ms"),
-        F.percentile(value, 0.95).alias("p95_ms"),
-        *[F.count_if(cond).alias(name) for name, cond in flags.items()],
-    )
+    """Per hour: count, mean, exact median and 95th percentile (between neighbours), and a count for each flag.
+
+    Percentiles come from counts of distinct values, so an hour's values never meet in one buffer."""
+    keys = ["hour", *(extra_keys or [])]
+    timed = rows.withColumn("hour", F.date_trunc("hour", at))
+    counts = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.avg(value).alias("avg_ms"), *[F.count_if(cond).alias(name) for name, cond in flags.items()])
+    found = quantiles(timed, keys, value, {"p50_ms": 0.5, "p95_ms": 0.95}).select(*keys, "p50_ms", "p95_ms")
+    return counts.join(found, keys, "left").select(*keys, "total", "avg_ms", "p50_ms", "p95_ms", *flags)
 
 
 def with_cache_hits(runs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -78,31 +80,20 @@ def llm_stats(calls: DataFrame) -> DataFrame:
 
 def within_budget(calls: DataFrame, key: str, order: list[str], cost: Column, budget: float) -> DataFrame:
     """Calls with the run's cost up to them and whether the budget still held before them."""
-    w = Window.partitionBy(key).orderBy(*order)
-    spent = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return calls.withColumn("spent_before", spent).withColumn("allowed", spent < budget)
+    out = running(calls, [key], [F.col(c) for c in order], {"spent_before": cost})
+    return out.withColumn("allowed", F.col("spent_before") < budget)
 
 
 def share_of_total(rows: DataFrame, key: str, value: str) -> DataFrame:
-    return rows.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(key)))
+    """Rows with their share of the key's sum; sums are added up before they travel."""
+    totals = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias("_total"))
+    return rows.join(small(totals), rows[key].eqNullSafe(totals["_key"])).withColumn("share", F.col(value) / F.col("_total")).drop("_key", "_total")
 
 
 def nearest_rank(rows: DataFrame, value: str, keys: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Latency statistics with percentiles by nearest rank (element floor(n * p) of the sorted values, from 0).
-
-    Values are ranked by counts of distinct values, so a group's rows need not meet in one list."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys)
-    up_to = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_up", up_to).withColumn("_all", F.sum("_n").over(w))
-    at = lambda p: F.min(F.when(F.col("_up") > F.floor(F.col("_all") * p), F.col(value)))
-    return ranked.groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
-        F.min(value).alias("min"),
-        *[F.coalesce(at(p), F.max(value)).alias(f"p{round(p * 100)}") for p in shares],
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.max(value).alias("max"),
-    )
+    """Latency statistics with percentiles by nearest rank (element floor(n * p) of the sorted values, from 0)."""
+    names = {f"p{round(p * 100)}": p for p in shares}
+    return quantiles(rows, keys, value, ranked=names).select(*keys, "n", "min", *names, "mean", "max")
 
 
 def cache_ratio(rows: DataFrame, layer: str, hit: Column) -> DataFrame:
@@ -116,8 +107,7 @@ def blended_latency(values: Column) -> Column:
 
 def forward_fill(rows: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
     """Nulls take the last value before them."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    return carried(rows, key, order, columns)
 
 
 def health(errors: DataFrame, key: str, failed: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import scalars as X
+from .running import running
 
 
 def validated_upload(rows: DataFrame, name: str = "institution_name", most: int = 512) -> DataFrame:
@@ -30,9 +31,9 @@ def dedupe_saving(items: DataFrame, name: str = "input_name") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], size: int = 1000) -> DataFrame:
-    """Rows with ``row_no`` (from 1) and ``chunk``; an upload holds 50000 rows at most, so one task numbers it."""
-    no = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("row_no", no).withColumn("chunk", F.floor((F.col("row_no") - 1) / size).cast("int"))
+    """Rows with ``row_no`` (from 1) and ``chunk``, numbered by ranges of the order, whatever their number."""
+    out = running(rows, [], [F.col(c) for c in order], {"row_no": F.lit(1)}).withColumn("row_no", F.col("row_no") + 1)
+    return out.withColumn("chunk", F.floor((F.col("row_no") - 1) / size).cast("int"))
 
 
 def progress(items: DataFrame, key: str, done: Column, failed: Column) -> DataFrame:

@@ -39,7 +39,8 @@ def profile(entries: DataFrame, key: str = "normalized_name", order: str = "id",
 
 def fill_from_page(profiles: DataFrame, pages: DataFrame, key: str = "website") -> DataFrame:
     """Missing fields from the extracted page of the profile's site: first e-mail, phone, address, then state and code."""
-    p = pages.select(F.col("url").alias(key), F.get("emails", F.lit(0)).alias("_email"), F.get("phones", F.lit(0)).alias("_phone"), F.coalesce(F.get("addresses", F.lit(0)), F.col("detected_pin_code")).alias("_address"), F.col("detected_state").alias("_state")).dropDuplicates([key])
+    p = pages.select(F.col("url").alias(key), F.get("emails", F.lit(0)).alias("_email"), F.get("phones", F.lit(0)).alias("_phone"), F.coalesce(F.get("addresses", F.lit(0)), F.col("detected_pin_code")).alias("_address"), F.col("detected_state").alias("_state"))
+    p = priority_first(p, [key], [F.to_json(F.struct(*p.columns))])
     met = profiles.join(p, key, "left")
     fill = lambda f: F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(f"_{f}"))
     return met.select(*[fill(c).alias(c) if c in ("email", "phone", "address", "state") else F.col(c) for c in profiles.columns])
@@ -53,7 +54,8 @@ def entry_contacts(entries: DataFrame, pages: DataFrame | None = None) -> DataFr
         web = F.struct(*[none.alias(f) for f in ("email", "phone", "address", "state", "district", "pincode")])
         out = base
     else:
-        p = pages.select(F.col("url").alias("website"), F.struct(F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"), F.get("addresses", F.lit(0)).alias("address"), F.col("detected_state").alias("state"), none.alias("district"), F.col("detected_pin_code").alias("pincode")).alias("_web")).dropDuplicates(["website"])
+        p = pages.select(F.col("url").alias("website"), F.struct(F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"), F.get("addresses", F.lit(0)).alias("address"), F.col("detected_state").alias("state"), none.alias("district"), F.col("detected_pin_code").alias("pincode")).alias("_web"))
+        p = priority_first(p, ["website"], [F.to_json("_web")])
         out, web = base.join(p, "website", "left"), F.col("_web")
     merged = out.withColumn("_c", N.merge_contacts(web, F.col("_registry")))
     return merged.select(*entries.columns, "website", "_c.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
@@ -12,6 +12,7 @@ from ..functions import names as N
 from ..functions import scalars as X
 from ..functions import urls as U
 from .matching import priority_first
+from .running import running
 
 BLOB_CHARS = 102_400
 PAYLOAD_CHARS = 24 * 1024
@@ -111,12 +112,12 @@ def legitimacy_score(evidence: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def capped_prefix(rows: DataFrame, key: str, order: list[Column], size: Column, cap: int) -> DataFrame:
-    """Rows of each key in order up to the first that would pass the cap; the first row always stays. Adds ``ref``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_no", F.row_number().over(w)).withColumn("_sum", F.sum(size).over(up_to))
-    out = out.withColumn("_stop", F.max((F.col("_sum") > cap) & (F.col("_no") > 1)).over(up_to))
-    return out.filter(~F.col("_stop")).withColumn("ref", F.concat(F.lit("e"), F.col("_no").cast("string"))).drop("_no", "_sum", "_stop")
+    """Rows of each key in order up to the first that would pass the cap; the first row always stays. Adds ``ref``.
+
+    Sizes are not negative, so once the sum has passed the cap it stays above."""
+    out = running(rows, [key], order, {"_no": F.lit(1), "_sum": size}).withColumn("_size", size)
+    kept = out.filter((F.col("_no") == 0) | (F.col("_sum") + F.col("_size") <= cap))
+    return kept.withColumn("ref", F.concat(F.lit("e"), (F.col("_no") + 1).cast("string"))).drop("_no", "_sum", "_size")
 
 
 def llm_payload(evidence: DataFrame, key: str = "run_id", cap: int = PAYLOAD_CHARS) -> DataFrame:
@@ -149,10 +150,10 @@ def authority_table(spark: SparkSession) -> DataFrame:
     rows = []
     for kind, own in D.TYPE_AUTHORITIES.items():
         for authority in D.ALWAYS_ASKED:
-            rows.append((kind, authority, D.AUTHORITY_TIERS[authority], "Always-included verification source"))
+            rows.append((kind, authority, D.AUTHORITY_TIERS[authority], "asked for every type"))
         for authority in own:
             if authority not in D.ALWAYS_ASKED:
-                rows.append((kind, authority, D.AUTHORITY_TIERS[authority], D.RATIONALES.get((kind, authority), f"Verification via {authority}")))
+                rows.append((kind, authority, D.AUTHORITY_TIERS[authority], f"{authority} answers for {kind}"))
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "institution_type string, authority string, tier string, rationale string, pos int")
 
 
@@ -167,7 +168,7 @@ def relevant_sources(identities: DataFrame, name: str = "canonical_name", state:
         return out.drop("pos")
     board = reduce(lambda c, b: c.when(F.contains(F.lower(state), F.lit(b[0])), F.lit(b[1])), D.STATE_BOARDS, F.when(F.lit(False), F.lit("")))
     extra = typed.filter("institution_type = 'school'").withColumn("authority", board).filter(F.col("authority").isNotNull() & ~F.col("authority").isin(D.ALWAYS_ASKED + D.TYPE_AUTHORITIES["school"]))
-    extra = extra.withColumn("tier", F.lit("mirror")).withColumn("rationale", F.concat(F.lit("State board verification ("), F.col(state), F.lit(")")))
+    extra = extra.withColumn("tier", F.lit("mirror")).withColumn("rationale", F.concat(F.lit("board of "), F.col(state)))
     return out.drop("pos").unionByName(extra)
 
 

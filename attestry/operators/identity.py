@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
+from ..session import small
 from .matching import priority_first
 
 KEY = ["institution_id", "source", "external_id"]
@@ -26,24 +27,31 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEY, keep: list[str
     return won.select(*[F.coalesce(f"_keep_{c}", c).alias(c) if c in (keep or []) else F.col(c) for c in cols])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is neither in ``old`` nor earlier in ``new``."""
+def any_order(columns: list[str]) -> Column:
+    """An order of rows by all their columns, for want of another: alike on every run."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``old``; of several rows of one key the first by ``order``, then by all columns."""
     cond = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     fresh = new.alias("n").join(old.alias("o"), cond, "left_anti")
-    return fresh.dropDuplicates(keys)
+    return priority_first(fresh, keys, [*([F.col(order)] if order else []), any_order(new.columns)])
 
 
-def update_filled(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Old rows with the filled columns of the new row of equal key."""
-    fresh = new.select(key, *[F.nullif(F.col(c), F.lit("")).alias(f"_new_{c}") for c in columns]).dropDuplicates([key])
+def update_filled(old: DataFrame, new: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Old rows with the filled columns of the new row of equal key; of several the first by ``order``, then by all columns."""
+    first = priority_first(new, [key], [*([F.col(order)] if order else []), any_order(new.columns)])
+    fresh = first.select(key, *[F.nullif(F.col(c), F.lit("")).alias(f"_new_{c}") for c in columns])
     joined = old.join(fresh, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def merge_institutions(institutions: DataFrame, identities: DataFrame, runs: DataFrame, merges: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """Merge institutions by a mapping (``from_id``, ``to_id``): identities and runs point to the target, the source row
-    goes, and an audit row tells. Rows that would repeat an identity of the target are dropped."""
-    step = F.broadcast(merges.filter("from_id <> to_id").dropDuplicates(["from_id"]))
+    goes, and an audit row tells. Rows that would repeat an identity of the target are dropped. Of several targets of one
+    institution the smallest counts. The mapping is broadcast while it is small."""
+    step = small(merges.filter("from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")))
 
     def repoint(rows: DataFrame) -> DataFrame:
         met = rows.join(step, rows["institution_id"] == step["from_id"], "left")

@@ -29,7 +29,6 @@ from ..operators import registry as G
 from ..operators import scoring as P
 from ..session import spread
 from ..streaming import events as V
-from ..streaming import machines as K
 from . import validate as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,13 +247,14 @@ def document_contacts(spark, sf_dir):
     return _texts(spark, sf_dir, "documents").select("doc_id", F.array_join(C.emails(F.col("text")), "|").alias("emails"), C.pin_code(F.col("text")).alias("pin"))
 
 
-_PHONE = """CASE WHEN length(d) = 12 AND regexp_matches(d, '^91[1-4][0-9]{8,9}$|^91[6-9]') THEN '+' || d WHEN length(d) = 10 AND regexp_matches(d, '^[6-9]') THEN '+91' || d
-WHEN length(d) = 11 AND regexp_matches(d, '^0([6-9]|[1-4][0-9]{8,9}$)') THEN '+91' || d[2:] WHEN length(d) = 10 AND regexp_matches(d, '^0[1-4]') THEN '+91' || d[2:]
-WHEN length(d) BETWEEN 9 AND 11 AND regexp_matches(d, '^[1-4][0-9]*$') THEN '+91' || d ELSE '' END"""
+#: The national number as a number: (form, it) for each way of writing it; valid if it has as many digits as the form leaves.
+_PHONE = """CASE WHEN n IS NOT NULL AND length(n::VARCHAR) = k AND (n BETWEEN 6000000000 AND 9999999999 OR n BETWEEN 100000000 AND 499999999 OR n BETWEEN 1000000000 AND 4999999999 OR n BETWEEN 10000000000 AND 49999999999)
+THEN '+91' || n ELSE '' END"""
+_NATIONAL = "SELECT id, raw, CASE WHEN length(d) = 12 AND d[1:2] = '91' THEN 10 WHEN d[1] = '0' AND length(d) IN (10, 11) THEN length(d) - 1 ELSE length(d) END AS k, try_cast(CASE WHEN length(d) = 12 AND d[1:2] = '91' THEN d[3:] WHEN length(d) = 12 THEN NULL WHEN d[1] = '0' AND length(d) IN (10, 11) THEN d[2:] ELSE d END AS BIGINT) AS n FROM d"
 
 
 @query(f"""WITH r AS (SELECT o_orderkey AS id, ['+91 ', '0', '', '(022) ', '91'][o_orderkey % 5 + 1] || (o_orderkey * 7919 % 9000000000 + 1000000000)::BIGINT::VARCHAR AS raw FROM orders), d AS (SELECT id, raw, regexp_replace(regexp_replace(raw, '[-.\\s()]', '', 'g'), '^\\+', '') AS d FROM r)
-SELECT id, raw, {_PHONE} AS phone FROM d""")
+SELECT id, raw, {_PHONE} AS phone FROM ({_NATIONAL})""")
 def phone_numbers(spark, sf_dir):
     marks = F.array(*[F.lit(x) for x in ("+91 ", "0", "", "(022) ", "91")])
     raw = F.concat(F.get(marks, F.col("o_orderkey") % 5), (F.col("o_orderkey") * 7919 % 9000000000 + 1000000000).cast("string"))
@@ -640,16 +640,15 @@ def latest_progress(spark, sf_dir):
     return V.latest_progress(_t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "event_type"))
 
 
-@query()
-def limiter_replay(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return K.replay(e, "user_id", "at", None, "event_id", K.rate_limiter(3, 86400), "allowed boolean, remaining int").select("event_id", "allowed", "remaining")
+@query("SELECT date_trunc('day', ts) AS hour, user_id, count(*) AS offered, greatest(count(*) - 3, 0) AS excess FROM events GROUP BY 1, 2")
+def limit_excess(spark, sf_dir):
+    return V.over_limit(_t(spark, sf_dir, "events"), "user_id", "ts", 86400, 3).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query()
-def breaker_replay(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("failed", F.col("event_type") == "error")
-    return K.replay(e, "user_id", "at", "failed", "event_id", K.circuit_breaker(2, 86400.0), "allowed boolean, state string, failures int").select("event_id", "allowed", "state", "failures")
+@query("""WITH e AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS f FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, f ORDER BY event_id) AS g FROM e)
+SELECT user_id, g::BIGINT AS run, count(*) AS failures, min(event_id) AS first, max(event_id) AS last FROM r WHERE f GROUP BY ALL HAVING count(*) >= 2""")
+def failure_runs(spark, sf_dir):
+    return V.failure_runs(_t(spark, sf_dir, "events"), "user_id", ["event_id"], F.col("event_type").isin("error", "view"))
 
 
 # Flagship ----------------------------------------------------------------------------------------------------

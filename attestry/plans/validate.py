@@ -10,7 +10,7 @@ from ..functions import scalars as X
 from ..operators import evidence as E
 from ..operators import matching as M
 from ..operators import scoring as S
-from ..session import saved
+from ..session import saved, small
 
 
 def fast_path(inputs: DataFrame, cached: DataFrame | None, institutions: DataFrame, entries: DataFrame, as_of: Column, text: str = "input") -> DataFrame:
@@ -20,7 +20,7 @@ def fast_path(inputs: DataFrame, cached: DataFrame | None, institutions: DataFra
     asked = inputs.select(N.lookup_form(F.col(text)).alias("normalized_name")).filter("normalized_name <> ''").distinct()
     parts, rest = [], asked
     if cached is not None:
-        hit = rest.join(cached.select("normalized_name", "verdict").dropDuplicates(["normalized_name"]), "normalized_name")
+        hit = rest.join(cached.groupBy("normalized_name").agg(F.min("verdict").alias("verdict")), "normalized_name")
         parts.append(hit.select("normalized_name", F.lit("L0").alias("level"), "verdict"))
         rest = rest.join(hit.select("normalized_name"), "normalized_name", "left_anti")
     fresh = institutions.filter("deleted_at IS NULL").filter(~X.is_stale(F.col("last_validated_at"), as_of))
@@ -66,7 +66,7 @@ def validate(
     items = found.filter(F.col("tier").isin(tiers)).withColumn("_pos", F.xxhash64("source", "category", "url", "matched_text"))
     scored = E.dedupe(E.normalize(items, as_of)).withColumn("quality_score", E.quality(F.col("tier"), F.col("source"), F.col("kind"), F.col("url"), X.age_days(F.col("observed_at"), as_of)))
     kept = E.stop_tiers(scored)
-    policed = kept.join(F.broadcast(have.withColumn("_own", F.lit(True))), "institution_type", "left").withColumn("institution_type", F.when(F.col("_own"), F.col("institution_type")).otherwise(default_type)).drop("_own")
+    policed = kept.join(small(have.withColumn("_own", F.lit(True))), "institution_type", "left").withColumn("institution_type", F.when(F.col("_own"), F.col("institution_type")).otherwise(default_type)).drop("_own")
     contributed = S.contributions(policed, S.active_policies(policies), as_of)
     decided = S.decide(S.score_runs(contributed), as_of)
     told = S.explain(decided, contributed).select("run_id", "verdict", "score", "confidence", F.col("needs_review").alias("verdict_review"), "terminal_rule", "n_evidence", "remarks", "summary", "sentences", "next_check_at")

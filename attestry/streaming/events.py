@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from ..schemas import EVENT_PAYLOADS, REQUIRED_FIELDS
 
 
@@ -54,8 +55,28 @@ def write_latest(updates: DataFrame, path: str, checkpoint: str, run: str = "run
 
 
 def offered_load(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """How many events each key had in the window that ends at each event, itself included."""
-    from pyspark.sql import Window
+    """Events with ``offered``: how many of their key fell into the ``seconds`` that end with their second, itself included.
 
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds + 1, 0)
-    return events.withColumn("offered", F.count(F.lit(1)).over(w))
+    Counts per second are kept in the stretch of ``seconds`` they lie in and, as history, in the next one, so a hot key is
+    split by time: a task holds two stretches of seconds at most."""
+    timed = events.withColumn("_s", F.unix_seconds(F.col(at).cast("timestamp")))
+    per_second = timed.groupBy(key, "_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_own", F.floor(F.col("_s") / seconds))
+    told = per_second.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(key, "_stretch").orderBy("_s").rangeBetween(-seconds + 1, 0)
+    sums = told.withColumn("offered", F.sum("_n").over(w)).filter("_stretch = _own").select(F.col(key).alias("_key"), F.col("_s").alias("_at"), "offered")
+    return timed.join(sums, timed[key].eqNullSafe(sums["_key"]) & (timed["_s"] == sums["_at"])).drop("_s", "_key", "_at")
+
+
+def over_limit(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
+    """Per key and stretch of ``seconds``: events, and how many of them exceed ``limit``; on streams, by watermark."""
+    counts = tumbling_rollup(events, at, [key], {"offered": F.count(F.lit(1))}, f"{seconds} seconds")
+    return counts.withColumn("excess", F.greatest(F.col("offered") - limit, F.lit(0)))
+
+
+def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column, least: int = 2) -> DataFrame:
+    """Unbroken runs of at least ``least`` failures of a key: (key, ``run``, ``failures``, first and last order value).
+
+    Successes before an event number the runs: failures between two successes share a number."""
+    told = running(events.withColumn("_failed", F.coalesce(failed, F.lit(False))), [key], [F.col(c) for c in order], {"run": F.when(F.col("_failed"), 0).otherwise(1)})
+    runs = told.filter("_failed").groupBy(key, "run").agg(F.count(F.lit(1)).alias("failures"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    return runs.filter(F.col("failures") >= least)

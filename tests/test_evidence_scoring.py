@@ -30,7 +30,7 @@ def scored(spark, items, conflicts=None):
 def test_fake_list_ends_the_scoring(spark):
     r = scored(spark, [item(1), item(2, source="UGC_FAKE")])["r"]
     assert (r["score"], r["verdict"], r["terminal_rule"]) == (0.0, "Fake", "UGC_FAKE")
-    assert r["links"][0]["type"] == "terminal_rule" and r["remarks"] == ["Institution listed on UGC Fake List"]
+    assert r["links"][0]["type"] == "terminal_rule" and r["remarks"] == ["named on the list of fakes"]
     r = scored(spark, [item(1), item(2, source="UGC_FAKE", kind="unavailable")])["r"]
     assert r["terminal_rule"] is None
 
@@ -58,12 +58,12 @@ def test_bands_and_caps(spark):
     r = scored(spark, strong)["r"]
     assert r["verdict"] == "Genuine" and r["recheck_days"] == 365 and not r["needs_review"]
     api = scored(spark, [item(i, tier="api") for i in range(60)])["r"]
-    assert api["verdict"] == "Likely Genuine" and api["remarks"] == ["Verdict capped at Likely Genuine (API-only evidence)"]
+    assert api["verdict"] == "Likely Genuine" and api["remarks"] == ["no mirror or live item, so no higher verdict"]
     few = scored(spark, [item(1, tier="api")])["r"]
-    assert few["insufficient_reasons"] == ["Limited evidence (< 3 sources)", "Only API-tier evidence available"] and few["verdict"] == "Likely Fake"
+    assert few["insufficient_reasons"] == ["fewer than three items were found", "all items are of the api tier"] and few["verdict"] == "Likely Fake"
     torn = scored(spark, strong, [("r", 2)])["r"]
     assert torn["score"] == pytest.approx(0.8) and torn["needs_review"] and torn["confidence"] == pytest.approx(0.6 * 0.8)
-    assert "2 conflicting evidence items" in torn["summary"] and torn["verdict"] == "Likely Genuine"
+    assert "Open conflicts: 2" in torn["summary"] and torn["verdict"] == "Likely Genuine"
 
 
 def test_unavailable_counts_for_nothing(spark):

@@ -1,15 +1,16 @@
 from __future__ import annotations
 
 import random
+import statistics
 
 import __spark_entry__
 from pyspark.sql import functions as F
 
 from attestry.operators import matching as M
+from attestry.operators import running
 from attestry.operators import scoring as P
 from attestry.plans import catalogue, validate
 from attestry.streaming import events as V
-from attestry.streaming import machines as K
 
 
 def run(query, name):
@@ -28,39 +29,39 @@ def test_stream_rollup_is_the_batch_rollup(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("rollup").collect())) == sorted(map(tuple, make(spark.read.parquet(f"{sf}/events.parquet")).collect()))
 
 
-def slow_limiter(times, limit, window):
-    held, out = [], []
-    for t in times:
-        held = [x for x in held if x > t - window]
-        out.append(len(held) < limit)
-        if out[-1]:
-            held.append(t)
-    return out
-
-
-def test_limiter(spark, tmp_path):
+def test_load_and_excess(spark):
     rng = random.Random(1)
-    rows = [(f"u{rng.randrange(5)}", float(rng.randrange(1000)), i) for i in range(400)]
-    df = spark.createDataFrame(rows, "user string, at double, i long")
-    got = {r["i"]: r["allowed"] for r in K.replay(df, "user", "at", None, "i", K.rate_limiter(3, 60), "allowed boolean, remaining int").collect()}
-    for user in {r[0] for r in rows}:
-        mine = sorted((r for r in rows if r[0] == user), key=lambda r: r[1:])
-        assert [got[i] for _, _, i in mine] == slow_limiter([t for _, t, _ in mine], 3, 60)
-    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
-    run(K.stream(stream, "user", "at", None, K.rate_limiter(3, 60), "allowed boolean, remaining int").writeStream.outputMode("append"), "limited")
-    assert spark.table("limited").filter("allowed").count() == sum(got.values())
-
-
-def test_breaker_states():
-    step = K.circuit_breaker(failures=2, open_seconds=10, half_open_most=1)
-    state, seen = {}, []
-    for at, failed in [(0, True), (1, True), (2, False), (12, True), (13, False), (30, False)]:
-        state, answer = step(state, at, failed)
-        seen.append((answer["allowed"], answer["state"]))
-    assert seen == [(True, "closed"), (True, "open"), (False, "open"), (True, "half_open"), (False, "half_open"), (False, "half_open")]
-    step, state = K.circuit_breaker(failures=2, open_seconds=10, reopen_on_failure=True), {"state": "half_open", "failures": 0, "since": 0.0}
-    assert step(state, 5, True)[1]["state"] == "open" and step(state, 5, False)[1]["state"] == "closed"
+    rows = [(rng.choice(["hot", "hot", "hot", "u1", None]), rng.randrange(3000), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "user string, s long, i long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["i"]: r["offered"] for r in V.offered_load(df, "user", "at", 60).collect()}
+    assert got == {i: sum(u == v and s - 60 < t <= s for v, t, _ in rows) for u, s, i in rows}
+    excess = {(r["user"], r["hour"].timestamp()): (r["offered"], r["excess"]) for r in V.over_limit(df, "user", "at", 600, 5).collect()}
+    for u, s, _ in rows:
+        n = sum(u == v and t // 600 == s // 600 for v, t, _ in rows)
+        assert excess[u, s // 600 * 600] == (n, max(0, n - 5))
+
+
+def test_failure_runs(spark):
+    rows = [("a", i, f) for i, f in enumerate([1, 1, 0, 1, 0, 1, 1, 1])] + [("b", 9, 1), ("c", 1, 0), ("d", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, f int")
+    got = V.failure_runs(df, "k", ["i"], F.col("f") == 1).collect()
+    assert sorted((r["k"], r["failures"], r["first"], r["last"]) for r in got) == [("a", 2, 0, 1), ("a", 3, 5, 7)]
+
+
+def test_running_by_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "x", None]), i, rng.choice([None, 1, 2, 5]), rng.choice([None, None, f"v{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, n int, v string")
+    got = {r["i"]: (r["s"], r["c"]) for r in running.running(df, ["k"], [F.col("i")], {"s": F.col("n"), "c": F.lit(1)}, per_range=40).collect()}
+    filled = {r["i"]: r["v"] for r in running.carried(df, ["k"], "i", ["v"], per_range=40).collect()}
+    for k, i, _, _ in rows:
+        before = [r for r in rows if r[0] == k and r[1] < i]
+        assert got[i] == (sum(r[2] or 0 for r in before), len(before))
+        assert filled[i] == next((r[3] for r in reversed(rows[: i + 1]) if r[0] == k and r[3]), None)
+    q = running.quantiles(df, [], "n", {"mid": 0.5}, {"top": 0.99}, per_range=1).first()
+    known = sorted(r[2] for r in rows if r[2])
+    assert (q["mid"], q["top"], q["n"]) == (statistics.median(known), known[int(len(known) * 0.99)], len(known))
+    assert running.running(df.limit(0), ["k"], [F.col("i")], {"s": F.col("n")}).count() == 0
 
 
 def test_typed_events(spark):
