@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import similarity as S
-from ..session import saved
+from ..session import saved, small
 
 RECALL = 0.35
 RECALL_LIMIT = 50
@@ -29,22 +31,56 @@ def distinct_grams(strings: DataFrame, text: str) -> DataFrame:
     return grams.withColumn("n", F.size("grams")).filter("n > 0")
 
 
+def _rare_first(texts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(``text``, ``id``, ``n``, ``grams`` in order of frequency, rarest first)."""
+    posted = texts.select("text", F.xxhash64("text").alias("id"), "n", F.explode("grams").alias("gram")).join(small(frequency, 1_000_000), "gram", "left")
+    ordered = posted.groupBy("id", "n").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("g"))
+    return ordered.select("text", "id", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
+
+
 def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000) -> DataFrame:
     """Pairs (``left_text``, ``right_text``, ``similarity``) of distinct texts above the threshold, strictly.
 
-    Each text is posted under its trigrams, postings meet under a size filter, shared trigrams are counted, and the
-    quotient of shared over united decides. Texts and trigrams are represented by 64-bit hashes and copies meet once.
-    No pair above the threshold is lost. If the left side has at most ``broadcast_grams`` postings (20 bytes each) it
-    is broadcast, so the right side is counted where it lies; beyond that both sides are shuffled by trigram.
+    A pair above the threshold t shares more than t n of the n trigrams of either text, so the first n - floor(t n) of
+    each, the rarest first, hold a trigram in common: only these are posted, and the most frequent trigrams meet only where
+    a text has hardly others. Postings meet under a size filter and a filter on places (what can still follow must be
+    enough); each pair that meets is verified once, by its whole sets. Texts and trigrams are represented by 64-bit
+    hashes and copies meet once. No pair above the threshold is lost, whatever the frequencies. If the left side has at
+    most ``broadcast_grams`` postings (20 bytes each) it is broadcast; beyond that both sides are shuffled by trigram.
     """
-    a = saved(distinct_grams(left, left_text).select(F.col("text").alias("a_text"), F.xxhash64("text").alias("a"), F.col("n").alias("a_n"), "grams"), "left-grams")
-    b = distinct_grams(right, right_text).select(F.col("text").alias("b_text"), F.xxhash64("text").alias("b"), F.col("n").alias("b_n"), "grams")
-    post = lambda df, k: df.select(k, f"{k}_n", F.explode("grams").alias("gram"))
-    few = (a.agg(F.sum("a_n")).first()[0] or 0) <= broadcast_grams
+    mine, theirs = distinct_grams(left, left_text), distinct_grams(right, right_text)
+    frequency = saved(theirs.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram-counts")
+    a, b = saved(_rare_first(mine, frequency), "left-grams"), saved(_rare_first(theirs, frequency), "right-grams")
+
+    def post(texts: DataFrame, k: str) -> DataFrame:
+        first = F.slice("grams", 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
+        return texts.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.posexplode(first).alias(f"{k}_at", "gram"))
+
+    few = (a.agg(F.sum("n")).first()[0] or 0) <= broadcast_grams
     met = post(b, "b").join(F.broadcast(post(a, "a")) if few else post(a, "a"), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
-    shared = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.withColumn("similarity", F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))).filter(F.col("similarity") > threshold)
-    return scored.join(a.select("a", F.col("a_text").alias("left_text")), "a").join(b.select("b", F.col("b_text").alias("right_text")), "b").select("left_text", "right_text", "similarity")
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    pairs = met.filter(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at") > enough).select("a", "b").distinct()
+    side = lambda texts, k: texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("grams").alias(f"{k}_grams"))
+    whole = pairs.join(F.broadcast(side(a, "a")) if few else side(a, "a"), "a").join(side(b, "b"), "b")
+    return whole.select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), S.set_similarity(F.col("a_grams"), F.col("b_grams")).alias("similarity")).filter(F.col("similarity") > threshold)
+
+
+def overlap_join(texts: DataFrame, text: str, tokens: str, share: float) -> DataFrame:
+    """Pairs (``a`` < ``b``) of distinct texts whose token sets share at least ``share`` of the smaller set, or are equal.
+
+    A pair shares at least ceil(share m) of the smaller set's m tokens, so one of its first m - ceil(share m) + 1, the
+    rarest first, is among them: only these look for partners, among all tokens of the larger sets."""
+    rows = texts.select(F.col(text).alias("text"), F.array_distinct(tokens).alias("tokens")).filter("text IS NOT NULL").distinct().withColumn("n", F.size("tokens")).filter("n > 0")
+    rows = saved(rows, "token-sets")
+    posted = rows.select("text", "n", F.explode("tokens").alias("token"))
+    held = posted.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    ranked = posted.join(small(held, 1_000_000), "token").withColumn("at", F.row_number().over(Window.partitionBy("text").orderBy("held", "token")) - 1)
+    asking = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9)).select(F.col("text").alias("s"), F.col("n").alias("sn"), "token")
+    met = asking.join(posted.select(F.col("text").alias("t"), F.col("n").alias("tn"), "token"), "token").filter("s <> t AND sn <= tn")
+    pairs = met.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    side = lambda k: rows.select(F.col("text").alias(k), F.col("tokens").alias(f"{k}_t"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b")
+    return whole.filter(F.size(F.array_intersect("a_t", "b_t")) >= share * F.least(F.size("a_t"), F.size("b_t")) - 1e-9).select("a", "b")
 
 
 def candidate_union(institutions: DataFrame, identities: DataFrame, entries: DataFrame) -> DataFrame:
@@ -82,6 +118,38 @@ def cosine_topk(queries: DataFrame, candidates: DataFrame, id_col: str, vector_c
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def cosine_search(vectors: DataFrame, query: Column, k: int, id_col: str, vector_col: str, query_rows: int = 1024, candidate_rows: int = 8192) -> DataFrame:
+    """The ``k`` rows of largest cosine for each row where ``query`` holds, against all rows but itself, exactly.
+
+    Queries and candidates are dealt by hash into blocks of bounded size; each pair of blocks is one matrix product, and
+    keeps ``k`` rows a query. Zero vectors have cosine 0; null vectors take no part; all have one length."""
+    rows = saved(vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks")), "vectors")
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if("asks").alias("asked")).first()
+    asked_blocks, held_blocks = max(1, -(-n["asked"] // query_rows)), max(1, -(-n["all"] // candidate_rows))
+    block = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    asked = rows.filter("asks").withColumn("qb", block(asked_blocks, 1)).withColumn("cb", every(held_blocks))
+    held = rows.withColumn("cb", block(held_blocks, 2)).withColumn("qb", every(asked_blocks))
+
+    def best(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "candidate_id": [], "cosine": []})
+        right = right.sort_values("id", ignore_index=True)
+        unit = lambda part: (m := np.array(part["v"].tolist(), float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        scores = unit(left) @ unit(right).T
+        ids, out = right["id"].to_numpy(), []
+        for own, row in zip(left["id"].tolist(), scores):
+            row[ids == own] = -np.inf
+            edge = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+            near = np.flatnonzero((row >= edge - 1e-12) & (row > -np.inf))
+            out += [(own, int(ids[i]), float(row[i])) for i in near[np.lexsort((ids[near], -row[near]))][:k]]
+        return pd.DataFrame(out, columns=["query_id", "candidate_id", "cosine"])
+
+    found = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(best, "query_id long, candidate_id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "candidate_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def resolve(
     inputs: DataFrame,
     candidates: DataFrame,
@@ -115,7 +183,12 @@ def resolve(
     key = ["id"] if by_id_only else ["type", "id"]
     first = Window.partitionBy("query_id.input", *key).orderBy("query_id.variant_no", "rank")
     kept = hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("query_id.input").alias("input"), F.col("query_id.state").alias("state"), "type", "id", "name", "source", "similarity")
-    vector = F.lit(None).cast("double") if embed is None else S.cosine(embed(F.col("input")), embed(F.col("name")))
+    vector = F.lit(None).cast("double")
+    if embed is not None:  # each text once, not each pair
+        texts = lambda c: saved(kept.select(c).filter(F.col(c).isNotNull()).distinct().withColumn(f"_{c}_vector", embed(F.col(c))), "vectors")
+        kept = saved(kept, "resolved")
+        kept = kept.join(texts("input"), "input", "left").join(texts("name"), "name", "left")
+        vector = S.cosine(F.col("_input_vector"), F.col("_name_vector"))
     state_match = F.when(F.contains(F.lower("name"), F.col("state")), 1.0).otherwise(0.0)
     scored = kept.withColumn("vector", F.coalesce(F.nullif(vector, F.lit(0.0)), F.lit(0.5))).withColumn("state_match", state_match)
     scored = scored.withColumn("confidence", S.fused(F.col("similarity"), F.col("vector"), F.col("state_match"))).filter(F.col("confidence") >= threshold)

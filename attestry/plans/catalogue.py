@@ -104,16 +104,38 @@ def trigram_union_candidates(spark, sf_dir):
     return M.find_candidates(asked, M.candidate_union(part, sup, cust)).select("query_id", "type", "id", "name", F.round("similarity", 9).alias("similarity"), "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, candidate_id, round(c, 9) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id)::INT AS rank FROM p QUALIFY rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    """Candidates of a query are the rows of its label, as those of a name are what recall found."""
-    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    pairs = asked.join(vectors.select(F.col("vec_id").alias("candidate_id"), "label"), "label").filter("query_id <> candidate_id").select("query_id", "candidate_id")
+    """Rows whose id is divisible by 100 ask all rows."""
+    return M.cosine_search(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 5, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 9))
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON (a.vec_id * 7 + 3) % 1000 = b.vec_id OR a.vec_id + 1 = b.vec_id)
+SELECT query_id, candidate_id, round(c, 9) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, candidate_id)::INT AS rank FROM p""")
+def cosine_rerank(spark, sf_dir):
+    """Pairs that recall found, here two for each row, reranked by cosine."""
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = vectors.select(F.col("vec_id").alias("query_id"), F.explode(F.array_distinct(F.array((F.col("vec_id") * 7 + 3) % 1000, F.col("vec_id") + 1))).alias("candidate_id"))
     return M.cosine_topk(vectors, vectors, "vec_id", "embedding", pairs, 5).withColumn("cosine", F.round("cosine", 9))
 
 
+_OPENINGS = "(SELECT DISTINCT array_to_string(list_filter(string_split({c}, ' '), lambda w: w <> '')[1:6], ' ') AS name FROM {t})"
+
+
+def _openings(table: DataFrame, text: str = "text") -> DataFrame:
+    """First six words of each text: many distinct strings that stand in for names."""
+    return table.select(F.array_join(F.slice(F.filter(F.split(text, " "), lambda w: w != ""), 1, 6), " ").alias("name")).distinct()
+
+
+@query(f"""WITH l AS {_OPENINGS.format(c="text", t="conversations")}, r AS {_OPENINGS.format(c="text", t="documents")}, lg AS (SELECT name, {_TRI.format(c="name")} AS g FROM l), rg AS (SELECT name, {_TRI.format(c="name")} AS g FROM r),
+lp AS (SELECT name, len(g) AS n, unnest(g) AS x FROM lg), rp AS (SELECT name, len(g) AS n, unnest(g) AS x FROM rg)
+SELECT lp.name AS left_text, rp.name AS right_text, round(count(*) / (any_value(lp.n) + any_value(rp.n) - count(*)), 9) AS similarity FROM lp JOIN rp USING (x) GROUP BY 1, 2 HAVING count(*) / (any_value(lp.n) + any_value(rp.n) - count(*)) > 0.35""")
+def trigram_openings(spark, sf_dir):
+    """The similarity join over tables of many distinct strings: openings of turns against openings of documents."""
+    return M.similarity_join(_openings(_t(spark, sf_dir, "conversations")), _openings(_t(spark, sf_dir, "documents")), "name", "name").select("left_text", "right_text", F.round("similarity", 9).alias("similarity"))
+
+
 _HASHED = "list_transform(range(32), lambda i: cos((('0x' || substr(sha256({c}), 2 * i + 1, 2))::INT - 128) / 128.0 * pi()) / 2 + 0.5)"
 
 
@@ -170,14 +192,16 @@ def normalize_names(spark, sf_dir):
     return n.select("p_partkey", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT p_name, list_filter(string_split(p_name, ' '), lambda t: t NOT IN ({_STOP})) AS c FROM part)
-SELECT a.p_name AS a, b.p_name AS b FROM p a, p b WHERE a.p_name < b.p_name AND len(list_intersect(a.c, b.c)) / least(len(a.c), len(b.c)) >= 0.5""")
+@query(f"""WITH p AS (SELECT name, list_distinct(list_filter(string_split(lower(name), ' '), lambda t: t <> '' AND t NOT IN ({_STOP}))) AS c FROM (SELECT DISTINCT p_name AS name FROM part UNION {_OPENINGS.format(c="text", t="pages_text")[1:-1]})),
+w AS (SELECT name, len(c) AS n, unnest(c) AS t FROM p)
+SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.t = b.t AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 0.6 * least(any_value(a.n), any_value(b.n)) - 1e-9""".replace("pages_text", "benchmark"))
 def core_token_overlap(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("c", N.core_tokens(N.tokens(F.col("p_name"))))
-    posted = p.select("p_name", "c", F.explode("c").alias("t"))
-    a, b = posted.select(F.col("p_name").alias("a"), F.col("c").alias("ca"), "t"), posted.select(F.col("p_name").alias("b"), F.col("c").alias("cb"), "t")
-    met = a.join(b, "t").filter("a < b").select("a", "b", "ca", "cb").distinct()
-    return met.filter(F.size(F.array_intersect("ca", "cb")) / F.least(F.size("ca"), F.size("cb")) >= 0.5).select("a", "b")
+    """Names whose core tokens overlap by 0.6 of the shorter list, found by an index and confirmed by the pairwise rule."""
+    names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().union(_openings(_t(spark, sf_dir, "benchmark"))).distinct()
+    held = names.withColumn("c", F.array_distinct(N.core_tokens(N.tokens(F.lower("name")))))
+    pairs = M.overlap_join(held, "name", "c", 0.6)
+    side = lambda k: held.select(F.col("name").alias(k), F.col("c").alias(f"c{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(N.are_similar(F.col("a"), F.col("b"), F.col("ca"), F.col("cb"))).select("a", "b")
 
 
 @query()
