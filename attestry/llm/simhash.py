@@ -177,22 +177,48 @@ def _shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.zeros(0, np.int64) if raw is None else np.unique(raw.view(">i8").ravel().astype(np.int64))
 
 
-def _common_shingles(docs: DataFrame, text_col: str, width: int, sample: int = 4096, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several distinct texts of a bounded sample, sorted, and in how many of them each occurs.
+MAP_BITS = 26
 
-    They only order the index, so the sample decides the work and never the result."""
-    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("key"))
-    rows = max(1, docs.count())
-    if rows > 4 * sample:
-        texts = texts.filter(F.pmod(F.xxhash64("key"), F.lit(rows // (2 * sample))) == 0)
 
-    @F.arrow_udf("array<long>")
-    def sets(column: pa.Array) -> pa.Array:
-        return pa.array([_shingle_set(t, width) for t in column.to_pylist()], pa.list_(pa.int64()))
+def _bit_map(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of 2^``bits`` bits, of which those of the last bits of each ``key`` are set. Its size does not grow with the
+    table; if it fills up, it tells less, and no result depends on it."""
+    bit = F.pmod("key", F.lit(1 << bits))
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(key, 64) AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
-    held = texts.dropDuplicates(["key"]).select(F.explode(sets("text")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    top = sorted((r["shingle"], r["n"]) for r in held.orderBy(F.desc("n"), "shingle").limit(most).collect())
-    return np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)
+
+def _in_map(marked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (marked[(keys & ((marked.size << 6) - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
+
+
+def _several_texts(docs: DataFrame, text: Column, width: int, reach: float, one_in: int = 4) -> np.ndarray:
+    """Map of shingles that several texts of every ``one_in``-th text hold, among the first ``reach`` of each in the
+    shingles' own order. They only order the index, so the sample decides the work and never the result."""
+
+    @F.arrow_udf("array<int>")
+    def first(column: pa.Array) -> pa.Array:
+        sets = [_shingle_set(t, width) for t in column.to_pylist()]
+        return pa.array([(x[: int(np.ceil(reach * len(x)))] & 0x7FFFFFFF).astype(np.int32) for x in sets], pa.list_(pa.int32()))
+
+    drawn = docs.select(text.alias("text"), F.hash(text).alias("own")).filter(F.pmod("own", F.lit(one_in)) == 0)
+    held = drawn.select("own", F.explode(first("text")).alias("key")).groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    return _bit_map(held.filter("low <> high").select(F.col("key").cast("long").alias("key")))
+
+
+def _parity(held: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch of a set: which of ``bits`` (a power of two, 64 at least) buckets hold an odd number of members."""
+    odd = np.bincount(held & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two sketches, never more than their sets' differing members; the wider one is folded."""
+    small, wide = (x, y) if len(x) <= len(y) else (y, x)
+    folded = np.bitwise_xor.reduce(wide.reshape(-1, len(small)), axis=0)
+    return int(np.bitwise_count(folded ^ small).sum())
 
 
 def text_hash(text: Column) -> Column:
@@ -204,79 +230,123 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     of ``docs`` with ``doc_id``, ``text_key`` (a hash of the text, one for null and empty ones) and ``root``, the group.
 
     Fingerprints differ in more bits the longer the changed part is, so a radius alone neither finds nor proves such
-    pairs. Candidates are the fingerprint index's links and, for the rest, postings of each set's prefix: with rare
-    shingles first, two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of each.
-    First each posting's members meet its smallest; what this leaves in different groups then meets pair by pair, so
-    a large group of copies costs no square. Every candidate is verified: by a 512-bit parity sketch, whose
-    differing bits never exceed the differing shingles, then by the sets themselves. No similar pair is left out.
+    pairs. Candidates are the fingerprint index's links and, for the rest, postings of each set's prefix: in any one
+    order of all shingles, two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of each.
+    Shingles that several texts of a sample hold come last in that order, so passages that many documents share are
+    hardly ever posted. First each posting's members meet its smallest; what this leaves in different groups then meets
+    pair by pair, so a large group of copies costs no square. Every candidate is verified: by parity sketches,
+    whose differing bits never exceed the differing shingles (512 bits, then some bits a shingle), then by the sets
+    themselves. No similar pair is left out.
     Texts without words, null ones too, form one group. Ids may be null or repeat; repeated rows are one class and stay
     repeated; whole texts of any length are read; other columns are not read; an empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    common, weight = _common_shingles(docs, text_col, width)
+    spark = ship(docs.sparkSession)
+    text, text_key = F.col(text_col), text_hash(F.col(text_col))
+    row_key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text_key)
+    shared_map = spark.sparkContext.broadcast(_several_texts(docs, text, width, 2 * (1 - similarity)))
 
     @F.arrow_udf("struct<set_key:long,fp:long,n:int,marks:array<long>,prefix:array<long>>")
     def facts(texts: pa.Array) -> pa.Array:
-        out = []
+        out, last = [], shared_map.value
         for t in texts.to_pylist():
             raw = _digests(t, width)
             if raw is None:
                 out.append((0, 0, 0, [0] * MARKS, []))
                 continue
             held = np.unique(raw.view(">i8").ravel().astype(np.int64))
-            rank = np.zeros(len(held), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, held), len(common) - 1)
-                rank = np.where(common[at] == held, weight[at], 0)
+            late = _in_map(last, held)
             n = len(held)
-            first = held[np.lexsort((held, rank))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-            bits = np.bincount((held & (64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
-            marks = np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+            first = np.concatenate((held[~late], held[late]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            marks = _parity(held, 64 * MARKS).view("<i8")
             key = xxhash.xxh64_intdigest(held.astype("<i8").tobytes(), SEED)
             out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks.tolist(), first.tolist()))
         names, kinds = ("set_key", "fp", "n", "marks", "prefix"), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         columns = list(zip(*out)) if out else [()] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    text_key = text_hash(F.col(text_col))
-    rows = saved(docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), facts(text_col).alias("f")).select("doc_id", "text_key", "f.*"), "shingle-facts")
-    classes = saved(rows.groupBy("set_key").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("fp", "n", "marks", "prefix")]), "shingle-classes")
+    told = docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), row_key.alias("row_key"), facts(text_col).alias("f"))
+    rows = saved(told.select("doc_id", "text_key", "row_key", "f.*"), "shingle-facts")
+    classes = saved(rows.groupBy("set_key").agg(F.min("row_key").alias("row_key"), *[F.first(c).alias(c) for c in ("fp", "n", "marks", "prefix")]), "shingle-classes")
     facts_of = classes.select("set_key", "n", "marks")
 
+    @F.arrow_udf("struct<s:binary,n:int,sketch:binary>")
+    def whole(column: pa.Array) -> pa.Array:
+        """A set, its size, and its sketch of four to eight bits a member."""
+        sets = [_shingle_set(t, width) for t in column.to_pylist()]
+        wide = [_parity(x, max(512, 4 << max(0, len(x) - 1).bit_length())) for x in sets]
+        return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([w.tobytes() for w in wide], pa.binary())], ["s", "n", "sketch"])
+
+    def near_enough(x: bytes, n: int, y: bytes, m: int) -> bool:
+        return _apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9
+
+    def similar(x: bytes, n: int, y: bytes, m: int) -> bool:
+        shared = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+        return shared >= similarity * (n + m - shared) - 1e-9
+
+    def compared(by):
+        """Keep pairs by a comparison. Rows come by ``a`` and ``part``: first that of ``a`` itself (``b`` null), then its partners."""
+
+        def run(batches):
+            head, x, n = None, b"", 0
+            for batch in batches:
+                found = ([], [])
+                for a, part, b, y, m in zip(*[c.to_pylist() for c in batch.columns]):
+                    if b is None:
+                        head, x, n = (a, part), y, m
+                        continue
+                    assert head == (a, part)
+                    if by(x, n, y, m):
+                        found[0].append(a)
+                        found[1].append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
+
+        return run
+
+    def meet(pairs: DataFrame, sets: DataFrame, what: str, by) -> DataFrame:
+        """Pairs whose column ``what`` passes the comparison. That of ``a`` travels once for 512 of its pairs."""
+        dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 512).alias("parts")), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+        held = sets.select("set_key", F.col(what).alias("x"), "n")
+        theirs = dealt.join(held.withColumnRenamed("set_key", "b"), "b").select("a", "part", "b", "x", "n")
+        own = dealt.select("a", "part").distinct().join(held.withColumnRenamed("set_key", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "x", "n")
+        return own.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(compared(by), "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (``a``, ``b``) those that are similar enough."""
+        """Of the pairs (``a``, ``b``) those that are similar enough: by small sketches, by wide ones, then by the sets."""
         side = lambda x: facts_of.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
         total = F.col("n_a") + F.col("n_b")
         differing = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         may = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b")
         may = saved(may.filter((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (differing <= total * (1 - similarity) / (1 + similarity) + 1e-9)).select("a", "b"), "similar-candidates")
-        asked = may.select(F.col("a").alias("set_key")).union(may.select("b")).distinct().join(classes.select("set_key", "text_key"), "set_key")
+        asked = may.select(F.col("a").alias("set_key")).union(may.select("b")).distinct().join(classes.select("set_key", "row_key"), "set_key")
         asked = saved(asked, "similar-asked")
-        few = asked.count() <= broadcast_rows
-        texts = docs.select(text_key.alias("text_key"), F.col(text_col).alias("text")).join(F.broadcast(asked) if few else asked, "text_key")
-
-        @F.arrow_udf("binary")
-        def whole(column: pa.Array) -> pa.Array:
-            return pa.array([_shingle_set(t, width).tobytes() for t in column.to_pylist()], pa.binary())
-
-        @F.arrow_udf("boolean")
-        def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-            out = []
-            for x, y in zip(left.to_pylist(), right.to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            return pa.array(out, pa.bool_())
-
-        sets = saved(texts.groupBy("set_key").agg(F.first("text").alias("text")).select("set_key", whole("text").alias("s")), "shingle-sets")
-        met = may.join(sets.select(F.col("set_key").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("s").alias("s_b")), "b")
-        return saved(met.filter(similar("s_a", "s_b")).select("a", "b"), "similar-pairs")
+        n = asked.count()
+        few = lambda ids: F.broadcast(ids) if n <= broadcast_rows else ids
+        sets = docs.select(row_key.alias("row_key"), text.alias("text")).join(few(asked), "row_key").select("set_key", whole("text").alias("w")).select("set_key", "w.*")
+        if rows.join(few(asked.select("row_key")), "row_key").count() > n:  # rows alike in id and text give one set
+            sets = sets.groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("s", "n", "sketch")])
+        sets = saved(sets, "shingle-sets")
+        likely = saved(meet(may, sets, "sketch", near_enough), "similar-likely")
+        return saved(meet(likely, sets, "s", similar), "similar-pairs")
 
     by_fp = classes.filter("n > 0").groupBy("fp").agg(F.min("set_key").alias("rep"))
     close = candidate_links(by_fp.select("fp"), max_bits)
     near = close.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = classes.join(by_fp, "fp").select(F.col("set_key").alias("a"), F.col("rep").alias("b"))
-    postings = classes.select(F.col("set_key").alias("id"), "n", F.posexplode("prefix").alias("place", "key"))
+
+    # Most shingles are in one prefix only: a map of those whose last 31 bits come twice keeps the others from travelling.
+    twice = classes.select(F.explode("prefix").alias("key")).select(F.pmod("key", F.lit(1 << 31)).cast("int").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    twice_map = spark.sparkContext.broadcast(_bit_map(twice.select(F.col("key").cast("long").alias("key"))))
+
+    @F.arrow_udf("array<struct<place:int,key:long>>")
+    def posted(prefixes: pa.Array) -> pa.Array:
+        out = []
+        for prefix in prefixes.to_pylist():
+            keys = np.array(prefix, np.int64)
+            at = np.flatnonzero(_in_map(twice_map.value, keys))
+            out.append([{"place": p, "key": k} for p, k in zip(at.tolist(), keys[at].tolist())])
+        return pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64())])))
+
+    postings = saved(classes.select(F.col("set_key").alias("id"), "n", F.explode(posted("prefix")).alias("p")).select("id", "n", "p.place", "p.key"), "prefix-postings")
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("head")).filter("held > 1").select("key", "head")
     shared = saved(postings.join(heads, "key"), "prefix-postings")
     links = verified(near.union(same).union(shared.select(F.col("head").alias("a"), F.col("id").alias("b"))))
