@@ -76,7 +76,7 @@ def relative_age(then: Column, as_of: Column) -> Column:
 def retry_after_seconds(header: Column, as_of: Column) -> Column:
     """Seconds to wait from a header that holds seconds or an HTTP date; null if neither."""
     date = F.try_to_timestamp(F.regexp_replace(header, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(header.try_cast("long"), F.greatest(F.unix_seconds(date) - F.unix_seconds(as_of), F.lit(0)))
+    return F.coalesce(header.try_cast("long"), F.when(date.isNotNull(), F.greatest(F.unix_seconds(date) - F.unix_seconds(as_of), F.lit(0))))
 
 
 def backoff_ms(attempt: Column, base: int = 1000) -> Column:

@@ -117,3 +117,14 @@ def health(errors: DataFrame, key: str, failed: Column) -> DataFrame:
 
 def system_stats(institutions: DataFrame, verdict: str, confidence: str) -> DataFrame:
     return institutions.groupBy(verdict).agg(F.count(F.lit(1)).alias("institutions"), F.avg(confidence).alias("avg_confidence"))
+
+
+def system_overview(runs: DataFrame, evidence: DataFrame, ingested: DataFrame, today: Column) -> DataFrame:
+    """One row: runs in all and their mean confidence, runs since ``today``, and counts by verdict, by tier and the last
+    ingestion by authority as maps; verdicts, tiers and authorities are few."""
+    totals = runs.agg(F.count(F.lit(1)).alias("institutions"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.col("at") >= today).alias("runs_today"))
+    maps = lambda rows, key, value, name: rows.groupBy(key).agg(value.alias("_v")).agg(F.map_from_entries(F.collect_list(F.struct(key, "_v"))).alias(name))
+    out = totals
+    for one in (maps(runs, "verdict", F.count(F.lit(1)), "by_verdict"), maps(evidence, "tier", F.count(F.lit(1)), "by_tier"), maps(ingested, "authority", F.max("at"), "last_ingest")):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out

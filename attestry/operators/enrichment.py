@@ -136,3 +136,22 @@ def response_confidence(verdict: Column, contacts: list[Column], places: list[Co
     share = lambda cols: sum((F.when(F.coalesce(c, F.lit("")) != "", 1).otherwise(0) for c in cols), F.lit(0)) / len(cols)
     bonus = F.when(verdict.isin("genuine", "Genuine"), 0.3).when(verdict.isin("likely_genuine", "Likely Genuine"), 0.2).when(verdict.isin("NEEDS_REVIEW", "Needs Review"), 0.05).otherwise(0.0)
     return F.least(F.lit(1.0), F.lit(0.5) + bonus + share(contacts) * 0.1 + share(places) * 0.1 + F.least(F.lit(0.1), F.coalesce(n_authorities, F.lit(0)) * 0.05))
+
+
+def first_known(asked: DataFrame, key: str, sources: list[tuple[str, DataFrame]], last: str) -> DataFrame:
+    """``asked`` with ``fact`` from the first of the sources (key, fact) that knows the key, and its name in ``known_by``;
+    keys that none knows are kept under ``last``. Of several facts of one source the smallest counts."""
+    out = asked
+    for i, (_, table) in enumerate(sources):
+        out = out.join(table.groupBy(key).agg(F.min("fact").alias(f"_fact{i}"), F.lit(True).alias(f"_has{i}")), key, "left")
+    known, fact = F.lit(last), F.lit(None)
+    for i, (name, _) in reversed(list(enumerate(sources))):
+        known, fact = F.when(F.col(f"_has{i}"), F.lit(name)).otherwise(known), F.when(F.col(f"_has{i}"), F.col(f"_fact{i}")).otherwise(fact)
+    return out.select(*asked.columns, known.alias("known_by"), fact.alias("fact"))
+
+
+def site_override(profiles: DataFrame, entries: DataFrame, key: str = "normalized_name") -> DataFrame:
+    """Profiles whose site is replaced by the first address that a registry entry of the name gives."""
+    listed = entries.select(key, F.col("id").alias("_id"), N.registry_url(F.col("attributes")).alias("_url")).filter("_url IS NOT NULL")
+    first = listed.groupBy(key).agg(F.min_by("_url", "_id").alias("_url"))
+    return profiles.join(first, key, "left").withColumn("website", F.coalesce("_url", "website")).drop("_url")

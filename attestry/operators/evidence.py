@@ -101,6 +101,17 @@ def group_counts(evidence: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
+def collector_counts(evidence: DataFrame, key: str = "run_id") -> DataFrame:
+    """Per run: items in all, by tier and by kind (0 where there are none), and the mean quality."""
+    kinds = D.EVIDENCE_KINDS
+    return evidence.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in TIERS],
+        *[F.count_if(F.col("kind") == k).alias(f"kind_{k}") for k in kinds],
+        F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("avg_quality"),
+    )
+
+
 def group_lists(evidence: DataFrame, by: str, key: str = "run_id") -> DataFrame:
     """Evidence ids by run and ``by`` (kind, source or tier); a run's evidence is small."""
     return evidence.groupBy(key, by).agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -204,14 +204,6 @@ def core_token_overlap(spark, sf_dir):
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(N.are_similar(F.col("a"), F.col("b"), F.col("ca"), F.col("cb"))).select("a", "b")
 
 
-@query()
-def expand_variants(spark, sf_dir):
-    codes = list(D.SHORT_FORMS)[:24]
-    words = F.array(*[F.lit(c.lower()) for c in codes])
-    parts = _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.get(words, F.col("p_partkey") % len(codes)), "p_name").alias("name"))
-    return parts.select("p_partkey", "name", F.posexplode(N.expand_variants(F.col("name"))).alias("pos", "variant"))
-
-
 def _type_case(col: str) -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({col}, {w!r})' for w in ws)} THEN '{k}'" for k, ws in D.TYPE_WORDS) + " ELSE 'other' END"
 
@@ -245,13 +237,6 @@ def slug_external_id(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", N.slug(F.concat("p_name", F.lit("  "), "p_brand")).alias("slug"), N.external_slug(F.col("p_name"), F.col("p_brand")).alias("external_id"))
 
 
-@query()
-def depository_match(spark, sf_dir):
-    target = _t(spark, sf_dir, "part").select(F.concat(F.lit("The "), "p_name", F.lit(" University, Bombay")).alias("target"), F.col("p_partkey").alias("place"))
-    names = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" mumbai")).alias("name"))
-    return M.variant_index_join(names, target, "name", "target", "place")
-
-
 # Pages -------------------------------------------------------------------------------------------------------
 
 
@@ -691,3 +676,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = parts.select(F.get(codes, (F.col("id") % 4).cast("int")).alias("authority_code"), F.col("id").cast("string").alias("external_id"), F.col("name").alias("canonical_name"), N.lookup_form(F.col("name")).alias("normalized_name"), F.lit("active").alias("status"), F.create_map(F.lit("website"), F.concat(F.lit("https://p"), "id", F.lit(".ac.in"))).alias("attributes"))
     inputs = parts.select(F.replace("name", F.lit("ee"), F.lit("e")).alias("input"))
     return W.validate(inputs, candidates, entries, P.default_policies(spark), _as_of())
+
+
+from . import coverage  # noqa: E402, F401  registers its queries here

@@ -32,6 +32,31 @@ def fast_path(inputs: DataFrame, cached: DataFrame | None, institutions: DataFra
     return M.union_all(parts)
 
 
+def discover(inputs: DataFrame, cached: DataFrame, institutions: DataFrame, candidates: DataFrame, sites: DataFrame | None = None, limit: int = 5, text: str = "input") -> DataFrame:
+    """Candidates of each name from the first level that settles it: (``input``, ``level``, ``type``, ``id``, ``name``,
+    ``confidence``, ``band``, ``website``, ``rank``).
+
+    A cached identity (``normalized_name``, ``id``, ``name``) settles a name (L0), and so does an institution of the same
+    normal form (L1). The others are resolved against all candidates (L2) and merged, ``limit`` each. Bands: certain
+    from 0.9, likely from 0.7, else doubtful; names that nothing fits have level none. ``sites`` (name, url) add the
+    website of what was found."""
+    asked = inputs.select(F.col(text).alias("input")).filter("input IS NOT NULL").distinct().withColumn("normalized_name", N.lookup_form(F.col("input")))
+    known = cached.groupBy("normalized_name").agg(F.min(F.struct("id", "name")).alias("k")).select("normalized_name", "k.*")
+    l0 = asked.join(known, "normalized_name").select("input", F.lit("L0").alias("level"), F.lit("institution").alias("type"), "id", "name", F.lit(1.0).alias("confidence"))
+    rest = asked.join(l0.select("input"), "input", "left_anti")
+    own = institutions.groupBy("normalized_name").agg(F.min(F.struct("id", "name")).alias("k")).select("normalized_name", "k.*")
+    l1 = rest.join(own, "normalized_name").select("input", F.lit("L1").alias("level"), F.lit("institution").alias("type"), "id", "name", F.lit(1.0).alias("confidence"))
+    rest = rest.join(l1.select("input"), "input", "left_anti")
+    l2 = saved(M.resolve(rest, candidates, limit=limit).select("input", F.lit("L2").alias("level"), "type", "id", "name", "confidence"), "discovered")
+    none = rest.join(l2.select("input").distinct(), "input", "left_anti").select("input", F.lit("none").alias("level"), *[F.lit(None).cast(t).alias(c) for c, t in (("type", "string"), ("id", "long"), ("name", "string"), ("confidence", "double"))])
+    found = M.merge_candidates(M.union_all([l0, l1, l2]), ["input"], limit).unionByName(none.withColumn("rank", F.lit(1)))
+    band = F.when(F.col("confidence") >= 0.9, "certain").when(F.col("confidence") >= 0.7, "likely").otherwise("doubtful")
+    web = F.lit(None).cast("string")
+    if sites is not None:
+        found, web = found.join(sites.groupBy("name").agg(F.min("url").alias("_url")), "name", "left"), F.col("_url")
+    return found.select("input", "level", "type", "id", "name", "confidence", band.alias("band"), web.alias("website"), "rank")
+
+
 def validate(
     inputs: DataFrame,
     candidates: DataFrame,

@@ -56,8 +56,8 @@ def _html(columns: list[str], min_cells: int, name_from: str = "name") -> Callab
 
 def read_aicte(spark: SparkSession, path: str) -> DataFrame:
     """JSON files of arrays, one per state in a folder ``state=...``; positions become columns, bad files are skipped."""
-    lines = spark.read.option("wholetext", True).text(path, recursiveFileLookup=True)
-    state = F.regexp_extract(F.url_decode(F.input_file_name()), "state=([^/]+)/", 1)
+    lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    state = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "state=([^/]+)/", 1)
     rows = lines.select(state.alias("state"), F.posexplode(F.from_json("value", "array<array<string>>")).alias("_row", "r"))
     names = ["aicteId", "name", "address", "district", "institutionType", "women", "minority", "pid"]
     return rows.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)], "state", F.struct("state", "_row").alias("_pos"))

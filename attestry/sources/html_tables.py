@@ -35,5 +35,5 @@ def rows_of(html: Column) -> Column:
 
 def table_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows (``file``, ``row``, ``cells``, ``links``, ``header``) of all tables in all files under a path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(rows_of(F.col("value"))).alias("row", "r")).select("file", "row", "r.*")

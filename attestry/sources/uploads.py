@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.batch import validated_upload
+from ..operators.batch import numbered, validated_upload
 from ..schemas import SCHEMAS
 
 COLUMNS = ["institution_name", "university_name", "state", "district"]
@@ -17,7 +17,8 @@ def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if COLUMNS[0] not in header.columns:
         raise ValueError(f"the file has no column {COLUMNS[0]}")
     rows = header.select(*[F.col(c) if c in header.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
-    checked = validated_upload(rows.withColumn("row_no", F.monotonically_increasing_id() + 2))
+    placed = numbered(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"]).drop("_at", "chunk")
+    checked = validated_upload(placed.withColumn("row_no", F.col("row_no") + 1))
     return checked.filter("error IS NULL").drop("error"), checked.filter("error IS NOT NULL")
 
 
