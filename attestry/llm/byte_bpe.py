@@ -27,7 +27,7 @@ PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: Code point ranges (hexadecimal) that Unicode 16 made letters or numbers, which Python may not know yet.
 LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
 LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 CACHE_CHARS = 64
 
 
@@ -141,13 +141,13 @@ class MergeTable:
 class WordCache(dict):
     """What ``make`` gives for a pre-token, kept for short ones; started afresh when full, so memory is bounded."""
 
-    def __init__(self, make: Callable[[str], Any]):
-        self.make = make
+    def __init__(self, make: Callable[[str], Any], most: int = CACHE_WORDS):
+        self.make, self.most = make, most
 
     def __missing__(self, word: str) -> Any:
         made = self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = made
         return made

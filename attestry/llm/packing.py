@@ -32,7 +32,7 @@ class Encoder:
         self.special = {t.content: array("I", [i]).tobytes() for i, t in library.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokenize = library.model.tokenize
-        self.words = WordCache(lambda word: array("I", [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes())
+        self.words = WordCache(lambda word: array("I", [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes(), 1 << 16)
 
     def ids(self, text: str) -> bytes:
         """Unsigned 32-bit ids of a text; strings of added tokens inside it count as these tokens, as the library has it."""

@@ -177,7 +177,7 @@ def _shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.zeros(0, np.int64) if raw is None else np.unique(raw.view(">i8").ravel().astype(np.int64))
 
 
-MAP_BITS = 26
+MAP_BITS = 25
 
 
 def _bit_map(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
@@ -251,7 +251,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
         for t in texts.to_pylist():
             raw = _digests(t, width)
             if raw is None:
-                out.append((0, 0, 0, [0] * MARKS, []))
+                out.append((0, 0, 0, np.zeros(MARKS, np.int64), np.zeros(0, np.int64)))
                 continue
             held = np.unique(raw.view(">i8").ravel().astype(np.int64))
             late = _in_map(last, held)
@@ -259,7 +259,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
             first = np.concatenate((held[~late], held[late]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
             marks = _parity(held, 64 * MARKS).view("<i8")
             key = xxhash.xxh64_intdigest(held.astype("<i8").tobytes(), SEED)
-            out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks.tolist(), first.tolist()))
+            out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks, first.copy()))
         names, kinds = ("set_key", "fp", "n", "marks", "prefix"), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         columns = list(zip(*out)) if out else [()] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -290,12 +290,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
             head, x, n = None, b"", 0
             for batch in batches:
                 found = ([], [])
-                for a, part, b, y, m in zip(*[c.to_pylist() for c in batch.columns]):
+                raw = batch.column(3)
+                for i, (a, part, b, m) in enumerate(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 4)])):
                     if b is None:
-                        head, x, n = (a, part), y, m
+                        head, x, n = (a, part), raw[i].as_py(), m
                         continue
                     assert head == (a, part)
-                    if by(x, n, y, m):
+                    if by(x, n, raw[i].as_buffer(), m):
                         found[0].append(a)
                         found[1].append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["a", "b"])
@@ -339,12 +340,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
 
     @F.arrow_udf("array<struct<place:int,key:long>>")
     def posted(prefixes: pa.Array) -> pa.Array:
-        out = []
-        for prefix in prefixes.to_pylist():
-            keys = np.array(prefix, np.int64)
-            at = np.flatnonzero(_in_map(twice_map.value, keys))
-            out.append([{"place": p, "key": k} for p, k in zip(at.tolist(), keys[at].tolist())])
-        return pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64())])))
+        keys, lengths = prefixes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), prefixes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        kept = np.flatnonzero(_in_map(twice_map.value, keys)) if len(keys) else np.zeros(0, np.int64)
+        place = (kept - np.repeat(ends - lengths, lengths)[kept]).astype(np.int32)
+        borders = np.concatenate(([0], np.searchsorted(kept, ends))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([pa.array(place), pa.array(keys[kept])], ["place", "key"]))
 
     postings = saved(classes.select(F.col("set_key").alias("id"), "n", F.explode(posted("prefix")).alias("p")).select("id", "n", "p.place", "p.key"), "prefix-postings")
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("head")).filter("held > 1").select("key", "head")
