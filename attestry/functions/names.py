@@ -95,15 +95,22 @@ def first_in(toks: Column, words: list[str]) -> Column:
 
 def normalize_name(col: Column) -> Column:
     """Struct (normalized, tokens, core_tokens, stripped, state); null and empty names give empty parts and no state."""
-    text = normalized(col)
-    toks = tokens(text)
-    return F.struct(
-        text.alias("normalized"),
-        toks.alias("tokens"),
-        core_tokens(toks).alias("core_tokens"),
-        strip_honorifics(F.coalesce(col, F.lit(""))).alias("stripped"),
-        first_in(toks, D.STATES).alias("state"),
-    )
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  computed once, used often
+    stripped = strip_honorifics(F.coalesce(col, F.lit("")))
+
+    def parts(text: Column) -> Column:
+        return once(
+            tokens(text),
+            lambda toks: F.struct(
+                text.alias("normalized"),
+                toks.alias("tokens"),
+                core_tokens(toks).alias("core_tokens"),
+                stripped.alias("stripped"),
+                first_in(toks, D.STATES).alias("state"),
+            ),
+        )
+
+    return once(normalized(col), parts)
 
 
 def city_of(toks: Column) -> Column:

@@ -155,3 +155,17 @@ def site_override(profiles: DataFrame, entries: DataFrame, key: str = "normalize
     listed = entries.select(key, F.col("id").alias("_id"), N.registry_url(F.col("attributes")).alias("_url")).filter("_url IS NOT NULL")
     first = listed.groupBy(key).agg(F.min_by("_url", "_id").alias("_url"))
     return profiles.join(first, key, "left").withColumn("website", F.coalesce("_url", "website")).drop("_url")
+
+
+def saved_profiles(profiles: DataFrame, as_of: Column, days: int = 180, most: int = 5) -> dict[str, DataFrame]:
+    """What is kept of enriched profiles (``id``, ``canonical_name``, contacts, ``source``): institutions with a slug and the
+    time until which they are valid, up to ``most`` contacts each, and one identity per source. Profiles that a
+    language model made up (source LLM) are not kept."""
+    real = profiles.filter("source <> 'LLM'")
+    first = priority_first(real, ["id"], [F.col("source")])
+    institutions = first.select("id", "canonical_name", N.slug(F.col("canonical_name")).alias("slug"), (as_of + F.make_dt_interval(F.lit(days))).alias("valid_until"))
+    rows = contact_rows(real.withColumnRenamed("id", "institution_id")).distinct()
+    few = Window.partitionBy("institution_id").orderBy("kind", "value")
+    contacts = rows.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= most).drop("_n")
+    identities = real.groupBy(F.col("id").alias("institution_id"), "source").agg(F.min("canonical_name").alias("name_as_source"))
+    return {"institutions": institutions, "contacts": contacts, "identities": identities}

@@ -198,6 +198,11 @@ def mirror_evidence(identities: DataFrame, entries: DataFrame, as_of: Column) ->
     return met.select("run_id", "institution_type", F.lit("legitimacy").alias("category"), F.col("authority").alias("source"), F.lit("mirror").alias("tier"), "url", F.col("canonical_name").alias("matched_text"), F.lit(0.9).alias("confidence"), as_of.alias("observed_at"), F.lit("").alias("content"))
 
 
+def knowledge_evidence(found: DataFrame, source: str, as_of: Column) -> DataFrame:
+    """Identity evidence of the api tier from entries of a knowledge base (``run_id``, ``item``, ``text``, ``url``)."""
+    return found.select("run_id", F.lit("identity").alias("category"), F.lit(source).alias("source"), F.lit("api").alias("tier"), "url", F.col("text").alias("matched_text"), F.lit(0.6).alias("confidence"), as_of.alias("observed_at"), F.lit("").alias("content"))
+
+
 def website_evidence(pages: DataFrame, as_of: Column) -> DataFrame:
     """Up to five items from an extracted page (``extract_pages``): e-mail, phone, affiliation, approval, title."""
     make = lambda cond, category, text, confidence, claim: F.when(cond, F.struct(F.lit(category).alias("category"), text.alias("matched_text"), F.lit(confidence).alias("confidence"), F.lit(claim).alias("claim_type")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import names as N
+from ..session import small
 from .matching import priority_first
 
 
@@ -125,6 +126,13 @@ def lookup_external(entries: DataFrame, code: str, external_id: str) -> DataFram
     return entries.filter((F.col("authority_code") == code) & (F.col("external_id") == external_id)).orderBy("id").limit(1)
 
 
+def with_authorities(rows: DataFrame, key: str, identities: DataFrame, authorities: DataFrame, code: str = "source") -> DataFrame:
+    """Distinct rows with the authorities that know them: by identities, and what is told of each authority; rows without
+    identities and codes without an authority stay."""
+    links = identities.select(F.col("institution_id").alias(key), F.col(code).alias("authority_code")).distinct()
+    return rows.join(links, key, "left").join(small(authorities), "authority_code", "left").distinct()
+
+
 def rows_per_authority(entries: DataFrame) -> DataFrame:
     return entries.groupBy("authority_code").agg(F.count(F.lit(1)).alias("rows"))
 

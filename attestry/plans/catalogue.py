@@ -92,7 +92,7 @@ def trigram_topk_per_query(spark, sf_dir):
 
 
 @query(f"""WITH u AS (SELECT 'institution' AS type, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'identity', s_suppkey, s_name FROM supplier UNION ALL SELECT 'registry', c_custkey, c_name FROM customer),
-qq AS (SELECT * FROM (VALUES (1, 'red bolt'), (2, 'supplier 000000042'), (3, 'customer#000000007')) v(query_id, query)),
+qq AS (SELECT n_nationkey AS query_id, ['supplier ', 'customer#', 'brushed '][n_nationkey % 3 + 1] || lpad(n_nationkey::VARCHAR, 9, '0') AS query FROM nation),
 s AS (SELECT query_id, type, id, name, {_sim('query', 'name')} AS s FROM qq, u)
 SELECT query_id, type, id, name, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, type, id)::INT AS rank FROM s WHERE s > 0.35 QUALIFY rank <= 50""")
 def trigram_union_candidates(spark, sf_dir):
@@ -100,7 +100,8 @@ def trigram_union_candidates(spark, sf_dir):
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"), F.col("p_name").alias("normalized_name"), none.alias("deleted_at"))
     sup = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name_as_source"), F.col("s_name").alias("normalized_name"), F.lit("UGC").alias("source"), F.col("s_suppkey").cast("string").alias("external_id"))
     cust = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("AISHE").alias("authority_code"), F.col("c_name").alias("canonical_name"), F.col("c_name").alias("normalized_name"), F.col("c_custkey").cast("string").alias("external_id"))
-    asked = spark.createDataFrame([(1, "red bolt"), (2, "supplier 000000042"), (3, "customer#000000007")], "query_id int, query string")
+    key = F.col("n_nationkey")
+    asked = _t(spark, sf_dir, "nation").select(key.alias("query_id"), F.concat(F.get(F.array(*[F.lit(x) for x in ("supplier ", "customer#", "brushed ")]), (key % 3).cast("int")), F.lpad(key.cast("string"), 9, "0")).alias("query"))
     return M.find_candidates(asked, M.candidate_union(part, sup, cust)).select("query_id", "type", "id", "name", F.round("similarity", 9).alias("similarity"), "rank")
 
 
@@ -192,6 +193,23 @@ def normalize_names(spark, sf_dir):
     return n.select("p_partkey", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
 
 
+_STRETCHES = "(SELECT array_to_string(w[i + 1:i + 6], ' ') AS name, min(doc_id * 100000 + i) AS id FROM (SELECT doc_id, w, unnest(range(0, len(w), 40)) AS i FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)) GROUP BY 1)"
+
+
+@query(f"""WITH b AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:6], ' ') AS q FROM benchmark), d AS {_STRETCHES},
+bg AS (SELECT query_id, {_TRI.format(c='q')} AS g FROM b), dg AS (SELECT id, {_TRI.format(c='name')} AS g FROM d), bp AS (SELECT query_id, len(g) AS n, unnest(g) AS x FROM bg), dp AS (SELECT id, len(g) AS n, unnest(g) AS x FROM dg),
+c AS (SELECT query_id, id, count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)) AS s FROM bp JOIN dp USING (x) GROUP BY ALL HAVING s > 0.35)
+SELECT query_id, id AS entry_id, round(s, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank FROM c QUALIFY rank <= 5""")
+def registry_match(spark, sf_dir):
+    """A registry of many distinct names (six words from every fortieth word of all documents on), asked for each benchmark item."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    docs = _texts(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
+    stretches = docs.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(40))).alias("i")).select(F.array_join(F.slice("w", F.col("i") + 1, 6), " ").alias("match_text"), (F.col("doc_id") * 100000 + F.col("i")).alias("id"))
+    held = stretches.groupBy("match_text").agg(F.min("id").alias("id")).withColumn("type", F.lit("registry"))
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
+    return M.find_candidates(asked, held, limit=5).select("query_id", F.col("id").alias("entry_id"), F.round("similarity", 9).alias("similarity"), "rank")
+
+
 @query(f"""WITH p AS (SELECT name, list_distinct(list_filter(string_split(lower(name), ' '), lambda t: t <> '' AND t NOT IN ({_STOP}))) AS c FROM (SELECT DISTINCT p_name AS name FROM part UNION {_OPENINGS.format(c="text", t="pages_text")[1:-1]})),
 w AS (SELECT name, len(c) AS n, unnest(c) AS t FROM p)
 SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.t = b.t AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 0.6 * least(any_value(a.n), any_value(b.n)) - 1e-9""".replace("pages_text", "benchmark"))
@@ -279,17 +297,17 @@ def _entity(col: str) -> str:
 
 _SEEN = "regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<!--.*?-->', '', 'g')"
 _PAGE = f"""p AS (SELECT page_id, url, html, {_SEEN} AS seen FROM pages), q AS (SELECT *, regexp_extract(seen, '(?is)<article[^>]*>(.*)</article>', 1) AS a FROM p),
-r AS (SELECT *, trim(regexp_replace({_entity("regexp_replace(a, '<[^>]+>', '', 'g')")}, '[\s\x{{A0}}]+', ' ', 'g')) AS main, nullif(trim({_entity("regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)")}), '') AS title FROM q)"""
+r AS (SELECT *, trim(regexp_replace({_entity("regexp_replace(a, '<[^>]+>', '', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g')) AS main, nullif(trim({_entity("regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)")}), '') AS title FROM q)"""
 
 
 @query(f"""WITH {_PAGE} SELECT page_id, title, len(list_filter(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g')) <> ''))::INT AS n_headings, least(length(main), 8192)::INT AS main_chars,
-len(list_distinct(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}')))::INT AS n_emails, len(regexp_extract_all(seen, '(?is)<a\s[^>]*href='))::INT AS n_links, 0 AS n_social, regexp_matches(seen, '(?is)<meta[^>]*http-equiv="?refresh') AS needs_javascript FROM r""")
+len(list_distinct(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')))::INT AS n_emails, len(regexp_extract_all(seen, '(?is)<a\\s[^>]*href='))::INT AS n_links, 0 AS n_social, regexp_matches(seen, '(?is)<meta[^>]*http-equiv="?refresh') AS needs_javascript FROM r""")
 def page_records(spark, sf_dir):
     p = H.extract_pages(_texts(spark, sf_dir, "pages"))
     return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.length("main_text").alias("main_chars"), F.size("emails").alias("n_emails"), F.size("outbound_links").alias("n_links"), F.size("social_links").alias("n_social"), "needs_javascript")
 
 
-@query(f"""WITH {_PAGE}, v AS (SELECT page_id, url, title, regexp_extract(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}') AS email FROM r)
+@query(f"""WITH {_PAGE}, v AS (SELECT page_id, url, title, regexp_extract(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') AS email FROM r)
 SELECT page_id, url, 'contact' AS category, email AS matched_text, 0.9 AS confidence, 'api' AS tier FROM v WHERE email <> '' UNION ALL SELECT page_id, url, 'identity', title, 0.7, 'api' FROM v WHERE title IS NOT NULL""")
 def page_evidence(spark, sf_dir):
     """Evidence of pages but for phone numbers, affiliations and approvals, which no page at hand states."""
@@ -344,9 +362,9 @@ def publish_latest(spark, sf_dir):
     return G.published_snapshots(log).select("authority_code", "id")
 
 
-@query("SELECT n_name AS authority_code, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+@query("SELECT n_name AS authority_code, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def registry_stats(spark, sf_dir):
-    nations = _t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("authority_code"))
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("authority_code"))
     return G.rows_per_authority(_t(spark, sf_dir, "supplier").join(nations, "s_nationkey"))
 
 
@@ -357,11 +375,14 @@ def registry_lookup(spark, sf_dir):
     return G.lookup(e, "00004").select("s_suppkey", "s_name", "n_name")
 
 
-@query("SELECT DISTINCT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey WHERE lower(c_mktsegment) = 'building'")
+@query("""WITH l AS (SELECT DISTINCT s_nationkey AS k, ['UGC', 'AICTE', 'NMC'][s_suppkey % 3 + 1] AS code FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT DISTINCT c_custkey, code AS authority_code, CASE code WHEN 'UGC' THEN 1 WHEN 'NMC' THEN 3 END::INT AS rank FROM customer LEFT JOIN l ON c_nationkey = k WHERE lower(c_mktsegment) = 'building'""")
 def authority_left_join_chain(spark, sf_dir):
-    nation = _t(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
-    c = _t(spark, sf_dir, "customer").filter(F.lower("c_mktsegment") == "building")
-    return c.join(nation, c["c_nationkey"] == nation["n_nationkey"], "left").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name").distinct()
+    c = L.filtered(_t(spark, sf_dir, "customer").withColumn("seg", F.lower("c_mktsegment")), {"seg": "building"}).select("c_custkey", F.col("c_nationkey").cast("long").alias("id"))
+    codes = F.get(F.array(*[F.lit(x) for x in ("UGC", "AICTE", "NMC")]), F.col("s_suppkey") % 3)
+    links = _t(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0").select(F.col("s_nationkey").cast("long").alias("institution_id"), codes.alias("source"))
+    authorities = spark.createDataFrame([("UGC", 1), ("NMC", 3)], "authority_code string, rank int")
+    return G.with_authorities(c, "id", links, authorities).select("c_custkey", "authority_code", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderstatus AS verdict, o_totalprice AS confidence FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey ORDER BY l_orderkey, l_linenumber LIMIT 50 OFFSET 50")

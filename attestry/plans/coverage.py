@@ -21,6 +21,7 @@ from ..operators import batch as B
 from ..operators import enrichment as R
 from ..operators import evidence as E
 from ..operators import identity as I
+from ..operators import listing as L
 from ..operators import matching as M
 from ..operators import registry as G
 from ..operators import scoring as P
@@ -627,3 +628,50 @@ def priority_rows(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("first"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("p"))
     both = M.union_all([o.filter("first % 2 = 0"), o.filter("first % 2 = 1")])
     return M.priority_first(both, ["k"], [F.col("p"), F.col("first")]).select("k", "first")
+
+
+# Further operators -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE contains(lower(n_name), 'r 00') UNION ALL SELECT institution_id, name_as_source FROM l WHERE contains(lower(name_as_source), '0001')),
+m AS (SELECT id, min(name) AS name FROM n GROUP BY 1) SELECT id, name, 0.8 AS confidence, row_number() OVER (ORDER BY id)::INT AS rank FROM m QUALIFY rank <= 5""".replace("'r 00'", "'0001'"))
+def name_search(spark, sf_dir):
+    inst = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("canonical_name"))
+    return L.name_search(inst, _links(spark, sf_dir), "0001")
+
+
+@query("""WITH p AS (SELECT s_nationkey AS id, 'Supplier ' || s_nationkey AS name, ['UGC', 'LLM', 'AICTE'][s_suppkey % 3 + 1] AS source, 'e' || (s_suppkey % 40) || '@x.in' AS email, CASE WHEN s_suppkey % 2 = 0 THEN 'p' || (s_suppkey % 30) END AS phone FROM supplier), r AS (SELECT * FROM p WHERE source <> 'LLM'),
+c AS (SELECT DISTINCT id, 'email' AS kind, email AS value FROM r UNION SELECT DISTINCT id, 'phone', phone FROM r WHERE phone IS NOT NULL), k AS (SELECT id, count(*) AS n FROM c GROUP BY 1)
+SELECT r.id, any_value('supplier-' || r.id) AS slug, least(any_value(n), 5)::BIGINT AS contacts, count(DISTINCT source) AS identities FROM r JOIN k USING (id) GROUP BY 1""")
+def profile_save(spark, sf_dir):
+    """What is kept of profiles: slugs, up to five contacts, one identity per source, nothing that a model made up."""
+    key, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    profiles = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"), F.concat(F.lit("Supplier "), "s_nationkey").alias("canonical_name"), _pick(["UGC", "LLM", "AICTE"], key).alias("source"), F.concat(F.lit("e"), key % 40, F.lit("@x.in")).alias("email"), F.when(key % 2 == 0, F.concat(F.lit("p"), key % 30)).alias("phone"), none.alias("website"))
+    kept = R.saved_profiles(profiles, _as_of())
+    contacts = kept["contacts"].groupBy(F.col("institution_id").alias("id")).agg(F.count(F.lit(1)).alias("contacts"))
+    identities = kept["identities"].groupBy(F.col("institution_id").alias("id")).agg(F.count(F.lit(1)).alias("identities"))
+    return kept["institutions"].join(contacts, "id").join(identities, "id").select("id", "slug", "contacts", "identities")
+
+
+@query("SELECT * FROM (VALUES ('engineering', 1, 'kept'), ('medical', 2, 'kept'), ('engineering', 3, 'wrong')) v(id, version, outcome)")
+def policy_upsert(spark, sf_dir):
+    """A valid new version goes over the old policy, one with wrong thresholds does not."""
+    old = P.default_policies(spark)
+    new = old.withColumn("version", F.when(F.col("id") == "medical", 2).otherwise(3).cast("int")).withColumn("threshold_genuine", F.when(F.col("id") == "medical", 0.95).otherwise(0.2))
+    kept, wrong = P.upsert_policies(old, new)
+    return kept.select("id", "version", F.lit("kept").alias("outcome")).unionByName(wrong.select("id", "version", F.lit("wrong").alias("outcome")))
+
+
+@query("SELECT n_name AS name, true AS stale FROM nation")
+def stale_on_error(spark, sf_dir):
+    """A connector whose files are gone serves what it loaded last."""
+    last = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return connectors.load_or_last(spark, "ugc-fake", f"{_folder(spark)}/gone", last)
+
+
+@query("SELECT c_custkey AS run_id, 'identity' AS kind, 'WIKIDATA' AS source, 'about ' || c_name AS matched_text FROM customer WHERE c_custkey % 2 = 0")
+def knowledge_evidence(spark, sf_dir):
+    """Evidence from entries of a knowledge base, as it is stored."""
+    found = _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("run_id"), F.concat(F.lit("about "), "c_name").alias("text"), F.lit("https://w.org/Q1").alias("url"))
+    items = E.knowledge_evidence(found, "WIKIDATA", _as_of()).withColumn("_pos", F.lit(0))
+    return E.dedupe(E.normalize(items, _as_of())).select("run_id", "kind", "source", "matched_text")

@@ -144,3 +144,16 @@ def load(spark: SparkSession, code: str, path: str) -> DataFrame:
     """Drafts from a connector's captured files."""
     c = get_connector(code)
     return c.parse(c.read(spark, path))
+
+
+def load_or_last(spark: SparkSession, code: str, path: str, last: DataFrame) -> DataFrame:
+    """Drafts from captured files, or, if there are none or they cannot be read, the drafts that were loaded last; ``stale`` tells."""
+    from pyspark.errors import PySparkException
+
+    try:
+        fresh = load(spark, code, path)
+        if not fresh.isEmpty():
+            return fresh.withColumn("stale", F.lit(False))
+    except PySparkException:
+        pass  # told by ``stale``
+    return last.withColumn("stale", F.lit(True))
