@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .columns import set_aside
+from .columns import set_aside, values
 
 #: Fixed value: the pre-token pattern of byte-level BPE, in the notation of Unicode properties.
 PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,7 +171,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, text_col: str = "text", limit
     @F.arrow_udf("long")
     def tokens(texts: pa.Array) -> pa.Array:
         count = merge_table(vocab_path).count
-        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([count(t) for t in values(texts)], pa.int64())
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows, back = set_aside(docs, n_bytes=F.octet_length(text).cast("long"), n_tokens=tokens(text))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,14 @@ def set_aside(rows: DataFrame, **made: Column) -> tuple[DataFrame, Callable[...,
         return [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in gone]
 
     return held, back
+
+
+def values(column: pa.Array, rows: int = 512) -> Iterator:
+    """A batch's values a few at a time, so that a worker never holds the batch a second time as Python objects."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+    pa.default_memory_pool().release_unused()
+    try:  # workers serve many stages: what a batch needed goes back to the system
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved, ship
 from .byte_bpe import WordCache, byte_alphabet, pretokens
-from .columns import set_aside
+from .columns import set_aside, values
 
 
 class Encoder:
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id:
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         ids, end = encoder(vocab_path).ids, array("I", [end_id]).tobytes()
-        return pa.array([ids(t) + end for t in texts.to_pylist()], pa.binary())
+        return pa.array([ids(t) + end for t in values(texts)], pa.binary())
 
     whole = docs.select(F.col(id_col).alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("_ids"))
     n = F.expr("octet_length(_ids) div 4")

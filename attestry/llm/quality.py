@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .columns import set_aside
+from .columns import set_aside, values
 
 CLASSES = 12
 EXTRA = 6
@@ -163,7 +163,7 @@ def train(docs: DataFrame, positives: DataFrame, may_train: Column, id_col: str
 
     @F.arrow_udf("binary")
     def measure(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([features(t).tobytes() for t in values(texts)], pa.binary())
 
     drawn = docs.select(F.col(id_col), F.col(text_col)).filter(may_train & F.col(id_col).isNotNull()).join(F.broadcast(chosen), id_col, "left").withColumn("_drawn", other)
     got = drawn.filter("_trusted OR _drawn").select(F.coalesce("_trusted", F.lit(False)).alias("t"), "_drawn", measure(text_col).alias("x"), F.xxhash64(id_col).alias("o")).toArrow().sort_by([("o", "ascending"), ("x", "ascending")])
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", threshol
 
     @F.arrow_udf("double")
     def rate(texts: pa.Array) -> pa.Array:
-        rows = [features(t) for t in texts.to_pylist()]
+        rows = [features(t) for t in values(texts)]
         return pa.array(model.scores(np.vstack(rows)) if rows else np.zeros(0), pa.float64())
 
     rows, back = set_aside(docs, rated=rate(F.col(text_col)))

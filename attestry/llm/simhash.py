@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, ship
+from .columns import values
 
 BYTES = 8
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, width) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(t, width) for t in values(texts)], pa.int64())
 
     return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
 
@@ -200,7 +201,7 @@ def _several_texts(docs: DataFrame, text: Column, width: int, reach: float, one_
 
     @F.arrow_udf("array<int>")
     def first(column: pa.Array) -> pa.Array:
-        sets = [_shingle_set(t, width) for t in column.to_pylist()]
+        sets = (_shingle_set(t, width) for t in values(column))
         return pa.array([(x[: int(np.ceil(reach * len(x)))] & 0x7FFFFFFF).astype(np.int32) for x in sets], pa.list_(pa.int32()))
 
     drawn = docs.select(text.alias("text"), F.hash(text).alias("own")).filter(F.pmod("own", F.lit(one_in)) == 0)
@@ -248,7 +249,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     @F.arrow_udf("struct<set_key:long,fp:long,n:int,marks:array<long>,prefix:array<long>>")
     def facts(texts: pa.Array) -> pa.Array:
         out, last = [], shared_map.value
-        for t in texts.to_pylist():
+        for t in values(texts):
             raw = _digests(t, width)
             if raw is None:
                 out.append((0, 0, 0, np.zeros(MARKS, np.int64), np.zeros(0, np.int64)))
@@ -272,7 +273,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     @F.arrow_udf("struct<s:binary,n:int,sketch:binary>")
     def whole(column: pa.Array) -> pa.Array:
         """A set, its size, and its sketch of four to eight bits a member."""
-        sets = [_shingle_set(t, width) for t in column.to_pylist()]
+        sets = [_shingle_set(t, width) for t in values(column)]
         wide = [_parity(x, max(512, 4 << max(0, len(x) - 1).bit_length())) for x in sets]
         return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array([w.tobytes() for w in wide], pa.binary())], ["s", "n", "sketch"])
 
@@ -338,16 +339,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     twice = classes.select(F.explode("prefix").alias("key")).select(F.pmod("key", F.lit(1 << 31)).cast("int").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     twice_map = spark.sparkContext.broadcast(_bit_map(twice.select(F.col("key").cast("long").alias("key"))))
 
-    @F.arrow_udf("array<struct<place:int,key:long>>")
+    @F.arrow_udf("array<long>")
     def posted(prefixes: pa.Array) -> pa.Array:
         keys, lengths = prefixes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), prefixes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(lengths)
         kept = np.flatnonzero(_in_map(twice_map.value, keys)) if len(keys) else np.zeros(0, np.int64)
-        place = (kept - np.repeat(ends - lengths, lengths)[kept]).astype(np.int32)
-        borders = np.concatenate(([0], np.searchsorted(kept, ends))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([pa.array(place), pa.array(keys[kept])], ["place", "key"]))
+        borders = np.concatenate(([0], np.searchsorted(kept, np.cumsum(lengths)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(borders), pa.array(keys[kept]))
 
-    postings = saved(classes.select(F.col("set_key").alias("id"), "n", F.explode(posted("prefix")).alias("p")).select("id", "n", "p.place", "p.key"), "prefix-postings")
+    postings = saved(classes.select(F.col("set_key").alias("id"), "n", F.explode(posted("prefix")).alias("key")), "prefix-postings")
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("head")).filter("held > 1").select("key", "head")
     shared = saved(postings.join(heads, "key"), "prefix-postings")
     links = verified(near.union(same).union(shared.select(F.col("head").alias("a"), F.col("id").alias("b"))))
@@ -355,10 +354,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     roots = components(links)
     open_rows = saved(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-postings")
     several = open_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    open_rows = open_rows.filter("id <> head").join(several, "key")
-    side = lambda x: open_rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("root").alias(f"r_{x}"))
-    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    reach = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    rest = side("a").join(side("b"), "key").filter("a < b AND r_a <> r_b").filter(reach >= least).select("a", "b")
+    open_rows = saved(open_rows.filter("id <> head").join(several, "key").select("key", "id", "n", "root"), "open-postings")
+    # Texts that share a passage share many keys, with the same members each: one key for each list of members is enough.
+    members = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    lists = members.filter("held > 1").groupBy("held", "x", "y").agg(F.min("key").alias("key")).select("key")
+    open_rows = open_rows.join(lists, "key")
+    side = lambda x: open_rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"r_{x}"))
+    close_in_size = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    rest = side("a").join(side("b"), "key").filter("a < b AND r_a <> r_b").filter(close_in_size).select("a", "b")
     linked = components(links.union(verified(rest)))
     return rows.select("doc_id", "text_key", "set_key").join(linked.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
