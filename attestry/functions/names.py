@@ -49,22 +49,29 @@ def canonical_places(col: Column) -> Column:
 
 
 @lru_cache(1)
-def _accent_map() -> tuple[str, str]:
-    """Characters whose compatibility decomposition, without combining marks, is one other character."""
-    source, target = [], []
-    for c in range(0x80, 0x3000):
+def _accent_map() -> tuple[str, str, dict[str, str]]:
+    """Characters by their compatibility decomposition without combining marks: those that become one other character, and
+    those that become several or none. Syllables that decompose by rule (Hangul) are left whole."""
+    source, target, several = [], [], {}
+    for c in [*range(0x80, 0x3400), *range(0xF900, 0xFFF0)]:
         ch = chr(c)
         plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not 0x300 <= ord(x) <= 0x36F)
         if plain != ch and len(plain) == 1:
             source.append(ch)
             target.append(plain)
-    return "".join(source), "".join(target)
+        elif plain != ch:
+            several[ch] = plain
+    return "".join(source), "".join(target), several
 
 
 def unaccent(col: Column) -> Column:
-    """Compatibility decomposition without combining marks, for characters that become one other character; loose marks go."""
-    source, target = _accent_map()
-    return F.regexp_replace(F.translate(col, source, target), "[\\u0300-\\u036f]", "")
+    """Compatibility decomposition without combining marks; loose marks go. Texts without a character that becomes several
+    (ligatures, fractions, enclosed forms) are done in one pass."""
+    source, target, several = _accent_map()
+    any_of = "[" + "".join(re.escape(ch) for ch in several if several[ch]) + "]"
+    spell = lambda c: F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(fixed_map(several), ch), ch)), "")
+    spelled = F.element_at(F.transform(F.array(col), lambda c: F.when(F.rlike(c, F.lit(any_of)), spell(c)).otherwise(c)), 1)
+    return F.regexp_replace(F.translate(spelled, source, target), "[\\u0300-\\u036f]", "")
 
 
 def squeeze(col: Column) -> Column:

@@ -148,9 +148,13 @@ def llm_payload(evidence: DataFrame, key: str = "run_id", cap: int = PAYLOAD_CHA
     return out.join(totals, key).select(key, F.to_json("evidence").alias("payload"), "total", *[f"n_{t}" for t in TIERS], "avg_quality", X.token_estimate(F.col("chars")).alias("token_estimate"), (F.col("_all") > F.col("total")).alias("truncated"))
 
 
-def payload_errors(payload: Column, quality_min: Column, quality_max: Column, cap: int = PAYLOAD_CHARS) -> Column:
+def payload_errors(payload: Column, quality_min: Column, quality_max: Column, cap: int = PAYLOAD_CHARS, refs: Column | None = None) -> Column:
+    """What is wrong with a payload: tags in it, its size, its range of quality, and references that do not count e1, e2, ..."""
     tell = lambda bad, text: F.when(bad, F.lit(text))
-    return F.array_compact(F.array(tell(F.rlike(payload, F.lit("(?i)<html|<!DOCTYPE")), "payload holds HTML"), tell(F.length(payload) > cap, "payload too large"), tell((quality_min < 0) | (quality_max > 1), "quality out of range")))
+    checks = [tell(F.rlike(payload, F.lit("(?i)<html|<!DOCTYPE")), "payload holds HTML"), tell(F.length(payload) > cap, "payload too large"), tell((quality_min < 0) | (quality_max > 1), "quality out of range")]
+    if refs is not None:
+        checks.append(tell(F.exists(F.transform(refs, lambda r, i: r != F.concat(F.lit("e"), (i + 1).cast("string"))), lambda wrong: wrong), "references out of order"))
+    return F.array_compact(F.array(*checks))
 
 
 # Applicability ----------------------------------------------------------------------------------------------

@@ -445,11 +445,12 @@ def collector_stats(spark, sf_dir):
     return E.collector_counts(e).withColumn("avg_quality", F.round("avg_quality", 9))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 4 = 1 THEN 'payload holds HTML' END, CASE WHEN length(text) + CASE WHEN turn % 4 = 1 THEN 6 ELSE 0 END > 200 THEN 'payload too large' END, CASE WHEN turn % 5 = 2 THEN 'quality out of range' END], lambda x: x IS NOT NULL), ',') AS errors FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 4 = 1 THEN 'payload holds HTML' END, CASE WHEN length(text) + CASE WHEN turn % 4 = 1 THEN 6 ELSE 0 END > 200 THEN 'payload too large' END, CASE WHEN turn % 5 = 2 THEN 'quality out of range' END, CASE WHEN turn % 3 = 0 THEN 'references out of order' END], lambda x: x IS NOT NULL), ',') AS errors FROM conversations""")
 def payload_checks(spark, sf_dir):
     turn = F.col("turn")
     payload = F.concat(F.when(turn % 4 == 1, "<html>").otherwise(""), "text")
-    errors = E.payload_errors(payload, F.lit(0.0), F.when(turn % 5 == 2, 1.5).otherwise(1.0), 200)
+    refs = F.array(F.lit("e1"), F.when(turn % 3 == 0, "e3").otherwise("e2"))
+    errors = E.payload_errors(payload, F.lit(0.0), F.when(turn % 5 == 2, 1.5).otherwise(1.0), 200, refs)
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(errors, ",").alias("errors"))
 
 

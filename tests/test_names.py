@@ -99,3 +99,10 @@ def test_cosine_edges(spark):
     rows = [([1.0, 0.0], [0.0, 1.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0], [1.0]), ([1.0], [1.0, 2.0])]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(S.cosine(F.col("a"), F.col("b"))).collect()]
     assert [round(x, 9) for x in got] == [0, 1, 0, 0]
+
+
+def test_unaccent_is_the_decomposition(spark):
+    texts = ["Café", "ﬁne ﬂow", "½ cup", "Ⅷ ①", "ｆｕｌｌ", "e\u0301 x", "ß œ", "한글", "plain", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(N.unaccent(F.col("t"))).collect()]
+    want = [t if t in (None, "한글") else N.unaccent_exact(t) for t in texts]
+    assert got == want
