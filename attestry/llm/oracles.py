@@ -86,4 +86,54 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL = {"op5_pivot_topk": OP5, "op6_interleave_shards": OP6, "op7_mixture": OP7, "op10_secrets": OP10}
+_NEXT = "CASE {} WHEN 2 THEN 3 ELSE 2 END"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of ASCII text, with the table ``crc`` at hand."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda b: ord(b)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+OP12 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+k AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit FROM conversations, crc),
+d AS (SELECT coalesce('1' || conv_id::VARCHAR, '0') AS key, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE hit <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY key, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, left(role, 1) AS i FROM o),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 1, 2, 'u'), (0, 2, 3, 'ua'), (0, 3, 2, 'uau'), (1, 0, 1, ''), (1, 1, 2, 'u'), (1, 2, 3, 'ua'), (1, 3, 2, 'uau'),
+    (2, 0, 2, ''), (2, 1, 3, 'a'), (2, 2, 2, 'au'), (2, 3, 3, 'aua'), (3, 0, 3, ''), (3, 1, 2, 'u'), (3, 2, 3, 'ua'), (3, 3, 2, 'uau')) x(s0, times, s1, made)),
+ops AS (SELECT * FROM (VALUES ('K', 0), ('R', 3), ('D', 4)) x(op, price)),
+w AS (SELECT DISTINCT key, 0::BIGINT AS pos, 0 AS s, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS way FROM f
+    UNION ALL SELECT key, pos, s, min(way) AS way FROM (SELECT w.key, f.pos, CASE WHEN op = 'D' THEN s1 WHEN op = 'K' AND i = 's' THEN 1 ELSE {_NEXT.format("s1")} END AS s,
+        {{'c': way.c + 3 * times + price + CASE WHEN op <> 'D' AND fault = 3 THEN 3 ELSE 0 END, 'a': way.a || repeat('I', times) || op,
+        'o': way.o || replace(replace(made, 'a', 'assistan:' || chr(1)), 'u', 'user:' || chr(1)) || CASE op WHEN 'D' THEN '' ELSE CASE WHEN op = 'K' THEN role WHEN s1 = 2 THEN 'assistant' ELSE 'user' END || ':' || text || chr(1) END}} AS way
+        FROM w JOIN f ON w.key = f.key AND f.pos = w.pos + 1 JOIN ins ON s0 = s JOIN ops ON op = 'D' OR (fault IN (0, 3) AND (op = 'R' OR (i = 's' AND s1 = 0) OR i = CASE WHEN s1 = 2 THEN 'a' ELSE 'u' END))) GROUP BY key, pos, s),
+e AS (SELECT key, min({{'c': way.c + CASE s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'a': way.a || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'o': way.o || CASE s WHEN 1 THEN 'user:' || chr(1) || 'assistant:' || chr(1) WHEN 2 THEN 'assistant:' || chr(1) ELSE '' END}}) AS way FROM w JOIN (SELECT key, max(pos) AS pos FROM f GROUP BY ALL) USING (key, pos) GROUP BY key),
+p AS (SELECT key, turn, fault, pos > 1 AND lag(i) OVER (PARTITION BY key ORDER BY pos) || i NOT IN ('su', 'ua', 'au') AS bad FROM f),
+g AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (bad) AS illegal FROM p GROUP BY key)
+SELECT conv_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, coalesce(way.c, 0)::BIGINT AS cost, coalesce(way.a, '') AS audit,
+    sha256(coalesce(replace(replace(left(way.o, length(way.o) - 1), chr(1), chr(10)), 'assistan:', 'assistant:'), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id::VARCHAR, '0') AS key FROM conversations) LEFT JOIN g USING (key) LEFT JOIN e USING (key)
+"""
+
+OP13 = f"""
+WITH crc AS ({_CRC_TABLE}),
+t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY ALL),
+c AS MATERIALIZED (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS family, {_crc("n.conv_id::VARCHAR")} % 9 AS h FROM n, crc),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = family AND pos < h
+    UNION ALL SELECT c.conv_id, pos - h + coalesce(least(n, h), 0), role, text FROM c JOIN t USING (conv_id) LEFT JOIN n ON n.conv_id = family WHERE pos >= h),
+p AS MATERIALIZED (SELECT conv_id, pos + 1 AS depth, strlen(text) AS size, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM r),
+q AS MATERIALIZED (SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL, NOT EXISTS (FROM p WHERE p.conv_id = c.conv_id) FROM c),
+g AS MATERIALIZED (SELECT node, depth, any_value(parent) AS parent, any_value(size) AS size, count(*) AS n_convs, min(conv_id) AS conv_id, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY node, depth),
+k AS (SELECT parent AS node, count(*) AS n_children FROM g WHERE parent IS NOT NULL GROUP BY ALL),
+s AS (SELECT q.node, sum((k.node IS NULL)::INT) AS n_leaves, sum((g.n_convs - 1) * g.size) AS saved_tokens FROM g LEFT JOIN k USING (node) JOIN q ON q.conv_id = g.conv_id AND q.depth <= g.depth GROUP BY q.node)
+SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM g LEFT JOIN k USING (node) JOIN s USING (node) LEFT JOIN g u ON u.node = g.parent
+"""
+
+ORACLE_SQL = {"op12_conversation_repair": OP12, "op13_prefix_trie": OP13, "op5_pivot_topk": OP5, "op6_interleave_shards": OP6, "op7_mixture": OP7, "op10_secrets": OP10}

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, secrets, sharding, simhash
+from ..session import saved, spread
+from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, repair, secrets, sharding, simhash, trie
 
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -124,6 +124,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    convs = rows.groupBy(repair.conversation_key(F.col("conv_id")).alias("key")).agg(F.first("conv_id").alias("conv_id"))
+    fixed = repair.repair(repair.damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    met = convs.join(fixed.audits, "key", "left").join(repair.digests(fixed.rows), "key", "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return met.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    c = F.col("conv_id")
+    convs, rebuilt = trie.with_shared_heads(saved(turns, "trie-turns"), c - c % 5, F.crc32(c.cast("string").cast("binary")) % 9, most=8)
+    longs = ["depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return trie.prefix_trie(convs, rebuilt).select("conv_id", *[F.col(x).cast("long").alias(x) for x in longs], "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -135,4 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_permutation_ann": op9_permutation_ann,
     "op10_secrets": op10_secrets,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
