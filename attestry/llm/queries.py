@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import saved, spread
-from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, repair, secrets, sharding, simhash, trie
+from . import byte_bpe, langid, mixing, packing, permutation_ann, pivot_topk, quality, repair, secrets, sharding, simhash, suffixes, trie
 
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -124,6 +124,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), window=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     convs = rows.groupBy(repair.conversation_key(F.col("conv_id")).alias("key")).agg(F.first("conv_id").alias("conv_id"))
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_permutation_ann": op9_permutation_ann,
     "op10_secrets": op10_secrets,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }
