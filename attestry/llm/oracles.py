@@ -55,7 +55,13 @@ t AS (SELECT *, e + CASE WHEN part > 1e-6 AND before < part - 1e-6 THEN 1 ELSE 0
 SELECT doc_id, lang, source, unnest(range(times))::INT AS epoch FROM t WHERE times > 0
 """
 
-_CASED = {"assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
+_LE = r"(?:[\x20\t\r\n]|\\[rn])*"
+#: Rules in the syntax that DuckDB reads: neither flags inside groups, look-ahead nor possessive groups. Runs of up to four
+#: dashes stand for what the look-ahead lets pass; nothing that follows a possessive group could start inside it.
+_CASED = {"pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_LE}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_LE}[A-Za-z0-9+/]{{16,}}={{0,2}})*"
+    rf"(?:{_LE}[A-Za-z0-9+/]{{1,15}}={{1,2}}|\r?\n(?:[A-Za-z0-9+/]{{4}}){{1,3}}(?m:$))?)",
+    "assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
 
 
 def _spans(rank: int, kind: str, regex: str, group: int, least: int) -> str:

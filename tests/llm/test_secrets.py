@@ -86,7 +86,7 @@ def test_a_private_key_is_redacted_with_its_body(spark):
 
 def test_odd_rows(odd_docs, no_docs):
     out = secrets.scan_secrets(odd_docs)
-    assert out.count() == odd_docs.count() and out.columns == [*odd_docs.columns, "spans"]
+    assert out.count() == odd_docs.count() and out.columns == [*[c for c in odd_docs.columns if c != "spans"], "spans"]
     assert secrets.scan_secrets(no_docs).count() == 0
 
 
