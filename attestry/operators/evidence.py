@@ -132,7 +132,9 @@ def capped_prefix(rows: DataFrame, key: str, order: list[Column], size: Column,
 
 
 def llm_payload(evidence: DataFrame, key: str = "run_id", cap: int = PAYLOAD_CHARS) -> DataFrame:
-    """One JSON payload a run: evidence by quality, tags stripped, as many items as fit the cap, and a summary."""
+    """One JSON payload a run: evidence by quality, tags stripped, as many items as fit the cap, and a summary.
+
+    The mean is that of decimals, so it does not depend on the order of the items."""
     item = evidence.withColumn("text", X.strip_html(F.coalesce("matched_text", F.lit(""))))
     shown = F.struct("kind", "source", "tier", "text", F.col("quality_score").alias("quality"), "url")
     sized = item.withColumn("_item", F.to_json(shown))
@@ -141,7 +143,7 @@ def llm_payload(evidence: DataFrame, key: str = "run_id", cap: int = PAYLOAD_CHA
         F.array_sort(F.collect_list(F.struct(F.substring("ref", 2, 9).cast("int").alias("n"), "ref", shown.alias("item")))).alias("evidence"),
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in TIERS],
-        F.avg("quality_score").alias("avg_quality"),
+        F.avg(F.col("quality_score").cast("decimal(18,9)")).cast("double").alias("avg_quality"),
         F.sum(F.length("_item") + 2).alias("chars"),
     )
     totals = evidence.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))

@@ -637,11 +637,11 @@ def payload_prefix_cap(spark, sf_dir):
     return E.capped_prefix(docs, "source", [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), E.PAYLOAD_CHARS).select("source", "doc_id", "ref")
 
 
-@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, count(*) AS total, count(*) FILTER (tier = 'mirror') AS n_mirror, count(*) FILTER (tier = 'api') AS n_api, count(*) FILTER (tier = 'live') AS n_live, round(avg(q), 6) AS avg_quality, false AS truncated FROM q GROUP BY 1")
+@query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, count(*) AS total, count(*) FILTER (tier = 'mirror') AS n_mirror, count(*) FILTER (tier = 'api') AS n_api, count(*) FILTER (tier = 'live') AS n_live, floor(sum(round(q * 1e9)::BIGINT)::DOUBLE / count(*) / 1e3 + 0.001)::BIGINT AS quality_millionths, false AS truncated FROM q GROUP BY 1")
 def llm_payloads(spark, sf_dir):
-    """Payloads of short items, which all fit."""
+    """Payloads of short items, which all fit; mean quality in millionths, cut off, so that no rounding of ties is compared."""
     e = _evidence(spark, sf_dir).withColumn("matched_text", F.concat(F.lit("<b>"), "source", F.lit("</b> "), "id"))
-    return E.llm_payload(e).select("run_id", "total", "n_mirror", "n_api", "n_live", F.round("avg_quality", 6).alias("avg_quality"), "truncated")
+    return E.llm_payload(e).select("run_id", "total", "n_mirror", "n_api", "n_live", F.floor(F.col("avg_quality") * 1e6 + 0.001).alias("quality_millionths"), "truncated")
 
 
 @query(f"WITH {_EV}, q AS (SELECT *, {_QUALITY} AS q FROM e) SELECT run_id, round(least(avg(q * 0.8), 1), 6) AS legitimacy_score FROM q WHERE kind IN ('legitimacy', 'identity') GROUP BY 1")

@@ -416,11 +416,12 @@ def date_scalars(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(text) <= 40 THEN text ELSE CASE WHEN strpos(reverse(text[1:40]), ' ') BETWEEN 1 AND 7 THEN text[1:40 - strpos(reverse(text[1:40]), ' ')] ELSE text[1:40] END || '…' END AS short,
-(length(text) % 101)::VARCHAR || '%' AS percent, CASE WHEN length(text) < 1000 THEN length(text) || 'ms' WHEN length(text) < 60000 THEN printf('%.1fs', length(text) / 1000) ELSE 'long' END AS took, 'api_key=[REDACTED] ok' AS redacted, '/a/' || turn AS disallowed, 'Q' || conv_id AS item FROM conversations""")
+(length(text) % 101)::VARCHAR || '%' AS percent, CASE WHEN length(text) < 1000 THEN length(text) || 'ms' WHEN length(text) < 60000 THEN (length(text) + 50) // 100 // 10 || '.' || (length(text) + 50) // 100 % 10 || 's' ELSE 'long' END AS took,
+regexp_replace(text, ' ([^\\s"]+)\\z', ' token=[REDACTED]') AS redacted, '/a/' || turn AS disallowed, 'Q' || conv_id AS item FROM conversations""")
 def text_scalars(spark, sf_dir):
     n = F.length("text")
     robots = F.concat(F.lit("User-agent: *\nDisallow: /a/"), "turn", F.lit("\nAllow: /b"))
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.truncate_text(F.col("text"), 40).alias("short"), X.format_percent(n % 101 / 100.0).alias("percent"), X.format_duration(n).alias("took"), X.redact_secrets(F.concat(F.lit("api_key=k"), "turn", F.lit(" ok"))).alias("redacted"), F.array_join(X.robots_disallowed(robots), " ").alias("disallowed"), X.knowledge_id(F.concat(F.lit("http://w.org/entity/Q"), "conv_id")).alias("item"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.truncate_text(F.col("text"), 40).alias("short"), X.format_percent(n % 101 / 100.0).alias("percent"), X.format_duration(n).alias("took"), X.redact_secrets(F.regexp_replace("text", r' ([^\s"]+)\z', " token=$1")).alias("redacted"), F.array_join(X.robots_disallowed(robots), " ").alias("disallowed"), X.knowledge_id(F.concat(F.lit("http://w.org/entity/Q"), "conv_id")).alias("item"))
 
 
 # Evidence ----------------------------------------------------------------------------------------------------
