@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..session import small
+from .chains import chain_ends
 from .matching import priority_first
 
 KEY = ["institution_id", "source", "external_id"]
@@ -49,15 +50,23 @@ def update_filled(old: DataFrame, new: DataFrame, key: str, columns: list[str],
 
 def merge_institutions(institutions: DataFrame, identities: DataFrame, runs: DataFrame, merges: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """Merge institutions by a mapping (``from_id``, ``to_id``): identities and runs point to the target, the source row
-    goes, and an audit row tells. Rows that would repeat an identity of the target are dropped. Of several targets of one
-    institution the smallest counts. The mapping is broadcast while it is small."""
-    step = small(merges.filter("from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")))
+    goes, and an audit row tells.
+
+    Merges chain: a target that is merged itself is followed to the end, and a cycle becomes its smallest id, so nothing
+    points to a row that goes. Of several targets of one institution the smallest counts; a merge of or into an
+    institution that does not exist is none. Rows that would repeat an identity of the target are dropped, the smallest
+    id stays. The mapping is broadcast while it is small, else joined on its one row an institution."""
+    ids = institutions.select("id").distinct()
+    known = merges.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
+    step = small(chain_ends(known.select("from_id", "to_id")))
 
     def repoint(rows: DataFrame) -> DataFrame:
         met = rows.join(step, rows["institution_id"] == step["from_id"], "left")
         return met.select(*[F.coalesce("to_id", "institution_id").alias(c) if c == "institution_id" else rows[c] for c in rows.columns])
 
-    audit = step.select(F.lit("system").alias("actor"), F.lit("merge").alias("action"), F.lit("institution").alias("entity"), F.col("to_id").cast("string").alias("entity_id"), F.to_json(F.struct(F.col("from_id").alias("fromId"))).alias("before"), F.to_json(F.struct(F.col("to_id").alias("toId"))).alias("after"), as_of.alias("at"))
+    before = F.to_json(F.struct(F.col("from_id").alias("id"), F.col("to_id").alias("merged_into")))
+    after = F.to_json(F.struct(F.col("to_id").alias("id"), F.lit(True).alias("received_identities")))
+    audit = step.select(F.lit("system").alias("actor"), F.lit("MERGE").alias("action"), F.lit("institutions").alias("entity"), F.col("from_id").cast("string").alias("entity_id"), before.alias("before"), after.alias("after"), F.lit("Merged duplicate institution").alias("reason"), as_of.alias("at"))
     return {
         "institutions": institutions.join(step, institutions["id"] == step["from_id"], "left_anti"),
         "identities": priority_first(repoint(identities), KEY, [F.col("id")]),

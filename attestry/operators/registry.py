@@ -165,27 +165,39 @@ class RegistryStore:
         row = [(snapshot_id, authority, state, seq, rows, as_of)]
         self.spark.createDataFrame(row, "id LONG, authority_code STRING, state STRING, seq LONG, row_count LONG, created_at TIMESTAMP").coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
 
+    def _write(self, rows: DataFrame, authority: str, snapshot_id: int) -> None:
+        """Replace the snapshot's own folder: what an earlier attempt left there goes, no other snapshot is touched."""
+        rows.drop("authority_code", "snapshot_id").write.mode("overwrite").parquet(f"{self.root}/entries/authority_code={authority}/snapshot_id={snapshot_id}")
+
     def ingest(self, drafts: DataFrame, authority: str, snapshot_id: int, as_of, rules: Rules = Rules(), dry_run: bool = False, by_content: bool = False) -> IngestReport:
         """Parsed rows (with ``_pos``) to a published snapshot, or to a rejected or unchanged one.
 
         Rows without an external id or name are dropped, the first of equal external ids stays. A snapshot with the
-        previous one's row count (or, ``by_content``, its content) is unchanged. A failed gate leaves the old snapshot
-        serving. A failure marks the snapshot as failed before it is raised.
+        row count of the published one before it (or, ``by_content``, its content) is unchanged. A failed gate leaves the
+        old snapshot serving. A failure marks the snapshot as failed before it is raised.
+        A snapshot may be ingested again. If an attempt failed or was lost, its rows are replaced; if it had come to an
+        end, its rows and log stay as they are, whatever the drafts, and the report is made anew.
         """
-        log, entries = self.log, self.entries
-        before = None if log is None else published_snapshots(log).filter(F.col("authority_code") == authority).select("id", "row_count").first()
-        self._mark(snapshot_id, authority, "running", 0, None, as_of)
+        log = self.log
+        seen = [] if log is None else latest_state(log).filter(F.col("id") == snapshot_id).select("state", "seq").take(1)
+        over = bool(seen) and seen[0]["state"] in ("published", "rejected", "unchanged")
+        at = seen[0]["seq"] + 1 if seen else 0
+        before = None if log is None else published_snapshots(log.filter(F.col("id") < snapshot_id)).filter(F.col("authority_code") == authority).select("id", "row_count").first()
+        if not over:
+            self._mark(snapshot_id, authority, "running", at, None, as_of)
         try:
             kept = first_wins(drafts.filter("trim(coalesce(external_id, '')) <> '' AND trim(coalesce(name, '')) <> ''"))
             rows = to_entries(kept, authority, snapshot_id)
             if not dry_run:
-                rows.write.mode("append").partitionBy("authority_code", "snapshot_id").parquet(f"{self.root}/entries")
+                if not over:
+                    self._write(rows, authority, snapshot_id)
                 rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/entries").filter((F.col("authority_code") == authority) & (F.col("snapshot_id") == snapshot_id))
             counted = rows.agg(F.count(F.lit(1)).alias("n"), content_hash("external_id", "canonical_name", "status").alias("digest"), *[F.count_if(F.coalesce(F.col({"name": "canonical_name"}.get(c, c)), F.lit("")) == "").alias(f"null_{c}") for c in rules.required]).first().asDict()
             counted["raw"] = drafts.count() if rules.strict else counted["n"]
             report = IngestReport("published", counted["n"], None if before is None else before["row_count"])
             report.checks = gate_checks(counted, report.previous_count, rules)
-            old = None if before is None or entries is None else entries.filter((F.col("authority_code") == authority) & (F.col("snapshot_id") == before["id"]))
+            entries = self.entries if before is not None else None
+            old = None if entries is None else entries.filter((F.col("authority_code") == authority) & (F.col("snapshot_id") == before["id"]))
             same = report.previous_count == counted["n"]
             if by_content and same and old is not None:
                 same = old.agg(content_hash("external_id", "canonical_name", "status")).first()[0] == counted["digest"]
@@ -198,10 +210,14 @@ class RegistryStore:
                 report.added, report.removed, report.changed = (changes.get(k, 0) for k in ("added", "removed", "changed"))
             else:
                 report.added = counted["n"]
-            self._mark(snapshot_id, authority, "dry_run" if dry_run else report.state, 1, counted["n"], as_of)
+            if over:
+                report.state = seen[0]["state"]
+            else:
+                self._mark(snapshot_id, authority, "dry_run" if dry_run else report.state, at + 1, counted["n"], as_of)
             return report
         except Exception:
-            self._mark(snapshot_id, authority, "failed", 1, None, as_of)
+            if not over:
+                self._mark(snapshot_id, authority, "failed", at + 1, None, as_of)
             raise
 
 

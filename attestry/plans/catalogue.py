@@ -423,13 +423,50 @@ def identity_upsert(spark, sf_dir):
     return I.upsert(old, links.filter("id % 3 = 0"), keep=["id"], order="id")
 
 
-@query(f"WITH {_LINKS}, m AS (SELECT n_nationkey::BIGINT AS from_id, (n_nationkey // 5 * 5)::BIGINT AS to_id FROM nation WHERE n_nationkey % 5 <> 0), r AS (SELECT l.* REPLACE (coalesce(to_id, institution_id) AS institution_id) FROM l LEFT JOIN m ON institution_id = from_id) SELECT institution_id, source, external_id, min(id) AS id FROM r GROUP BY 1, 2, 3")
+_MERGES = """RECURSIVE i AS (SELECT c_custkey AS id, c_custkey % 100 AS m FROM customer),
+g AS (SELECT id AS from_id, unnest(CASE WHEN m BETWEEN 1 AND 39 THEN [id + 1, id + 2] WHEN m = 44 THEN [id - 3] WHEN m BETWEEN 41 AND 43 THEN [id + 1] WHEN m BETWEEN 45 AND 49 THEN [id - 1] WHEN m = 50 THEN [id] WHEN m = 51 THEN [-id] WHEN m >= 60 THEN [10] ELSE [] END) AS to_id FROM i),
+f AS (SELECT from_id, min(to_id) AS to_id FROM g WHERE from_id <> to_id AND to_id IN (SELECT id FROM i) GROUP BY from_id),
+r AS (SELECT from_id, to_id FROM f UNION SELECT r.from_id, f.to_id FROM r JOIN f ON r.to_id = f.from_id),
+w AS (SELECT from_id, min(to_id) AS to_id FROM r WHERE to_id NOT IN (SELECT from_id FROM f) OR to_id IN (SELECT from_id FROM r WHERE from_id = to_id) GROUP BY from_id),
+k AS (SELECT from_id, to_id FROM w WHERE from_id <> to_id)"""
+
+
+def _merges(spark, sf_dir):
+    """Customers as institutions and what merges which: chains of forty, cycles of four with chains into them, one target of
+    many, second targets, merges into itself and into none."""
+    inst = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_custkey") % 100).alias("m"))
+    to = (
+        F.when(F.expr("m BETWEEN 1 AND 39"), F.expr("array(id + 1, id + 2)"))
+        .when(F.expr("m = 44"), F.expr("array(id - 3)"))
+        .when(F.expr("m BETWEEN 41 AND 43"), F.expr("array(id + 1)"))
+        .when(F.expr("m BETWEEN 45 AND 49"), F.expr("array(id - 1)"))
+        .when(F.expr("m = 50"), F.expr("array(id)"))
+        .when(F.expr("m = 51"), F.expr("array(-id)"))
+        .when(F.expr("m >= 60"), F.expr("array(10L)"))
+    )
+    links = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("institution_id"), F.col("o_orderpriority").alias("source"), (F.col("o_orderkey") % 50).cast("string").alias("external_id"))
+    runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("institution_id"))
+    return I.merge_institutions(inst.select("id", "c_name"), links, runs, inst.select(F.col("id").alias("from_id"), F.explode(to).alias("to_id")), _as_of())
+
+
+@query(f"WITH {_MERGES} SELECT coalesce(k.to_id, o_custkey) AS institution_id, o_orderpriority AS source, (o_orderkey % 50)::VARCHAR AS external_id, min(o_orderkey) AS id FROM orders LEFT JOIN k ON o_custkey = from_id GROUP BY 1, 2, 3")
 def institution_merge(spark, sf_dir):
-    links = _links(spark, sf_dir)
-    inst = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    merges = inst.select(F.col("id").alias("from_id"), F.expr("id div 5 * 5").alias("to_id")).filter("from_id % 5 <> 0")
-    merged = I.merge_institutions(inst, links, links.select("institution_id", F.col("id").alias("run_id")), merges, _as_of())
-    return merged["identities"].select("institution_id", "source", "external_id", "id")
+    return _merges(spark, sf_dir)["identities"].select("institution_id", "source", "external_id", "id")
+
+
+@query(f"""WITH {_MERGES}, t AS (SELECT coalesce(k.to_id, o_custkey) AS id, count(*) AS runs FROM orders LEFT JOIN k ON o_custkey = from_id GROUP BY 1)
+SELECT c_custkey AS id, c_name, coalesce(runs, 0) AS runs FROM customer LEFT JOIN t ON c_custkey = id WHERE c_custkey NOT IN (SELECT from_id FROM k)""")
+def institutions_after_merge(spark, sf_dir):
+    """Institutions that stay, with the runs that point to them; a run that pointed to a deleted one would be missing."""
+    merged = _merges(spark, sf_dir)
+    runs = merged["runs"].groupBy(F.col("institution_id").alias("id")).agg(F.count(F.lit(1)).alias("runs"))
+    return merged["institutions"].join(runs, "id", "left").select("id", "c_name", F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+@query(f"""WITH {_MERGES} SELECT 'institutions' AS entity, from_id::VARCHAR AS entity_id, 'MERGE' AS action, '{{"id":' || from_id || ',"merged_into":' || to_id || '}}' AS before,
+'{{"id":' || to_id || ',"received_identities":true}}' AS after, 'Merged duplicate institution' AS reason FROM k""")
+def merge_audit(spark, sf_dir):
+    return _merges(spark, sf_dir)["audit_log"].select("entity", "entity_id", "action", "before", "after", "reason")
 
 
 @query(f"WITH {_LINKS}, p AS (SELECT *, list_position(['INI', 'AICTE', 'UGC', 'AISHE', 'WIKIDATA', 'NAD'], source) AS r FROM l) SELECT institution_id, arg_min(name_as_source, (r, name_as_source)) AS canonical_name FROM p WHERE r > 0 GROUP BY 1")

@@ -28,6 +28,7 @@ from ..operators import scoring as P
 from ..operators import structured as T
 from ..session import shared_dir
 from ..sources import connectors, uploads
+from ..sources import html_tables as HT
 from ..streaming import events as V
 from .catalogue import _LINKS, _as_of, _links, _t, query
 from .validate import discover, fast_path
@@ -59,6 +60,25 @@ def registry_ingest(spark, sf_dir):
     return G.snapshot_states(store.log).join(live, "id", "left").select(F.col("id").alias("snapshot_id"), "state", "row_count", F.coalesce("live", F.lit(0)).alias("live"), F.col("previous_count").alias("previous"))
 
 
+@query("""WITH n AS (SELECT s_suppkey, s_name, s_suppkey % 7 <> 0 AS first FROM supplier)
+SELECT 'UGC' AS authority_code, 2::BIGINT AS snapshot_id, s_suppkey::VARCHAR AS external_id, s_name AS canonical_name, count(*) OVER () AS row_count, (SELECT count(*) FROM n WHERE NOT first) AS added, 0::BIGINT AS removed, 3 AS marks FROM n""")
+def registry_retry(spark, sf_dir):
+    """Two snapshots, each ingested twice; the second one's first attempt is lost after it has written half of its rows."""
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"), F.create_map(F.lit("status"), F.lit("ok")).alias("raw_data"), F.col("s_suppkey").alias("_pos"))
+    store = G.RegistryStore(spark, _folder(spark))
+    for _ in range(2):
+        store.ingest(rows.filter("_pos % 7 <> 0"), "UGC", 1, NOW)
+    store._mark(2, "UGC", "running", 0, None, NOW)
+    store._write(G.to_entries(rows.filter("_pos % 2 = 0"), "UGC", 2), "UGC", 2)
+    reports = [store.ingest(rows, "UGC", 2, NOW) for _ in range(2)]
+    added, removed = {(r.added, r.removed) for r in reports}.pop()
+    marks = store.log.filter("id = 2").count()
+    live = G.published_entries(store.entries, store.log)
+    count = F.lit(reports[1].row_count).cast("long").alias("row_count")
+    return live.select("authority_code", F.col("snapshot_id").cast("long").alias("snapshot_id"), "external_id", "canonical_name", count, F.lit(added).cast("long").alias("added"), F.lit(removed).cast("long").alias("removed"), F.lit(marks).alias("marks"))
+
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as registry entries of four authorities, with attributes."""
     key = F.col("s_suppkey")
@@ -92,15 +112,24 @@ def authority_fallback(spark, sf_dir):
 # Connectors --------------------------------------------------------------------------------------------------
 
 
-def _capture(spark: SparkSession, rows: DataFrame, cells: list, link: Column | None = None, by: Column | None = None, name: str = "page", order: str = "k") -> str:
-    """Rows as captured HTML tables, a page for each group, in files below a folder of that name."""
+#: Rows of a captured page.
+PAGE_ROWS = 400
+
+
+def _capture(rows: DataFrame, cells: list, link: Column | None = None, by: Column | None = None, path: str | None = None, order: str = "k", page: Column | None = None) -> str:
+    """Rows as captured HTML tables, a page for each group ``by`` and stretch of the order, each in a file of its own."""
     tags = [F.concat(F.lit("<td> "), F.coalesce(c.cast("string"), F.lit("")), F.lit(" </td>")) for c in cells]
     if link is not None:
         tags.append(F.concat(F.lit('<td><a href="'), link, F.lit('">site</a></td>')))
     tr = F.concat(F.lit("<tr>"), *tags, F.lit("</tr>"))
-    pages = rows.groupBy((by if by is not None else F.lit(0)).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), tr.alias("tr")))), lambda x: x["tr"]), "\n").alias("trs"))
-    path = f"{_folder(spark)}/{name}"
-    pages.select(F.concat(F.lit("<table><tr><th>No</th><th>Name</th></tr>"), "trs", F.lit("</table>"))).write.text(path)
+    return _pages(rows, tr, [by if by is not None else F.lit(0), page if page is not None else F.floor(F.col(order) / PAGE_ROWS)], path, order, "<tr><th>No</th><th>Name</th></tr>")
+
+
+def _pages(rows: DataFrame, tr: Column, keys: list[Column], path: str | None, order: str, head: str) -> str:
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), tr.alias("tr"))))
+    pages = rows.groupBy(*[k.alias(f"page{i}") for i, k in enumerate(keys)]).agg(F.array_join(F.transform(listed, lambda x: x["tr"]), "").alias("trs"))
+    path = path or f"{_folder(rows.sparkSession)}/page"
+    pages.select(F.concat(F.lit(f"<table>{head}"), "trs", F.lit("</table>"))).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -132,38 +161,38 @@ def _drafted(external: str, name: str = _COLLEGE, city: str = "NULL::VARCHAR", s
 
 @query(_drafted(_SLUG.format(x=f"{_COLLEGE} || '-' || {_STATE}"), website="'https://u' || s_suppkey || '.ac.in'"))
 def connector_ugc_recognized(spark, sf_dir):
-    path = _capture(spark, _suppliers(spark, sf_dir), [_k(), _name(), _pick(_STATES, _k()), F.lit("State"), F.lit("Road 1"), F.lit("403001"), F.lit("ok")], F.concat(F.lit("https://u"), _k(), F.lit(".ac.in")), _k() % 3)
+    path = _capture(_suppliers(spark, sf_dir), [_k(), _name(), _pick(_STATES, _k()), F.lit("State"), F.lit("Road 1"), F.lit("403001"), F.lit("ok")], F.concat(F.lit("https://u"), _k(), F.lit(".ac.in")), _k() % 3)
     return _draft(connectors.load(spark, "ugc-recognized", path))
 
 
 @query(_drafted(_SLUG.format(x=f"{_COLLEGE} || '-' || {_STATE}"), city="'District ' || s_nationkey", university="'University ' || s_nationkey"))
 def connector_ugc_colleges(spark, sf_dir):
     cells = [_k(), _name(), _pick(_STATES, _k()), F.lit("Road"), F.concat(F.lit("District "), "s_nationkey"), F.concat(F.lit("University "), "s_nationkey"), F.lit("ok"), F.lit("1950"), F.lit("PG"), F.lit("Govt"), F.lit("Aided")]
-    return _draft(connectors.load(spark, "ugc-colleges", _capture(spark, _suppliers(spark, sf_dir), cells)))
+    return _draft(connectors.load(spark, "ugc-colleges", _capture(_suppliers(spark, sf_dir), cells)))
 
 
 @query(_drafted(_SLUG.format(x=f"'fake-' || {_COLLEGE} || '-' || {_STATE}")))
 def connector_ugc_fake(spark, sf_dir):
-    path = _capture(spark, _suppliers(spark, sf_dir), [_k(), F.concat(_name(), F.lit(", Road 7, Town")), _pick(_STATES, _k())])
+    path = _capture(_suppliers(spark, sf_dir), [_k(), F.concat(_name(), F.lit(", Road 7, Town")), _pick(_STATES, _k())])
     return _draft(connectors.load(spark, "ugc-fake", path))
 
 
 @query(_drafted("'U-' || s_suppkey", city="'D' || s_nationkey", website="'https://a.in/' || s_suppkey"))
 def connector_aishe_universities(spark, sf_dir):
     cells = [_k(), F.concat(F.lit("U-"), _k()), _name(), _pick(_STATES, _k()), F.concat(F.lit("D"), "s_nationkey"), F.concat(F.lit("https://a.in/"), _k()), F.lit("1990"), F.lit("Urban")]
-    return _draft(connectors.load(spark, "aishe-universities", _capture(spark, _suppliers(spark, sf_dir), cells, by=_k() % 4)))
+    return _draft(connectors.load(spark, "aishe-universities", _capture(_suppliers(spark, sf_dir), cells, by=_k() % 4)))
 
 
 @query(_drafted("'C-' || s_suppkey", city="'D' || s_nationkey"))
 def connector_aishe_colleges(spark, sf_dir):
     cells = [_k(), F.concat(F.lit("C-"), _k()), _name(), _pick(_STATES, _k()), F.concat(F.lit("D"), "s_nationkey"), F.lit("")]
-    return _draft(connectors.load(spark, "aishe-colleges", _capture(spark, _suppliers(spark, sf_dir), cells, by=_k() % 4)))
+    return _draft(connectors.load(spark, "aishe-colleges", _capture(_suppliers(spark, sf_dir), cells, by=_k() % 4)))
 
 
 @query(_drafted(_SLUG.format(x=f"{_COLLEGE} || '-' || {_STATE}"), university="'University ' || s_nationkey", where="s_suppkey % 7 <> 0"))
 def connector_nmc(spark, sf_dir):
     cells = [_k(), _pick(_STATES, _k()), F.when(_k() % 7 != 0, _name()), F.lit("MBBS"), F.concat(F.lit("University "), "s_nationkey"), F.lit("1990"), F.lit("150"), F.lit("yes"), F.lit("-")]
-    return _draft(connectors.load(spark, "nmc", _capture(spark, _suppliers(spark, sf_dir), cells)))
+    return _draft(connectors.load(spark, "nmc", _capture(_suppliers(spark, sf_dir), cells)))
 
 
 @query(_drafted("coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN 'P-' || s_suppkey END, " + _SLUG.format(x=f"{_COLLEGE} || '-' || {_STATE}") + ")"))
@@ -173,14 +202,14 @@ def connector_pci(spark, sf_dir):
     code = F.when(_k() % 3 != 0, F.concat(F.lit("P-"), _k())).otherwise("-")
     path = _folder(spark)
     for name, cells in (("bpharm", [_k(), _name(), _pick(_STATES, _k()), code, F.lit("-"), F.lit("Board")]), ("dpharm", [_k(), _k(), _name(), _pick(_STATES, _k()), code, F.lit("2020"), F.lit("Board")])):
-        spark.read.text(_capture(spark, rows, cells, name=name), wholetext=True).write.text(f"{path}/{name}")
+        _capture(rows, cells, path=f"{path}/{name}")
     return _draft(connectors.load(spark, "pci", path))
 
 
 @query(_drafted(_SLUG.format(x=f"{_COLLEGE} || '-' || {_STATE}"), city="'City ' || s_nationkey"))
 def connector_ini(spark, sf_dir):
     cells = [F.concat(_name(), F.lit("[1]")), F.concat(F.lit("City "), "s_nationkey"), _pick(_STATES, _k()), F.lit("Act of 1961[2]")]
-    return _draft(connectors.load(spark, "ini", _capture(spark, _suppliers(spark, sf_dir), cells)))
+    return _draft(connectors.load(spark, "ini", _capture(_suppliers(spark, sf_dir), cells)))
 
 
 @query("SELECT 'A-' || s_suppkey AS external_id, 'College ' || s_name AS name, 'District ' || s_nationkey AS city, ['Goa', 'Kerala', 'Tamil Nadu'][s_suppkey % 3 + 1] AS state, NULL::VARCHAR AS affiliated_university, NULL::VARCHAR AS website FROM supplier")
@@ -200,7 +229,48 @@ def connector_digilocker(spark, sf_dir):
     rows = rows.withColumn("k", F.struct("n_nationkey", F.when(F.col("kind") == "Diploma", 0).otherwise(1)))
     lowest = rows.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("lowest"))
     first = F.col("kind") == "Diploma"
-    path = _capture(spark, rows.join(lowest, "n_regionkey"), [F.when(first & (F.col("n_nationkey") == F.col("lowest")), F.col("r_name")), F.when(first, F.concat(F.lit("College "), "n_name")), F.col("kind")], by=F.col("n_regionkey"))
+    path = _capture(rows.join(lowest, "n_regionkey"), [F.when(first & (F.col("n_nationkey") == F.col("lowest")), F.col("r_name")), F.when(first, F.concat(F.lit("College "), "n_name")), F.col("kind")], by=F.col("n_regionkey"), page=F.lit(0))
+    return connectors.load(spark, "digilocker", path).select("external_id", "name", "state", F.col("raw_data")["documentTypes"].alias("kinds"))
+
+
+def _spanning_tables(spark, sf_dir) -> str:
+    """Suppliers by nation in tables where region and nation span all rows, half of the names two columns, and every third row holds
+    a table of the supplier's balance; a footer spans three columns. A nation's suppliers go on pages of up to 400 keys."""
+    rows = _suppliers(spark, sf_dir).join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.withColumn("p", F.floor(_k() / PAGE_ROWS))
+    sizes = rows.groupBy("s_nationkey", "p").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, ["s_nationkey", "p"])
+    span = lambda c: F.concat(F.lit('<td rowspan="'), F.col("n"), F.lit('">'), c, F.lit("</td>"))
+    lead = F.when(F.col("k") == F.col("first"), F.concat(span(F.col("r_name")), span(F.concat(F.lit("&quot;"), "n_name", F.lit("&quot;"))))).otherwise("")
+    inner = F.when(_k() % 3 == 0, F.concat(F.lit("note<table><tr><td>key<td>"), _k(), F.lit("</table>"))).otherwise("plain")
+    named = F.when(_k() % 2 == 0, F.concat(F.lit("<td colspan=2><b>"), _name(), F.lit("</b></td>"))).otherwise(F.concat(F.lit("<td>"), _name(), F.lit("</td><td>odd</td>")))
+    foot = F.when(F.col("k") == F.col("last"), F.concat(F.lit("<tbody><tr><td colspan='3'>Total</td><td>"), F.col("n"), F.lit("</td><td></td></tr></tbody>"))).otherwise("")
+    tr = F.concat(F.lit("<tr>"), lead, named, F.lit("<td>"), inner, F.lit("</td></tr>"), foot)
+    return _pages(rows, tr, [F.col("s_nationkey"), F.col("p")], None, "k", "")
+
+
+@query("""WITH s AS (SELECT s_suppkey, 'College ' || s_name AS name, n_name, r_name, row_number() OVER w - 1 AS i, row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 400, s_suppkey % 3 ORDER BY s_suppkey) AS j, count(*) OVER (PARTITION BY s_nationkey, s_suppkey // 400) AS n
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WINDOW w AS (PARTITION BY s_nationkey, s_suppkey // 400 ORDER BY s_suppkey))
+SELECT '"' || n_name || '"' AS nation, 0 AS table_no, NULL AS parent, i::INT AS row, r_name || '|"' || n_name || '"|' || name || '|' || CASE WHEN s_suppkey % 2 = 0 THEN name ELSE 'odd' END || '|' || CASE WHEN s_suppkey % 3 = 0 THEN 'note' ELSE 'plain' END AS cells,
+    CASE WHEN i > 0 THEN 2 ELSE 0 END + (s_suppkey % 2 = 0)::INT AS spanned FROM s
+UNION ALL SELECT NULL, j::INT, '0:' || i, 0, 'key|' || s_suppkey, 0 FROM s WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'Total', 0, NULL, n::INT, 'Total|Total|Total|' || n || '|', 2 FROM s WHERE i = n - 1""")
+def table_spans(spark, sf_dir):
+    """Captured tables with cells that span rows and columns, groups of rows, and nested tables, laid out in full."""
+    rows = HT.expand_tables(spark.read.text(_spanning_tables(spark, sf_dir), wholetext=True), "value")
+    spanned = F.size(F.filter("spanned", lambda x: x))
+    return rows.select(F.when(F.col("parent").isNull(), F.get("cells", F.lit(1))).alias("nation"), "table_no", "parent", "row", F.array_join("cells", "|").alias("cells"), spanned.alias("spanned"))
+
+
+@query("SELECT 'NAD-' || lower(regexp_replace(n_name, '\\s+', '-', 'g')) AS external_id, n_name AS name, r_name AS state, string_agg('Degree ' || s_suppkey, '; ' ORDER BY 'Degree ' || s_suppkey) AS kinds FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def connector_depository_spans(spark, sf_dir):
+    """The depository's own layout: state and institution span the rows of their documents."""
+    rows = _suppliers(spark, sf_dir).join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("p", F.floor(_k() / PAGE_ROWS))
+    sizes = rows.groupBy("s_nationkey", "p").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, ["s_nationkey", "p"])
+    span = lambda c: F.concat(F.lit("<td rowspan="), F.col("n"), F.lit(">"), c, F.lit("</td>"))
+    tr = F.concat(F.lit("<tr>"), F.when(F.col("k") == F.col("first"), F.concat(span(F.col("r_name")), span(F.col("n_name")))).otherwise(""), F.lit("<td>Degree "), _k(), F.lit("</td></tr>"))
+    path = _pages(rows, tr, [F.col("s_nationkey"), F.col("p")], None, "k", "<tr><th>State</th><th>Institute Name</th><th>Document Type</th></tr>")
     return connectors.load(spark, "digilocker", path).select("external_id", "name", "state", F.col("raw_data")["documentTypes"].alias("kinds"))
 
 

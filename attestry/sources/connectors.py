@@ -65,7 +65,7 @@ def read_aicte(spark: SparkSession, path: str) -> DataFrame:
 
 def read_depository(spark: SparkSession, path: str) -> DataFrame:
     """Depository tables whose state and institution cells span rows: carried forward, then grouped by institution."""
-    rows = T.table_rows(spark, path).filter(F.size("cells") >= 3)
+    rows = T.table_rows(spark, path).filter((F.size("cells") >= 3) & ~F.col("header"))
     w = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     carried = rows.select("file", "row", *[F.last(_clean(F.get("cells", F.lit(i))), ignorenulls=True).over(w).alias(c) for i, c in enumerate(["state", "name"])], _clean(F.get("cells", F.lit(2))).alias("kind"))
     grouped = carried.filter("name IS NOT NULL").groupBy("name", "state").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.min(F.struct("file", "row")).alias("_pos"))

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import identity as I
+from attestry.operators.chains import chain_ends
 from attestry.operators import registry as G
 from attestry.sources import connectors, uploads
 
@@ -137,3 +139,59 @@ def test_identity_graph(spark):
     assert I.insert_ignore(links, new, I.KEY).count() == 1
     filled = I.update_filled(spark.createDataFrame([(1, "a", "b")], "id long, x string, y string"), spark.createDataFrame([(1, "", "c")], "id long, x string, y string"), "id", ["x", "y"])
     assert tuple(filled.first()) == (1, "a", "c")
+
+
+def slow_ends(steps):
+    to = {}
+    for a, b in steps:
+        if a is not None and b is not None and a != b:
+            to[a] = min(b, to.get(a, b))
+    out = {}
+    for start in to:
+        path, at = [start], to[start]
+        while at in to and at not in path:
+            path.append(at)
+            at = to[at]
+        end = min(path[path.index(at) :]) if at in to else at
+        if end != start:
+            out[start] = end
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_and_cycles_end(spark, seed):
+    rng = random.Random(seed)
+    n = [6, 30, 120, 120][seed]
+    steps = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)] + [(None, 3), (3, None)]
+    if seed == 3:
+        steps = [(i, i + 1) for i in range(90)] + [(200 + i, 200 + (i + 1) % 64) for i in range(64)] + [(300 + i, 299 + i if i else 210) for i in range(20)]
+    rows = chain_ends(spark.createDataFrame(steps, "from_id long, to_id long")).collect()
+    assert {r["from_id"]: r["to_id"] for r in rows} == slow_ends(steps) and len(rows) == len(slow_ends(steps))
+    assert chain_ends(spark.createDataFrame([], "from_id long, to_id long")).count() == 0
+
+
+def test_merges_leave_no_reference_to_a_deleted_row(spark):
+    inst = spark.range(1, 9)
+    merges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 6), (7, 99), (98, 1)], "from_id long, to_id long")
+    links = spark.createDataFrame([(i, i, "UGC", "x") for i in range(1, 9)], "id long, institution_id long, source string, external_id string")
+    out = I.merge_institutions(inst, links, links.select("institution_id", "id"), merges, F.current_timestamp())
+    left = {r["id"] for r in out["institutions"].collect()}
+    assert left == {3, 4, 6, 7, 8}
+    assert {r["institution_id"] for r in out["runs"].collect()} == left and {(r["institution_id"], r["id"]) for r in out["identities"].collect()} == {(3, 1), (4, 4), (6, 6), (7, 7), (8, 8)}
+    told = {r["entity_id"]: (r["before"], r["after"]) for r in out["audit_log"].collect()}
+    assert told["1"] == ('{"id":1,"merged_into":3}', '{"id":3,"received_identities":true}') and set(told) == {"1", "2", "5"}
+
+
+def test_a_snapshot_may_be_ingested_again(spark, tmp_path):
+    store = G.RegistryStore(spark, f"file://{tmp_path}/mirror")
+    first = [store.ingest(drafts(spark, 10), "UGC", 1, NOW) for _ in range(2)]
+    assert first[0] == first[1] and store.entries.count() == 10 and store.log.count() == 2
+    broken = drafts(spark, 11).withColumn("name", F.when(F.col("_pos") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="lost"):
+        store.ingest(broken, "UGC", 2, NOW)
+    assert G.published_entries(store.entries, store.log).count() == 10
+    store._write(G.to_entries(drafts(spark, 40), "UGC", 2), "UGC", 2)  # rows that a lost attempt left behind
+    again = [store.ingest(drafts(spark, 11), "UGC", 2, NOW) for _ in range(2)]
+    assert again[0] == again[1] and again[0].state == "published" and again[0].added == 1
+    assert store.entries.count() == 21 and G.published_entries(store.entries, store.log).count() == 11
+    assert {r["id"]: r["state"] for r in G.latest_state(store.log).collect()} == {1: "published", 2: "published"}
