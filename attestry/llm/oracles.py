@@ -131,7 +131,7 @@ t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, ''
 n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY ALL),
 c AS MATERIALIZED (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS family, {_crc("n.conv_id::VARCHAR")} % 9 AS h FROM n, crc),
 r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = family AND pos < h
-    UNION ALL SELECT c.conv_id, pos - h + coalesce(least(n, h), 0), role, text FROM c JOIN t USING (conv_id) LEFT JOIN n ON n.conv_id = family WHERE pos >= h),
+    UNION ALL SELECT c.conv_id, pos - h + least(coalesce(n, 0), h), role, text FROM c JOIN t USING (conv_id) LEFT JOIN n ON n.conv_id = family WHERE pos >= h),
 p AS MATERIALIZED (SELECT conv_id, pos + 1 AS depth, strlen(text) AS size, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM r),
 q AS MATERIALIZED (SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
     UNION ALL SELECT conv_id, 0, 0, 'root', NULL, NOT EXISTS (FROM p WHERE p.conv_id = c.conv_id) FROM c),

@@ -41,7 +41,7 @@ def with_shared_heads(turns: DataFrame, family: Column, shared: Column, most: in
     lengths = heads.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("conv_id", "_family")
     plan = convs.select("conv_id", family.alias("_family"), shared.alias("_shared"))
     begun = plan.join(heads.withColumnRenamed("conv_id", "_family"), "_family").filter("pos < _shared").select("conv_id", "pos", "role", "text")
-    skipped = plan.join(lengths, "_family", "left").select("conv_id", (F.col("_shared") - F.coalesce(F.least("n", "_shared"), F.lit(0))).alias("_gap"))
+    skipped = plan.join(lengths, "_family", "left").select("conv_id", (F.col("_shared") - F.least(F.coalesce("n", F.lit(0)), "_shared")).alias("_gap"))
     rest = turns.filter(F.col("pos") >= shared).join(skipped, "conv_id").select("conv_id", (F.col("pos") - F.col("_gap")).alias("pos"), "role", "text")
     return convs, begun.unionByName(rest)
 
