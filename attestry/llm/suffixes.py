@@ -156,7 +156,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lanes: int = 40
     words = _words(np.concatenate((data, np.zeros(most + 8, np.uint8))))
     before = np.empty(n + 1, np.int64)
     before[sa[1:]] = sa[:-1]
-    before[sa[0]] = n  # zeros follow: what matches there is cleared below
+    before[sa[0]] = before[n] = n
     found = np.zeros(n + 1, np.int32)
     step = max(1, -(-n // lanes))
     at = np.arange(0, n, step)
@@ -166,15 +166,14 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lanes: int = 40
         apart = words[at + shared] ^ words[before[at] + shared]
         shared += np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes of the eight
         done = (apart != 0) | (shared >= most)
-        ended = at[done]
-        found[ended] = np.minimum(shared[done], most)
+        told = np.minimum(np.minimum(shared, most), n - np.maximum(at, before[at]))  # no further than either ends
+        found[at[done]] = told[done]
+        shared = np.where(done, np.maximum(told - 1, 0), shared)
         at = at + done
-        shared = np.where(done, np.maximum(np.minimum(shared, most) - 1, 0), shared)
         if done.any():
             open_ = at < stop
             if not open_.all():
                 at, stop, shared = at[open_], stop[open_], shared[open_]
-    found[sa[0]] = 0
     return found[:n][sa]
 
 
@@ -194,43 +193,52 @@ def repeated_windows(bodies: list[np.ndarray], window: int) -> tuple[np.ndarray,
     return body, place - base[body], run, np.bincount(run)[run] if len(kept) else kept
 
 
-_RUNS = pa.schema([("hash", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("name", pa.binary())])
-RUNS = "hash long, whole long, start int, stop int, name binary"
+#: A named run of equal windows: its name, and the context and start of its window if that is the only one, else -1.
+NAMED = np.dtype([("name", "S16"), ("hash", "<i8"), ("whole", "<i8"), ("start", "<i4")])
+_RUNS = pa.schema([("hash", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("shard", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary())])
+RUNS = "hash long, whole long, start int, stop int, shard long, bucket long, names binary"
 
 
 def _runs(window: int):
     def of_shard(table: pa.Table) -> pa.Table:
         """Stretches of starts (``start`` to ``stop``) of contexts seen once whose windows come again in this shard; if the
-        hash has more shards, also a row per run of equal windows with its name, and the context and start if it is alone."""
+        hash has more shards, also the sorted names of its runs of equal windows, packed by ranges of their hashes."""
         table = table.combine_chunks()
         bodies = [np.frombuffer(b.as_buffer(), np.uint8) for b in table["body"]]
         body, start, run, size = repeated_windows(bodies, window)
         once = (table["n"].to_numpy() == 1)[body]
-        hashes, wholes = table["hash"].to_numpy(), table["whole"].to_numpy()
+        hashes, wholes, splits = table["hash"].to_numpy(), table["whole"].to_numpy(), table["splits"][0].as_py()
         again = once & (size > 1)
         order = np.lexsort((start[again], body[again]))
         b, s = body[again][order], start[again][order]
-        new = np.concatenate(([True], (b[1:] != b[:-1]) | (s[1:] != s[:-1] + 1))) if len(b) else np.zeros(0, bool)
-        first, last = np.flatnonzero(new), np.concatenate((np.flatnonzero(new)[1:], [len(b)])) - 1 if len(b) else np.zeros(0, int)
-        parts = [pa.Table.from_arrays([pa.array(hashes[b[first]]), pa.array(wholes[b[first]]), pa.array(s[first].astype(np.int32)), pa.array(s[last].astype(np.int32)), pa.nulls(len(first), pa.binary())], schema=_RUNS)]
-        if table["splits"][0].as_py() > 1:
-            head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-            names = [hashlib.blake2b(bodies[x][y : y + window], digest_size=16).digest() for x, y in zip(body[head].tolist(), start[head].tolist())]
-            alone = once[head] & (size[head] == 1)
-            place = pa.array(start[head].astype(np.int32), mask=~alone)
-            parts.append(pa.Table.from_arrays([pa.array(hashes[body[head]], mask=~alone), pa.array(wholes[body[head]], mask=~alone), place, place, pa.array(names, pa.binary())], schema=_RUNS))
-        return pa.concat_tables(parts)
+        first = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (s[1:] != s[:-1] + 1)))[: len(b)])
+        last = np.concatenate((first[1:] - 1, [len(b) - 1]))[: len(first)]
+        none = [pa.nulls(len(first), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
+        found = pa.Table.from_arrays([pa.array(hashes[b[first]]), pa.array(wholes[b[first]]), pa.array(s[first].astype(np.int32)), pa.array(s[last].astype(np.int32)), *none], schema=_RUNS)
+        if splits == 1:
+            return found
+        head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        named = np.zeros(len(head), NAMED)
+        named["name"] = [hashlib.blake2b(bodies[x][y : y + window], digest_size=16).digest() for x, y in zip(body[head].tolist(), start[head].tolist())]
+        named["hash"], named["whole"] = hashes[body[head]], wholes[body[head]]
+        named["start"] = np.where(once[head] & (size[head] == 1), start[head], -1)
+        named = named[np.argsort(named["name"])]
+        bucket = named["name"].copy().view("<u4")[::4] % min(16 * splits, 1 << 14)
+        held = [(int(k), named[bucket == k].tobytes()) for k in np.unique(bucket)]
+        none = [pa.nulls(len(held), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        packed = pa.Table.from_arrays([*none, pa.repeat(table["shard"][0], len(held)), pa.array([k for k, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], schema=_RUNS)
+        return pa.concat_tables([found, packed])
 
     return of_shard
 
 
 def _merged(table: pa.Table) -> pa.Table:
     """Of the names of several shards, the lone windows whose name another shard has as well, by binary search."""
-    names = np.frombuffer(b"".join(table["name"].to_pylist()), np.dtype("S16"))
-    ordered = np.sort(names)
-    held = np.searchsorted(ordered, names, "right") - np.searchsorted(ordered, names, "left")
-    lone = (held > 1) & ~table["start"].is_null().to_numpy()
-    return table.filter(pa.array(lone)).select(["hash", "whole", "start", "stop"])
+    named = np.concatenate([np.frombuffer(x.as_buffer(), NAMED) for x in table["names"]])
+    ordered = np.sort(named["name"])
+    held = np.searchsorted(ordered, named["name"], "right") - np.searchsorted(ordered, named["name"], "left")
+    lone = named[(held > 1) & (named["start"] >= 0)]
+    return pa.table({"hash": lone["hash"].copy(), "whole": lone["whole"].copy(), "start": lone["start"].copy(), "stop": lone["start"].copy()})
 
 
 def repeated_spans(docs: DataFrame, window: int = 400, shard_bytes: int = 2 << 20, map_bits: int = 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,13 +283,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, shard_bytes: int = 2 << 2
     runs = saved(dealt.groupBy("shard", "sub").applyInArrow(_runs(window), RUNS), "suffix-runs")
 
     whole = lambda df: df.select("hash", "whole", F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"))
-    decided = whole(told.filter("NOT contested")).unionByName(whole(distinct.filter("n > 1"))).unionByName(runs.filter("name IS NULL").drop("name"))
-    names = runs.filter("name IS NOT NULL")
-    several = names.count()
-    if several:
-        buckets = max(1, several // 200_000)
-        met = names.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets))).groupBy("bucket")
-        decided = decided.unionByName(met.applyInArrow(_merged, "hash long, whole long, start int, stop int"))
+    decided = whole(told.filter("NOT contested")).unionByName(whole(distinct.filter("n > 1"))).unionByName(runs.filter("names IS NULL").select("hash", "whole", "start", "stop"))
+    names = runs.filter("names IS NOT NULL").select("shard", "bucket", "names")
+    decided = decided.unionByName(names.groupBy("shard", "bucket").applyInArrow(_merged, "hash long, whole long, start int, stop int"))
 
     def placed(batches):
         for batch in batches:
