@@ -1,4 +1,5 @@
-"""Web pages: one small Arrow function lists a page's elements and texts, and column expressions take all else from the list."""
+"""Web pages: one small Arrow function lists a page's elements with the stretches of text inside them, and column expressions
+take all else from the list."""
 
 from __future__ import annotations
 
@@ -29,59 +30,83 @@ SPA_MARKS = ["div[ng-app]", "[data-reactroot]", "[data-react]", ".app--root", ".
 MAIN_CHARS = 8192
 # End of fixed values.
 
-TEXT = "#text"
-NODE = "array<struct<tag:string,attrs:map<string,string>,text:string,last:int>>"
+NODE = "struct<tag:string,attrs:map<string,string>,classes:array<string>,hidden:boolean,begin:int,end:int,seen_begin:int,seen_end:int>"
+LISTED = f"struct<nodes:array<{NODE}>,text:binary,seen:binary>"
 
 
 class _Lister(HTMLParser):
-    """Elements and texts in document order; ``last`` is the place of the last node inside an element."""
+    """Elements of a page in document order, each with the stretch of the page's text that lies in it, in bytes of UTF-8:
+    of all text, and of what is seen, that is, outside dropped elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
-        self.open: list[int] = []
-
-    def add(self, tag, attrs, text=None) -> int:
-        self.nodes.append({"tag": tag, "attrs": list({k: v or "" for k, v in attrs}.items()), "text": text, "last": len(self.nodes)})
-        return len(self.nodes) - 1
+        self.open: list[dict] = []
+        self.text, self.seen = bytearray(), bytearray()
+        self.hiding = 0
+
+    def add(self, tag: str, attrs: list) -> dict:
+        told = {k: v or "" for k, v in attrs}
+        node = {"tag": tag, "attrs": list(told.items()), "classes": told.get("class", "").split(), "begin": len(self.text), "seen_begin": len(self.seen)}
+        dropped = tag in _DROPPED_TAGS or not _DROPPED_CLASSES.isdisjoint(node["classes"])
+        node["hidden"] = dropped or self.hiding > 0
+        node["dropped"] = dropped
+        self.nodes.append(node)
+        return node
 
     def handle_starttag(self, tag, attrs):
-        at = self.add(tag, attrs)
-        if tag not in VOID:
-            self.open.append(at)
+        node = self.add(tag, attrs)
+        if tag in VOID:
+            self.ended(node)
+        else:
+            self.hiding += node["dropped"]
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.add(tag, attrs)
+        self.ended(self.add(tag, attrs))
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                self.end(depth)
+            if self.open[depth]["tag"] == tag:
+                self.close_to(depth)
                 return
 
     def handle_data(self, data):
-        self.add(TEXT, (), data)
-
-    def end(self, depth: int) -> None:
-        for at in self.open[depth:]:
-            self.nodes[at]["last"] = len(self.nodes) - 1
+        raw = data.encode("utf-8", "replace")
+        self.text += raw
+        if not self.hiding:
+            self.seen += raw
+
+    def ended(self, node: dict) -> None:
+        node["end"], node["seen_end"] = len(self.text), len(self.seen)
+
+    def close_to(self, depth: int) -> None:
+        for node in self.open[depth:]:
+            self.hiding -= node["dropped"]
+            self.ended(node)
         del self.open[depth:]
 
 
-def list_nodes(html: str | None) -> list[dict]:
+_DROPPED_TAGS = frozenset(s for s in DROPPED if not s.startswith("."))
+_DROPPED_CLASSES = frozenset(s[1:] for s in DROPPED if s.startswith("."))
+
+
+def list_nodes(html: str | None) -> dict:
     lister = _Lister()
     lister.feed(html or "")
     lister.close()
-    lister.end(0)
-    return lister.nodes
+    lister.close_to(0)
+    return {"nodes": lister.nodes, "text": bytes(lister.text), "seen": bytes(lister.seen)}
 
 
-def with_nodes(pages: DataFrame, html_col: str = "html", out: str = "nodes") -> DataFrame:
-    """Add the list of a page's nodes: (tag, attrs, text, last), elements and texts in order; null pages have none."""
+def with_nodes(pages: DataFrame, html_col: str = "html", out: str = "listed") -> DataFrame:
+    """Add the elements of a page and its texts: (``nodes``, ``text``, ``seen``). An element's text is the stretch from its begin to its end,
+    so none is looked for among the nodes, and the work is in proportion to the page."""
     ship(pages.sparkSession)
-    kind = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("last", pa.int32())]))
+    node = pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("hidden", pa.bool_()), *[(n, pa.int32()) for n in ("begin", "end", "seen_begin", "seen_end")]])
+    kind = pa.struct([("nodes", pa.list_(node)), ("text", pa.binary()), ("seen", pa.binary())])
 
-    @F.arrow_udf(NODE)
+    @F.arrow_udf(LISTED)
     def read(htmls: pa.Array) -> pa.Array:
         return pa.array([list_nodes(h) for h in htmls.to_pylist()], kind)
 
@@ -99,15 +124,15 @@ def matches(node: Column, selector: str) -> Column:
     """A tag, ``.class``, ``#id``, ``[name]`` or ``[name=value]``, or a tag with one of these."""
     at = min((selector.find(c) for c in ".#[" if c in selector), default=len(selector))
     tag, mark = selector[:at], selector[at:]
-    cond = node["tag"] != TEXT if not tag else node["tag"] == tag
+    conds = [node["tag"] == tag] if tag else []
     if mark.startswith("."):
-        cond = cond & F.array_contains(F.split(F.coalesce(attribute(node, "class"), F.lit("")), r"\s+"), mark[1:])
+        conds.append(F.array_contains(node["classes"], mark[1:]))
     elif mark.startswith("#"):
-        cond = cond & F.coalesce(attribute(node, "id") == mark[1:], F.lit(False))
+        conds.append(F.coalesce(attribute(node, "id") == mark[1:], F.lit(False)))
     elif mark:
         name, _, value = mark[1:-1].partition("=")
-        cond = cond & (F.coalesce(attribute(node, name) == value, F.lit(False)) if value else attribute(node, name).isNotNull())
-    return cond
+        conds.append(F.coalesce(attribute(node, name) == value, F.lit(False)) if value else attribute(node, name).isNotNull())
+    return reduce(lambda a, b: a & b, conds)
 
 
 def select(nodes: Column, *selectors: str) -> Column:
@@ -115,10 +140,14 @@ def select(nodes: Column, *selectors: str) -> Column:
     return F.filter(nodes, lambda n: reduce(lambda a, b: a | b, [matches(n, s) for s in selectors]))
 
 
-def text_of(nodes: Column, node: Column) -> Column:
-    """All text inside an element; ``at`` is its place."""
-    inside = F.slice(nodes, node["at"] + 2, node["last"] - node["at"])
-    return F.array_join(F.transform(F.filter(inside, lambda n: n["tag"] == TEXT), lambda n: n["text"]), "")
+def text_of(text: Column, node: Column) -> Column:
+    """All text inside an element."""
+    return F.substring(text, node["begin"] + 1, node["end"] - node["begin"]).cast("string")
+
+
+def seen_of(seen: Column, node: Column) -> Column:
+    """The text inside an element that is not dropped."""
+    return F.substring(seen, node["seen_begin"] + 1, node["seen_end"] - node["seen_begin"]).cast("string")
 
 
 def squeezed(text: Column) -> Column:
@@ -147,35 +176,43 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _last_wins(entries: Column) -> Column:
+    """Map of (key, value) entries; of equal keys the last counts."""
+    first_of = lambda held, keys: F.transform(F.array_distinct(keys), lambda k: F.element_at(held, F.array_position(keys, k).cast("int")))
+    return F.map_from_entries(_let(F.reverse(entries), lambda held: _let(F.transform(held, lambda e: e["key"]), lambda keys: first_of(held, keys))))
+
+
 def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """All columns of ``pages`` plus the record of each page. E-mail addresses and phones come from the raw page, state,
     postal code and claims from the main text; JSON-LD blocks that do not parse are dropped. What is dropped (scripts,
     navigation) counts for titles, headings and JSON-LD only. Null pages give empty parts."""
     raw = F.coalesce(F.col(html_col), F.lit(""))
-    listed = with_nodes(pages.select(F.struct("*").alias("own"), raw.alias("raw"), F.coalesce(F.col(url_col), F.lit("")).alias("base")), "raw", "listed")
-    placed = listed.withColumn("nodes", F.transform("listed", lambda n, i: F.struct(i.alias("at"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["text"].alias("text"), n["last"].alias("last")))).drop("listed")
-    gone = placed.withColumn("gone", F.transform(select(F.col("nodes"), *DROPPED), lambda n: F.struct(n["at"].alias("at"), n["last"].alias("last"))))
-    hidden = lambda n: F.exists("gone", lambda g: (g["at"] <= n["at"]) & (n["at"] <= g["last"]))
-    seen = gone.withColumn("kept", F.transform("nodes", lambda n: F.when(hidden(n), n.withField("tag", F.lit("")).withField("text", F.lit(None).cast("string"))).otherwise(n)))
-    nodes, kept = F.col("nodes"), F.col("kept")  # in ``kept``, what is dropped matches nothing and holds no text
+    listed = with_nodes(pages.select(F.struct("*").alias("own"), raw.alias("raw"), F.coalesce(F.col(url_col), F.lit("")).alias("base")), "raw")
+    nodes, text, seen = F.col("nodes"), F.col("text"), F.col("seen")
+    placed = listed.select("own", "raw", "base", "listed.*").withColumn("kept", F.filter(nodes, lambda n: ~n["hidden"]))
+    kept = F.col("kept")
 
     metas = F.filter(F.transform(select(nodes, "meta"), lambda n: F.struct(F.coalesce(F.nullif(attribute(n, "name"), F.lit("")), F.nullif(attribute(n, "property"), F.lit(""))).alias("key"), F.nullif(attribute(n, "content"), F.lit("")).alias("value"))), lambda m: m["key"].isNotNull() & m["value"].isNotNull())
-    last_of = F.transform(F.array_distinct(F.transform(metas, lambda m: m["key"])), lambda k: F.element_at(F.filter(metas, lambda m: m["key"] == k), -1))
-    parts = seen.select(
-        "own", "raw", "base", "kept",
-        F.map_from_entries(last_of).alias("meta_tags"),
-        F.try_element_at(F.transform(select(nodes, "title"), lambda n: trimmed(text_of(nodes, n))), F.lit(1)).alias("title_text"),
-        F.filter(F.transform(F.filter(select(nodes, "script"), lambda n: attribute(n, "type") == "application/ld+json"), lambda n: trimmed(text_of(nodes, n))), lambda j: F.try_parse_json(j).isNotNull()).alias("json_ld"),
-        F.filter(F.transform(select(nodes, "h1", "h2", "h3", "h4", "h5", "h6"), lambda n: trimmed(text_of(nodes, n))), lambda t: t != "").alias("headings"),
-        F.coalesce(*[F.nullif(F.array_join(F.transform(select(kept, s), lambda n: text_of(kept, n)), ""), F.lit("")) for s in [*MAIN, "body"]], F.lit("")).alias("main"),
+    parts = placed.select(
+        "own", "raw", "base", "kept", "seen",
+        _last_wins(metas).alias("meta_tags"),
+        F.try_element_at(F.transform(select(nodes, "title"), lambda n: trimmed(text_of(text, n))), F.lit(1)).alias("title_text"),
+        F.filter(F.transform(F.filter(select(nodes, "script"), lambda n: attribute(n, "type") == "application/ld+json"), lambda n: trimmed(text_of(text, n))), lambda j: F.try_parse_json(j).isNotNull()).alias("json_ld"),
+        F.filter(F.transform(select(nodes, "h1", "h2", "h3", "h4", "h5", "h6"), lambda n: trimmed(text_of(text, n))), lambda t: t != "").alias("headings"),
+        F.coalesce(*[F.nullif(F.array_join(F.transform(select(kept, s), lambda n: seen_of(seen, n)), ""), F.lit("")) for s in [*MAIN, "body"]], F.lit("")).alias("main"),
     )
-    texts = lambda selector: F.transform(select(kept, selector), lambda n: squeezed(text_of(kept, n)))
-    links = F.filter(F.transform(F.filter(select(kept, "a"), lambda n: F.coalesce(attribute(n, "href"), F.lit("")) != ""), lambda n: F.struct(trimmed(text_of(kept, n)).alias("title"), absolute(attribute(n, "href"), F.col("base")).alias("url"))), lambda x: x["url"].isNotNull())
+    texts = lambda selector: F.transform(select(kept, selector), lambda n: squeezed(seen_of(seen, n)))
+    links = F.filter(F.transform(F.filter(select(kept, "a"), lambda n: F.coalesce(attribute(n, "href"), F.lit("")) != ""), lambda n: F.struct(trimmed(seen_of(seen, n)).alias("title"), absolute(attribute(n, "href"), F.col("base")).alias("url"))), lambda x: x["url"].isNotNull())
     parts = parts.withColumn("main", squeezed(F.col("main"))).withColumn("links", links)
     away = lambda url: host_of(url) != host_of(F.col("base"))
     platform = lambda url: reduce(lambda c, p: c.when(F.rlike(url, F.lit(f"(?i){p[1]}")), F.lit(p[0])), PLATFORMS[1:], F.when(F.rlike(url, F.lit(f"(?i){PLATFORMS[0][1]}")), F.lit(PLATFORMS[0][0])))
     meta = lambda *names: F.coalesce(*[F.try_element_at("meta_tags", F.lit(n)) for n in names])
-    empty_root = F.exists(select(kept, "#root", "#app"), lambda n: F.length(trimmed(text_of(kept, n))) < 50)
+    empty_root = F.exists(select(kept, "#root", "#app"), lambda n: F.length(trimmed(seen_of(seen, n))) < 50)
     chars = F.length("main")
     main = F.substring("main", 1, MAIN_CHARS)
     scripted = (

@@ -292,7 +292,7 @@ def _entity(col: str) -> str:
     """The entities of the pages at hand, ampersands last."""
     for entity, char in (("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         col = f"replace({col}, '{entity}', '{char}')"
-    return col
+    return f"regexp_replace({col}, '&amp$', '&')"  # a title may end inside its last entity
 
 
 _SEEN = "regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<!--.*?-->', '', 'g')"
@@ -752,4 +752,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.validate(inputs, candidates, entries, P.default_policies(spark), _as_of())
 
 
-from . import coverage  # noqa: E402, F401  registers its queries here
+from . import coverage, made_pages, stores  # noqa: E402, F401  register their queries here
