@@ -33,35 +33,49 @@ def distinct_grams(strings: DataFrame, text: str) -> DataFrame:
 
 def _rare_first(texts: DataFrame, frequency: DataFrame) -> DataFrame:
     """(``text``, ``id``, ``n``, ``grams`` in order of frequency, rarest first)."""
-    posted = texts.select("text", F.xxhash64("text").alias("id"), "n", F.explode("grams").alias("gram")).join(small(frequency, 1_000_000), "gram", "left")
+    posted = texts.select("text", "id", "n", F.explode("grams").alias("gram")).join(small(frequency, 1_000_000), "gram", "left")
     ordered = posted.groupBy("id", "n").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("g"))
     return ordered.select("text", "id", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000, broadcast_bytes: int = 32 << 20, most_met: int = 300_000_000) -> DataFrame:
     """Pairs (``left_text``, ``right_text``, ``similarity``) of distinct texts above the threshold, strictly.
 
-    A pair above the threshold t shares more than t n of the n trigrams of either text, so the first n - floor(t n) of
-    each, the rarest first, hold a trigram in common: only these are posted, and the most frequent trigrams meet only where
-    a text has hardly others. Postings meet under a size filter and a filter on places (what can still follow must be
-    enough); each pair that meets is verified once, by its whole sets. Texts and trigrams are represented by 64-bit
-    hashes and copies meet once. No pair above the threshold is lost, whatever the frequencies. If the left side has at
-    most ``broadcast_grams`` postings (20 bytes each) it is broadcast; beyond that both sides are shuffled by trigram.
+    How many postings would meet is summed up beforehand from the trigrams' counts on both sides. Up to ``most_met`` they
+    meet and are counted per pair, which gives the similarity. Beyond that only prefixes meet: a pair above the
+    threshold t shares more than t n of the n trigrams of either text, so the first n - floor(t n) of each, the rarest
+    first, hold a trigram in common, and the most frequent trigrams meet only where a text has hardly others. Prefixes meet
+    under a size filter and a filter on places (what can still follow must be enough); each pair that meets is verified
+    once, by its whole sets. Both ways give the same pairs: none above the threshold is lost, whatever the frequencies.
+    Texts and trigrams are represented by 64-bit hashes and copies meet once. If the left side has at most
+    ``broadcast_grams`` postings (20 bytes each) and ``broadcast_bytes`` of text it is broadcast, else both are shuffled.
     """
-    mine, theirs = distinct_grams(left, left_text), distinct_grams(right, right_text)
-    frequency = saved(theirs.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram-counts")
+    keyed = lambda df: df.select("text", F.xxhash64("text").alias("id"), "n", "grams")
+    mine, theirs = saved(keyed(distinct_grams(left, left_text)), "left-texts"), saved(keyed(distinct_grams(right, right_text)), "right-texts")
+    size = mine.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    few = F.broadcast if size["n"] <= broadcast_grams and size["bytes"] <= broadcast_bytes else (lambda df: df)
+    counts = lambda df, n: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(n))
+    frequency = saved(counts(theirs, "held"), "gram-counts")
+    meeting = frequency.join(counts(mine, "asked"), "gram").agg(F.sum(F.col("held") * F.col("asked")).alias("n")).first()["n"] or 0
+    named = lambda df, k: df.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"))
+
+    if meeting <= most_met:
+        post = lambda df, k: df.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.explode("grams").alias("gram"))
+        shared = post(theirs, "b").join(few(post(mine, "a")), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+        close = shared.select("a", "b", (F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") > threshold)
+        return close.join(few(named(mine, "a")), "a").join(named(theirs, "b"), "b").select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), "similarity")
+
     a, b = saved(_rare_first(mine, frequency), "left-grams"), saved(_rare_first(theirs, frequency), "right-grams")
 
-    def post(texts: DataFrame, k: str) -> DataFrame:
-        first = F.slice("grams", 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
-        return texts.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.posexplode(first).alias(f"{k}_at", "gram"))
+    def first(texts: DataFrame, k: str) -> DataFrame:
+        prefix = F.slice("grams", 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
+        return texts.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.posexplode(prefix).alias(f"{k}_at", "gram"))
 
-    few = (a.agg(F.sum("n")).first()[0] or 0) <= broadcast_grams
-    met = post(b, "b").join(F.broadcast(post(a, "a")) if few else post(a, "a"), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
+    met = first(b, "b").join(few(first(a, "a")), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
     enough = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9
     pairs = met.filter(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at") > enough).select("a", "b").distinct()
     side = lambda texts, k: texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("grams").alias(f"{k}_grams"))
-    whole = pairs.join(F.broadcast(side(a, "a")) if few else side(a, "a"), "a").join(side(b, "b"), "b")
+    whole = pairs.join(few(side(a, "a")), "a").join(side(b, "b"), "b")
     return whole.select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), S.set_similarity(F.col("a_grams"), F.col("b_grams")).alias("similarity")).filter(F.col("similarity") > threshold)
 
 

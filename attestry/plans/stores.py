@@ -1,0 +1,79 @@
+"""Queries over sources and stores that keep something: paged registries, kept indexes, tables that streams change, sketches, clustered
+pages, and backfills. Each derives what it stores from the driver's tables, in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.trigram_index import TrigramIndex
+from ..sources import connectors, paged
+from .catalogue import _TRI, _t, query
+from .coverage import _STATES, _drafted, _folder, _name, _pick
+
+_PAGE_ROWS = 100
+
+
+def _served(spark, sf_dir) -> list[dict]:
+    """Suppliers as pages of an authority's interface, by state; in each state a page that is no JSON and one that is no array."""
+    key = F.col("s_suppkey")
+    row = F.to_json(F.array(F.concat(F.lit("A-"), key), _name(), F.lit("Road"), F.concat(F.lit("District "), "s_nationkey"), F.lit("Govt"), F.lit("N"), F.lit("N"), F.lit("1")))
+    at = [_pick(_STATES, key).alias("state"), F.floor(key / _PAGE_ROWS).cast("int").alias("page")]
+    pages = _t(spark, sf_dir, "supplier").groupBy(*at).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value"))
+    broken = pages.select("state").distinct().select("state", F.explode(F.array(F.lit(-1), F.lit(-2))).alias("page")).withColumn("value", F.when(F.col("page") == -1, "[broken").otherwise('{"rows": 0}'))
+    path = f"{_folder(spark)}/pages"
+    pages.unionByName(broken).repartition("state", "page").write.option("maxRecordsPerFile", 1).partitionBy("state", "page").text(path)
+    return paged.listed(spark, path)
+
+
+@query(_drafted("'A-' || s_suppkey", city="'District ' || s_nationkey", where="s_suppkey % 3 < 2"))
+def paged_registry(spark, sf_dir):
+    """Drafts of two of three states from a source with a partition a page; pages that cannot be read are left out."""
+    rows = paged.read_pages(spark, _served(spark, sf_dir), pause=0.01).filter(F.col("state").isin(*_STATES[:2]))
+    return connectors.aicte_drafts(rows).select("external_id", "name", "city", "state", "affiliated_university", "website")
+
+
+@query(f"""WITH p AS (SELECT {_STATES}[s_suppkey % 3 + 1] AS state, (s_suppkey // {_PAGE_ROWS})::INT AS page FROM supplier GROUP BY ALL), f AS (SELECT DISTINCT state, unnest([-1, -2]) AS page FROM p)
+SELECT state, page, CASE page WHEN -1 THEN 'JSONDecodeError' ELSE 'ValueError' END AS error, (SELECT count(*) FROM p WHERE state = 'Kerala') + 2 AS partitions FROM f WHERE state = 'Kerala'""")
+def paged_failures(spark, sf_dir):
+    """Pages of one state that could not be read, and how many partitions were read at all: those of the state."""
+    rows = paged.read_pages(spark, _served(spark, sf_dir), pause=0.01, attempts=2).filter("state = 'Kerala'")
+    partitions = F.lit(rows.rdd.getNumPartitions()).cast("long")
+    return paged.failed_pages(rows).select("state", "page", F.split("error", ":")[0].alias("error"), partitions.alias("partitions"))
+
+
+# A kept trigram index ----------------------------------------------------------------------------------------
+
+#: Turns as they are now, after what an earlier state of the table held: some turns were missing, some longer, some are gone.
+_TURNS = "d AS (SELECT conv_id * 100000 + turn AS id, text AS t FROM conversations WHERE conv_id % 9 <> 4)"
+_PARTS = ["nat", "ER THE", "he. t", "io", "%"]
+
+
+def _kept_index(spark, sf_dir) -> TrigramIndex:
+    """An index of turns that has been built, changed twice, and asked to change once more with nothing new."""
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text", "conv_id")
+    index = TrigramIndex(spark, f"{_folder(spark)}/index", buckets=16)
+    index.refresh(turns.filter("conv_id % 7 <> 0").select("id", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" earlier words"))).otherwise(F.col("text")).alias("text")))
+    index.refresh(turns.filter("conv_id % 8 <> 0").select("id", "text"))
+    for _ in range(2):
+        index.refresh(turns.filter("conv_id % 9 <> 4").select("id", "text"))
+    return index
+
+
+@query(f"""WITH b AS (SELECT item_id AS query_id, text AS q FROM benchmark), {_TURNS}, bg AS (SELECT query_id, {_TRI.format(c='q')} AS g FROM b), dg AS (SELECT id, {_TRI.format(c='t')} AS g FROM d),
+bp AS (SELECT query_id, len(g) AS n, unnest(g) AS x FROM bg), dp AS (SELECT id, len(g) AS n, unnest(g) AS x FROM dg)
+SELECT query_id, id, round(count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)), 9) AS similarity, 3::BIGINT AS generations FROM bp JOIN dp USING (x) GROUP BY query_id, id HAVING count(*)::DOUBLE / (any_value(bp.n) + any_value(dp.n) - count(*)) > 0.35""")
+def kept_index_similar(spark, sf_dir):
+    """Benchmark texts against the kept index; the build with nothing new has left no generation."""
+    index = _kept_index(spark, sf_dir)
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.similar(asked).select("query_id", "id", F.round("similarity", 9).alias("similarity"), F.lit(len(index.generations())).cast("long").alias("generations"))
+
+
+@query(f"WITH {_TURNS}, p AS (SELECT unnest({_PARTS}) AS pattern) SELECT pattern, id FROM d JOIN p ON contains(lower(t), lower(pattern))")
+def kept_index_containing(spark, sf_dir):
+    """Texts that hold a pattern, whatever its case; two patterns hold no trigram of a word."""
+    index = _kept_index(spark, sf_dir)
+    index.compact()
+    patterns = spark.createDataFrame([(p, p) for p in _PARTS], "pattern_id string, pattern string")
+    return index.containing(patterns).select(F.col("pattern_id").alias("pattern"), "id")

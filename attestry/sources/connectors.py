@@ -59,8 +59,18 @@ def read_aicte(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     state = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "state=([^/]+)/", 1)
     rows = lines.select(state.alias("state"), F.posexplode(F.from_json("value", "array<array<string>>")).alias("_row", "r"))
-    names = ["aicteId", "name", "address", "district", "institutionType", "women", "minority", "pid"]
-    return rows.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)], "state", F.struct("state", "_row").alias("_pos"))
+    return rows.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(_AICTE)], "state", F.struct("state", "_row").alias("_pos"))
+
+
+#: Columns of an AICTE row by position.
+_AICTE = ["aicteId", "name", "address", "district", "institutionType", "women", "minority", "pid"]
+
+
+def aicte_drafts(pages: DataFrame) -> DataFrame:
+    """Drafts from AICTE pages as the paged source reads them; pages that could not be read give none."""
+    rows = pages.filter("error IS NULL")
+    raw = rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(_AICTE)], "state", F.struct("state", "page", "row").alias("_pos"))
+    return get_connector("aicte").parse(raw)
 
 
 def read_depository(spark: SparkSession, path: str) -> DataFrame:
