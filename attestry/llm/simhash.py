@@ -195,18 +195,22 @@ def _in_map(marked: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (marked[(keys & ((marked.size << 6) - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
 
 
-def _several_texts(docs: DataFrame, text: Column, width: int, reach: float, one_in: int = 4) -> np.ndarray:
-    """Map of shingles that several texts of every ``one_in``-th text hold, among the first ``reach`` of each in the
-    shingles' own order. They only order the index, so the sample decides the work and never the result."""
+#: Texts of the sample that hold a shingle, from which on it comes later in the index's order.
+LEVELS = (2, 8, 32, 128)
+
+
+def _common_shingles(docs: DataFrame, text: Column, width: int, one_in: int = 8) -> list[np.ndarray]:
+    """Maps of shingles that at least so many (``LEVELS``) of every ``one_in``-th text hold. They only order the index, so the
+    sample decides the work and never the result."""
 
     @F.arrow_udf("array<int>")
-    def first(column: pa.Array) -> pa.Array:
-        sets = (_shingle_set(t, width) for t in values(column))
-        return pa.array([(x[: int(np.ceil(reach * len(x)))] & 0x7FFFFFFF).astype(np.int32) for x in sets], pa.list_(pa.int32()))
+    def keys(column: pa.Array) -> pa.Array:
+        return pa.array([(_shingle_set(t, width) & 0x7FFFFFFF).astype(np.int32) for t in values(column)], pa.list_(pa.int32()))
 
-    drawn = docs.select(text.alias("text"), F.hash(text).alias("own")).filter(F.pmod("own", F.lit(one_in)) == 0)
-    held = drawn.select("own", F.explode(first("text")).alias("key")).groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"))
-    return _bit_map(held.filter("low <> high").select(F.col("key").cast("long").alias("key")))
+    drawn = docs.select(text.alias("text")).filter(F.pmod(F.hash("text"), F.lit(one_in)) == 0)
+    held = drawn.select(F.explode(keys("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEVELS[0])
+    held = saved(held.select(F.col("key").cast("long").alias("key"), "n"), "common-shingles")
+    return [_bit_map(held.filter(F.col("n") >= least).select("key")) for least in LEVELS]
 
 
 def _parity(held: np.ndarray, bits: int) -> np.ndarray:
@@ -233,8 +237,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     Fingerprints differ in more bits the longer the changed part is, so a radius alone neither finds nor proves such
     pairs. Candidates are the fingerprint index's links and, for the rest, postings of each set's prefix: in any one
     order of all shingles, two sets that are similar enough share one of the first n - ceil(similarity * n) + 1 of each.
-    Shingles that several texts of a sample hold come last in that order, so passages that many documents share are
-    hardly ever posted. First each posting's members meet its smallest; what this leaves in different groups then meets
+    The more texts of a sample hold a shingle, the later it comes in that order, so passages that many documents share are
+    hardly ever posted, even by texts whose other shingles a few copies hold too. First each posting's members meet its smallest; what this leaves in different groups then meets
     pair by pair, so a large group of copies costs no square. Every candidate is verified: by parity sketches,
     whose differing bits never exceed the differing shingles (512 bits, then some bits a shingle), then by the sets
     themselves. No similar pair is left out.
@@ -244,20 +248,20 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     spark = ship(docs.sparkSession)
     text, text_key = F.col(text_col), text_hash(F.col(text_col))
     row_key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text_key)
-    shared_map = spark.sparkContext.broadcast(_several_texts(docs, text, width, 2 * (1 - similarity)))
+    common = spark.sparkContext.broadcast(_common_shingles(docs, text, width))
 
     @F.arrow_udf("struct<set_key:long,fp:long,n:int,marks:array<long>,prefix:array<long>>")
     def facts(texts: pa.Array) -> pa.Array:
-        out, last = [], shared_map.value
+        out, maps = [], common.value
         for t in values(texts):
             raw = _digests(t, width)
             if raw is None:
                 out.append((0, 0, 0, np.zeros(MARKS, np.int64), np.zeros(0, np.int64)))
                 continue
             held = np.unique(raw.view(">i8").ravel().astype(np.int64))
-            late = _in_map(last, held)
             n = len(held)
-            first = np.concatenate((held[~late], held[late]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            level = sum(_in_map(m, held).astype(np.int8) for m in maps)
+            first = held[np.argsort(level, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
             marks = _parity(held, 64 * MARKS).view("<i8")
             key = xxhash.xxh64_intdigest(held.astype("<i8").tobytes(), SEED)
             out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks, first.copy()))
