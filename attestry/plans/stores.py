@@ -3,11 +3,15 @@ pages, and backfills. Each derives what it stores from the driver's tables, in t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
 from ..operators.trigram_index import TrigramIndex
+from ..session import saved
 from ..sources import connectors, paged
+from ..streaming import breakers
+from ..streaming.latest import LatestTable, write_latest
 from .catalogue import _TRI, _t, query
 from .coverage import _STATES, _drafted, _folder, _name, _pick
 
@@ -77,3 +81,76 @@ def kept_index_containing(spark, sf_dir):
     index.compact()
     patterns = spark.createDataFrame([(p, p) for p in _PARTS], "pattern_id string, pattern string")
     return index.containing(patterns).select(F.col("pattern_id").alias("pattern"), "id")
+
+
+# Streams into tables -----------------------------------------------------------------------------------------
+
+
+def _streamed(events: DataFrame, part: Column, label: str) -> DataFrame:
+    """A table as a stream of one micro-batch a part, in their order."""
+    path = f"{_folder(events.sparkSession)}/{label}"
+    for n in sorted(r[0] for r in events.select(part).distinct().collect()):
+        events.filter(part == n).coalesce(1).write.parquet(f"{path}/part-{n:06d}")
+    stream = events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return stream.option("recursiveFileLookup", True).parquet(path)
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, 1::BIGINT AS rows FROM events GROUP BY user_id")
+def latest_table(spark, sf_dir):
+    """Events as progress of their user's run, in five micro-batches of mixed order; then a batch that is already in comes again
+    with other rows, and files that no reader takes are deleted."""
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "event_type", "value")
+    root = f"{_folder(spark)}/latest"
+    write_latest(_streamed(events, F.col("seq") * 7 % 5, "updates"), root, f"{root}-checkpoint", buckets=8).trigger(availableNow=True).start().awaitTermination()
+    table = LatestTable(spark, root, buckets=8)
+    table.merge(events.withColumn("seq", F.lit(10**12)), 1)
+    table.sweep()
+    rows = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
+    return table.read().select("run_id", "seq", "event_type", "value", rows.alias("rows"))
+
+
+_IDLE = 2 * 3600
+_BREAKERS = f"""WITH c AS (SELECT (user_id % 20)::VARCHAR AS key, ts AS tm, event_id AS id, value, event_type IN ('error', 'purchase') AS failed FROM events),
+n AS (SELECT *, coalesce(epoch_ms(tm) - epoch_ms(lag(tm) OVER (PARTITION BY key ORDER BY tm, id)) > {_IDLE * 1000}, false)::INT AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY tm, id ROWS UNBOUNDED PRECEDING) AS spell FROM n), m AS (SELECT key, max(spell) AS spell FROM s GROUP BY key),
+l AS (SELECT key, list(value ORDER BY tm, id) AS v, list(failed ORDER BY tm DESC, id DESC) AS f, arg_max(id, (tm, id)) AS id FROM s JOIN m USING (key, spell) GROUP BY key)
+SELECT key, id, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) AS blended, len(v)::BIGINT AS calls, coalesce(list_position(f, false) - 1, len(f))::BIGINT AS failures FROM l"""
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 20).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), "value", F.col("event_type").isin("error", "purchase").alias("failed"))
+
+
+@query(_BREAKERS)
+def breaker_states(spark, sf_dir):
+    """Blended latency and failures in a row of each provider after its last call; idle providers begin anew."""
+    return breakers.breaker_states(_calls(spark, sf_dir), _IDLE).select("key", "id", F.round("blended", 6).alias("blended"), "calls", "failures")
+
+
+@query(_BREAKERS)
+def breaker_stream(spark, sf_dir):
+    """The same from a stream in which a third of the calls come half a day late, and another third a day late."""
+    calls = _calls(spark, sf_dir)
+    ends = calls.groupBy("key").agg((F.max("at") + F.expr("INTERVAL 9 DAYS")).alias("at")).select("key", "at", F.lit(-1).cast("long").alias("id"), F.lit(0.0).alias("value"), F.lit(False).alias("failed"))
+    week = F.floor((F.unix_seconds("at") + F.col("id") % 3 * 43_200) / (7 * 86_400))
+    stream = _streamed(calls.unionByName(ends), F.when(F.col("id") < 0, 10**5).otherwise(week).cast("int"), "calls")
+    out = f"{_folder(spark)}/states"
+    told = breakers.breaker_stream(stream, "2 days", _IDLE)
+    told.writeStream.outputMode("append").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    states = spark.read.schema(told.schema).parquet(out).filter("id >= 0")
+    last = states.groupBy("key").agg(F.max_by(F.struct("id", "blended", "calls", "failures"), F.struct("at", "id")).alias("s"))
+    return last.select("key", "s.id", F.round("s.blended", 6).alias("blended"), "s.calls", "s.failures")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(value) AS total, floor(avg(value) * 1e4 + 1e-3)::BIGINT AS mean_ten_thousandths, true AS p50_holds, true AS p95_holds FROM events WHERE value IS NOT NULL GROUP BY 1")
+def merged_sketches(spark, sf_dir):
+    """Daily quantiles from stored hourly sketches, checked against the days' values: their ranks are within a hundredth."""
+    events = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stored = saved(A.rollup_sketches(events, "ts", "value"), "hourly-sketches")
+    days = saved(A.merged_rollup(stored), "daily-sketches")
+    seen = events.filter("value IS NOT NULL").withColumn("day", F.date_trunc("day", "ts")).join(days, "day").groupBy("day").agg(
+        *[F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_below") for p in ("p50", "p95")], *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_up_to") for p in ("p50", "p95")]
+    )
+    near = lambda p, share: ((F.col(f"{p}_below") <= share + 0.01) & (F.col(f"{p}_up_to") >= share - 0.01)).alias(f"{p}_holds")
+    return days.join(seen, "day").select(F.col("day").cast("timestamp_ntz").alias("day"), "total", F.floor(F.col("mean") * 1e4 + 1e-3).alias("mean_ten_thousandths"), near("p50", 0.5), near("p95", 0.95))

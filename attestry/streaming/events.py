@@ -49,11 +49,6 @@ def latest_progress(updates: DataFrame, run: str = "run_id", order: str = "seq")
     return updates.groupBy(run).agg(F.max(F.struct(order, *rest)).alias("u")).select(run, "u.*")
 
 
-def write_latest(updates: DataFrame, path: str, checkpoint: str, run: str = "run_id", order: str = "seq"):
-    """Start a query that keeps the last update of each run of every micro-batch under ``path``/batch=n."""
-    return updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: latest_progress(df, run, order).write.mode("overwrite").parquet(f"{path}/batch={n}"))
-
-
 def offered_load(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Events with ``offered``: how many of their key fell into the ``seconds`` that end with their second, itself included.
 
