@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators.clustered import ClusteredRows
 from ..operators.trigram_index import TrigramIndex
 from ..session import saved
 from ..sources import connectors, paged
@@ -154,3 +155,40 @@ def merged_sketches(spark, sf_dir):
     )
     near = lambda p, share: ((F.col(f"{p}_below") <= share + 0.01) & (F.col(f"{p}_up_to") >= share - 0.01)).alias(f"{p}_holds")
     return days.join(seen, "day").select(F.col("day").cast("timestamp_ntz").alias("day"), "total", F.floor(F.col("mean") * 1e4 + 1e-3).alias("mean_ten_thousandths"), near("p50", 0.5), near("p95", 0.95))
+
+
+# Pages over clustered rows -----------------------------------------------------------------------------------
+
+_BY_PRICE = "p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice)::BIGINT END AS price FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY price NULLS LAST, o_orderkey) AS n, count(*) OVER () AS total FROM p)"
+
+
+@query(f"""WITH {_BY_PRICE}, m AS (SELECT any_value(total) // 2 + 25 AS edge FROM r)
+SELECT 'middle' AS page, n - (edge - 25) AS place, o_orderkey, price FROM r, m WHERE n > edge - 25 AND n <= edge UNION ALL SELECT 'next', n - edge, o_orderkey, price FROM r, m WHERE n > edge AND n <= edge + 40
+UNION ALL SELECT 'previous', edge - n, o_orderkey, price FROM r, m WHERE n < edge AND n >= edge - 30 UNION ALL SELECT 'last', total - n + 1, o_orderkey, price FROM r WHERE n > total - 10""")
+def clustered_pages(spark, sf_dir):
+    """Pages of orders by price: one from the middle by its number, those behind and before its last row by cursor, and the last."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.floor("o_totalprice")).alias("price"))
+    store = ClusteredRows(spark, f"{_folder(spark)}/clustered", ["price", "o_orderkey"])
+    store.build(orders, per_part=500)
+    total = orders.count()
+    half = store.page(total // 2, 1).withColumn("price", F.col("price").cast("long")).first()  # the row before the middle
+    middle = store.after(store.encode(half.asDict()), 25)
+    edge = middle.orderBy(F.desc_nulls_first("price"), F.desc("o_orderkey")).first()["cursor"]
+    pages = {"middle": (middle, False), "next": (store.after(edge, 40), False), "previous": (store.after(edge, 30, backward=True), True), "last": (store.after(None, 10, backward=True), True)}
+    out = None
+    for name, (rows, backward) in pages.items():
+        placed = F.row_number().over(Window.orderBy(*store._sorted(backward)))  # over one page
+        one = rows.select(F.lit(name).alias("page"), placed.cast("long").alias("place"), "o_orderkey", "price")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_BY_PRICE} SELECT n, o_orderkey, price FROM r WHERE n > 3 * 200 AND n <= 4 * 200")
+def clustered_page_number(spark, sf_dir):
+    """Page 4 of 200 orders by price, from the two or three parts that hold it."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.floor("o_totalprice")).alias("price"))
+    store = ClusteredRows(spark, f"{_folder(spark)}/clustered", ["price", "o_orderkey"])
+    store.build(orders, per_part=500)
+    rows = store.page(4, 200)
+    n = F.row_number().over(Window.orderBy(*store._sorted())) + 600  # over one page
+    return rows.select(n.cast("long").alias("n"), "o_orderkey", "price")
