@@ -25,7 +25,8 @@ class ClusteredRows:
         parts = max(1, -(-rows.count() // per_part))
         dealt = rows.repartitionByRange(parts, *self._sorted()).sortWithinPartitions(*self._sorted()).withColumn("part", F.spark_partition_id())
         dealt.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/rows")
-        held = self.spark.read.parquet(f"{self.root}/rows")
+        rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/schema")
+        held = self._held()
         key = F.struct(*[x for c in self.order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))])
         told = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part: the table is small
@@ -34,9 +35,13 @@ class ClusteredRows:
     def _parts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/parts")
 
+    def _held(self) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.root}/schema").schema.add("part", "int")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/rows")
+
     def _rows(self, parts: DataFrame) -> DataFrame:
         """Rows of these parts, as few as a page spans; all other files are pruned."""
-        return self.spark.read.parquet(f"{self.root}/rows").filter(F.col("part").isin([r["part"] for r in parts.select("part").collect()]))
+        return self._held().filter(F.col("part").isin([r["part"] for r in parts.select("part").collect()]))
 
     def page(self, number: int, size: int) -> DataFrame:
         """Page ``number`` from 1 on: where it lies is told by the parts' counts, so nothing before it is read."""

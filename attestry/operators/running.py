@@ -18,10 +18,14 @@ def ranged(rows: DataFrame, keys: list[str], order: list[Column], per_range: int
     return saved(rows.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()) if keys or order else rows.withColumn("_range", F.lit(0)), "ranges")
 
 
-def running(rows: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], per_range: int = PER_RANGE) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], per_range: int = PER_RANGE, direct: int = 0) -> DataFrame:
     """Add, per name, the sum of its value over the earlier rows of the key (0 for the first), nulls left out.
 
-    Sums per key and range are added up over the ranges; a window adds up inside each range."""
+    Sums per key and range are added up over the ranges; a window adds up inside each range. Tables of up to ``direct``
+    rows, which any task can hold, have one window and no ranges; sums are the same."""
+    if direct and rows.limit(direct + 1).count() <= direct:
+        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(n) for n, v in values.items()])
     dealt = ranged(rows.withColumns({f"_value_{n}": v for n, v in values.items()}), keys, order, per_range)
     sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(f"_value_{n}").alias(f"_sum_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,13 +55,13 @@ def carried(rows: DataFrame, keys: list[str], order: str, columns: list[str], pe
     return met.select(*[F.coalesce(f"_inside_{c}", f"_ahead_{c}").alias(c) if c in columns else met[c] for c in rows.columns])
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, between: dict[str, float] | None = None, ranked: dict[str, float] | None = None, per_range: int = PER_RANGE) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, between: dict[str, float] | None = None, ranked: dict[str, float] | None = None, per_range: int = PER_RANGE, direct: int = 1_000_000) -> DataFrame:
     """Exact quantiles by key from counts of distinct values, nulls left out: ``between`` interpolates between the two
     neighbouring values, ``ranked`` takes element floor(n * p) of the sorted values (from 0, the last at most).
 
-    Adds ``n``, ``min``, ``mean`` and ``max``. No list of a key's values is built."""
+    Adds ``n``, ``min``, ``mean`` and ``max``. No list of a key's values is built; up to ``direct`` counts are summed by one window."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(counts, keys, [F.col("_v")], {"_before": F.col("_n")}, per_range)
+    placed = running(counts, keys, [F.col("_v")], {"_before": F.col("_n")}, per_range, direct)
     v, up = F.col("_v"), F.col("_before") + F.col("_n")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_min"), (F.sum(v * F.col("_n")) / F.sum("_n")).alias("_mean"), F.max("_v").alias("_max"))
     met = _met(placed, totals, keys) if keys else placed.crossJoin(F.broadcast(totals))  # without keys: one row

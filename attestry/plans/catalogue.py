@@ -189,7 +189,7 @@ array_to_string(list_filter(string_split(normalized, ' '), lambda t: t <> '' AND
 def normalize_names(spark, sf_dir):
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values)).cast("int"))
     raw = F.concat(pick(["Shri ", "", "Smt ", "The "]), "p_name", F.lit(" & Sons ("), "p_brand", F.lit("), "), pick(["Bombay", "First Block", "Calcutta", "Pondicherry"]), F.lit("."))
-    n = _t(spark, sf_dir, "part").select("p_partkey", N.normalize_name(raw).alias("n"))
+    n = _texts(spark, sf_dir, "part").select("p_partkey", N.normalize_name(raw).alias("n"))
     return n.select("p_partkey", "n.normalized", F.size("n.tokens").alias("n_tokens"), F.array_join("n.core_tokens", " ").alias("core"))
 
 

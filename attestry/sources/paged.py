@@ -61,7 +61,9 @@ class PagesReader(DataSourceReader):
             raise ValueError(f"expected an array, got {type(rows).__name__}")
         return rows
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's way to read a source without partitions
+            return
         at = (partition.state, partition.page)
         try:
             rows = self.fetch(partition.url)

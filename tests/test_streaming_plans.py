@@ -76,14 +76,6 @@ def test_idempotent_stream(spark, tmp_path):
     assert spark.table("once").count() == 2
 
 
-def test_latest_progress_sink(spark, tmp_path):
-    spark.createDataFrame([("r", 1, "a"), ("r", 2, "b")], "run_id string, seq long, step string").write.parquet(f"file://{tmp_path}/in")
-    q = V.write_latest(spark.readStream.schema("run_id string, seq long, step string").parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r["step"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["b"]
-
-
 def test_resolution_finds_misspelt_names(spark):
     names = ["Indian Institute of Technology Delhi", "Anna University", "University of Delhi", "Jadavpur University", "Goa Medical College"]
     pool = spark.createDataFrame([("institution", i, n, n, None, None) for i, n in enumerate(names)], "type string, id long, name string, match_text string, source string, external_id string")
