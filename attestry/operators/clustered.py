@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 class ClusteredRows:
@@ -36,7 +37,7 @@ class ClusteredRows:
         return self.spark.read.parquet(f"{self.root}/parts")
 
     def _held(self) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.root}/schema").schema.add("part", "int")
+        schema = self.spark.read.parquet(f"{self.root}/schema").schema.add("part", IntegerType())
         return self.spark.read.schema(schema).parquet(f"{self.root}/rows")
 
     def _rows(self, parts: DataFrame) -> DataFrame:

@@ -210,12 +210,13 @@ def registry_match(spark, sf_dir):
     return M.find_candidates(asked, held, limit=5).select("query_id", F.col("id").alias("entry_id"), F.round("similarity", 9).alias("similarity"), "rank")
 
 
-@query(f"""WITH p AS (SELECT name, list_distinct(list_filter(string_split(lower(name), ' '), lambda t: t <> '' AND t NOT IN ({_STOP}))) AS c FROM (SELECT DISTINCT p_name AS name FROM part UNION {_OPENINGS.format(c="text", t="pages_text")[1:-1]})),
+@query(f"""WITH p AS (SELECT name, list_distinct(list_filter(string_split(lower(name), ' '), lambda t: t <> '' AND t NOT IN ({_STOP}))) AS c FROM (SELECT p_name AS name FROM part UNION SELECT p_type FROM part UNION SELECT text FROM benchmark)),
 w AS (SELECT name, len(c) AS n, unnest(c) AS t FROM p)
-SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.t = b.t AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 0.6 * least(any_value(a.n), any_value(b.n)) - 1e-9""".replace("pages_text", "benchmark"))
+SELECT a.name AS a, b.name AS b FROM w a JOIN w b ON a.t = b.t AND a.name < b.name GROUP BY 1, 2 HAVING count(*) >= 0.6 * least(any_value(a.n), any_value(b.n)) - 1e-9""")
 def core_token_overlap(spark, sf_dir):
     """Names whose core tokens overlap by 0.6 of the shorter list, found by an index and confirmed by the pairwise rule."""
-    names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().union(_openings(_t(spark, sf_dir, "benchmark"))).distinct()
+    part = _t(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name")).union(part.select("p_type")).union(_t(spark, sf_dir, "benchmark").select("text")).distinct()
     held = names.withColumn("c", F.array_distinct(N.core_tokens(N.tokens(F.lower("name")))))
     pairs = M.overlap_join(held, "name", "c", 0.6)
     side = lambda k: held.select(F.col("name").alias(k), F.col("c").alias(f"c{k}"))

@@ -274,9 +274,17 @@ def connector_depository_spans(spark, sf_dir):
     return connectors.load(spark, "digilocker", path).select("external_id", "name", "state", F.col("raw_data")["documentTypes"].alias("kinds"))
 
 
-@query(f"SELECT unnest({sorted(connectors.CONNECTORS)}) AS code")
+_CODES = [*sorted(connectors.CONNECTORS), "nowhere", "aishe"]
+_AUTHORITIES = sorted(set(D.CONNECTOR_AUTHORITIES.values()) | {"WIKIDATA", "WEBSITE", "MANUAL"})
+_CODE_FACTS = ", ".join(f"('{c}', {repr(dict(connectors.list_connectors()).get(c)) if c in connectors.CONNECTORS else 'NULL'}, {repr(a) if (a := D.CONNECTOR_AUTHORITIES.get(c, c.upper() if c.upper() in _AUTHORITIES else None)) else 'NULL'})" for c in _CODES)
+
+
+@query(f"SELECT c_custkey, code, display_name, authority FROM (SELECT c_custkey, {_CODES}[c_custkey % {len(_CODES)} + 1] AS code FROM customer) JOIN (VALUES {_CODE_FACTS}) v(code, display_name, authority) USING (code)")
 def connector_codes(spark, sf_dir):
-    return spark.createDataFrame([(code,) for code, _ in connectors.list_connectors()], "code string")
+    """Codes that rows name, with their connector and authority; unknown ones have none."""
+    known = spark.createDataFrame(connectors.list_connectors(), "code string, display_name string")
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", _pick(_CODES, F.col("c_custkey")).alias("code"))
+    return rows.join(F.broadcast(known), "code", "left").select("c_custkey", "code", "display_name", G.authority_of(F.col("code")).alias("authority"))
 
 
 @query("""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN '' WHEN c_custkey % 50 = 1 THEN repeat('x', 600) ELSE c_name END AS name, row_number() OVER (ORDER BY c_custkey) + 1 AS row_no FROM customer)
@@ -305,12 +313,34 @@ def batch_numbered(spark, sf_dir):
     return B.numbered(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment", "c_custkey"], 100).select("c_custkey", "row_no", "chunk")
 
 
-@query("SELECT id, version, threshold_genuine::DOUBLE AS threshold_genuine, expected_max::DOUBLE AS expected_max FROM (VALUES ('engineering', 1, 0.85, 2.5), ('medical', 1, 0.9, 2.6)) v(id, version, threshold_genuine, expected_max)")
+def _nation_policies(spark, sf_dir) -> DataFrame:
+    """A policy for each nation, by the default of engineering: its region is the institution type, and some are not active."""
+    one = P.default_policies(spark).filter("id = 'engineering'").drop("id", "institution_type", "version", "active", "threshold_genuine")
+    key = F.col("n_nationkey")
+    own = _t(spark, sf_dir, "nation").select(F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("region "), "n_regionkey").alias("institution_type"), (key % 4).cast("int").alias("version"), (key % 7 != 0).alias("active"), (F.lit(0.8) + key / 250.0).alias("threshold_genuine"))
+    return own.crossJoin(F.broadcast(one)).select(*P.default_policies(spark).columns)
+
+
+@query("""SELECT 'p' || n_nationkey AS id, (n_nationkey % 4)::BIGINT AS version, round(0.8 + n_nationkey / 250.0, 6)::DOUBLE AS threshold_genuine, 2.5::DOUBLE AS expected_max FROM nation WHERE n_nationkey % 7 <> 0
+QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 4 DESC, 'p' || n_nationkey) = 1""")
 def stored_policies(spark, sf_dir):
-    """The default policies, written as a stored table and read under its schema."""
+    """Policies of nations, written as a stored table and read under its schema; of each region the active one of the highest version."""
+    root = _folder(spark)
+    _nation_policies(spark, sf_dir).write.parquet(f"{root}/policies")
+    return P.active_policies(uploads.read_table(spark, root, "policies")).select("id", F.col("version").cast("long").alias("version"), F.round("threshold_genuine", 6).alias("threshold_genuine"), "expected_max")
+
+
+@query("SELECT s_suppkey AS id, s_nationkey::BIGINT AS institution_id, 'UGC' AS source, s_suppkey::VARCHAR AS external_id, s_name AS name_as_source, 0::BIGINT AS contacts FROM supplier")
+def stored_tables(spark, sf_dir):
+    """All stored tables created empty in a database of their own, and one filled: rows go through its schema."""
     root = _folder(spark)
-    P.default_policies(spark).write.parquet(f"{root}/policies")
-    return uploads.read_table(spark, root, "policies").select("id", "version", "threshold_genuine", "expected_max")
+    database = f"attestry_{uuid.uuid4().hex}"
+    uploads.create_tables(spark, database, root)
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("institution_id"), F.lit("UGC").alias("source"), F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name_as_source"))
+    target = spark.table(f"{database}.institution_identities")
+    rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema]).write.mode("append").insertInto(f"{database}.institution_identities")
+    contacts = F.lit(spark.table(f"{database}.institution_contacts").count()).cast("long").alias("contacts")
+    return spark.table(f"{database}.institution_identities").select("id", "institution_id", "source", "external_id", "name_as_source", contacts)
 
 
 @query("""WITH p AS (SELECT n_nationkey AS id, 0.85 - n_nationkey / 50.0 AS g, n_nationkey / 12.0 AS m, (n_nationkey % 4) * 100.0 - 100 AS h FROM nation)
@@ -602,13 +632,15 @@ def fast_path_levels(spark, sf_dir):
     return fast_path(c, cached, inst, entries, _as_of())
 
 
-@query("""WITH p AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1) SELECT name AS input, CASE WHEN id % 3 = 0 THEN 'L0' WHEN id % 3 = 1 THEN 'L1' ELSE 'none' END AS level, CASE WHEN id % 3 < 2 THEN id END AS id, CASE WHEN id % 3 < 2 THEN 'certain' ELSE 'doubtful' END AS band, CASE WHEN id % 3 < 2 AND id % 2 = 0 THEN 'https://p' || id || '.in' END AS website, 1 AS rank FROM p""")
+@query("""WITH p AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1) SELECT name AS input, 'L' || id % 3 AS level, id, CASE WHEN id % 3 = 2 THEN 'doubtful' ELSE 'certain' END AS band, CASE WHEN id % 2 = 0 THEN 'https://p' || id || '.in' END AS website, 1 AS rank FROM p
+UNION ALL SELECT s_name, 'none', NULL, 'doubtful', NULL, 1 FROM supplier""")
 def discovery_levels(spark, sf_dir):
-    """Names that the cache or the institutions know, and names that nothing fits."""
+    """Names that the cache, the institutions, or only the search among candidates know, and names that nothing fits."""
     p = _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("normalized_name", N.lookup_form(F.col("name")))
-    pool = spark.createDataFrame([("registry", 1, "zzzz qqqq", "zzzz qqqq", None, None)], "type string, id long, name string, match_text string, source string, external_id string")
+    pool = p.filter("id % 3 = 2").select(F.lit("registry").alias("type"), "id", "name", F.col("name").alias("match_text"), F.lit("AISHE").alias("source"), F.col("id").cast("string").alias("external_id"))
     sites = p.filter("id % 2 = 0").select("name", F.concat(F.lit("https://p"), "id", F.lit(".in")).alias("url"))
-    out = discover(p.select(F.col("name").alias("input")), p.filter("id % 3 = 0"), p.filter("id % 3 = 1"), pool, sites)
+    inputs = p.select(F.col("name").alias("input")).union(_t(spark, sf_dir, "supplier").select("s_name"))
+    out = discover(inputs, p.filter("id % 3 = 0"), p.filter("id % 3 = 1"), pool, sites, limit=1)
     return out.select("input", "level", "id", "band", "website", "rank")
 
 
@@ -725,13 +757,27 @@ def profile_save(spark, sf_dir):
     return kept["institutions"].join(contacts, "id").join(identities, "id").select("id", "slug", "contacts", "identities")
 
 
-@query("SELECT * FROM (VALUES ('engineering', 1, 'kept'), ('medical', 2, 'kept'), ('engineering', 3, 'wrong')) v(id, version, outcome)")
+@query("""SELECT 'p' || n_nationkey AS id, (CASE WHEN n_nationkey % 3 = 1 THEN n_nationkey % 4 + 10 ELSE n_nationkey % 4 END)::BIGINT AS version, 'kept' AS outcome, '' AS wrong FROM nation
+UNION ALL SELECT 'p' || n_nationkey, n_nationkey % 4 + 10, 'wrong', CASE WHEN n_nationkey % 3 = 2 THEN 'threshold_genuine' ELSE 'weight_mirror' END FROM nation WHERE n_nationkey % 3 <> 1""")
 def policy_upsert(spark, sf_dir):
-    """A valid new version goes over the old policy, one with wrong thresholds does not."""
-    old = P.default_policies(spark)
-    new = old.withColumn("version", F.when(F.col("id") == "medical", 2).otherwise(3).cast("int")).withColumn("threshold_genuine", F.when(F.col("id") == "medical", 0.95).otherwise(0.2))
+    """New versions of all nations' policies: valid ones go over the old, those with a wrong threshold or weight do not."""
+    old = _nation_policies(spark, sf_dir)
+    number = F.substring("id", 2, 9).cast("int")
+    new = old.withColumns({"version": F.col("version") + 10, "threshold_genuine": F.when(number % 3 == 2, 0.2).otherwise(F.col("threshold_genuine")), "weight_mirror": F.when(number % 3 == 0, 1.5).otherwise(F.col("weight_mirror"))})
     kept, wrong = P.upsert_policies(old, new)
-    return kept.select("id", "version", F.lit("kept").alias("outcome")).unionByName(wrong.select("id", "version", F.lit("wrong").alias("outcome")))
+    told = F.array_join(F.transform("errors", lambda e: F.element_at(F.split(e, " "), 1)), ",")
+    rows = lambda df, outcome, why: df.select("id", F.col("version").cast("long").alias("version"), F.lit(outcome).alias("outcome"), why.alias("wrong"))
+    return rows(kept, "kept", F.lit("")).unionByName(rows(wrong, "wrong", told))
+
+
+@query("""SELECT 1::BIGINT AS snapshot_id, 'published' AS state, count(*) AS added, 0::BIGINT AS changed FROM supplier UNION ALL SELECT 2, 'published', 0, count(*) FILTER (s_suppkey % 4 = 0) FROM supplier UNION ALL SELECT 3, 'unchanged', 0, 0""")
+def registry_by_content(spark, sf_dir):
+    """Snapshots compared by content: equal counts with other names are published, equal content in another order is unchanged."""
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"), F.create_map(F.lit("status"), F.lit("ok")).alias("raw_data"), F.col("s_suppkey").alias("_pos"))
+    renamed = rows.withColumn("name", F.when(F.col("_pos") % 4 == 0, F.concat("name", F.lit(" Hall"))).otherwise(F.col("name")))
+    store = G.RegistryStore(spark, _folder(spark))
+    reports = [store.ingest(drafts, "UGC", number, NOW, by_content=True) for number, drafts in enumerate([rows, renamed, renamed.withColumn("_pos", -F.col("_pos"))], 1)]
+    return spark.createDataFrame([(i, r.state, r.added, r.changed) for i, r in enumerate(reports, 1)], "snapshot_id long, state string, added long, changed long")
 
 
 @query("SELECT n_name AS name, true AS stale FROM nation")
@@ -741,9 +787,9 @@ def stale_on_error(spark, sf_dir):
     return connectors.load_or_last(spark, "ugc-fake", f"{_folder(spark)}/gone", last)
 
 
-@query("SELECT c_custkey AS run_id, 'identity' AS kind, 'WIKIDATA' AS source, 'about ' || c_name AS matched_text FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT c_custkey AS run_id, 'identity' AS kind, 'WIKIDATA' AS source, 'about ' || c_name AS matched_text FROM customer")
 def knowledge_evidence(spark, sf_dir):
     """Evidence from entries of a knowledge base, as it is stored."""
-    found = _t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("run_id"), F.concat(F.lit("about "), "c_name").alias("text"), F.lit("https://w.org/Q1").alias("url"))
+    found = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.concat(F.lit("about "), "c_name").alias("text"), F.lit("https://w.org/Q1").alias("url"))
     items = E.knowledge_evidence(found, "WIKIDATA", _as_of()).withColumn("_pos", F.lit(0))
     return E.dedupe(E.normalize(items, _as_of())).select("run_id", "kind", "source", "matched_text")

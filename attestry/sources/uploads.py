@@ -31,9 +31,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
-def create_tables(spark: SparkSession, database: str) -> None:
-    """An empty Parquet table for each schema."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def create_tables(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """An empty Parquet table for each schema, below ``location`` if one is given, else in the warehouse."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
     for name, schema in SCHEMAS.items():
         spark.createDataFrame([], schema).write.mode("ignore").saveAsTable(f"{database}.{name}")
 
