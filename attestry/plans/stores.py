@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators.backfill import DoneKeys
 from ..operators.clustered import ClusteredRows
 from ..operators.trigram_index import TrigramIndex
 from ..session import saved
@@ -192,3 +193,16 @@ def clustered_page_number(spark, sf_dir):
     rows = store.page(4, 200)
     n = F.row_number().over(Window.orderBy(*store._sorted())) + 600  # over one page
     return rows.select(n.cast("long").alias("n"), "o_orderkey", "price")
+
+
+# Backfill ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT c_name || '/' || c_mktsegment AS name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
+def backfill_names(spark, sf_dir):
+    """Names without a vector: all but those that two earlier runs have done, one of which did some again."""
+    names = _t(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("/", "c_name", "c_mktsegment").alias("name"))
+    done = DoneKeys(spark, f"{_folder(spark)}/done", buckets=8)
+    done.add(names.filter("c_custkey % 3 <> 0"), "name")
+    done.add(names.filter("c_custkey % 5 = 0"), "name")
+    return done.missing(names.union(names), "name").withColumnRenamed("key", "name")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import analytics as A
 from attestry.operators import matching as M
+from attestry.operators.backfill import DoneKeys
 from attestry.operators.clustered import ClusteredRows
 from attestry.operators.trigram_index import TrigramIndex
 from attestry.sources import connectors, html_tables, paged
@@ -272,3 +273,17 @@ def test_no_rows_to_page_through(spark, tmp_path):
     store = ClusteredRows(spark, f"file://{tmp_path}/none", ["id"])
     store.build(spark.createDataFrame([], "id long"))
     assert store.page(1, 10).count() == 0 and store.after(None, 10).count() == 0
+
+
+def test_keys_that_are_not_done(spark, tmp_path):
+    done = DoneKeys(spark, f"file://{tmp_path}/done", buckets=3)
+    make = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    asked = make([f"n{i % 700}" for i in range(1400)] + [None, ""])
+    read = lambda: {r["key"] for r in done.missing(asked).collect()}
+    everything = {f"n{i}" for i in range(700)} | {""}
+    assert read() == everything and done.missing(asked).count() == 701
+    done.add(make([f"n{i}" for i in range(0, 700, 2)] + [None]))
+    done.add(make([f"n{i}" for i in range(0, 700, 7)]))
+    done.add(make([]))
+    assert read() == {k for k in everything if not k or int(k[1:]) % 2 and int(k[1:]) % 7}
+    assert done.missing(make([])).count() == 0
