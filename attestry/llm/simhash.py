@@ -195,22 +195,26 @@ def _in_map(marked: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (marked[(keys & ((marked.size << 6) - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
 
 
-#: Texts of the sample that hold a shingle, from which on it comes later in the index's order.
-LEVELS = (2, 8, 32, 128)
+#: Slots of the map that tells how common a shingle is.
+SLOTS = 24
 
 
-def _common_shingles(docs: DataFrame, text: Column, width: int, one_in: int = 8) -> list[np.ndarray]:
-    """Maps of shingles that at least so many (``LEVELS``) of every ``one_in``-th text hold. They only order the index, so the
-    sample decides the work and never the result."""
+def _common_shingles(docs: DataFrame, text: Column, width: int, one_in: int = 8) -> np.ndarray:
+    """How many of every ``one_in``-th text hold a shingle, as four times the binary logarithm, in a map of 2^``SLOTS`` bytes by the
+    shingle's last bits; of shingles that share a slot the most common counts, and 0 stands for one text or none. It only
+    orders the index, so neither sample nor map, whose size is fixed, decides the result."""
 
     @F.arrow_udf("array<int>")
     def keys(column: pa.Array) -> pa.Array:
         return pa.array([(_shingle_set(t, width) & 0x7FFFFFFF).astype(np.int32) for t in values(column)], pa.list_(pa.int32()))
 
     drawn = docs.select(text.alias("text")).filter(F.pmod(F.hash("text"), F.lit(one_in)) == 0)
-    held = drawn.select(F.explode(keys("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEVELS[0])
-    held = saved(held.select(F.col("key").cast("long").alias("key"), "n"), "common-shingles")
-    return [_bit_map(held.filter(F.col("n") >= least).select("key")) for least in LEVELS]
+    held = drawn.select(F.explode(keys("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    level = F.least(F.round(F.log2("n") * 4), F.lit(127)).cast("byte")
+    told = held.groupBy(F.pmod("key", F.lit(1 << SLOTS)).alias("slot")).agg(F.max(level).alias("level")).toArrow()
+    out = np.zeros(1 << SLOTS, np.int8)
+    out[told["slot"].to_numpy()] = told["level"].to_numpy()
+    return out
 
 
 def _parity(held: np.ndarray, bits: int) -> np.ndarray:
@@ -252,7 +256,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
 
     @F.arrow_udf("struct<set_key:long,fp:long,n:int,marks:array<long>,prefix:array<long>>")
     def facts(texts: pa.Array) -> pa.Array:
-        out, maps = [], common.value
+        out, levels = [], common.value
         for t in values(texts):
             raw = _digests(t, width)
             if raw is None:
@@ -260,8 +264,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
                 continue
             held = np.unique(raw.view(">i8").ravel().astype(np.int64))
             n = len(held)
-            level = sum(_in_map(m, held).astype(np.int8) for m in maps)
-            first = held[np.argsort(level, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            first = held[np.argsort(levels[held & (len(levels) - 1)], kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
             marks = _parity(held, 64 * MARKS).view("<i8")
             key = xxhash.xxh64_intdigest(held.astype("<i8").tobytes(), SEED)
             out.append((key - (1 << 64) if key >> 63 else key, _majority(raw), n, marks, first.copy()))
@@ -360,10 +363,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bi
     roots = components(links)
     open_rows = saved(shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-postings")
     several = open_rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    open_rows = open_rows.filter("id <> head").join(several, "key")
-    side = lambda x: open_rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("root").alias(f"r_{x}"))
-    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    half = MARKS // 2  # a sketch of half the size travels with each posting, so most pairs that meet need not be written down
+    folded = classes.select(F.col("set_key").alias("id"), *[F.get("marks", F.lit(i)).bitwiseXOR(F.get("marks", F.lit(i + half))).alias(f"m{i}") for i in range(half)])
+    open_rows = open_rows.filter("id <> head").join(several, "key").join(folded, "id")
+    side = lambda x: open_rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("root").alias(f"r_{x}"), *[F.col(f"m{i}").alias(f"m{i}_{x}") for i in range(half)])
+    total = F.col("n_a") + F.col("n_b")
     reach = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    rest = side("a").join(side("b"), "key").filter("a < b AND r_a <> r_b").filter(reach >= least).select("a", "b")
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(half)])
+    near = (reach >= similarity / (1 + similarity) * total - 1e-9) & (differing <= total * (1 - similarity) / (1 + similarity) + 1e-9)
+    rest = side("a").join(side("b"), "key").filter("a < b AND r_a <> r_b").filter(near).select("a", "b")
     linked = components(links.union(verified(rest)))
     return rows.select("doc_id", "text_key", "set_key").join(linked.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("root"))
