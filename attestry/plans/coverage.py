@@ -60,14 +60,14 @@ def registry_ingest(spark, sf_dir):
     return G.snapshot_states(store.log).join(live, "id", "left").select(F.col("id").alias("snapshot_id"), "state", "row_count", F.coalesce("live", F.lit(0)).alias("live"), F.col("previous_count").alias("previous"))
 
 
-@query("""WITH n AS (SELECT s_suppkey, s_name, s_suppkey % 7 <> 0 AS first FROM supplier)
+@query("""WITH n AS (SELECT s_suppkey, s_name, s_suppkey % 11 <> 1 AS first FROM supplier)
 SELECT 'UGC' AS authority_code, 2::BIGINT AS snapshot_id, s_suppkey::VARCHAR AS external_id, s_name AS canonical_name, count(*) OVER () AS row_count, (SELECT count(*) FROM n WHERE NOT first) AS added, 0::BIGINT AS removed, 3 AS marks FROM n""")
 def registry_retry(spark, sf_dir):
     """Two snapshots, each ingested twice; the second one's first attempt is lost after it has written half of its rows."""
     rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("external_id"), F.col("s_name").alias("name"), F.create_map(F.lit("status"), F.lit("ok")).alias("raw_data"), F.col("s_suppkey").alias("_pos"))
     store = G.RegistryStore(spark, _folder(spark))
     for _ in range(2):
-        store.ingest(rows.filter("_pos % 7 <> 0"), "UGC", 1, NOW)
+        store.ingest(rows.filter("_pos % 11 <> 1"), "UGC", 1, NOW)
     store._mark(2, "UGC", "running", 0, None, NOW)
     store._write(G.to_entries(rows.filter("_pos % 2 = 0"), "UGC", 2), "UGC", 2)
     reports = [store.ingest(rows, "UGC", 2, NOW) for _ in range(2)]
