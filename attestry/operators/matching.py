@@ -38,11 +38,11 @@ def _rare_first(texts: DataFrame, frequency: DataFrame) -> DataFrame:
     return ordered.select("text", "id", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000, broadcast_bytes: int = 32 << 20, most_met: int = 300_000_000) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000, broadcast_bytes: int = 32 << 20, most_met: int = 300_000_000, most_pairs: int = 10_000_000) -> DataFrame:
     """Pairs (``left_text``, ``right_text``, ``similarity``) of distinct texts above the threshold, strictly.
 
-    How many postings would meet is summed up beforehand from the trigrams' counts on both sides. Up to ``most_met`` they
-    meet and are counted per pair, which gives the similarity. Beyond that only prefixes meet: a pair above the
+    How many postings would meet is summed up beforehand from the trigrams' counts on both sides. If they are ``most_met`` at
+    most, and all pairs of texts ``most_pairs``, they meet and are counted per pair, which gives the similarity. Else only prefixes meet: a pair above the
     threshold t shares more than t n of the n trigrams of either text, so the first n - floor(t n) of each, the rarest
     first, hold a trigram in common, and the most frequent trigrams meet only where a text has hardly others. Prefixes meet
     under a size filter and a filter on places (what can still follow must be enough); each pair that meets is verified
@@ -52,14 +52,14 @@ def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_tex
     """
     keyed = lambda df: df.select("text", F.xxhash64("text").alias("id"), "n", "grams")
     mine, theirs = saved(keyed(distinct_grams(left, left_text)), "left-texts"), saved(keyed(distinct_grams(right, right_text)), "right-texts")
-    size = mine.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    size = mine.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     few = F.broadcast if size["n"] <= broadcast_grams and size["bytes"] <= broadcast_bytes else (lambda df: df)
     counts = lambda df, n: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(n))
     frequency = saved(counts(theirs, "held"), "gram-counts")
     meeting = frequency.join(counts(mine, "asked"), "gram").agg(F.sum(F.col("held") * F.col("asked")).alias("n")).first()["n"] or 0
     named = lambda df, k: df.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"))
 
-    if meeting <= most_met:
+    if meeting <= most_met and size["texts"] * theirs.count() <= most_pairs:
         post = lambda df, k: df.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.explode("grams").alias("gram"))
         shared = post(theirs, "b").join(few(post(mine, "a")), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
         close = shared.select("a", "b", (F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") > threshold)
