@@ -9,10 +9,14 @@ DIMENSIONS = 768
 FUSION = {"trigram": 0.45, "vector": 0.35, "state": 0.12}  # fixed weights
 
 
+def words(col: Column) -> Column:
+    """Lower-cased words: runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def trigrams(col: Column) -> Column:
     """Distinct trigrams of the lower-cased words, each word padded by two spaces before and one after."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    grams = F.transform(words(col), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 

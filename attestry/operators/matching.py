@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import similarity as S
-from ..session import saved, small
+from ..session import saved, ship, small
 
 RECALL = 0.35
 RECALL_LIMIT = 50
@@ -20,63 +22,109 @@ RESULT_LIMIT = 5
 REVIEW_BELOW = 0.9
 
 
-def distinct_grams(strings: DataFrame, text: str) -> DataFrame:
-    """Distinct texts with their trigram sets and set sizes: (``text``, ``grams``, ``n``).
+def distinct_texts(strings: DataFrame, text: str) -> DataFrame:
+    """Distinct texts that hold a word: (``text``, ``words``, three spaces between any two, as the trigrams of each are padded).
 
     Dealt out by text over a fixed number of partitions, as little text makes much work further on."""
     spark = strings.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = strings.select(F.col(text).alias("text")).filter("text IS NOT NULL").repartition(parts, "text").distinct()
-    grams = texts.withColumn("grams", F.transform(S.trigrams(F.col("text")), lambda g: F.xxhash64(g)))
-    return grams.withColumn("n", F.size("grams")).filter("n > 0")
-
-
-def _rare_first(texts: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(``text``, ``id``, ``n``, ``grams`` in order of frequency, rarest first)."""
-    posted = texts.select("text", "id", "n", F.explode("grams").alias("gram")).join(small(frequency, 1_000_000), "gram", "left")
-    ordered = posted.groupBy("id", "n").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("g"))
-    return ordered.select("text", "id", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
-
-
-def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000, broadcast_bytes: int = 32 << 20, most_met: int = 300_000_000, most_pairs: int = 10_000_000) -> DataFrame:
+    return texts.withColumn("words", F.array_join(S.words(F.col("text")), "   ")).filter("words <> ''")
+
+
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of each entry of ``words``: (entry, trigram), by entry; a trigram is its three code points, 21 bits each."""
+    code = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+    entry = np.repeat(np.arange(len(words)), [len(w) + 3 for w in words])
+    inside = np.flatnonzero((code[1:-1] != 32) | (code[2:] != 32))  # else between two words
+    known, gram = np.unique(code[inside] << 42 | code[inside + 1] << 21 | code[inside + 2], return_inverse=True)
+    both = np.unique(entry[inside] * len(known) + gram)
+    return both // len(known), known[both % len(known)]
+
+
+def close_entries(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each entry of ``left``: (entry, entries of ``right`` above the threshold, their similarities). Both sides are (entry,
+    trigram), by entry; ``sizes`` has how many trigrams each entry of ``right`` has in all.
+
+    A pair above the threshold t shares more than t n of the n trigrams of the left text, so among the n - floor(t n) that are
+    rarest on the right one is shared. Only these are counted; where all others together could still be enough, they are too."""
+    known = np.unique(left[1])
+    at = np.minimum(np.searchsorted(known, right[1]), len(known) - 1)
+    held = known[at] == right[1]
+    entry, gram = right[0][held], at[held]
+    begins = np.searchsorted(entry, np.arange(len(sizes) + 1))
+    by_gram = np.argsort(gram, kind="stable")
+    posted, places = entry[by_gram], np.searchsorted(gram[by_gram], np.arange(len(known) + 1))
+    often = np.diff(places)
+    asked, mine = np.searchsorted(known, left[1]), np.searchsorted(left[0], np.arange(left[0][-1] + 2))
+    least = threshold / (1 + threshold) * sizes - 1e-9
+    marked = np.zeros(len(known), np.int64)
+    for i in range(len(mine) - 1):
+        grams = asked[mine[i] : mine[i + 1]]
+        rest = int(np.floor(threshold * len(grams) - 1e-9)) if len(grams) else 0
+        first = grams[np.argsort(often[grams], kind="stable")][: len(grams) - rest]
+        met = np.concatenate([posted[places[g] : places[g + 1]] for g in first]) if len(first) else posted[:0]
+        counted = np.bincount(met, minlength=len(sizes))
+        may = np.flatnonzero(counted > np.maximum(least + (threshold / (1 + threshold) * len(grams) - rest), 0))
+        if len(may):
+            marked[grams] = 1
+            lengths = begins[may + 1] - begins[may]
+            flat = np.repeat(begins[may] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            shared = np.add.reduceat(marked[gram[flat]], np.cumsum(lengths) - lengths)  # each of them shares one at least
+            marked[grams] = 0
+            similarity = shared / (len(grams) + sizes[may] - shared)
+            near = similarity > threshold
+            if near.any():
+                yield i, may[near], similarity[near]
+
+
+def similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, threshold: float = RECALL, broadcast_grams: int = 300_000, broadcast_bytes: int = 32 << 20, most_met: int = 300_000_000, most_pairs: int = 10_000_000, block_bytes: int = 4 << 20) -> DataFrame:
     """Pairs (``left_text``, ``right_text``, ``similarity``) of distinct texts above the threshold, strictly.
 
-    How many postings would meet is summed up beforehand from the trigrams' counts on both sides. If they are ``most_met`` at
-    most, and all pairs of texts ``most_pairs``, they meet and are counted per pair, which gives the similarity. Else only prefixes meet: a pair above the
-    threshold t shares more than t n of the n trigrams of either text, so the first n - floor(t n) of each, the rarest
-    first, hold a trigram in common, and the most frequent trigrams meet only where a text has hardly others. Prefixes meet
-    under a size filter and a filter on places (what can still follow must be enough); each pair that meets is verified
-    once, by its whole sets. Both ways give the same pairs: none above the threshold is lost, whatever the frequencies.
-    Texts and trigrams are represented by 64-bit hashes and copies meet once. If the left side has at most
-    ``broadcast_grams`` postings (20 bytes each) and ``broadcast_bytes`` of text it is broadcast, else both are shuffled.
+    If all pairs of texts are ``most_pairs`` at most and the postings that would meet, summed up beforehand from the
+    trigrams' counts on both sides, ``most_met``, postings meet and are counted per pair, which gives the similarity. Else
+    texts are dealt by hash into blocks of about ``block_bytes``, and each pair of blocks is one task, which counts by the rarest
+    trigrams and verifies by whole sets (``close_entries``). So nothing is shuffled but the texts, each once a block of the
+    other side: a short side is one block, and then the work moves in proportion to the long one. Both ways give the same
+    pairs: none above the threshold is lost, whatever the frequencies. If the left side has at most ``broadcast_grams``
+    postings (20 bytes each) and ``broadcast_bytes`` of text, the postings that meet find it broadcast.
     """
-    keyed = lambda df: df.select("text", F.xxhash64("text").alias("id"), "n", "grams")
-    mine, theirs = saved(keyed(distinct_grams(left, left_text)), "left-texts"), saved(keyed(distinct_grams(right, right_text)), "right-texts")
-    size = mine.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    few = F.broadcast if size["n"] <= broadcast_grams and size["bytes"] <= broadcast_bytes else (lambda df: df)
-    counts = lambda df, n: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(n))
-    frequency = saved(counts(theirs, "held"), "gram-counts")
-    meeting = frequency.join(counts(mine, "asked"), "gram").agg(F.sum(F.col("held") * F.col("asked")).alias("n")).first()["n"] or 0
-    named = lambda df, k: df.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"))
-
-    if meeting <= most_met and size["texts"] * theirs.count() <= most_pairs:
-        post = lambda df, k: df.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.explode("grams").alias("gram"))
-        shared = post(theirs, "b").join(few(post(mine, "a")), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-        close = shared.select("a", "b", (F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") > threshold)
-        return close.join(few(named(mine, "a")), "a").join(named(theirs, "b"), "b").select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), "similarity")
-
-    a, b = saved(_rare_first(mine, frequency), "left-grams"), saved(_rare_first(theirs, frequency), "right-grams")
-
-    def first(texts: DataFrame, k: str) -> DataFrame:
-        prefix = F.slice("grams", 1, F.col("n") - F.floor(F.col("n") * threshold).cast("int"))
-        return texts.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.posexplode(prefix).alias(f"{k}_at", "gram"))
-
-    met = first(b, "b").join(few(first(a, "a")), "gram").filter(f"b_n > {threshold} * a_n AND a_n > {threshold} * b_n")
-    enough = F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9
-    pairs = met.filter(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + F.least("a_at", "b_at") > enough).select("a", "b").distinct()
-    side = lambda texts, k: texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("grams").alias(f"{k}_grams"))
-    whole = pairs.join(few(side(a, "a")), "a").join(side(b, "b"), "b")
-    return whole.select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), S.set_similarity(F.col("a_grams"), F.col("b_grams")).alias("similarity")).filter(F.col("similarity") > threshold)
+    spark = ship(left.sparkSession)
+    mine, theirs = saved(distinct_texts(left, left_text), "left-texts"), saved(distinct_texts(right, right_text), "right-texts")
+    size, held = [df.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first() for df in (mine, theirs)]
+
+    if size["texts"] * held["texts"] <= most_pairs:
+        keyed = lambda df: df.select("text", F.xxhash64("text").alias("id"), S.trigrams(F.col("text")).alias("grams")).select("text", "id", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), F.size("grams").alias("n"))
+        asking, asked = saved(keyed(mine), "left-grams"), saved(keyed(theirs), "right-grams")
+        postings = asking.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        few = F.broadcast if postings <= broadcast_grams and size["bytes"] <= broadcast_bytes else (lambda df: df)
+        counts = lambda df, n: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(n))
+        if (counts(asked, "held").join(counts(asking, "asked"), "gram").agg(F.sum(F.col("held") * F.col("asked"))).first()[0] or 0) <= most_met:
+            named = lambda df, k: df.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"))
+            post = lambda df, k: df.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.explode("grams").alias("gram"))
+            shared = post(asked, "b").join(few(post(asking, "a")), "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+            close = shared.select("a", "b", (F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("similarity")).filter(F.col("similarity") > threshold)
+            return close.join(few(named(asking, "a")), "a").join(named(asked, "b"), "b").select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"), "similarity")
+
+    cores = spark.sparkContext.defaultParallelism
+    a_blocks = max(1, -(-size["bytes"] // block_bytes))
+    b_blocks = max(-(-held["bytes"] // block_bytes), -(-3 * cores // a_blocks))
+    block = lambda count: F.pmod(F.xxhash64("text"), F.lit(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    tasks = min(2 * a_blocks * b_blocks, 20_000)
+    dealt = lambda df: df.repartition(tasks, "a_block", "b_block").groupBy("a_block", "b_block")
+
+    def close(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        if len(mine) and len(theirs):
+            a, b = gram_rows(mine["words"].to_pylist()), gram_rows(theirs["words"].to_pylist())
+            found += [(np.full(len(near), i), near, similarity) for i, near, similarity in close_entries(a, b, np.bincount(b[0], minlength=len(theirs)), threshold)]
+        i, near, similarity = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"left_text": mine["text"].take(pa.array(i)), "right_text": theirs["text"].take(pa.array(near)), "similarity": similarity})
+
+    a = mine.withColumn("a_block", block(a_blocks)).withColumn("b_block", every(b_blocks))
+    b = theirs.withColumn("b_block", block(b_blocks)).withColumn("a_block", every(a_blocks))
+    return dealt(a).cogroup(dealt(b)).applyInArrow(close, "left_text string, right_text string, similarity double")
 
 
 def overlap_join(texts: DataFrame, text: str, tokens: str, share: float) -> DataFrame:
