@@ -14,6 +14,7 @@ from ..operators.running import PER_RANGE, ranged, running
 from ..session import ship
 
 IDLE_SECONDS = 3600
+SPAN_MS = 3_600_000
 STATE = "key string, at timestamp, id long, blended double, calls long, failures long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -21,7 +22,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class Breaker(StatefulProcessor):
     """Per key: what is blended so far, and calls that wait until the watermark has passed them, so that late ones take their place.
 
-    Two kinds of timers of event time: one at each waiting call, and one that forgets the key when it has been idle."""
+    Calls wait in a list for each span of ``SPAN_MS`` of their time, and a key has one timer: at the first span that waits, or, if
+    none does, when the key has been idle. So a batch reads and writes only the spans that it adds to or that are due."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -29,38 +31,66 @@ class Breaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.folded = handle.getValueState("folded", "blended double, calls long, failures long, last long")
-        self.waiting = handle.getListState("waiting", "at long, id long, value double, failed boolean")
+        self.waiting = handle.getMapState("waiting", "span long", "calls array<struct<at:long,id:long,value:double,failed:boolean>>")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans: dict[int, list] = {}
         for batch in rows:
             at = batch["at"].astype("int64") // 1000 if batch["at"].dtype == "datetime64[us]" else batch["at"].astype("datetime64[us]").astype("int64") // 1000
-            calls = list(zip(at.tolist(), batch["id"].tolist(), batch["value"].tolist(), batch["failed"].tolist()))
-            if calls:
-                self.waiting.appendList(calls)
-                for ms in {c[0] for c in calls}:
-                    self.handle.registerTimer(ms)
+            for call in zip(at.tolist(), batch["id"].tolist(), batch["value"].tolist(), batch["failed"].tolist()):
+                spans.setdefault(call[0] // SPAN_MS, []).append(call)
+        for span, calls in spans.items():
+            self._put(span, [*self._held(span), *calls])
+        if spans:
+            self._wake(min(c[0] for calls in spans.values() for c in calls))
         yield from ()
 
+    def _held(self, span: int) -> list[tuple]:
+        return [tuple(c) for c in self.waiting.getValue((span,))[0]] if self.waiting.containsKey((span,)) else []
+
+    def _put(self, span: int, calls: list[tuple]) -> None:
+        if calls:
+            self.waiting.updateValue((span,), (calls,))
+        else:
+            self.waiting.removeKey((span,))
+
+    def _wake(self, at: int, anew: bool = False) -> None:
+        """The key's timer at ``at``; one that is earlier stays, unless told ``anew``."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and (old > at or anew and old != at):
+            self.handle.deleteTimer(old)
+        if old is None or old > at or anew:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(c) for c in self.waiting.get()]
-        due = sorted(c for c in held if c[0] <= until)
         state = tuple(self.folded.get()) if self.folded.exists() else None
-        out = []
-        for at, number, value, failed in due:
-            if state is None or at - state[3] > self.idle_ms:
-                state = (None, 0, 0, at)
-            state = (value if state[0] is None else (state[0] + value) / 2, state[1] + 1, state[2] + 1 if failed else 0, at)
-            out.append((key[0], pd.Timestamp(at, unit="ms"), number, *state[:3]))
-        if due:
+        self.timer.clear()  # it has expired
+        waiting, out, next_at = sorted(s[0] for s in self.waiting.keys()), [], None
+        for span in waiting:
+            if span * SPAN_MS > until:
+                next_at = span * SPAN_MS
+                break
+            held = self._held(span)
             later = [c for c in held if c[0] > until]
-            self.waiting.clear()
+            for at, number, value, failed in sorted(c for c in held if c[0] <= until):
+                if state is None or at - state[3] > self.idle_ms:
+                    state = (None, 0, 0, at)
+                state = (value if state[0] is None else (state[0] + value) / 2, state[1] + 1, state[2] + 1 if failed else 0, at)
+                out.append((key[0], pd.Timestamp(at, unit="ms"), number, *state[:3]))
+            self._put(span, later)
             if later:
-                self.waiting.put(later)
-            self.folded.update(state)
-            self.handle.registerTimer(state[3] + self.idle_ms + 1)
-        elif state is not None and until > state[3] + self.idle_ms:
+                next_at = min(c[0] for c in later)
+                break
+        if state is not None and until > state[3] + self.idle_ms:
             self.folded.clear()
+            state = None
+        elif out:
+            self.folded.update(state)
+        if next_at is not None or state is not None:
+            self._wake(next_at if next_at is not None else state[3] + self.idle_ms + 1)
         if out:
             yield pd.DataFrame(out, columns=["key", "at", "id", "blended", "calls", "failures"])
 

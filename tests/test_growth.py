@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
 from attestry.operators import matching as M
+from attestry.streaming import breakers
 
 
 def plan_of(df) -> str:
@@ -25,3 +26,57 @@ def test_blocks_of_texts_lose_no_pair_and_shuffle_no_posting(spark):
     pairs = M.similarity_join(df, df, "t", "t", 0.4, most_pairs=0, block_bytes=700)
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect())) and pairs.count() > 200
     assert "CoGroupsInArrow" in plan_of(pairs) and "explode(grams" not in plan_of(pairs)
+
+
+class Kept:
+    """States and timers of one key in memory, counting the calls that are read."""
+
+    def __init__(self):
+        self.read, self.timers = 0, set()
+
+    def getValueState(self, name, schema):
+        cell = {}
+        return type("Value", (), {"exists": lambda s: "v" in cell, "get": lambda s: cell["v"], "update": lambda s, v: cell.update(v=v), "clear": lambda s: cell.clear()})()
+
+    def getListState(self, name, schema):
+        held, kept = [], self
+
+        def get(s):
+            kept.read += len(held)
+            return iter(list(held))
+
+        return type("List", (), {"appendList": lambda s, v: held.extend(v), "get": get, "clear": lambda s: held.clear(), "put": lambda s, v: held.extend(v)})()
+
+    def getMapState(self, name, key, value):
+        held, kept = {}, self
+
+        def get(s, k):
+            kept.read += len(held[k][0])
+            return held[k]
+
+        return type("Map", (), {"containsKey": lambda s, k: k in held, "getValue": get, "updateValue": lambda s, k, v: held.update({k: v}), "removeKey": lambda s, k: held.pop(k, None), "keys": lambda s: iter(list(held))})()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_breaker_reads_its_waiting_calls_a_few_times_only():
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    kept, now, told = Kept(), Watermark(), []
+    breaker = breakers.Breaker(10**12)
+    breaker.init(kept)
+    calls = [(pd.Timestamp(i * 60_000, unit="ms"), i, 1.0, False) for i in range(2000)]
+    for batch in range(4):
+        some = calls[batch * 500 : batch * 500 + 500]
+        list(breaker.handleInputRows(("k",), iter([pd.DataFrame(some, columns=["at", "id", "value", "failed"]).astype({"at": "datetime64[us]"})]), now))
+        now.at = batch * 500 * 60_000
+        for at in sorted(t for t in kept.timers if t <= now.at):
+            kept.timers.discard(at)
+            told += [r for out in breaker.handleExpiredTimer(("k",), now, None) for r in out["id"].tolist()]
+    assert told == list(range(1501)) and kept.read < 3 * 2000
