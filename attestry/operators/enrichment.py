@@ -61,10 +61,12 @@ def entry_contacts(entries: DataFrame, pages: DataFrame | None = None) -> DataFr
     return merged.select(*entries.columns, "website", "_c.*")
 
 
-def first_match(left: DataFrame, right: DataFrame, on: str, order: str, columns: list[str], cond: Column | None = None) -> DataFrame:
-    """Left rows with the columns of the first right row of equal key that meets the condition (null without one)."""
+def first_match(left: DataFrame, right: DataFrame, on: str, order: str | list[str], columns: list[str], cond: Column | None = None) -> DataFrame:
+    """Left rows with the columns of the first right row of equal key that meets the condition (null without one).
+
+    ``order`` is a column or several; where it leaves ties open, which of them comes first may differ from run to run."""
     pool = right if cond is None else right.filter(cond)
-    first = priority_first(pool.filter(F.col(on).isNotNull()), [on], [F.col(order)])
+    first = priority_first(pool.filter(F.col(on).isNotNull()), [on], [F.col(c) for c in ([order] if isinstance(order, str) else order)])
     return left.join(first.select(on, *columns), on, "left")
 
 

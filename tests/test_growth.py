@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
+from attestry.operators import enrichment as R
 from attestry.operators import matching as M
 from attestry.streaming import breakers
 
@@ -80,3 +81,10 @@ def test_a_breaker_reads_its_waiting_calls_a_few_times_only():
             kept.timers.discard(at)
             told += [r for out in breaker.handleExpiredTimer(("k",), now, None) for r in out["id"].tolist()]
     assert told == list(range(1501)) and kept.read < 3 * 2000
+
+
+def test_the_first_of_rows_that_tie_is_told_by_more_columns(spark):
+    left = spark.createDataFrame([("k",), ("none",)], "key string")
+    right = spark.createDataFrame([("k", 1, n, f"v{n}") for n in (5, 3, 9)], "key string, rank int, row int, value string")
+    got = R.first_match(left, right, "key", ["rank", "row"], ["value"])
+    assert sorted(map(tuple, got.collect())) == [("k", "v3"), ("none", None)]
