@@ -14,7 +14,8 @@ KEY = ["institution_id", "source", "external_id"]
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEY, keep: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """Old rows with new ones over them: of equal keys the new row wins, columns in ``keep`` stay as they were.
+    """Old rows with new ones over them: of equal keys the new row wins, columns in ``keep`` stay as they were; a key that
+    is new has them from the row that wins.
 
     Of several new rows of one key the last by ``order`` wins (any, without it)."""
     cols = old.columns
@@ -23,7 +24,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEY, keep: list[str
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = both.withColumn("_n", F.row_number().over(w))
     for c in keep or []:
-        ranked = ranked.withColumn(f"_keep_{c}", F.last(c, ignorenulls=True).over(whole))
+        ranked = ranked.withColumn(f"_keep_{c}", F.last(F.when(F.col("_new") == 0, F.col(c)), ignorenulls=True).over(whole))
     won = ranked.filter("_n = 1")
     return won.select(*[F.coalesce(f"_keep_{c}", c).alias(c) if c in (keep or []) else F.col(c) for c in cols])
 

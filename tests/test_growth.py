@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
 from attestry.operators import enrichment as R
+from attestry.operators import identity as I
 from attestry.operators import matching as M
 from attestry.streaming import breakers
 
@@ -88,3 +89,10 @@ def test_the_first_of_rows_that_tie_is_told_by_more_columns(spark):
     right = spark.createDataFrame([("k", 1, n, f"v{n}") for n in (5, 3, 9)], "key string, rank int, row int, value string")
     got = R.first_match(left, right, "key", ["rank", "row"], ["value"])
     assert sorted(map(tuple, got.collect())) == [("k", "v3"), ("none", None)]
+
+
+def test_kept_columns_of_a_new_key_are_those_of_the_row_that_wins(spark):
+    schema = "k string, id long, name string"
+    old, new = spark.createDataFrame([("a", 1, "old")], schema), spark.createDataFrame([("a", 7, "x"), ("b", 3, "first"), ("b", 9, "last")], schema)
+    got = I.upsert(old, new, keys=["k"], keep=["id"], order="id")
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "x"), ("b", 9, "last")]
