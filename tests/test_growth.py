@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
 from attestry.operators import enrichment as R
+from attestry.operators import evidence as E
 from attestry.operators import identity as I
 from attestry.operators import matching as M
 from attestry.streaming import breakers
@@ -96,3 +97,12 @@ def test_kept_columns_of_a_new_key_are_those_of_the_row_that_wins(spark):
     old, new = spark.createDataFrame([("a", 1, "old")], schema), spark.createDataFrame([("a", 7, "x"), ("b", 3, "first"), ("b", 9, "last")], schema)
     got = I.upsert(old, new, keys=["k"], keep=["id"], order="id")
     assert sorted(map(tuple, got.collect())) == [("a", 1, "x"), ("b", 9, "last")]
+
+
+def test_a_mean_that_just_reaches_the_score_stops_the_tiers(spark):
+    import itertools
+
+    low = next(c for c in itertools.product(range(30, 100), repeat=3) if sum(c) == 195 and sum(x / 100 for x in c) / 3 < 0.65)
+    rows = [("r", "api", "identity", "S", x / 100, 1.0) for x in low] + [("r", "live", "identity", "S", 1.0, 1.0)]
+    got = E.stop_tiers(spark.createDataFrame(rows, "run_id string, tier string, kind string, source string, quality_score double, confidence double").coalesce(1), stop_score=0.65)
+    assert [r["stopped_after"] for r in got.collect()] == ["api"] * 3
