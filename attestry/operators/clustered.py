@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 
 class ClusteredRows:
     """Rows cut by range into parts of about ``per_part`` rows, each in files of its own and sorted, and a small table of what each part
-    holds. ``order`` names the columns, ascending, nulls last; the last one must be unique and not null."""
+    holds. There are ``most_parts`` at most, so larger tables have larger parts, not more files and tasks than the driver can list. ``order`` names the columns, ascending, nulls last; the last one must be unique and not null."""
 
     def __init__(self, spark: SparkSession, root: str, order: list[str]):
         self.spark, self.root, self.order = spark, root.rstrip("/"), order
@@ -21,9 +21,9 @@ class ClusteredRows:
     def _sorted(self, backward: bool = False) -> list[Column]:
         return [F.desc_nulls_first(c) if backward else F.asc_nulls_last(c) for c in self.order]
 
-    def build(self, rows: DataFrame, per_part: int = 10_000) -> None:
+    def build(self, rows: DataFrame, per_part: int = 10_000, most_parts: int = 512) -> None:
         """Write ``rows`` and the table of parts, replacing what was there."""
-        parts = max(1, -(-rows.count() // per_part))
+        parts = min(max(1, -(-rows.count() // per_part)), most_parts)
         dealt = rows.repartitionByRange(parts, *self._sorted()).sortWithinPartitions(*self._sorted()).withColumn("part", F.spark_partition_id())
         dealt.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/rows")
         rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/schema")

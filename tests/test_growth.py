@@ -12,6 +12,8 @@ from attestry.operators import enrichment as R
 from attestry.operators import evidence as E
 from attestry.operators import identity as I
 from attestry.operators import matching as M
+from attestry.operators.clustered import ClusteredRows
+from attestry.plans import made_pages
 from attestry.streaming import breakers
 
 
@@ -106,3 +108,20 @@ def test_a_mean_that_just_reaches_the_score_stops_the_tiers(spark):
     rows = [("r", "api", "identity", "S", x / 100, 1.0) for x in low] + [("r", "live", "identity", "S", 1.0, 1.0)]
     got = E.stop_tiers(spark.createDataFrame(rows, "run_id string, tier string, kind string, source string, quality_score double, confidence double").coalesce(1), stop_score=0.65)
     assert [r["stopped_after"] for r in got.collect()] == ["api"] * 3
+
+
+def test_pages_of_customers_are_made_by_all_cores(spark, sf):
+    assert made_pages._pages(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_digests_and_vectors_are_computed_once(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "a"), (None, "x")], "x string, y string")
+    got = df.select(S.cosine(S.hash_embedding(F.col("x"), 32), S.hash_embedding(F.col("y"), 32)).alias("c"))
+    assert plan_of(got).count("sha2(") == 2 and round(got.collect()[1][0], 9) == 1.0
+
+
+def test_clustered_rows_keep_to_a_number_of_files(spark, tmp_path):
+    store = ClusteredRows(spark, f"file://{tmp_path}/many", ["id"])
+    store.build(spark.range(1200), per_part=1)
+    assert 100 < store._parts().count() <= 512
+    assert [r["id"] for r in store.page(5, 100).collect()] == list(range(400, 500))
