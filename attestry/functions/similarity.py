@@ -29,8 +29,17 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return set_similarity(trigrams(a), trigrams(b))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 for different lengths or a zero vector."""
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda v: _cosine(v["a"], v["b"]))
+
+
+def _cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
@@ -39,8 +48,8 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(col: Column, dims: int = DIMENSIONS) -> Column:
     """Deterministic stand-in for an embedding: the bytes of the SHA-256 digest, repeated, through a cosine."""
     digest = F.sha2(F.coalesce(col, F.lit("")), 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.cos((byte(i) - 128) / 128 * F.lit(3.141592653589793)) / 2 + 0.5)
+    byte = lambda d, i: F.conv(F.substring(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    return once(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.cos((byte(d, i) - 128) / 128 * F.lit(3.141592653589793)) / 2 + 0.5))
 
 
 def positional_confidence(query: Column, name: Column) -> Column:
