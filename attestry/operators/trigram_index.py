@@ -7,13 +7,18 @@ those that generations after the base have touched. ``compact`` makes a new base
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import similarity as S
-from ..session import saved, small
-from .matching import RECALL
+from ..session import saved, ship, small
+from .matching import RECALL, close_entries
 
 ROWS = "id long, text string, n int, digest long, live boolean"
 
@@ -102,11 +107,38 @@ class TrigramIndex:
             held = held.join(small(later), "id", "left").filter("_last IS NULL OR _last = gen")
         return held.select("gram", "id", "n")
 
-    def similar(self, queries: DataFrame, threshold: float = RECALL) -> DataFrame:
-        """Pairs (``query_id``, ``id``, ``similarity``) above the threshold for ``queries`` (``query_id``, ``query``): shared over united trigrams."""
-        asked = queries.select("query_id", S.trigrams(F.col("query")).alias("g")).select("query_id", F.size("g").alias("_n"), F.explode("g").alias("gram"))
-        met = self._postings(asked).join(asked, "gram").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"), F.first("_n").alias("_n"))
-        return met.select("query_id", "id", (F.col("_c") / (F.col("n") + F.col("_n") - F.col("_c"))).alias("similarity")).filter(F.col("similarity") > threshold)
+    def similar(self, queries: DataFrame, threshold: float = RECALL, block_postings: int = 4_000_000) -> DataFrame:
+        """Pairs (``query_id``, ``id``, ``similarity``) above the threshold for ``queries`` (``query_id``, ``query``): shared over united trigrams.
+
+        Postings are dealt by their row into blocks, where they meet all queries of a block (``close_entries``): what is shuffled is each
+        posting once a block of queries, not each pair of a query and a row that share a trigram."""
+        ship(self.spark)
+        key = lambda g: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.ascii(F.substring(g, i + 1, 1)).cast("long"), 42 - 21 * i) for i in range(3)])
+        asked = saved(queries.select("query_id", F.explode(S.trigrams(F.col("query"))).alias("gram")), "index-asked")
+        held = self._postings(asked).select("id", "n", key("gram").alias("gram"))
+        cores = self.spark.sparkContext.defaultParallelism
+        a_blocks = max(1, -(-asked.count() // block_postings))
+        b_blocks = max(-(-(self.rows().agg(F.sum("n")).first()[0] or 0) // block_postings), -(-3 * cores // a_blocks))
+        block = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count))
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        dealt = lambda df: df.repartition(min(2 * a_blocks * b_blocks, 20_000), "a_block", "b_block").groupBy("a_block", "b_block")
+        a = asked.select("query_id", key("gram").alias("gram"), block("query_id", a_blocks).alias("a_block")).withColumn("b_block", every(b_blocks))
+        b = held.withColumn("b_block", block("id", b_blocks)).withColumn("a_block", every(a_blocks))
+
+        def close(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            query, row = (t[c].combine_chunks().dictionary_encode() for t, c in ((mine, "query_id"), (theirs, "id")))
+            found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+            if len(mine) and len(theirs):
+                entries, sizes = [x.indices.to_numpy().astype(np.int64) for x in (query, row)], np.zeros(len(row.dictionary), np.int64)
+                sizes[entries[1]] = theirs["n"].to_numpy()
+                order = [np.argsort(e, kind="stable") for e in entries]
+                sides = [(e[o], t["gram"].to_numpy()[o]) for e, o, t in zip(entries, order, (mine, theirs))]
+                found += [(np.full(len(near), i), near, similarity) for i, near, similarity in close_entries(*sides, sizes, threshold)]
+            i, near, similarity = (np.concatenate(x) for x in zip(*found))
+            return pa.table({"query_id": query.dictionary.take(pa.array(i)), "id": row.dictionary.take(pa.array(near)), "similarity": similarity})
+
+        told = T.StructType([asked.schema["query_id"], T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType())])
+        return dealt(a).cogroup(dealt(b)).applyInArrow(close, told)
 
     def containing(self, patterns: DataFrame) -> DataFrame:
         """Pairs (``pattern_id``, ``id``) of rows whose text holds the pattern, whatever its case, for ``patterns`` (``pattern_id``, ``pattern``).

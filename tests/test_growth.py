@@ -13,6 +13,7 @@ from attestry.operators import evidence as E
 from attestry.operators import identity as I
 from attestry.operators import matching as M
 from attestry.operators.clustered import ClusteredRows
+from attestry.operators.trigram_index import TrigramIndex
 from attestry.plans import made_pages
 from attestry.streaming import breakers
 
@@ -125,3 +126,17 @@ def test_clustered_rows_keep_to_a_number_of_files(spark, tmp_path):
     store.build(spark.range(1200), per_part=1)
     assert 100 < store._parts().count() <= 512
     assert [r["id"] for r in store.page(5, 100).collect()] == list(range(400, 500))
+
+
+def test_a_kept_index_shuffles_postings_and_not_pairs(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gam", "deltas", "é", "ता"]) for _ in range(rng.randint(0, 5))) for _ in range(80)]
+    index = TrigramIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    index.refresh(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    asked = spark.createDataFrame([("q1", "alpha beta"), ("q2", "ता é gam"), ("q3", ""), ("q4", "zzz")], "query_id string, query string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = asked.crossJoin(rows).select("query_id", "id", S.trigram_similarity(F.col("query"), F.col("text")).alias("similarity")).filter("similarity > 0.35")
+    for block in (4_000_000, 10):
+        pairs = index.similar(asked, block_postings=block)
+        assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect())) and pairs.count() > 40
+        assert "CoGroupsInArrow" in plan_of(pairs)
