@@ -24,7 +24,7 @@ class Encoder:
     which takes one pass over any text, and the library's model gives the ids of each distinct pre-token.
     """
 
-    def __init__(self, vocab_path: str):
+    def __init__(self, vocab_path: str, cache_words: int = 1 << 16):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(vocab_path)
@@ -32,7 +32,7 @@ class Encoder:
         self.special = {t.content: array("I", [i]).tobytes() for i, t in library.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokenize = library.model.tokenize
-        self.words = WordCache(lambda word: array("I", [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes(), 1 << 16)
+        self.words = WordCache(lambda word: array("I", [t.id for t in tokenize("".join([letters[b] for b in word.encode("utf-8")]))]).tobytes(), cache_words)
 
     def ids(self, text: str) -> bytes:
         """Unsigned 32-bit ids of a text; strings of added tokens inside it count as these tokens, as the library has it."""
@@ -43,23 +43,23 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(vocab_path: str) -> Encoder:
-    return Encoder(vocab_path)
+def encoder(vocab_path: str, cache_words: int = 1 << 16) -> Encoder:
+    return Encoder(vocab_path, cache_words)
 
 
-def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1 << 16) -> DataFrame:
     """Rows (``doc_id``, ``piece``, ``start``, ``length``, ``ids``): each text's ids (unsigned 32-bit, little-endian)
     followed by ``end_id``, cut into pieces of ``capacity`` ids if it is longer; then the first piece takes the odd rest.
 
     Null texts count as empty and give one piece that is the end id alone. Ids may be null. Texts of any length, runs of
     white space included, are cut in one pass. Repeated rows give repeated pieces; an empty table gives an empty
-    result. Other columns are not read.
+    result. Other columns are not read. Each worker keeps the ids of up to ``cache_words`` pre-tokens (about 200 bytes each).
     """
     ship(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        ids, end = encoder(vocab_path).ids, array("I", [end_id]).tobytes()
+        ids, end = encoder(vocab_path, cache_words).ids, array("I", [end_id]).tobytes()
         return pa.array([ids(t) + end for t in values(texts)], pa.binary())
 
     whole = docs.select(F.col(id_col).alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("_ids"))

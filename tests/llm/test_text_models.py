@@ -273,3 +273,16 @@ def test_risk_and_prior_against_plain_loops():
         if best is None or qu / max(qp, 1e-9) + width < best[0]:
             best = (qu / max(qp, 1e-9) + width, qu / max(qp, 1e-9))
     assert abs(quality.best_bin_prior(a, c) - best[1]) < 1e-12
+
+
+def test_words_of_many_texts_are_asked_for_once():
+    own, asked = packing.encoder(queries.vocabulary(), queries.PACKING_CACHE_WORDS), []
+    make = own.words.make
+    own.words.make = lambda word: asked.append(word) or make(word)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [" ".join(map(word, range(at, at + 1000))) for at in range(0, 80_000, 1000)]
+    first = [own.ids(t) for t in texts]
+    assert len(asked) > 1 << 16  # more pre-tokens than the pipeline's cache holds
+    once = len(asked)
+    assert [own.ids(t) for t in texts] == first and len(asked) == once
+    own.words.make = make
