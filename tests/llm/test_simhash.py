@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from attestry import session
 from attestry.llm import queries, simhash
 
 
@@ -86,3 +87,22 @@ def test_odd_rows(odd_docs, no_docs):
 def test_long_chain_settles(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {(r["node"], r["root"]) for r in simhash.components(links).collect()} == {(i, 0) for i in range(1, 301)}
+
+
+def test_components_take_no_round_more_than_needed(spark):
+    def rounds(pairs):
+        links = spark.createDataFrame(pairs, "a long, b long")
+        since = session.written(spark)
+        roots = {(r["node"], r["root"]) for r in simhash.components(links).collect()}
+        return roots, session.written(spark) - since - 1  # the links themselves are written once
+
+    star = [(0, i) for i in range(1, 50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
+    assert rounds(star) == ({(i, 0) for i in range(1, 50)} | {(101, 100)}, 0)
+    assert rounds([(5, 9), (3, 5), (3, 9)]) == ({(5, 3), (9, 3)}, 1)
+    rng = random.Random(3)
+    for _ in range(3):
+        pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+        root = list(range(60))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        assert rounds(pairs)[0] == {(i, r) for i, r in enumerate(root) if i != r}
