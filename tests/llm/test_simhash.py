@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 import xxhash
@@ -106,3 +107,43 @@ def test_components_take_no_round_more_than_needed(spark):
         for a, b in pairs:
             root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
         assert rounds(pairs)[0] == {(i, r) for i, r in enumerate(root) if i != r}
+
+
+def tasks_of(spark, run):
+    """How many tasks ``run`` takes with 32 shuffle partitions that are never merged, and broadcasts only where they are asked for."""
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc, group = spark.sparkContext, str(uuid.uuid4())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, "counted")
+        run()
+        told = sc.statusTracker()
+        stages = {s for job in told.getJobIdsForGroup(group) for s in told.getJobInfo(job).stageIds}
+        return sum(info.numCompletedTasks for info in map(told.getStageInfo, stages) if info)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_few_nodes_meet_their_lowest_neighbour_without_a_shuffle(spark):
+    rng = random.Random(4)
+    links = session.saved(spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long"), "test-links")
+    found = {}
+    few, many = (tasks_of(spark, lambda n=n: found.update({n: sorted(map(tuple, simhash.components(links, broadcast_rows=n).collect()))})) for n in (100_000, 0))
+    assert found[100_000] == found[0]
+    assert few < many
+
+
+def test_driver_heap_is_given_back_between_phases(spark, sf, monkeypatch):
+    jvm, used = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), []
+
+    def watched(session_):
+        session.tidy(session_)
+        used.append((jvm.totalMemory() - jvm.freeMemory()) >> 20)
+
+    monkeypatch.setattr(simhash, "tidy", watched)
+    assert simhash.near_copies(spark.read.parquet(f"{sf}/documents.parquet")).count() == 200
+    assert len(used) >= 6 and max(used) < used[0] + 100
