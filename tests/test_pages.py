@@ -7,6 +7,7 @@ from attestry.functions import contacts as C
 from attestry.functions import html as H
 from attestry.functions import urls as U
 from attestry.operators import enrichment as R
+from attestry.operators import evidence as E
 
 PAGE = """<html><head><title>Plain</title><meta property="og:title" content="Best College"><meta name="description" content="About us">
 <script type="application/ld+json">{"@type": "College"}</script><script type="application/ld+json">{bad</script></head><body>
@@ -69,3 +70,16 @@ def test_site_discovery(spark):
 def test_pin_code_has_ascii_borders(spark):
     rows = spark.createDataFrame([("PIN é560001",), ("id_560001 then 560002",), ("5600011",), ("060001",), (None,)], "t string")
     assert [r[0] for r in rows.select(C.pin_code(F.col("t"))).collect()] == ["560001", "560002", None, None, None]
+
+
+def long_page(words):
+    """What a page tells comes after ``words`` words of its main text."""
+    return f"<html><body><article>{'word ' * words}Affiliated to Anna University, approved by AICTE. Located in Kerala 560001. Last words</article></body></html>"
+
+
+def test_claims_far_into_a_page(spark):
+    pages = spark.createDataFrame([(i, "https://a.in/", long_page(n)) for i, n in enumerate([0, 1630, 1640, 200_000])], "page_id int, url string, html string")
+    told = {(r["page_id"], r["claim_type"]): r["matched_text"] for r in E.website_evidence(H.extract_pages(pages), F.current_timestamp()).collect()}
+    assert set(told) == {(i, c) for i in range(4) for c in ("affiliated", "approved")}
+    assert all("Affiliated to Anna University, approved by AICTE. Located" in text for text in told.values())
+    assert told[3, "affiliated"] == "word " * 10 + "Affiliated to Anna University, approved by AICTE. Located in Kerala 560001. Las"
