@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from attestry import dictionaries as D
 from attestry.functions import contacts as C
 from attestry.functions import html as H
 from attestry.functions import urls as U
@@ -83,3 +87,27 @@ def test_claims_far_into_a_page(spark):
     assert set(told) == {(i, c) for i in range(4) for c in ("affiliated", "approved")}
     assert all("Affiliated to Anna University, approved by AICTE. Located" in text for text in told.values())
     assert told[3, "affiliated"] == "word " * 10 + "Affiliated to Anna University, approved by AICTE. Located in Kerala 560001. Las"
+
+
+def test_fields_far_into_a_page(spark):
+    counts = [0, 1630, 1640, 200_000]
+    pages = spark.createDataFrame([(i, "https://a.in/", long_page(n)) for i, n in enumerate(counts)], "page_id int, url string, html string")
+    rows = H.extract_pages(pages).select("page_id", "main_text", "detected_state", "detected_pin_code", "affiliation.text").collect()
+    assert {r[0]: r[1] for r in rows} == {i: re.search("<article>(.*)</article>", long_page(n))[1] for i, n in enumerate(counts)}
+    assert {tuple(r[2:]) for r in rows} == {("kerala", "560001", "Anna University")}
+
+
+def test_states_near_words_for_places(spark):
+    rng = random.Random(3)
+
+    def text():
+        parts = [*D.PAGE_STATES[:6], *(w.upper() if rng.random() < 0.5 else w for w in D.LOCATION_WORDS), "\u0130", "\U0001f600", "\n", "\u2028"]
+        return "".join(rng.choice(parts) + rng.choice("x. ") * rng.choice([0, 1, 40, 99, 100, 101, 150, 199, 200, 201, 300, 700]) for _ in range(rng.randint(1, 12)))
+
+    def expected(t):
+        held = lambda c: next((s for s in D.PAGE_STATES if s in c.lower()), None)
+        around = [c for w in D.LOCATION_WORDS for c in re.findall(f"(?ai)[^\n\r\x85\u2028\u2029]{{0,100}}{w}[^\n\r\x85\u2028\u2029]{{0,100}}", t)]
+        return next(filter(None, map(held, around)), None) or held(t.lower()[:500]) or held(t)
+
+    texts = [text() for _ in range(2000)]
+    assert values(spark, texts, C.detect_state) == [expected(t) for t in texts]
